@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.llm.embedding_join import op9_embedding_range_join
+from strandlake.llm.packing import op10_sum_of_squares_packing
 from strandlake.llm.relative_lz import op2_relative_lempel_ziv
+from strandlake.llm.simhash import op7_simhash_pigeonring
 from strandlake.llm.suffix_dedup import op6_suffix_array_dedup
+from strandlake.llm.toxicity import op1_toxic_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxic_segments": op1_toxic_segments,
     "op2_relative_lempel_ziv": op2_relative_lempel_ziv,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_simhash_pigeonring": op7_simhash_pigeonring,
+    "op9_embedding_range_join": op9_embedding_range_join,
+    "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
