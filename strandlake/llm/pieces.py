@@ -218,6 +218,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op8_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole ids of every document, and whether they decode to its text again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs)
+    return encode(table(spark, sf_dir, "documents"))

@@ -74,7 +74,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: bool = True, **sizes: int
     stay whole; an empty table gives an empty one.
     """
     gram = max(1, min(GRAM, window - 1)) if window - GRAM + 1 <= 32 else window - 31
-    return cut_repeats(docs, Units(True, window, gram), lempel_ziv_block, keep, **sizes)
+    return cut_repeats(docs, Units(True, window, gram), lempel_ziv_block, keep, None, **sizes)
 
 
 def op2_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:

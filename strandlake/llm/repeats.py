@@ -370,10 +370,11 @@ def removed(c: Corpus, r: Runs, u: Units, replies: list[dict], parts: int) -> np
     return np.cumsum(cover[:-1]) > 0
 
 
-def _finish(u: Units, parts: int, keep: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _finish(u: Units, parts: int, keep: bool, carried: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.Table.from_pylist([], schema=_result(keep))
+            return pa.Table.from_pylist([], schema=_result(keep))  # no rows: the type of what is carried doesn't matter
+        table = table.combine_chunks().sort_by("doc_id")
         c = Corpus(table, u)
         gone = removed(c, runs_of(c, u), u, replies.to_pylist(), parts)
         total = np.concatenate([[0], np.cumsum(gone)])
@@ -386,7 +387,7 @@ def _finish(u: Units, parts: int, keep: bool) -> Callable[[pa.Table, pa.Table],
         stays = c.buf[~gone] if c.start is None else None
         left = np.concatenate([[0], np.cumsum(~gone)])
         rows = []
-        ids = table.combine_chunks().sort_by("doc_id")["doc_id"].to_pylist()
+        ids = table["doc_id"].to_pylist()
         for i, (a, b) in enumerate(zip(c.bounds[:-1].tolist(), c.bounds[1:].tolist(), strict=True)):
             n = int(total[b] - total[a])
             begin = at[spans[a] : spans[b]].tolist()
@@ -402,7 +403,8 @@ def _finish(u: Units, parts: int, keep: bool) -> Callable[[pa.Table, pa.Table],
                 ends.append(min(e, b))
             row = {"doc_id": ids[i], "n_units": b - a, "n_removed": n, "spans": [{"start": k - a, "end": e - a} for k, e in zip(begin, ends, strict=True)], "kept_sha256": hashlib.sha256(text).hexdigest()}
             rows.append(row | ({"kept": text} if keep else {}))
-        return pa.Table.from_pylist(rows, schema=_result(keep))
+        out = pa.Table.from_pylist(rows, schema=_result(keep))
+        return out.append_column("carried", table["carried"]) if carried else out
 
     return finish
 
@@ -412,20 +414,23 @@ def _result(keep: bool) -> pa.Schema:
     return pa.schema(fields + [("kept", pa.binary())] * keep)
 
 
-def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: bool = False, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: bool = False, carry: list[str] | None = None, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Rows (doc_id, n_units, n_removed, spans, kept_sha256[, kept]) of docs(doc_id long, text string or binary).
 
-    spans are the maximal removed runs in units of the document; kept is what remains.
+    spans are the maximal removed runs in units of the document; kept is what remains; with
+    carry the row's columns of these names come along in the struct `carried`.
     doc_id decides which copy stays, so it should be unique; rows that share an id count as
     one document and come back as separate rows. A null id counts as the largest. Null text: empty.
     """
     total = text_bytes(docs)
     buckets, parts = pieces(total, bucket_bytes), pieces(total, part_bytes)
     bucket = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(buckets)).cast("int")
-    dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *[F.struct(*carry).alias("carried")] * bool(carry))
     asked = dealt.groupBy("bucket").applyInArrow(_ask(u, parts), MESSAGE)
     answered = asked.groupBy("part").applyInArrow(_answer, MESSAGE)
     sent = dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(_send(u, parts), MESSAGE)
     found = sent.groupBy("part").applyInArrow(_find(u, procedure), MESSAGE)
     schema = "doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string" + ", kept binary" * keep
-    return dealt.groupBy("bucket").cogroup(answered.union(found).groupBy("bucket")).applyInArrow(_finish(u, parts, keep), schema)
+    if carry:
+        schema += f", carried {docs.select(F.struct(*carry).alias('c')).schema['c'].dataType.simpleString()}"
+    return dealt.groupBy("bucket").cogroup(answered.union(found).groupBy("bucket")).applyInArrow(_finish(u, parts, keep, bool(carry)), schema)

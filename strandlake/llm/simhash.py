@@ -180,5 +180,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return each.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without those that have a smaller doc_id in their component. Rows of one doc_id stay or go together; null doc_ids stay."""
+    gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

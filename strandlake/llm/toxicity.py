@@ -281,6 +281,21 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_passages", "passages")
 
 
+def _clean(m: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stays = [1 / (1 + np.exp(-np.clip(m.intercept + m.slope * evidence(m, s)[0], -30, 30))) < THRESHOLD for _, s in _each(m, b)]
+            yield b.filter(pa.array(stays, pa.bool_()))
+
+    return clean
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, all columns of them, without the rows that score() would predict as toxic. Null texts stay; without usable labels all do."""
+    m = fit(docs, labels)
+    return docs.mapInArrow(_clean(m), docs.schema) if m else docs
+
+
 def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
