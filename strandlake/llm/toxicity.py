@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import table
+from strandlake.llm.common import chunks, table
 from strandlake.llm.repeats import spans_hash
 
 #: Cells of the hashed table, and slices in which tasks send their counts.
@@ -114,10 +114,14 @@ def maximal_segments(s: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _each(m: Model, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    buf, start, end, first = tokens(batch.column("text"))
-    s = scores(m, cells(buf, start, end)) if len(start) else np.zeros(0)
-    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-        yield i, s[a:b]
+    """Each row's place and the scores of its tokens."""
+    i = 0
+    for part in chunks(batch, "text"):
+        buf, start, end, first = tokens(part.column("text"))
+        s = scores(m, cells(buf, start, end)) if len(start) else np.zeros(0)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            yield i, s[a:b]
+            i += 1
 
 
 def evidence(m: Model, s: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
@@ -130,14 +134,14 @@ def evidence(m: Model, s: np.ndarray) -> tuple[float, list[tuple[int, int, float
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's tokens, by slices of the table: cells that occur, tokens in toxic texts, in all."""
     toxic, every = np.zeros(CELLS, np.float32), np.zeros(CELLS, np.float32)
-    for b in batches:
+    for b in (part for batch in batches for part in chunks(batch, "text")):
         buf, start, end, first = tokens(b.column("text"))
         if len(start):
             weight = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False).astype(np.float32), np.diff(first))
             for row in cells(buf, start, end):
                 has = row >= 0
-                toxic += np.bincount(row[has], weight[has], CELLS).astype(np.float32)
-                every += np.bincount(row[has], minlength=CELLS).astype(np.float32)
+                np.add.at(toxic, row[has], weight[has])
+                np.add.at(every, row[has], np.float32(1))
     width = CELLS // SLICES
     rows = []
     for k in range(SLICES):
