@@ -1,56 +1,102 @@
 """Seeds: k-mers of bins, counted, filtered by frequency, and listed with their places.
 
 kmers are (kmer long, ridx long, off int, dir int): the code of the canonical seed, the
-read, the first base's place in the read and the strand. Everything is a built-in
-expression over exploded places; counting aggregates before the shuffle.
+read, the first base's place in the read and the strand. Counting aggregates before the
+shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.config import MapParams
 from strandlake.functions.sequence import homopolymer_compressed, kmer_code, reverse_complement, sampled
-from strandlake.operators.reads import bins
+from strandlake.operators.reads import bins, trimmed_to_bins
 
 #: Counts stop growing here.
 MOST = 65_535
-
-
-def _plain(cut: DataFrame, k: int, start: str) -> DataFrame:
-    """Every k-mer of seq, as (ridx, off, fwd, rev)."""
-    place = F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("p")
-    placed = cut.where(F.length("seq") >= k).select("*", place)
-    fwd = placed.select("*", F.substr("seq", F.col("p") + 1, F.lit(k)).alias("fwd"))
-    return fwd.select("*", reverse_complement(F.col("fwd")).alias("rev"), (F.col(start) + F.col("p")).cast("int").alias("at"))
+#: Two bits a base; any letter but C, G and T counts as A.
+BASES = np.zeros(256, np.uint8)
+BASES[[67, 99]], BASES[[71, 103]], BASES[[84, 116]] = 1, 2, 3
+
+
+def _sample(code: np.ndarray, one_of: int) -> np.ndarray:
+    """The same as functions.sequence.sampled."""
+    return (code ^ code >> 4 ^ code >> 7) % (4096 * one_of) < 4096
+
+
+def _windows(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all windows of k bases, forward and reverse complement."""
+    n = len(code) - k + 1
+    fwd, rev = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for j in range(k):
+        part = code[j : j + n]
+        fwd = fwd << 2 | part
+        rev |= (3 - part) << 2 * j
+    return fwd, rev
+
+
+def _vectorised(p: MapParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Seeds of reads that are whole bins: bases of all reads of a batch in one array, so a bin starts at each multiple of its size."""
+    k, size = p.seed, p.bin_size
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                b = whole.slice(a, 256)
+                text = b.column("seq").cast(pa.large_binary())
+                end = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+                if end[-1] == end[0]:
+                    continue
+                code = BASES[np.frombuffer(text.buffers()[2], np.uint8)[end[0] : end[-1]]].astype(np.int64)
+                end = end - end[0]
+                at = np.arange(len(code))
+                if p.psize:  # only the first of a run of equal bases
+                    at = at[(np.diff(code, prepend=-1) != 0) | (at % size == 0)]
+                if len(at) < k:
+                    continue
+                fwd, rev = _windows(code[at], k)
+                first, last = at[: len(fwd)], at[k - 1 :]
+                canonical = np.minimum(fwd, rev)
+                keep = np.flatnonzero((first // size == last // size) & (fwd != rev) & (_sample(canonical, p.ksample) if p.ksample > 1 else True))
+                read = np.searchsorted(end, first[keep], side="right") - 1
+                off = (last[keep] if p.psize else first[keep] + k - 1) - (k - 1) - end[read]
+                yield pa.RecordBatch.from_arrays([pa.array(canonical[keep]), b.column("ridx").take(pa.array(read)), pa.array(off.astype(np.int32)), pa.array((rev < fwd)[keep].astype(np.int32))], names=["kmer", "ridx", "off", "dir"])
+
+    return found
 
 
 def kmers(reads: DataFrame, p: MapParams) -> DataFrame:
     """Sampled canonical seeds of each bin of each read. Palindromes have no strand and are left out.
 
     With ksize only, seeds are plain k-mers; with psize only, k-mers of the homopolymer-
-    compressed bin, whose off is that of their last base less psize - 1; with both, a plain
-    k-mer and, going outward from it on its own strand, psize compressed bases.
+    compressed bin, whose off is that of their last run less psize - 1; with both, a plain
+    k-mer and, going outward from it on its own strand, psize compressed bases. The first
+    two are made in Arrow batches by array operations, up to 31 bases; sampling comes
+    before rows are made.
     """
+    if p.ksize and p.psize:
+        return _two_part(reads, p)
+    cut = trimmed_to_bins(reads, p.bin_size).where("bincnt > 0").select("ridx", "seq")
+    return cut.mapInArrow(_vectorised(p), "kmer long, ridx long, off int, dir int")
+
+
+def _two_part(reads: DataFrame, p: MapParams) -> DataFrame:
     cut = bins(reads, p.bin_size).withColumn("start", F.col("off") * p.bin_size).drop("off")
-    if p.ksize and not p.psize:
-        found = _plain(cut, p.ksize, "start").where("fwd != rev")
-        found = found.select("ridx", F.col("at").alias("off"), F.when(F.col("fwd") < F.col("rev"), 0).otherwise(1).alias("dir"), F.least("fwd", "rev").alias("text"))
-    elif p.psize and not p.ksize:
-        # the place, in the bin, of the first base of each run of equal bases
-        run = F.filter(F.sequence(F.lit(1), F.length("seq")), lambda i: (i == 1) | (F.substr("seq", i, F.lit(1)) != F.substr("seq", i - 1, F.lit(1))))
-        packed = cut.select("ridx", "start", run.alias("runs"), homopolymer_compressed(F.col("seq")).alias("seq"))
-        found = _plain(packed, p.psize, "start").where("fwd != rev")
-        last = F.element_at("runs", F.col("p") + p.psize) - 1
-        found = found.select("ridx", (F.col("start") + last - (p.psize - 1)).cast("int").alias("off"), F.when(F.col("fwd") < F.col("rev"), 0).otherwise(1).alias("dir"), F.least("fwd", "rev").alias("text"))
-    else:
-        whole = _plain(cut, p.ksize, "start").where("fwd != rev")
-        after = F.left(homopolymer_compressed(F.substr("seq", F.col("p") + p.ksize + 1, F.lit(p.bin_size))), F.lit(p.psize))
-        before = F.right(homopolymer_compressed(F.left("seq", F.col("p"))), F.lit(p.psize))
-        forward = F.col("fwd") < F.col("rev")
-        outward = F.when(forward, reverse_complement(after)).otherwise(before)
-        found = whole.select("ridx", F.when(forward, F.col("at")).otherwise(F.col("at") - p.psize).cast("int").alias("off"), F.when(forward, 0).otherwise(1).alias("dir"), F.when(F.length(outward) == p.psize, F.concat(F.least("fwd", "rev"), outward)).alias("text")).where("text is not null")
+    place = F.explode(F.sequence(F.lit(0), F.length("seq") - p.ksize)).alias("p")
+    placed = cut.where(F.length("seq") >= p.ksize).select("*", place)
+    fwd = placed.select("*", F.substr("seq", F.col("p") + 1, F.lit(p.ksize)).alias("fwd"))
+    whole = fwd.select("*", reverse_complement(F.col("fwd")).alias("rev"), (F.col("start") + F.col("p")).cast("int").alias("at")).where("fwd != rev")
+    after = F.left(homopolymer_compressed(F.substr("seq", F.col("p") + p.ksize + 1, F.lit(p.bin_size))), F.lit(p.psize))
+    before = F.right(homopolymer_compressed(F.left("seq", F.col("p"))), F.lit(p.psize))
+    forward = F.col("fwd") < F.col("rev")
+    outward = F.when(forward, reverse_complement(after)).otherwise(before)
+    found = whole.select("ridx", F.when(forward, F.col("at")).otherwise(F.col("at") - p.psize).cast("int").alias("off"), F.when(forward, 0).otherwise(1).alias("dir"), F.when(F.length(outward) == p.psize, F.concat(F.least("fwd", "rev"), outward)).alias("text")).where("text is not null")
     coded = found.select(kmer_code(F.col("text")).alias("kmer"), "ridx", "off", "dir")
     return coded.where(sampled(F.col("kmer"), p.ksample)) if p.ksample > 1 else coded
 
