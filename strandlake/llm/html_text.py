@@ -6,14 +6,15 @@
 2. Within each host pages are sorted by their URL's path, and each is paired with the
    neighbour whose path shares the longest prefix with its own.
 3. The pair's lines are aligned by a longest common subsequence. Shared lines are template,
-   and are deleted, unless both pages have them inside their article (a quotation, or a copy
-   of the article), or the pages have no other lines at all (a copy of the page).
+   and are deleted, unless the page has them inside its article (a quotation, or a copy of
+   the article), or the pages have no other lines at all (a copy of the page).
 4. What is left of the article is the text, or of the lines around, if there's no article.
 
-Neighbours are sought among pages of one host, folder and first two characters of the last
-path segment. These are the keys by which pages are dealt out, so a host with a third of all
-pages spreads over many tasks, pairs don't depend on how keys meet in partitions, and a task
-holds three pages at a time. Lines travel once, and only what may be main text or template.
+Neighbours are sought among the pages of one host; in a host of more than LARGE pages among
+those of one folder whose last path segment starts with the same two characters. These are
+the keys by which pages are dealt out, so a host with a third of all pages spreads over many
+tasks, pairs don't depend on how keys meet in partitions, and a task holds three pages at a
+time. Lines travel once.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import pieces, table, text_bytes
+from strandlake.llm.common import bounded_batches, pieces, table, text_bytes
 
+#: Pages above which a host is divided, and most divided hosts that are broadcast.
+LARGE, BROADCAST_HOSTS = 1000, 100_000
+HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 #: Kinds of lines.
 ARTICLE, AROUND, NEVER = 0, 1, 2
 _WORDS = {
@@ -215,8 +219,7 @@ def main_text(page: Page, other: Page | None) -> tuple[str, int]:
     if other is not None:
         mine, theirs = shared(page.text, other.text)
         if len(mine) < len(page.text) or len(theirs) < len(other.text):  # else a copy of the page
-            # in the order of lines both subsequences correspond
-            gone = {i for i, j in zip(sorted(mine), sorted(theirs), strict=True) if page.kind[i] != ARTICLE or other.kind[j] != ARTICLE}
+            gone = {i for i in mine if page.kind[i] != ARTICLE}
         common = len(mine)
     else:
         common = 0
@@ -224,12 +227,12 @@ def main_text(page: Page, other: Page | None) -> tuple[str, int]:
     return "\n".join(t for i, (t, k) in enumerate(zip(page.text, page.kind, strict=True)) if k == wanted and i not in gone), common
 
 
-def place(url: str | None) -> tuple[str, str]:
-    """(key, path) of a URL: host, folder and first two characters of the last segment; and the whole path."""
-    m = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", url or "", re.I)
-    host, path = (m[1].lower(), m[2] or "/") if m else ("", (url or "").split("?")[0].split("#")[0])
+def place(url: str | None, large: bool) -> tuple[str, str]:
+    """(key, path) of a URL: its host, if that is large with folder and first two characters of the last segment; and the whole path."""
+    m = re.match(HOST + "([^?#]*)", url or "")
+    host, path = (m[1].lower(), m[2] or "/") if m else ("", re.split("[?#]", url or "")[0])
     folder, _, last = path.rpartition("/")
-    return f"{host} {folder}/{last[:2]}", path
+    return f"{host} {folder}/{last[:2]}" if large else host, path
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +241,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(a, 256)
             urls = part.column("url").to_pylist()
             found = [lines(h or "") for h in part.column("html").to_pylist()]
-            places = [place(u) for u in urls]
+            places = [place(u, x) for u, x in zip(urls, part.column("large").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([k for k, _ in places], pa.string()), pa.array([p for _, p in places], pa.string()), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[k for _, k in f] for f in found], pa.list_(pa.int8()))], names=["page_id", "url", "key", "path", "text", "kind"])
 
 
@@ -284,7 +287,13 @@ def extract(pages: DataFrame) -> DataFrame:
     empty. Equal paths are neighbours by page_id; repeated rows come back once each. An
     empty table gives an empty one; other columns are left out.
     """
-    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_parse, "page_id long, url string, key string, path string, text array<string>, kind array<tinyint>")
+    bounded_batches(pages.sparkSession)
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1))
+    large = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("host", F.lit(True).alias("is_large"))
+    if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        large = F.broadcast(large)
+    named = pages.select("page_id", "url", "html", host.alias("host")).join(large, "host", "left").withColumn("large", F.coalesce("is_large", F.lit(False)))
+    parsed = named.select("large", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_parse, "page_id long, url string, key string, path string, text array<string>, kind array<tinyint>")
     parts = pieces(text_bytes(pages, "html"), 32 << 20, 16)
     near = parsed.repartition(parts, "key").sortWithinPartitions("key", "path", "page_id", "url", "text")
     found = near.mapInArrow(_compare(), "page_id long, url string, text string, n_lines long, n_shared long")
