@@ -425,7 +425,7 @@ def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: bool
     total = text_bytes(docs)
     buckets, parts = pieces(total, bucket_bytes), pieces(total, part_bytes)
     bucket = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(buckets)).cast("int")
-    dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *[F.struct(*carry).alias("carried")] * bool(carry))
+    dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     asked = dealt.groupBy("bucket").applyInArrow(_ask(u, parts), MESSAGE)
     answered = asked.groupBy("part").applyInArrow(_answer, MESSAGE)
     sent = dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(_send(u, parts), MESSAGE)
