@@ -94,6 +94,85 @@ def detached_repeats(found: DataFrame, frags: DataFrame, most: int) -> DataFrame
     return pairs.withColumn("l", l).withColumn("r", r).where("l = 1 and r = 1").select("repeat", "left", "ldir", "right", "rdir")
 
 
+def detach_repeats(found: DataFrame, frags: DataFrame, most: int) -> DataFrame:
+    """Links after repeats were detached: the links of each detached pair to the repeat are closed hard, the one across is opened."""
+    from strandlake.operators.graph import KEY, as_keys
+
+    pairs = checkpointed(detached_repeats(found, frags, most))
+    through = pairs.select(F.col("left").alias("src"), F.col("ldir").alias("sdir"), F.col("repeat").alias("dst"), F.lit(0).alias("ddir")).unionByName(pairs.select(F.col("repeat").alias("src"), F.lit(0).alias("sdir"), F.col("right").alias("dst"), F.col("rdir").alias("ddir")))
+    across = pairs.select(F.col("left").alias("src"), F.col("ldir").alias("sdir"), F.col("right").alias("dst"), F.col("rdir").alias("ddir"))
+    cut, opened = as_keys(through).distinct().withColumn("c", F.lit(True)), as_keys(across).distinct().withColumn("o", F.lit(True))
+    joined = found.join(cut, KEY, "left").join(opened, KEY, "left")
+    return joined.select(*[F.when(F.col("o"), 0).when(F.col("c"), 3).otherwise(F.col("closed")).alias("closed") if c == "closed" else c for c in found.columns])
+
+
+def clean_links(found: DataFrame, frags: DataFrame, p: GraphParams, fuzz: int = 39, short: int = 117, repeat: int = 390) -> DataFrame:
+    """The clean-up of links: double links, transitive ones, boomerangs of short fragments, weak branches, tips, bubbles, repeats. Lengths are in bins."""
+    from strandlake.operators.graph import KEY, bubble_nodes, tip_nodes, transitive, without_nodes
+
+    weak = found.select(*KEY, "weak")
+
+    def with_weak(edges: DataFrame) -> DataFrame:
+        return checkpointed(edges.join(weak, KEY))
+
+    e = with_weak(cut_binary_links(found))
+    e = with_weak(close(e, transitive(e, 0, fuzz), 3))
+    e = with_weak(close(e, boomerangs(e, frags, short), 3))
+    e = with_weak(close(e, weak_branches(e), 3))
+    nodes = frags.select(F.col("utg").alias("node"))
+    for find in (lambda e: tip_nodes(e, nodes, p.tip_step), lambda e: bubble_nodes(e, nodes, p.bub_step)):
+        e = with_weak(without_nodes(e, checkpointed(find(e))))
+    e = checkpointed(detach_repeats(e, frags, repeat))
+    return with_weak(without_nodes(e.drop("weak"), checkpointed(tip_nodes(e, nodes, p.tip_step))))
+
+
+def densified(ctgs: DataFrame, regions: DataFrame, least: int = 12) -> DataFrame:
+    """(ctg, edge, ord, node, dir): for contig edges of `least` bins or more the nodes that reads over the edge have between its ends, by the path with the most steps (of equals the most reads).
+
+    Steps are pairs of regions next to each other on a read that holds both ends in the contig's direction or against it.
+    """
+    w = Window.partitionBy("ctg").orderBy("step")
+    long = ctgs.select("ctg", F.col("step").alias("edge"), F.col("node").alias("n1"), F.col("dir").alias("d1"), F.lead("node").over(w).alias("n2"), F.lead("dir").over(w).alias("d2"), (F.lead("pos").over(w) - F.col("pos")).alias("span")).where(F.col("span") >= least)
+    live = regions.where("not closed").select("node", "rid", "dir", "beg", "end")
+    a, b = (live.select("rid", F.col("node").alias(f"n{k}"), F.col("dir").alias(f"r{k}"), F.col("beg").alias(f"b{k}")) for k in (1, 2))
+    on = long.join(a, "n1").join(b, ["n2", "rid"])
+    on = on.where(((F.col("r1") == F.col("d1")) & (F.col("r2") == F.col("d2")) & (F.col("b1") < F.col("b2"))) | ((F.col("r1") != F.col("d1")) & (F.col("r2") != F.col("d2")) & (F.col("b1") > F.col("b2"))))
+    between = on.join(live, "rid").where(F.col("beg").between(F.least("b1", "b2"), F.greatest("b1", "b2")))
+    back = F.col("b1") > F.col("b2")
+    order = Window.partitionBy("ctg", "edge", "rid").orderBy(F.when(back, -F.col("beg")).otherwise(F.col("beg")), "node")
+    state = F.col("node") * 2 + F.when(back, 1 - F.col("dir")).otherwise(F.col("dir"))
+    steps = between.select("ctg", "edge", "n1", "d1", "n2", "d2", "rid", state.alias("s"), F.lead(state).over(order).alias("t")).where("t is not null")
+    counted = steps.groupBy("ctg", "edge", "n1", "d1", "n2", "d2", "s", "t").agg(F.count("*").alias("cov"))
+
+    def longest(f):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
+        start, goal = int(f["n1"].iloc[0]) * 2 + int(f["d1"].iloc[0]), int(f["n2"].iloc[0]) * 2 + int(f["d2"].iloc[0])
+        after: dict[int, list[tuple[int, int]]] = {}
+        waits: dict[int, int] = {}
+        for s, t, c in zip(f["s"], f["t"], f["cov"], strict=True):
+            after.setdefault(s, []).append((t, c))
+            waits[t] = waits.get(t, 0) + 1
+        best: dict[int, tuple[int, int, int | None]] = {start: (0, 0, None)}
+        todo = [s for s in after if s not in waits]
+        while todo:  # topological order; nodes on a ring are never ready, and stay out
+            s = todo.pop()
+            for t, c in after.get(s, ()):
+                if s in best and (n := (best[s][0] + 1, best[s][1] + c, s)) > best.get(t, (0, 0, None))[:2] + (s,):
+                    best[t] = n
+                waits[t] -= 1
+                if not waits[t]:
+                    todo.append(t)
+        path, s = [], goal if goal in best else None
+        while s is not None:
+            path.append(s)
+            s = best[s][2]
+        path.reverse()
+        return pd.DataFrame({"ctg": f["ctg"].iloc[0], "edge": f["edge"].iloc[0], "ord": range(len(path)), "node": [s // 2 for s in path], "dir": [s % 2 for s in path]}, columns=["ctg", "edge", "ord", "node", "dir"])
+
+    return counted.groupBy("ctg", "edge").applyInPandas(longest, "ctg long, edge int, ord int, node long, dir int")
+
+
 def contigs(edges: DataFrame, nodes: DataFrame, p: GraphParams) -> DataFrame:
     """(ctg, step, node, dir, pos) of paths with enough nodes and length; ctg is the path's first state."""
     placed = checkpointed(offsets(unitigs(edges, nodes), edges, p.reg_len))

@@ -311,3 +311,32 @@ def map_reads(reads: DataFrame, p: MapParams) -> DataFrame:
     hits = seed_hits(posted, posted, lengths, p)
     found = align(cells(islands(hits, p), p), cut.select("ridx", "bincnt"), p)
     return best_n(best_per_pair(chained(found, p)), p.best_n)
+
+
+def map_pairs(reads: DataFrame, pairs: DataFrame, p: MapParams) -> DataFrame:
+    """Overlaps of the given pairs(qidx, tidx) only: the pair list meets the seeds before anything is aligned."""
+    from strandlake.operators.kmers import index
+    from strandlake.operators.reads import trimmed_to_bins
+
+    cut = trimmed_to_bins(reads, p.bin_size)
+    posted = index(reads, p)
+    lengths = cut.select("ridx", (F.col("bincnt") * p.bin_size).alias("len"))
+    wanted = pairs.select("qidx", "tidx").distinct()
+    # only seeds of reads that some pair has, each with the reads it is to meet
+    q = posted.join(wanted.select(F.col("qidx").alias("ridx")).distinct(), "ridx", "left_semi").select(posted.columns)
+    t = posted.join(wanted.select(F.col("tidx").alias("ridx")).distinct(), "ridx", "left_semi").select(posted.columns)
+    hits = seed_hits(q, t, lengths, p, self_join=False).join(wanted, ["qidx", "tidx"], "left_semi").where("qidx != tidx")
+    return align(cells(islands(hits, p), p), cut.select("ridx", "bincnt"), p)
+
+
+def realigned(overlaps: DataFrame, reads: DataFrame, p: MapParams) -> DataFrame:
+    """The pairs of overlaps aligned once more with query and target exchanged, and turned back; pairs that fail stay out."""
+    again = map_pairs(reads, overlaps.select(F.col("tidx").alias("qidx"), F.col("qidx").alias("tidx")), p)
+    return flipped(best_per_pair(again))
+
+
+def best_rows(rows: DataFrame, key: list[str], by: str) -> DataFrame:
+    """The row of each key with the largest `by`; of equals the one whose other columns are smallest."""
+    rest = [c for c in rows.columns if c not in (*key, by)]
+    k = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by), *rest))
+    return rows.withColumn("_k", k).where("_k = 1").drop("_k")

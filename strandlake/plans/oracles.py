@@ -76,7 +76,18 @@ def _nx(lengths: str, xs: str) -> str:
  nx AS (SELECT x, min(k) AS lx, max(len) AS nx FROM (SELECT unnest({xs}) AS x) JOIN down ON upto * 100 >= total * x GROUP BY x)"""
 
 
+_LINKS = _pairs(8) + f""", found AS (SELECT node1, dir1, node2, dir2, CAST(count(*) AS INT) AS cov, {_MEDIAN} AS off, count(*) < 3 AS weak FROM pairs GROUP BY ALL),
+ halves AS (SELECT node1 AS src, dir1 AS sdir, node2 AS dst, dir2 AS ddir, cov FROM found UNION ALL SELECT node2, 1 - dir2, node1, 1 - dir1, cov FROM found)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "weak_branches": _q(_LINKS + ", forks AS (SELECT src, sdir FROM halves GROUP BY ALL HAVING count(*) > 1)", "SELECT node1, dir1, node2, dir2 FROM found WHERE weak AND ((node1, dir1) IN (SELECT (src, sdir) FROM forks) OR (node2, 1 - dir2) IN (SELECT (src, sdir) FROM forks))"),
+    "binary_links": _q(_LINKS + """, ranked AS (SELECT *, count(*) OVER p AS n, max(cov) OVER p AS best FROM halves WINDOW p AS (PARTITION BY src, dst)),
+ lost AS (SELECT src, sdir, dst, ddir FROM (SELECT *, count(*) FILTER (cov = best) OVER (PARTITION BY src, dst) AS top FROM ranked) WHERE n > 1 AND (cov < best OR top > 1))""", "SELECT node1, dir1, node2, dir2, cov, off, CASE WHEN (node1, dir1, node2, dir2) IN (SELECT (src, sdir, dst, ddir) FROM lost) OR (node2, 1 - dir2, node1, 1 - dir1) IN (SELECT (src, sdir, dst, ddir) FROM lost) THEN 3 ELSE 0 END AS closed FROM found"),
+    "boomerangs": _q(_LINKS + """, d AS (SELECT src AS node, count(*) FILTER (sdir = 0) AS fwd, count(*) FILTER (sdir = 1) AS bwd FROM halves GROUP BY src),
+ short AS (SELECT p_partkey % 100 AS node FROM part GROUP BY 1 HAVING max(p_size) <= 40), b AS (SELECT node FROM d JOIN short USING (node) WHERE (fwd = 0 AND bwd > 1) OR (bwd = 0 AND fwd > 1))""", "SELECT node1, dir1, node2, dir2 FROM found WHERE node1 IN (SELECT node FROM b) OR node2 IN (SELECT node FROM b)"),
+    "node_depths": "SELECT l_partkey % 100 AS node, count(*) AS nreg, CAST(count(*) < 2 OR count(*) > 200 AS INT) AS closed FROM lineitem GROUP BY 1",
+    "median_depth": "WITH d AS (SELECT count(*) AS nreg FROM lineitem GROUP BY l_partkey % 100) SELECT min(nreg) AS median FROM (SELECT nreg, count(*) OVER (ORDER BY nreg) AS upto, count(*) OVER () AS total FROM d) WHERE upto * 2 >= total",
+    "best_order": "SELECT o_custkey, o_orderkey, price FROM (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice) DESC, o_orderkey) AS k FROM orders) WHERE k = 1",
     "shared_seed_pairs": _q(_CELLS, "SELECT qidx, tidx, strand, sum(kcnt) AS seeds, count(*) AS bins, sum(kmat) AS letters FROM cells GROUP BY ALL ORDER BY letters DESC, seeds DESC, qidx, tidx, strand LIMIT 20"),
     "seq_projection": _q(_SEQ, "SELECT ridx, CAST(length(seq) AS INT) AS len, seq FROM reads"),
     "reverse_reads": _q(_SEQ, "SELECT ridx, 'S' || lpad(CAST(ridx AS VARCHAR), 10, '0') AS tag, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM reads"),

@@ -153,6 +153,28 @@ def sam_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.mapped(sam).select("rid", "flag")
 
 
+def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of part classes on an order as links."""
+    return ctg.link_table(g.region_pairs(region_rows(spark, sf_dir), 8), 3)
+
+
+def fragment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 100).alias("utg")).agg(F.max("p_size").cast("int").alias("length"))
+
+
+def weak_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctg.weak_branches(link_rows(spark, sf_dir))
+
+
+def median_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = rg.mask_by_depth(region_rows(spark, sf_dir), SMALL_GRAPH)
+    return stats.weighted_median(n.groupBy("nreg").agg(F.count("*").alias("n")), "nreg", "n")
+
+
+def best_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ov.best_rows(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("price")), ["o_custkey"], "price")
+
+
 def overlap_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ov.map_reads(reads(spark, sf_dir), SMALL)
 
@@ -234,6 +256,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "n50": n50,
     "nx_table": nx_table,
     "sam_filter": sam_windows,
+    "weak_branches": weak_links,
+    "binary_links": lambda s, d: ctg.cut_binary_links(link_rows(s, d)),
+    "boomerangs": lambda s, d: ctg.boomerangs(link_rows(s, d), fragment_rows(s, d), 40),
+    "node_depths": lambda s, d: rg.mask_by_depth(region_rows(s, d), SMALL_GRAPH).withColumn("closed", F.col("closed").cast("int")),
+    "median_depth": median_depth,
+    "best_order": best_order,
     "unitigs": unitigs,
     "tip_and_bubble_nodes": tip_and_bubble_nodes,
     "overlap_dp": overlap_dp,

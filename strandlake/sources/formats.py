@@ -183,3 +183,17 @@ def load_index(spark: SparkSession, table: str, **params: object) -> DataFrame:
     if wrong:
         raise ValueError(f"the index has other parameters: {', '.join(wrong)}")
     return spark.table(table)
+
+
+def sequences_by_name(wanted: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(name, seq) of wanted(name) in seqs(tag, seq): `tag`, `tag[+:b,e]` or `tag[-:b,e]` for a slice, `tag_F_b_len` or `tag_R_b_len` for a region; - and R give the reverse complement. A name that is a whole tag is that."""
+    from strandlake.functions.sequence import reverse_complement
+
+    slice_, region = r"^(.*)\[([+-]):([0-9]+),([0-9]+)\]$", r"^(.*)_([FR])_([0-9]+)_([0-9]+)$"
+    g = lambda p, k: F.regexp_extract("name", p, k)
+    by_slice, by_region = F.col("name").rlike(slice_), F.col("name").rlike(region)
+    parsed = wanted.select("name").distinct().join(seqs.select(F.col("tag").alias("name"), F.lit(True).alias("whole")), "name", "left")
+    plain = F.coalesce("whole", F.lit(False)) | ~(by_slice | by_region)
+    parsed = parsed.select("name", F.when(plain, F.col("name")).when(by_slice, g(slice_, 1)).otherwise(g(region, 1)).alias("tag"), (~plain).alias("part"), F.when(by_slice, g(slice_, 2) == "-").otherwise(g(region, 2) == "R").alias("back"), F.when(by_slice, g(slice_, 3)).otherwise(g(region, 3)).try_cast("int").alias("b"), F.when(by_slice, g(slice_, 4).try_cast("int") - g(slice_, 3).try_cast("int")).otherwise(g(region, 4).try_cast("int")).alias("n"))
+    cut = F.when(F.col("part"), F.substr("seq", F.col("b") + 1, F.col("n"))).otherwise(F.col("seq"))
+    return parsed.join(seqs.select("tag", "seq"), "tag").select("name", F.when(F.col("part") & F.col("back"), reverse_complement(cut)).otherwise(cut).alias("seq"))

@@ -168,3 +168,44 @@ def test_assembly_of_a_simulated_genome(spark):
     mers = {x[i : i + 25] for x in (s, s[::-1].translate(FLIP)) for i in range(len(s) - 24)}
     own = [longest.seq[i : i + 25] for i in range(longest.len - 24)]
     assert sum(m in mers for m in own) > 0.9 * len(own)
+
+
+def test_given_pairs_and_realignment(spark):
+    s = genome(4000)
+    reads = spark.createDataFrame([(0, "a", s[:2560]), (1, "b", s[1280:3840]), (2, "c", s[640:3200][::-1].translate(FLIP))], "ridx long, tag string, seq string")
+    pairs = spark.createDataFrame([(1, 0), (0, 2)], "qidx long, tidx long")
+    found = g.checkpointed(ov.map_pairs(reads, pairs, P))
+    assert {(r.qidx, r.tidx) for r in found.collect()} == {(1, 0), (0, 2)}
+    again = {(r.qidx, r.tidx): r for r in ov.realigned(found, reads, P).collect()}
+    for r in found.collect():
+        a = again[r.qidx, r.tidx]
+        assert (a.qdir, a.qb, a.qe, a.tb, a.te) == (r.qdir, r.qb, r.qe, r.tb, r.te)
+
+
+def test_path_consensus_and_reference():
+    assert con.best_path(["ACCGT", "AC-GT", "AC-GT"]) in ("ACGT", "ACCGT")
+    assert con.best_path(["ACGT", "ACGT", "ATGT"]) == "ACGT"
+    assert con.anchored(["A-CG", "ATCG"]) == ["ACG", "ACG"]
+    s = genome(120, 3)
+    assert con.consensus([s, s, s], mode="path")[0] == s
+    assert con.consensus([s, s[:60] + "A" + s[60:], s], reference=True)[0] == s
+
+
+def test_detached_repeat(spark):
+    links = spark.createDataFrame([(1, 0, 5, 0, 4, 0, False, 0), (2, 0, 5, 0, 4, 0, False, 0), (3, 1, 5, 1, 4, 0, False, 0), (4, 1, 5, 1, 4, 0, False, 0), (1, 0, 3, 0, 2, 9, False, 2), (2, 0, 4, 0, 2, 9, False, 2)], "node1 long, dir1 int, node2 long, dir2 int, cov int, off int, weak boolean, closed int")
+    frags = spark.createDataFrame([(k, 10, 50) for k in range(1, 6)], "utg long, n int, length int")
+    out = {(r.node1, r.node2): r.closed for r in ctg.detach_repeats(links, frags, 100).collect()}
+    assert out == {(1, 5): 3, (2, 5): 3, (3, 5): 3, (4, 5): 3, (1, 3): 0, (2, 4): 0}
+
+
+def test_link_clean_up_runs(spark):
+    links = spark.createDataFrame([(k, 0, k + 1, 0, 4, 0, False, 0) for k in range(1, 6)] + [(1, 0, 3, 0, 1, 0, True, 0)], "node1 long, dir1 int, node2 long, dir2 int, cov int, off int, weak boolean, closed int")
+    frags = spark.createDataFrame([(k, 10, 50) for k in range(1, 7)], "utg long, n int, length int")
+    out = {(r.node1, r.node2): r.closed for r in ctg.clean_links(links, frags, GraphParams()).collect()}
+    assert out[1, 3] == 3 and all(out[k, k + 1] == 0 for k in range(1, 6))
+
+
+def test_long_edge_takes_the_nodes_of_its_reads(spark):
+    ctgs = spark.createDataFrame([(0, 0, 1, 0, 0), (0, 1, 2, 0, 20)], "ctg long, step int, node long, dir int, pos int")
+    regions = spark.createDataFrame([(1, 7, 0, 0, 4, False), (8, 7, 0, 6, 10, False), (9, 7, 0, 12, 16, False), (2, 7, 0, 20, 24, False), (1, 6, 1, 30, 34, False), (9, 6, 1, 18, 22, False), (2, 6, 1, 10, 14, False)], "node long, rid long, dir int, beg int, end int, closed boolean")
+    assert rows(ctg.densified(ctgs, regions).select("ord", "node", "dir"), "ord") == [(0, 1, 0), (1, 8, 0), (2, 9, 0), (3, 2, 0)]

@@ -84,3 +84,9 @@ def test_stream_against_index(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.tidx for r in spark.table("asked").collect()} == {0, 1}
+
+
+def test_sequences_by_name(spark):
+    seqs = spark.createDataFrame([("a_F_1_2", "ACGTT"), ("b", "AACCGGTT")], "tag string, seq string")
+    wanted = spark.createDataFrame([("a_F_1_2",), ("b[+:1,4]",), ("b[-:1,4]",), ("b_R_0_3",), ("none",)], "name string")
+    assert sorted(map(tuple, f.sequences_by_name(wanted, seqs).collect())) == [("a_F_1_2", "ACGTT"), ("b[+:1,4]", "ACC"), ("b[-:1,4]", "GGT"), ("b_R_0_3", "GTT")]
