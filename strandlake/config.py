@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import functions as F
-
 
 @dataclass(frozen=True)
 class MapParams:
@@ -80,7 +78,3 @@ def min_edge_cov(bases: int, genome: int) -> int:
 #: Fixture-sized parameters for texts of some hundred letters.
 SMALL = MapParams(bin_size=64, ksize=15, psize=0, kmax=100, ksample=4, min_aln=2, min_mat=30)
 SMALL_GRAPH = GraphParams(reg_len=4, min_node_cov=2, min_edge_cov=2, max_edge_span=64, ctg_min_length=2)
-
-
-def literal(value: float) -> F.Column:
-    return F.lit(value)
