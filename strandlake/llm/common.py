@@ -2,20 +2,88 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 #: Catalyst reports at least this much for plans whose size it doesn't know.
 UNKNOWN_BYTES = 1 << 50
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system: a worker outlives its task, and shares its executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, a function of batches or of groups, that gives memory back when it is done."""
+    if inspect.isgeneratorfunction(f):
+
+        def batches(it):  # type: ignore[no-untyped-def]
+            yield from f(it)
+            _trim()
+
+        return batches
+
+    def group(t: pa.Table) -> pa.Table:
+        out = f(t)
+        _trim()
+        return out
+
+    def groups(t: pa.Table, other: pa.Table) -> pa.Table:
+        out = f(t, other)
+        _trim()
+        return out
+
+    return group if len(inspect.signature(f).parameters) == 1 else groups
+
+
+#: Rows and bytes of the Arrow batches that go to Python workers: texts are long, and a worker holds several batches.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches small enough for texts; lower settings stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        try:
+            if now is None or int(now) <= 0 or int(now) > most:
+                spark.conf.set(key, str(most))
+        except ValueError:  # written with a unit: the user's own choice
+            pass
+
+
+class Memory:
+    """What a worker remembers of words, in two generations: when the young one is full it becomes the old one, and words still in use come back from there."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> set[str]:
+        """Those of the words that neither generation has; all others are in the young one then."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        new = words - self.young.keys()
+        back = new & self.old.keys()
+        self.young.update((w, self.old[w]) for w in back)
+        return new - back
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -72,8 +140,3 @@ def components(edges: DataFrame) -> DataFrame:
         if n == nodes and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the smallest `order` of each `key`."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")

@@ -64,7 +64,7 @@ def lempel_ziv_block(block: Block, u: Units) -> np.ndarray:
     return mask
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, keep: bool = True, **sizes: int) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, keep: str = "bytes", **sizes: int) -> DataFrame:
     """Removes each word covered by a window of words that also starts in a document with a smaller doc_id.
 
     docs: doc_id long, text; other columns are left out. Words are runs of anything but
@@ -78,5 +78,5 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: bool = True, **sizes: int
 
 
 def op2_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents"), keep=False)
+    out = dedup(table(spark, sf_dir, "documents"), keep="")
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256", "spans")

@@ -31,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
-from strandlake.llm.common import pieces, text_bytes
+from strandlake.llm.common import pieces, text_bytes, tidy
 
 #: Text of a bucket, and of all buckets for which one part answers.
-BUCKET_BYTES, PART_BYTES = 6 << 20, 24 << 20
+BUCKET_BYTES, PART_BYTES = 3 << 20, 24 << 20
 #: Window starts that are hashed at a time; longer documents go in several slices.
 SLICE = 1 << 17
 #: Stands for a null id, and sorts last as nulls do.
@@ -370,27 +371,27 @@ def removed(c: Corpus, r: Runs, u: Units, replies: list[dict], parts: int) -> np
     return np.cumsum(cover[:-1]) > 0
 
 
-def _finish(u: Units, parts: int, keep: bool, carried: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _finish(u: Units, parts: int, keep: str, carried: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_pylist([], schema=_result(keep))  # no rows: the type of what is carried doesn't matter
         table = table.combine_chunks().sort_by("doc_id")
         c = Corpus(table, u)
         gone = removed(c, runs_of(c, u), u, replies.to_pylist(), parts)
-        total = np.concatenate([[0], np.cumsum(gone)])
-        step = np.diff(gone.astype(np.int8), prepend=0)
-        inner = np.ones(c.n, bool)
-        inner[c.bounds[:-1][c.bounds[:-1] < c.n]] = False
-        begins = gone & ((step == 1) | ~inner)
-        spans = np.concatenate([[0], np.cumsum(begins)])
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        starts = c.bounds[:-1][c.bounds[:-1] < c.n]
+        begins[starts] = gone[starts]  # a removed run ends with its document
         at = np.flatnonzero(begins)
+        spans = np.searchsorted(at, c.bounds)
+        left = np.zeros(c.n + 1, np.int32)
+        np.cumsum(~gone, out=left[1:])
         stays = c.buf[~gone] if c.start is None else None
-        left = np.concatenate([[0], np.cumsum(~gone)])
         rows = []
-        ids = table["doc_id"].to_pylist()
+        ids, nulls = table["doc_id"].to_pylist(), table["text"].is_null().to_pylist()
         for i, (a, b) in enumerate(zip(c.bounds[:-1].tolist(), c.bounds[1:].tolist(), strict=True)):
-            n = int(total[b] - total[a])
-            begin = at[spans[a] : spans[b]].tolist()
+            n = b - a - int(left[b] - left[a])
+            begin = at[spans[i] : spans[i + 1]].tolist()
             if not n:
                 text = c.cut(a, b)
             elif stays is not None:
@@ -402,23 +403,26 @@ def _finish(u: Units, parts: int, keep: bool, carried: bool) -> Callable[[pa.Tab
                 e = int(np.searchsorted(left, left[k], side="right")) - 1
                 ends.append(min(e, b))
             row = {"doc_id": ids[i], "n_units": b - a, "n_removed": n, "spans": [{"start": k - a, "end": e - a} for k, e in zip(begin, ends, strict=True)], "kept_sha256": hashlib.sha256(text).hexdigest()}
-            rows.append(row | ({"kept": text} if keep else {}))
+            if keep:
+                row["kept"] = text if keep == "bytes" else None if nulls[i] else text.decode(errors="ignore")
+            rows.append(row)
         out = pa.Table.from_pylist(rows, schema=_result(keep))
         return out.append_column("carried", table["carried"]) if carried else out
 
     return finish
 
 
-def _result(keep: bool) -> pa.Schema:
+def _result(keep: str) -> pa.Schema:
     fields = [("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())]
-    return pa.schema(fields + [("kept", pa.binary())] * keep)
+    return pa.schema(fields + [("kept", pa.binary() if keep == "bytes" else pa.string())] * bool(keep))
 
 
-def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: bool = False, carry: list[str] | None = None, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: str = "", carry: list[str] | None = None, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Rows (doc_id, n_units, n_removed, spans, kept_sha256[, kept]) of docs(doc_id long, text string or binary).
 
-    spans are the maximal removed runs in units of the document; kept is what remains; with
-    carry the row's columns of these names come along in the struct `carried`.
+    spans are the maximal removed runs in units of the document; kept is what remains, as
+    "bytes", or as "text" without characters that lost some of their bytes; with carry the
+    row's columns of these names come along in the struct `carried`.
     doc_id decides which copy stays, so it should be unique; rows that share an id count as
     one document and come back as separate rows. A null id counts as the largest. Null text: empty.
     """
@@ -426,11 +430,11 @@ def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: bool
     buckets, parts = pieces(total, bucket_bytes), pieces(total, part_bytes)
     bucket = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(buckets)).cast("int")
     dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([F.struct(*carry).alias("carried")] if carry else []))
-    asked = dealt.groupBy("bucket").applyInArrow(_ask(u, parts), MESSAGE)
-    answered = asked.groupBy("part").applyInArrow(_answer, MESSAGE)
-    sent = dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(_send(u, parts), MESSAGE)
-    found = sent.groupBy("part").applyInArrow(_find(u, procedure), MESSAGE)
-    schema = "doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string" + ", kept binary" * keep
+    asked = dealt.groupBy("bucket").applyInArrow(tidy(_ask(u, parts)), MESSAGE)
+    answered = asked.groupBy("part").applyInArrow(tidy(_answer), MESSAGE)
+    sent = dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(tidy(_send(u, parts)), MESSAGE)
+    found = sent.groupBy("part").applyInArrow(tidy(_find(u, procedure)), MESSAGE)
+    schema = _parse_datatype_string("doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string" + (f", kept {'binary' if keep == 'bytes' else 'string'}" if keep else ""))
     if carry:
-        schema += f", carried {docs.select(F.struct(*carry).alias('c')).schema['c'].dataType.simpleString()}"
-    return dealt.groupBy("bucket").cogroup(answered.union(found).groupBy("bucket")).applyInArrow(_finish(u, parts, keep, bool(carry)), schema)
+        schema = schema.add("carried", docs.select(F.struct(*carry).alias("c")).schema["c"].dataType)
+    return dealt.groupBy("bucket").cogroup(answered.union(found).groupBy("bucket")).applyInArrow(tidy(_finish(u, parts, keep, bool(carry))), schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import checkpointed, components, pieces, table, text_bytes
+from strandlake.llm.common import bounded_batches, checkpointed, components, pieces, table, text_bytes, tidy
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: First bit and number of bits of each segment of the ring.
@@ -57,7 +57,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long: the unsigned fingerprint's bits) of docs(doc_id, text). Null and empty texts: 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_fingerprints), "doc_id long, fp long")
 
 
 def _segment(i: int) -> F.Column:
@@ -170,11 +170,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each; an empty table gives an empty one. Null doc_ids link nothing together: they
     come back with their component's smallest id, if it has one.
     """
+    bounded_batches(docs.sparkSession)
     parts = pieces(text_bytes(docs) // 8, 4 << 20)
     each = checkpointed(fingerprints(docs))
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     keyed = distinct.where("rep is not null").select("fp", "rep", F.explode(F.array(*_keys())).alias("key"))
-    links = keyed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_links, "u long, v long")
+    links = keyed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(tidy(_links), "u long, v long")
     roots = components(links)
     classes = distinct.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return each.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

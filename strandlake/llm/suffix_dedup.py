@@ -15,11 +15,10 @@ hold the same window, and the smallest owner among them is the document that kee
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import table
+from strandlake.llm.common import bounded_batches, table
 from strandlake.llm.repeats import Block, Units, cut_repeats
 
 WINDOW, GRAM = 50, 20
@@ -113,7 +112,7 @@ def suffix_array_block(block: Block, u: Units) -> np.ndarray:
     return mask
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, keep: bool = True, carry: list[str] | None = None, **sizes: int) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, keep: str = "bytes", carry: list[str] | None = None, **sizes: int) -> DataFrame:
     """Removes each byte covered by a window of bytes that also starts in a document with a smaller doc_id.
 
     docs: doc_id long, text; other columns are left out. Returns doc_id, n_units (bytes),
@@ -125,12 +124,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: bool = True, carry: list[
     return cut_repeats(docs, Units(False, window, gram), suffix_array_block, keep, carry, **sizes)
 
 
-def _readable(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: bytes(b).decode(errors="ignore"))
-
-
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents"), keep=False)
+    out = dedup(table(spark, sf_dir, "documents"), keep="")
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "spans")
 
 
@@ -140,8 +135,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     What is left of a character that lost some of its bytes goes too. Texts that are covered
     whole become empty and stay, as do null texts. All columns come back.
     """
+    bounded_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
-    readable = F.pandas_udf(_readable, "string")
-    out = dedup(docs, carry=[*others, "text"]).withColumn("left", F.when(F.col("carried.text").isNotNull(), F.when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col("carried.text"))))
-    count = {"n_chars": F.char_length("left").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.select(*[count.get(c, F.col("left") if c == "text" else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
+    out = dedup(docs, keep="text", carry=others)
+    count = {"n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.select(*[count.get(c, F.col("kept") if c == "text" else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
