@@ -18,17 +18,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import table
+from strandlake.llm.common import Memory, bounded_batches, chunks, table, tidy
 
 WINDOW, END = 1024, 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Words that a worker remembers, and text that it tokenizes at a time.
-REMEMBERED, CHUNK = 250_000, 1 << 20
+#: Words of a generation, of which a worker remembers two, and text that it tokenizes at a time.
+REMEMBERED, CHUNK = 100_000, 1 << 20
 
 
 class ByteBpe:
@@ -44,27 +43,24 @@ class ByteBpe:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.spaced, self.plain = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        new = [w for w in words - known.keys() if w and not w.isspace()]
-        known.update(zip(new, self.ask([before + w for w in new]), strict=True))
+    def learn(self, known: Memory, words: set[str], before: str) -> None:
+        new = [w for w in known.missing(words) if w and not w.isspace()]
+        known.young.update(zip(new, self.ask([before + w for w in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.plain) > REMEMBERED:
-            self.spaced.clear()
-            self.plain.clear()
         parts = [t.split(" ") for t in texts]
         self.learn(self.plain, {p[0] for p in parts}, "")
         self.learn(self.spaced, set().union(*(p[1:] for p in parts)), " ")
+        plain, spaced = self.plain.young, self.spaced.young
         out: list[bytes] = []
         for t, p in zip(texts, parts, strict=True):
             try:
-                out.append(self.plain[p[0]] + b"".join(map(self.spaced.__getitem__, p[1:])))
+                out.append(plain[p[0]] + b"".join(map(spaced.__getitem__, p[1:])))
             except KeyError:  # white space that may be joined, or none but that
                 out.append(self.ask([t])[0] if t else b"")
         return out
@@ -146,17 +142,6 @@ class SumOfSquares:
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """Rows of a batch, a bounded amount of text at a time."""
-    size = np.cumsum(np.nan_to_num(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)))
-    a = 0
-    while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CHUNK, side="right")))
-        part = batch.slice(a, b - a)
-        yield part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
-        a = b
-
-
 def _pack(window: int, path: str | None, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer, end = tokenizer(path), SumOfSquares(window), struct.pack("<I", END)
@@ -177,8 +162,9 @@ def _pack(window: int, path: str | None, keep: bool) -> Callable[[Iterator[pa.Re
             return out if keep else out.select(_PIECES.names[:-1])
 
         for batch in batches:
-            for docs, texts in _chunks(batch):
-                for doc, ids in zip(docs, encoder.encode(texts), strict=True):
+            for part in chunks(batch, "text", CHUNK):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, window):
@@ -201,8 +187,9 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, keep: b
     table gives no piece; other columns are left out. ids: little-endian unsigned 32-bit.
     sequence_id numbers the sequences within a task, the task's number in its upper bits.
     """
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(window, path, keep), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_pack(window, path, keep)), schema)
 
 
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
