@@ -15,20 +15,21 @@ unigram models the state also has the sum of log probabilities, and the largest
 
 from __future__ import annotations
 
+import os
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import table
+from strandlake.llm.common import Memory, bounded_batches, chunks, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words that a worker remembers, pairs of pieces it has judged, and bytes of text it encodes at a time.
-REMEMBERED, PAIRS, CHUNK = 300_000, 500_000, 1 << 20
+#: Words of a generation, of which a worker remembers two, pairs of pieces it has judged, and bytes of text it encodes at a time.
+REMEMBERED, PAIRS, CHUNK = 200_000, 400_000, 1 << 20
 
 
 class Pieces:
@@ -49,11 +50,18 @@ class Pieces:
                 self.text[k], self.id[piece] = piece, k
         self.unknown = library.unk_id()
         self.longest = max(map(len, self.id))
-        self.suffixes = {p[k:] for p in self.id for k in range(len(p))}
+        self.ending: dict = {}  # a trie of the pieces, read from their ends; the key "" marks a piece
+        for piece in self.id:
+            node = self.ending
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = piece
         self.byte_of = {k: b for b, k in self.byte.items()}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces go beyond a word")
-        self.words: dict[str, bytes] = {}
+        self.words = Memory(REMEMBERED)
+        self.whole: dict[str, bool] = {}
+        self.packed = {piece: struct.pack("<i", k) for piece, k in self.id.items()}
         self.stable: dict[tuple[str, str], bool] = {}
 
     def keeps_border(self, left: str, right: str) -> bool:
@@ -72,15 +80,6 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             border -= at < border
 
-    def goes_with(self, left: str, right: str) -> bool:
-        """Whether merging leaves the border between two pieces."""
-        key = (left, right)
-        if key not in self.stable:
-            if len(self.stable) > PAIRS:
-                self.stable.clear()
-            self.stable[key] = self.keeps_border(left, right)
-        return self.stable[key]
-
     def last_piece(self, word: str, end: int, states: list) -> tuple[int, float]:
         """Forward state of word[:end]: the length of the last piece, and the score, given those of shorter prefixes."""
         if self.unigram:
@@ -90,37 +89,52 @@ class Pieces:
                 if k is not None and (score := states[end - n][1] + self.score[k]) > best[1]:
                     best = (n, score)
             return best
-        fits = [1]
-        for n in range(2, end + 1):
-            piece = word[end - n : end]
-            if piece not in self.suffixes:
+        node, fits = self.ending, []
+        for n in range(1, end + 1):
+            node = node.get(word[end - n])
+            if node is None:
                 break
-            if piece in self.id:
-                fits.append(n)
-        for n in reversed(fits):
-            piece, before = word[end - n : end], states[end - n][0]
-            if (not before or self.goes_with(word[end - n - before : end - n], piece)) and (n == 1 or self.goes_with("", piece)):
+            if "" in node:
+                fits.append((n, node[""]))
+        if not fits or fits[0][0] > 1:
+            fits.insert(0, (1, word[end - 1]))
+        stable, whole = self.stable, self.whole
+        for n, piece in reversed(fits):
+            if n > 1:
+                good = whole.get(piece)
+                if good is None:
+                    good = whole[piece] = self.keeps_border("", piece)
+                if not good:
+                    continue
+            before = states[end - n][0]
+            if not before:
+                return n, 0.0
+            left = word[end - n - before : end - n]
+            good = stable.get((left, piece))
+            if good is None:
+                if len(stable) > PAIRS:
+                    stable.clear()
+                good = stable[left, piece] = self.keeps_border(left, piece)
+            if good:
                 return n, 0.0
         raise AssertionError("merging gives each prefix a last piece")
 
     def learn(self, words: set[str]) -> None:
         """Depth-first over the trie of the new words."""
-        before, states = "", [(0, 0.0)]
-        for word in sorted(words - self.words.keys()):
-            shared = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
+        before, states, packed = "", [(0, 0.0)], self.packed
+        for word in sorted(self.words.missing(words)):
+            shared = len(os.path.commonprefix([before, word]))
             del states[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 states.append(self.last_piece(word, end, states))
-            ids, end = [], len(word)
+            out, end = [], len(word)
             while end:
                 n = states[end][0]
-                ids[:0] = self.ids(word[end - n : end])
+                piece = word[end - n : end]
+                out.append(packed.get(piece) or struct.pack(f"<{len(k := self.ids(piece))}i", *k))
                 end -= n
-            self.words[word] = np.array(ids, np.int32).tobytes()
+            out.reverse()
+            self.words.young[word] = b"".join(out)
             before = word
 
     def ids(self, piece: str) -> list[int]:
@@ -130,11 +144,9 @@ class Pieces:
         return [self.byte[b] for b in piece.encode()] if self.byte else [self.unknown]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
         cut = [marked_words(t) for t in texts]
         self.learn(set().union(*cut))
-        return [b"".join(map(self.words.__getitem__, c)) for c in cut]
+        return [b"".join(map(self.words.young.__getitem__, c)) for c in cut]
 
     def decode(self, ids: list[int]) -> str:
         out, pending = [], bytearray()
@@ -183,16 +195,11 @@ def _encode(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            size = np.cumsum(np.nan_to_num(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)))
-            a = 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CHUNK, side="right")))
-                part = batch.slice(a, b - a)
+            for part in chunks(batch, "text", CHUNK):
                 got = m.encode([t or "" for t in part.column("text").to_pylist()])
                 values = pa.array(np.frombuffer(b"".join(got), np.int32))
                 ends = np.r_[0, np.cumsum([len(g) // 4 for g in got])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
-                a = b
 
     return encode
 
@@ -209,6 +216,7 @@ def _decode(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of docs(doc_id, text). Null and empty texts: no ids. Repeated rows come back once each; other columns are left out; an empty table gives an empty one."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(path), "doc_id long, ids array<int>")
 
 
