@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import chunks, table
+from strandlake.llm.common import bounded_batches, chunks, table, tidy
 from strandlake.llm.repeats import spans_hash
 
 #: Cells of the hashed table, and slices in which tasks send their counts.
@@ -32,7 +32,7 @@ CELLS, SLICES = 1 << 20, 64
 #: Bytes of the prefixes whose counts centre the priors of longer ones; the whole token comes last.
 PREFIXES = (4, 5, 6, 8)
 #: Weight of a prior, and what every token pays, so that clean text scores below zero.
-PRIOR, DRIFT = 6.0, 1.0
+PRIOR, DRIFT = 6.0, 2.0
 #: Classes of token scores and of evidence that go to the driver.
 BINS, SCORE_STEP, EVIDENCE_STEP = 512, 0.05, 0.5
 #: Broadcast labels up to this size; else join by a shuffle.
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if int(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES:
         known = F.broadcast(known)
     rows = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select(remainder.alias("part"), F.col("text").cast("binary").alias("text"), "toxic")
-    counted = rows.where("part < 2").select("text", "toxic").mapInArrow(_count, "slice int, data binary").groupBy("slice").applyInArrow(_sum, "slice int, data binary")
+    counted = rows.where("part < 2").select("text", "toxic").mapInArrow(tidy(_count), "slice int, data binary").groupBy("slice").applyInArrow(_sum, "slice int, data binary")
     toxic, every = np.zeros(CELLS, np.float32), np.zeros(CELLS, np.float32)
     width = CELLS // SLICES
     for k, d in counted.collect():  # the whole table, of fixed size
@@ -246,12 +246,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     m = Model(toxic, every, float(toxic.sum(dtype=float) / every.sum(dtype=float)))
     held = rows.where("part = 3").select("text", "toxic")
     clean = held.where("toxic = 0")
-    seen = clean.mapInArrow(_histogram(m), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    seen = clean.mapInArrow(tidy(_histogram(m)), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     value = np.array([(b - BINS // 2) * SCORE_STEP for b, _ in seen])
     m = Model(m.toxic, m.all, m.base, decay_of(value, np.array([n for _, n in seen], float)) if seen else 1.0)
-    best = clean.mapInArrow(_maxima(m), "total double, n long").agg(F.sum("total"), F.sum("n")).first()
+    best = clean.mapInArrow(tidy(_maxima(m)), "total double, n long").agg(F.sum("total"), F.sum("n")).first()
     m = Model(m.toxic, m.all, m.base, m.decay, float(best[0] / best[1] - np.euler_gamma) if best[1] else 0.0)
-    found = held.mapInArrow(_evidence(m), "label long, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
+    found = held.mapInArrow(tidy(_evidence(m)), "label long, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
     table_ = np.zeros((2, BINS))
     for label, b, n in found:
         table_[label, b] = n
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     back once each, with equal scores; other columns are left out. held_out is false for a
     null doc_id.
     """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_score(model), "doc_id long, score double, n_passages int, passages array<struct<start: long, end: long, excess: double>>")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_score(model)), "doc_id long, score double, n_passages int, passages array<struct<start: long, end: long, excess: double>>")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_passages", "passages")
 
@@ -296,8 +296,9 @@ def _clean(m: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns of them, without the rows that score() would predict as toxic. Null texts stay; without usable labels all do."""
+    bounded_batches(docs.sparkSession)
     m = fit(docs, labels)
-    return docs.mapInArrow(_clean(m), docs.schema) if m else docs
+    return docs.mapInArrow(tidy(_clean(m)), docs.schema) if m else docs
 
 
 def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
