@@ -10,15 +10,15 @@
    the article), or the pages have no other lines at all (a copy of the page).
 4. What is left of the article is the text, or of the lines around, if there's no article.
 
-Neighbours are sought among the pages of one host; in a host of more than LARGE pages among
-those of one folder whose last path segment starts with the same two characters. These are
-the keys by which pages are dealt out, so a host with a third of all pages spreads over many
-tasks, pairs don't depend on how keys meet in partitions, and a task holds three pages at a
-time. Lines travel once.
+Neighbours are sought among all pages of one host. Pages are dealt out by ranges of
+(host, path, page_id), so a host with a third of all pages spreads over many tasks, and the
+first and last page of each range travel to the range next to it as well: pairs don't depend
+on where ranges end. A task holds three pages at a time; all other lines travel once.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import os
 import re
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import bounded_batches, pieces, table, text_bytes
 
-#: Pages above which a host is divided, and most divided hosts that are broadcast.
-LARGE, BROADCAST_HOSTS = 1000, 100_000
+#: Bytes of pages in a range, and the fewest ranges.
+RANGE_BYTES, RANGES = 32 << 20, 16
+#: Pages drawn for each range, and at most, to choose where ranges end.
+DRAWN, MOST_DRAWN = 40, 1_000_000
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 #: Kinds of lines.
 ARTICLE, AROUND, NEVER = 0, 1, 2
@@ -203,7 +205,7 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 @dataclass
 class Page:
-    """key: pages of one key are compared; path: what nearness is judged by."""
+    """key: the host, whose pages are compared; path: what nearness is judged by; guest: only here to be compared with."""
 
     page_id: int | None
     url: str | None
@@ -211,6 +213,8 @@ class Page:
     path: str
     text: list[str]
     kind: list[int]
+    part: int = 0
+    guest: bool = False
 
 
 def main_text(page: Page, other: Page | None) -> tuple[str, int]:
@@ -227,29 +231,88 @@ def main_text(page: Page, other: Page | None) -> tuple[str, int]:
     return "\n".join(t for i, (t, k) in enumerate(zip(page.text, page.kind, strict=True)) if k == wanted and i not in gone), common
 
 
-def place(url: str | None, large: bool) -> tuple[str, str]:
-    """(key, path) of a URL: its host, if that is large with folder and first two characters of the last segment; and the whole path."""
+def place(url: str | None) -> tuple[str, str]:
+    """(host, path) of a URL."""
     m = re.match(HOST + "([^?#]*)", url or "")
-    host, path = (m[1].lower(), m[2] or "/") if m else ("", re.split("[?#]", url or "")[0])
-    folder, _, last = path.rpartition("/")
-    return f"{host} {folder}/{last[:2]}" if large else host, path
+    return (m[1].lower(), m[2] or "/") if m else ("", re.split("[?#]", url or "")[0])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: A page's place in the order of all pages: host, path, whether it has an id, and the id or 0. Sorts as Spark does, nulls first.
+Place = tuple[str, str, bool, int]
+_PLACE = "key string, path string, has_id boolean, id long"
+
+
+def _places(batch: pa.RecordBatch) -> list[Place]:
+    return [(*place(u), i is not None, i or 0) for u, i in zip(batch.column("url").to_pylist(), batch.column("page_id").to_pylist(), strict=True)]
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for a in range(0, b.num_rows, 256):
-            part = b.slice(a, 256)
-            urls = part.column("url").to_pylist()
-            found = [lines(h or "") for h in part.column("html").to_pylist()]
-            places = [place(u, x) for u, x in zip(urls, part.column("large").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([k for k, _ in places], pa.string()), pa.array([p for _, p in places], pa.string()), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[k for _, k in f] for f in found], pa.list_(pa.int8()))], names=["page_id", "url", "key", "path", "text", "kind"])
+        found = _places(b)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 4, (pa.string(), pa.string(), pa.bool_(), pa.int64()), strict=True)], names=["key", "path", "has_id", "id"])
+
+
+def _ends(bounds: list[Place]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first and the last place of each range among the pages of a task."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[int, Place] = {}
+        last: dict[int, Place] = {}
+        for b in batches:
+            for x in _places(b):
+                k = bisect.bisect_right(bounds, x)
+                first[k] = min(first.get(k, x), x)
+                last[k] = max(last.get(k, x), x)
+        rows = [(k, *x) for f in (first, last) for k, x in f.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64()), strict=True)], names=["part", "key", "path", "has_id", "id"])
+
+    return ends
+
+
+def _ranges(pages: DataFrame, parts: int) -> tuple[list[Place], dict[Place, list[int]]]:
+    """Where the ranges of pages(page_id, url) start, but for the first; and of each page at an end of its range, the range next to it.
+
+    The pages drawn decide only how even ranges are.
+    """
+    n = pages.count()
+    share = min(DRAWN * parts, MOST_DRAWN) / max(n, 1)
+    some = pages if share >= 1 else pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    drawn = sorted(tuple(r) for r in some.mapInArrow(_drawn, _PLACE).collect())
+    bounds = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if drawn else []
+    here = F.struct("key", "path", "has_id", "id")
+    ends = pages.mapInArrow(_ends(bounds), f"part int, {_PLACE}").groupBy("part").agg(F.min(here).alias("first"), F.max(here).alias("last"))
+    beside: dict[Place, list[int]] = {}
+    for r in ends.collect():
+        for at, to in ((r["first"], r["part"] - 1), (r["last"], r["part"] + 1)):
+            if 0 <= to <= len(bounds):
+                beside.setdefault(tuple(at), []).append(to)
+    return bounds, beside
+
+
+def _parse(bounds: list[Place], beside: dict[Place, list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pages as lines, each in its range, and once more, as a guest, in a range that it lies next to."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                part = b.slice(a, 256)
+                found = [lines(h or "") for h in part.column("html").to_pylist()]
+                places = _places(part)
+                to = [(k, bisect.bisect_right(bounds, x), False) for k, x in enumerate(places)]
+                to += [(k, r, True) for k, x in enumerate(places) for r in beside.get(x, ())]
+                rows = pa.array([k for k, _, _ in to], pa.int64())
+                once = pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([x[0] for x in places], pa.string()), pa.array([x[1] for x in places], pa.string()), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[k for _, k in f] for f in found], pa.list_(pa.int8()))], names=["page_id", "url", "key", "path", "text", "kind"])
+                columns = [once.column(c) if len(to) == once.num_rows else once.column(c).take(rows) for c in range(once.num_columns)]
+                yield pa.RecordBatch.from_arrays([pa.array([r for _, r, _ in to], pa.int32()), pa.array([g for _, _, g in to], pa.bool_()), *columns], names=["part", "guest", *once.schema.names])
+
+    return parse
 
 
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64())])
 
 
 def _nearest(before: Page | None, page: Page, after: Page | None) -> Page | None:
-    near = [p for p in (before, after) if p is not None and p.key == page.key]
+    near = [p for p in (before, after) if p is not None and (p.part, p.key) == (page.part, page.key)]
     return max(near, key=lambda p: len(os.path.commonprefix([p.path, page.path])), default=None)  # of equals the one before
 
 
@@ -259,12 +322,12 @@ def _compare() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
             for b in batches:
                 for a in range(0, b.num_rows, 256):
                     for r in b.slice(a, 256).to_pylist():
-                        yield Page(r["page_id"], r["url"], r["key"], r["path"], r["text"], r["kind"])
+                        yield Page(r["page_id"], r["url"], r["key"], r["path"], r["text"], r["kind"], r["part"], r["guest"])
             yield None
 
         rows, before, page = [], None, None
         for after in pages():
-            if page is not None:
+            if page is not None and not page.guest:
                 text, common = main_text(page, _nearest(before, page, after))
                 rows.append((page.page_id, page.url, text, len(page.text), common))
                 if len(rows) == 256:
@@ -288,14 +351,11 @@ def extract(pages: DataFrame) -> DataFrame:
     empty table gives an empty one; other columns are left out.
     """
     bounded_batches(pages.sparkSession)
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1))
-    large = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("host", F.lit(True).alias("is_large"))
-    if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        large = F.broadcast(large)
-    named = pages.select("page_id", "url", "html", host.alias("host")).join(large, "host", "left").withColumn("large", F.coalesce("is_large", F.lit(False)))
-    parsed = named.select("large", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_parse, "page_id long, url string, key string, path string, text array<string>, kind array<tinyint>")
-    parts = pieces(text_bytes(pages, "html"), 32 << 20, 16)
-    near = parsed.repartition(parts, "key").sortWithinPartitions("key", "path", "page_id", "url", "text")
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    parts = pieces(text_bytes(pages, "html"), RANGE_BYTES, RANGES)
+    bounds, beside = _ranges(named.select("page_id", "url"), parts)
+    parsed = named.mapInArrow(_parse(bounds, beside), "part int, guest boolean, page_id long, url string, key string, path string, text array<string>, kind array<tinyint>")
+    near = parsed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "key", "path", "page_id", "url", "text")
     found = near.mapInArrow(_compare(), "page_id long, url string, text string, n_lines long, n_shared long")
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
 

@@ -182,6 +182,19 @@ def test_boilerplate_of_pages_without_an_article(spark):
     assert html_text.extract(copies.limit(0)).count() == 0
 
 
+def test_neighbours_of_a_large_host(spark, monkeypatch):
+    page = "<div>Site name</div><div>{}</div><div>All rights</div>"
+    urls = [f"https://h/en/{k}/" for k in range(1100)] + [f"https://h/x/{k}/index.html" for k in range(100)] + [f"https://h{k % 7}/{k}" for k in range(50)] + ["https://h/one?p=%d" % k for k in range(50)]
+    rows = [(k, u, page.format(f"Text {k}")) for k, u in enumerate(urls)] + [(None, None, page.format("Text -1")), (None, "", page.format("Text -2"))]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string")
+    order = sorted((html_text.Page(i, u, *html_text.place(u), *map(list, zip(*html_text.lines(h), strict=True))) for i, u, h in rows), key=lambda p: (p.key, p.path, p.page_id is not None, p.page_id or 0, p.url is not None, p.url or "", p.text))
+    want = sorted((*html_text.main_text(p, html_text._nearest(b, p, a)), p.url or "") for b, p, a in zip([None, *order], order, [*order[1:], None]))
+    assert sum(w[1] == 2 for w in want) == len(rows)
+    for ranges in (1, 3, 400):
+        monkeypatch.setattr(html_text, "RANGES", ranges)
+        assert sorted((r.text, r.n_shared, r.url or "") for r in html_text.extract(given).collect()) == want
+
+
 @pytest.mark.parametrize("data", [b"", b"abc", bytes(range(256)) * 40, b"\xff" * 3000, "é€ text ".encode() * 3000])
 def test_media_round_trip(data):
     payload = media.padded(data)
