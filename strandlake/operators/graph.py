@@ -275,18 +275,17 @@ def rescue_high_cov(edges: DataFrame, low: int = 20) -> DataFrame:
     return j.select(*KEY, "cov", "off", F.when(F.col("o"), OPEN).when(F.col("c"), LESS).otherwise(F.col("closed")).alias("closed"))
 
 
-def clean(edges: DataFrame, nodes: DataFrame, p: GraphParams, rounds: int = 20) -> DataFrame:
+def clean(edges: DataFrame, nodes: DataFrame, p: GraphParams) -> DataFrame:
     """The clean-up of a node graph: binary edges, transitive reduction, tips, blunt tips and bubbles until nothing changes, coverage rescue, branching nodes."""
     e = checkpointed(cut_transitive(checkpointed(cut_binary(edges)), p.reg_len))
     live = nodes.where("not closed").select("node")
-    for _ in range(rounds):
+    changed = True
+    while changed:  # each round takes nodes out, so rounds end
         changed = False
         for find in (lambda e, n: tip_nodes(e, n, p.tip_step), lambda e, n: blunt_tips(e), lambda e, n: bubble_nodes(e, n, p.bub_step)):
             gone = checkpointed(find(e, live))
             if not gone.isEmpty():
                 e, live, changed = checkpointed(without_nodes(e, gone)), checkpointed(live.join(gone, "node", "left_anti")), True
-        if not changed:
-            break
     e = checkpointed(rescue_high_cov(e))
     return checkpointed(without_nodes(e, branching_nodes(e)))
 

@@ -110,13 +110,16 @@ def ranked(regions: DataFrame) -> DataFrame:
     return away.join(start, "away").select("anchor", "tile", "nreg", rank.alias("rank"))
 
 
-def select_nodes(regions: DataFrame, p: GraphParams, rounds: int = 200) -> DataFrame:
+def select_nodes(regions: DataFrame, p: GraphParams) -> DataFrame:
     """Nodes whose regions don't conflict with those of nodes chosen before: (node, rid, dir, beg, end, closed), node being the rank.
 
     The rule is sequential by rank: a region is closed if its read comes twice in the node, or
-    it overlaps an accepted region of its read by more than reg_ovl bins; a node is accepted if
-    enough regions stay open. It is run in rounds, each of which decides every node that has
-    no undecided node of smaller rank in conflict, which gives the sequential result.
+    it overlaps an open region of an accepted node by more than reg_ovl bins; a node is accepted
+    if enough regions stay open. It is run in rounds until nothing is undecided, which gives the
+    sequential result: a region is lost once it overlaps one that stays, and safe once all of
+    smaller rank that it overlaps are lost or their nodes rejected; a node is rejected once too
+    many regions are lost, and accepted once enough are safe. Of what is undecided the smallest
+    rank can always be decided, so rounds end.
     """
     from strandlake.operators.graph import checkpointed
 
@@ -129,19 +132,22 @@ def select_nodes(regions: DataFrame, p: GraphParams, rounds: int = 200) -> DataF
     ovl = F.least("e1", "e2") - F.greatest("b1", "b2")
     conflicts = checkpointed(a.join(b, "rid").where((F.col("n1") < F.col("n2")) & (ovl > p.reg_ovl)).select("n1", "n2", "rid").distinct())
     open_count = live.groupBy("node").agg(F.count("*").alias("open"))
-    nodes = checkpointed(r.select("node", "nreg").distinct().join(open_count, "node", "left").select("node", "nreg", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("state")))
-    for _ in range(rounds):
-        undecided = nodes.where("state = 0").select("node")
-        if undecided.isEmpty():
-            break
-        state = nodes.select(F.col("node").alias("n1"), F.col("state").alias("s1"))
-        c = conflicts.join(undecided.select(F.col("node").alias("n2")), "n2", "left_semi").join(state, "n1").where("s1 >= 0")
-        hit = c.groupBy("n2").agg(F.max(F.col("s1") == 0).alias("waits"), F.count_distinct(F.when(F.col("s1") == 1, F.col("rid"))).alias("lost"))
-        new = nodes.join(hit, nodes.node == hit.n2, "left").select("node", "nreg", "open", F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("waits", F.lit(False)), 0).when((F.col("open") - F.coalesce("lost", F.lit(0)) >= p.min_node_cov) & (F.col("open") - F.coalesce("lost", F.lit(0)) >= F.col("nreg") * (1 - p.node_drop)), 1).otherwise(-1).alias("state"))
-        nodes = checkpointed(new)
-    taken = nodes.where("state = 1").select("node")
-    lost = conflicts.join(taken.select(F.col("node").alias("n1")), "n1", "left_semi").select(F.col("n2").alias("node"), "rid").distinct().withColumn("lost", F.lit(True))
-    out = r.join(taken, "node", "left_semi").join(lost, ["node", "rid"], "left")
+    # fate of a region: 1 safe, -1 lost; state of its node: 1 accepted, -1 rejected
+    regs = checkpointed(live.select("node", "rid", "nreg").join(open_count, "node").select("node", "rid", "nreg", "open", F.lit(0).alias("fate"), F.lit(0).alias("state")))
+    each = Window.partitionBy("node")
+    while not (undecided := regs.where("fate = 0 and state >= 0").select(F.col("node").alias("n2"), "rid")).isEmpty():
+        before = regs.select(F.col("node").alias("n1"), "rid", F.col("fate").alias("f1"), F.col("state").alias("s1"))
+        c = conflicts.join(undecided, ["n2", "rid"], "left_semi").join(before, ["n1", "rid"])
+        hit = c.groupBy(F.col("n2").alias("node"), "rid").agg(F.max((F.col("f1") == 1) & (F.col("s1") == 1)).alias("met"), F.min((F.col("f1") == -1) | (F.col("s1") == -1)).alias("free"))
+        fate = F.when(F.col("fate") != 0, F.col("fate")).when(F.col("met"), -1).when(F.coalesce("free", F.lit(True)), 1).otherwise(0)
+        new = regs.join(hit, ["node", "rid"], "left").select("node", "rid", "nreg", "open", fate.alias("fate"), "state")
+        most, least = F.col("open") - F.sum((F.col("fate") == -1).cast("int")).over(each), F.sum((F.col("fate") == 1).cast("int")).over(each)
+        most_stands, least_stands = ((n >= p.min_node_cov) & (n >= F.col("nreg") * (1 - p.node_drop)) for n in (most, least))
+        state = F.when(F.col("state") != 0, F.col("state")).when(least_stands, 1).when(~most_stands, -1).otherwise(0)
+        regs = checkpointed(new.withColumn("state", state))
+    taken = regs.where("state = 1")
+    lost = taken.where("fate = -1").select("node", "rid", F.lit(True).alias("lost"))
+    out = r.join(taken.select("node").distinct(), "node", "left_semi").join(lost, ["node", "rid"], "left")
     return out.select("node", "rid", "dir", "beg", "end", (F.col("closed") | F.coalesce("lost", F.lit(False))).alias("closed"))
 
 

@@ -130,6 +130,45 @@ def test_node_selection_is_that_of_the_sequential_rule(spark):
     assert got == sorted(open_)
 
 
+def sequential(data, rank, p):
+    taken, want = {}, []
+    for node in sorted(rank, key=rank.get):
+        own = [x for x in data if x[0] == node]
+        free = [x for x in own if not any(min(e, x[5]) - max(b, x[4]) > p.reg_ovl for b, e in taken.get(x[2], []))]
+        if len(free) >= p.min_node_cov and len(free) >= len(own) * (1 - p.node_drop):
+            for x in free:
+                want.append((rank[node], x[2]))
+                taken.setdefault(x[2], []).append((x[4], x[5]))
+    return sorted(want)
+
+
+def test_node_selection_decides_every_node(spark):
+    r = random.Random(8)
+    # 205 rivals on the same reads, and a last node that meets all of them and stands by reads of its own
+    dense = [(node, 0, rid, 0, 0, 4, False) for node in range(205) for rid in range(10)]
+    dense += [(205, 0, rid, 0, 0, 4, False) for rid in (0, 1, *range(100, 108))]
+    # regions that only meet a region closed before stay open
+    mixed = [(node, 0, rid, 0, (b := r.randint(0, 40)), b + 4, False) for node in range(80) for rid in r.sample(range(10), r.randint(4, 8))]
+    p = GraphParams(min_node_cov=2, node_drop=0.5)
+    for data, least in ((dense, 18), (mixed, 20)):
+        regions = spark.createDataFrame(data, "anchor long, tile int, rid long, dir int, beg int, end int, closed boolean")
+        counted = g.checkpointed(regions.join(regions.groupBy("anchor", "tile").agg(F.count("*").alias("nreg")), ["anchor", "tile"]))
+        rank = {a: k for a, k in rg.ranked(counted).select("anchor", "rank").collect()}
+        want = sequential(data, rank, p)
+        assert len(want) >= least
+        assert rows(rg.select_nodes(counted, p).where("not closed").select("node", "rid"), "node", "rid") == want
+
+
+def test_clean_up_goes_on_until_nothing_changes(spark, monkeypatch):
+    found = iter(range(25))
+    monkeypatch.setattr(g, "tip_nodes", lambda e, n, k: spark.createDataFrame([(x,) for x in [next(found, None)] if x is not None], "node long"))
+    monkeypatch.setattr(g, "blunt_tips", lambda e: spark.createDataFrame([], "node long"))
+    monkeypatch.setattr(g, "bubble_nodes", lambda e, n, k: spark.createDataFrame([], "node long"))
+    line = spark.createDataFrame([(k, 0, k + 1, 0, 5, 0, 0) for k in range(28)], "node1 long, dir1 int, node2 long, dir2 int, cov int, off int, closed int")
+    nodes = spark.createDataFrame([(k, 5, False) for k in range(29)], "node long, nreg long, closed boolean")
+    assert rows(g.clean(line, nodes, GraphParams()).where("closed = 0").select("node1"), "node1") == [(25,), (26,), (27,)]
+
+
 def test_consensus_of_equal_and_noisy_reads():
     s = genome(300, 5)
     assert con.consensus([s, s, s])[0] == s
