@@ -185,6 +185,13 @@ def test_consensus_of_equal_and_noisy_reads():
     assert con.consensus([]) == ("", [])
 
 
+def test_consensus_takes_the_reads_that_share_most(spark):
+    s = genome(120, 5)
+    foreign = [genome(130, 100 + k) for k in range(25)]
+    stacked = spark.createDataFrame([(1, 0, 0, k + 1, x) for k, x in enumerate(foreign + [s] * 20)], "ctg long, edge int, off int, ord int, seq string")
+    assert [(r.seq, r.n_reads) for r in con.edge_consensus(stacked).collect()] == [(s, 20)]
+
+
 def test_stitching(spark):
     s = genome(600, 7)
     d = spark.createDataFrame([(1, 0, s[:300]), (1, 1, s[200:450]), (1, 2, s[380:])], "ctg long, edge int, seq string")
