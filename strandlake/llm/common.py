@@ -64,22 +64,41 @@ def bounded_batches(spark: SparkSession) -> None:
             pass
 
 
+#: What a remembered word takes beside its letters and its value, about, and the longest word that is remembered.
+OVERHEAD, LONGEST = 200, 64
+
+
 class Memory:
-    """What a worker remembers of words, in two generations: when the young one is full it becomes the old one, and words still in use come back from there."""
+    """What a worker remembers of words, in two generations of `room` bytes: a full young one becomes the old one, and words still in use come back from there. Long words aren't remembered."""
 
-    def __init__(self, most: int) -> None:
-        self.most = most
+    def __init__(self, room: int) -> None:
+        self.room, self.used = room, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def missing(self, words: set[str]) -> set[str]:
-        """Those of the words that neither generation has; all others are in the young one then."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        new = words - self.young.keys()
-        back = new & self.old.keys()
-        self.young.update((w, self.old[w]) for w in back)
-        return new - back
+    def put(self, word: str, value: bytes) -> None:
+        if len(word) > LONGEST:
+            return
+        self.young[word] = value
+        self.used += OVERHEAD + 4 * len(word) + len(value)
+        if self.used > self.room:
+            self.young, self.old, self.used = {}, self.young, 0
+
+    def known(self, words: list[str]) -> list[bytes | None]:
+        """The value of each word, None where it isn't remembered."""
+        found = list(map(self.young.get, words))
+        for k, v in enumerate(found):
+            if v is None and (v := self.old.get(words[k])) is not None:
+                found[k] = v
+                self.put(words[k], v)
+        return found
+
+
+def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of each pair, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,10 +135,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or local_folder(sc.master))
     return df.checkpoint(eager=True)
 
 
+def local_folder(master: str) -> str:
+    """A new folder of this machine, which serves where all executors run on it only."""
+    if not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u long, v long) as (node, root), root the smallest node; nodes without edges are absent.
 

@@ -5,9 +5,10 @@ into the partially filled window (or a new one) for which the sum over all fill
 the squared number of windows at that level gets smallest (Csirik et al., 2006). An array
 of counts by level tells that; a stack for each level holds the windows.
 
-Every task packs what it reads, so nothing is shuffled. At its end it cuts what stands in
-partially filled windows into full ones; the last rest, below one window, is cut into
-sequences whose lengths are powers of two, which need no padding.
+Every task packs what it reads, so nothing is shuffled. At its end, and whenever more than
+OPEN windows stand partially filled (as where nearly all remainders are longer than half a
+window), it cuts what stands in them into full ones; the last rest, below one window, is
+cut into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -19,86 +20,106 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Memory, bounded_batches, chunks, table, tidy
+from strandlake.llm.common import Memory, bounded_batches, chunks, gather, table, tidy
 
 WINDOW, END = 1024, 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Words of a generation, of which a worker remembers two, and text that it tokenizes at a time.
-REMEMBERED, CHUNK = 100_000, 1 << 20
-
-
-#: Fixed value: how byte-level files of the tokenizers library split text.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def byte_ranks(spec: dict) -> dict[bytes, int] | None:
-    """Tokens of a plain byte-level BPE file as bytes, with their ids, if merging by smallest id is what the file says; else None."""
-    model, split = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = model["type"] == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not model.get("ignore_merges")
-    if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
-        return None
-    # the format writes printable bytes as themselves, the others as characters from 256 on
-    printable = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 173]
-    letter = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
-    byte = {c: b for b, c in letter.items()}
-    vocabulary = model["vocab"]
-    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    tokens = {t: k for t, k in vocabulary.items() if t not in special}
-    if merged != sorted(merged) or len(merged) + 256 != len(tokens) or not all(c in byte for t in tokens for c in t) or not all(c in tokens for c in byte):
-        return None
-    return {bytes(byte[c] for c in t): k for t, k in tokens.items()}
+#: Bytes of a generation of words, of which a worker remembers two, words that the library takes at a time, and bytes of text that are tokenized at a time.
+REMEMBERED, AT_ONCE, CHUNK = 48 << 20, 2000, 2 << 20
+#: Windows that may stand partially filled in a task.
+OPEN = 4096
 
 
 class ByteBpe:
-    """Token ids of texts as little-endian 32-bit bytes, those of a byte-level BPE file of the tokenizers library.
+    """Token ids of texts, by a byte-level BPE file of the tokenizers library, which makes them all.
 
     Its pre-tokenizer never joins what stands before a space with the space, so ids of
-    " word" don't depend on its context, and each is encoded only once. Texts where white
-    space other than single spaces could be joined are encoded whole. The file's vocabulary
-    is run by tiktoken, which takes a third of the library's time a word and gives the same
-    ids where merges rank by id; files of another kind are run by the library itself.
+    " word" don't depend on its context: each word is asked for once, many in one call, and
+    remembered. Only where white space meets white space at a space may it be joined; such
+    texts are encoded whole, as are all texts if the file splits or normalizes otherwise.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
-            ranks = byte_ranks(json.load(f))
-        if ranks:
-            import tiktoken
-
-            self.run = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            library = Tokenizer.from_file(path)
-            library.encode_special_tokens = True
-            self.run = lambda text: library.encode(text, add_special_tokens=False).ids
-        self.spaced, self.plain = Memory(REMEMBERED), Memory(REMEMBERED)
-
-    def ask(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(self.run, texts)]
-
-    def learn(self, known: Memory, words: set[str], before: str) -> None:
-        new = [w for w in known.missing(words) if w and not w.isspace()]
-        known.young.update(zip(new, self.ask([before + w for w in new]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        self.learn(self.plain, {p[0] for p in parts}, "")
-        self.learn(self.spaced, set().union(*(p[1:] for p in parts)), " ")
-        plain, spaced = self.plain.young, self.spaced.young
-        out: list[bytes] = []
-        for t, p in zip(texts, parts, strict=True):
-            try:
-                out.append(plain[p[0]] + b"".join(map(spaced.__getitem__, p[1:])))
-            except KeyError:  # white space that may be joined, or none but that
-                out.append(self.ask([t])[0] if t else b"")
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        self.by_words = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        known = self.library.get_vocab(with_added_tokens=True)
+        self.starts_word = np.zeros(max(known.values(), default=0) + 1, bool)
+        for token, k in known.items():
+            self.starts_word[k] = token.startswith("\u0120")  # fixed value: how these files write a space
+        self.words = Memory(REMEMBERED)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of " word" for each word."""
+        joined = [k for k, w in enumerate(words) if w and w.strip() == w]
+        out: list[bytes] = [b""] * len(words)
+        for a in range(0, len(joined), AT_ONCE):
+            some = joined[a : a + AT_ONCE]
+            ids = np.frombuffer(self.whole(["".join([" " + words[k] for k in some])])[0], np.uint32)
+            ends = np.flatnonzero(self.starts_word[ids]).tolist()
+            if len(ends) != len(some):
+                raise ValueError("a token starts with a space, and stands within a word")
+            for k, i, j in zip(some, ends, [*ends[1:], len(ids)], strict=True):
+                out[k] = ids[i:j].tobytes()
+        rest = [k for k, w in enumerate(words) if w and w.strip() != w]
+        for k, ids in zip(rest, self.whole([" " + words[k] for k in rest]), strict=True):
+            out[k] = ids
         return out
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null: none."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            return self.whole(texts.to_pylist())
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        at, first = coded.indices.to_numpy(), np.zeros(len(coded) + 1, bool)
+        starts = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        first[starts[:-1]] = True
+        # white space meets at a space
+        before, after, empty = np.zeros((3, len(words)), bool)
+        for k, w in enumerate(words):
+            if not w or w.strip() != w:
+                before[k], after[k], empty[k] = not w or w[-1].isspace(), not w or w[0].isspace(), not w
+        meets = np.zeros(len(at) + 1, bool)
+        meets[1:-1] = before[at[:-1]] & after[at[1:]] & ~first[1:-1]
+        meets[:-1] |= empty[at] & ~first[:-1]
+        odd = np.flatnonzero(np.add.reduceat(meets, starts[:-1]) > 0) if len(starts) > 1 else np.zeros(0, int)
+        # the table: words after a space, words at the start of a text, whole texts
+        ids = self.words.known(words)
+        new = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(new, self.spaced([words[k] for k in new]), strict=True):
+            ids[k] = x
+            self.words.put(words[k], x)
+        opening, where = np.unique(at[starts[:-1]], return_inverse=True)
+        at = at.astype(np.int64)
+        at[starts[:-1]] = len(ids) + where
+        ids += self.whole([words[k] for k in opening.tolist()])
+        at[starts[odd]] = len(ids) + np.arange(len(odd))
+        ids += self.whole(texts.take(pa.array(odd)).to_pylist())
+        skipped = np.zeros(len(at), bool)
+        for k in odd.tolist():
+            skipped[starts[k] + 1 : starts[k + 1]] = True
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        lengths = np.where(skipped, 0, size[at])
+        all_ids = gather(np.frombuffer(b"".join(ids), np.uint32), (np.cumsum(size) - size)[at], lengths)
+        ends = np.r_[0, np.cumsum(lengths)][starts].tolist()
+        return [all_ids[i:j].tobytes() for i, j in zip(ends, ends[1:])]
+
 
 _TOKENIZERS: dict[str, ByteBpe] = {}
 
@@ -125,6 +146,7 @@ class SumOfSquares:
         self.window = window
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list[list[Piece]]] = [[] for _ in range(window + 1)]
+        self.standing = 0
 
     def level(self, size: int) -> int:
         """The level of the window to take, 0 for a new one: the least change of the sum of squares; of equals the fullest."""
@@ -136,22 +158,32 @@ class SumOfSquares:
         return len(change) - 1 - int(change[::-1].argmin())
 
     def add(self, piece: Piece) -> list[Piece] | None:
+        """The window that gets full, if one does."""
         size = piece[2]
         if size == self.window:
             return [piece]
         level = self.level(size)
         pieces = self.open[level].pop() if level else []
         self.count[level] -= bool(level)
+        self.standing -= bool(level)
         pieces.append(piece)
         if level + size == self.window:
             return pieces
-        self.open[level + size].append(pieces)
-        self.count[level + size] += 1
+        self.put(level + size, pieces)
         return None
 
-    def close(self) -> Iterator[list[Piece]]:
-        rest, size = [], 0
-        for pieces in (p for level in reversed(self.open) for p in level):
+    def put(self, level: int, pieces: list[Piece]) -> None:
+        self.open[level].append(pieces)
+        self.count[level] += 1
+        self.standing += 1
+
+    def drain(self) -> Iterator[list[Piece]]:
+        """Full windows cut from all that stand partially filled, the fullest first; the rest stands as one."""
+        rest: list[Piece] = []
+        size = 0
+        standing, self.open = self.open, [[] for _ in self.open]
+        self.count[:], self.standing = 0, 0
+        for pieces in (p for level in reversed(standing) for p in level):
             for doc, start, length, ids, total in pieces:
                 while size + length >= self.window:
                     n = self.window - size
@@ -160,6 +192,14 @@ class SumOfSquares:
                 if length:
                     rest.append((doc, start, length, ids, total))
                     size += length
+        if size:
+            self.put(size, rest)
+
+    def close(self) -> Iterator[list[Piece]]:
+        """Full windows, and the last rest in sequences whose lengths are powers of two."""
+        yield from self.drain()
+        rest = [p for level in self.open for pieces in level for p in pieces]
+        size = sum(p[2] for p in rest)
         while size:
             n, taken = 1 << size.bit_length() - 1, []
             size -= n
@@ -197,14 +237,18 @@ def _pack(window: int, path: str | None, keep: bool) -> Callable[[Iterator[pa.Re
 
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, window):
-                        part = ids[4 * start : 4 * (start + window)]
-                        if done := packer.add((doc, start, len(part) // 4, part, total)):
+                        piece = ids[4 * start : 4 * (start + window)]
+                        if done := packer.add((doc, start, len(piece) // 4, piece, total)):
                             closed(done)
+                        if packer.standing > OPEN:
+                            for done in packer.drain():
+                                closed(done)
+                        if len(rows) >= AT_ONCE:
+                            yield flush()
                 yield flush()
         for pieces in packer.close():
             closed(pieces)

@@ -6,40 +6,91 @@ vocabulary goes beyond one. The distinct words of a chunk of text are sorted, wh
 depth-first order of their trie: each word shares its leading characters with the word
 before, and the forward states of that prefix stay on the stack and are used again.
 
-The forward state of a prefix is the last piece of its best segmentation. The model file
-holds merges by rank (byte-pair kind), so the best segmentation of a prefix is the one that
-merging gives: of the pieces that end there it is the only one whose pair with the last
-piece of the rest is stable, that is, merging both pieces' text gives the two back. For
-unigram models the state also has the sum of log probabilities, and the largest wins.
+The forward state of a prefix is the last piece of its best segmentation. What "best" means
+is said by the model file's type:
+* unigram: the state also has the sum of the pieces' log probabilities, and the largest wins;
+  of equal sums that with the longest last piece (the library's choice among these depends on
+  how its single-precision sums were rounded over the text before).
+* byte-pair (the public file): its scores are ranks of merges, whose sum means nothing, so no
+  score is carried. In its place the recurrence asks which last piece is *stable*: merging the
+  text of the prefix's last piece and of the last piece before it gives these two back. This
+  is exact, as merging works pair by pair: a segmentation is the one merging makes if and
+  only if each piece and each pair of neighbours is what merging makes of its own text, and
+  the merge result is unique, so exactly one piece that ends at a place passes.
 """
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 import os
 import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Memory, bounded_batches, chunks, table
+from strandlake.llm.common import Memory, bounded_batches, chunks, gather, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words of a generation, of which a worker remembers two, pairs of pieces it has judged, and bytes of text it encodes at a time.
-REMEMBERED, PAIRS, CHUNK = 200_000, 400_000, 1 << 20
+#: Bytes of a generation of words, of which a worker remembers two, pairs of pieces it has judged, and bytes of text it encodes at a time.
+REMEMBERED, PAIRS, CHUNK = 64 << 20, 400_000, 1 << 20
+#: Fixed values of the model format: places of the trainer's part and of its model type, the type's names, what an unknown character costs below the worst piece.
+TRAINER, MODEL_TYPE, TYPES, UNKNOWN_COST = 2, 3, {1: "unigram", 2: "bpe"}, 10.0
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbered fields of a protocol-buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = message[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(message):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+            continue
+        size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield tag >> 3, message[at : at + size]
+        at += size
+
+
+def model_type(file: bytes) -> str:
+    """"unigram" (also if the file doesn't say) or "bpe"; other kinds are refused."""
+    trainer = b"".join(v for k, v in _fields(file) if k == TRAINER and isinstance(v, bytes))
+    kind = ([1] + [v for k, v in _fields(trainer) if k == MODEL_TYPE])[-1]
+    if kind not in TYPES:
+        raise ValueError("only unigram and byte-pair models are supported")
+    return TYPES[kind]
+
+
+codecs.register_error("replace_each_byte", lambda e: ("\ufffd", e.start + 1))  # as the library does
 
 
 class Pieces:
     """The vocabulary of a model file, and the forward pass over it."""
 
-    def __init__(self, path: str, unigram: bool = False):
+    def __init__(self, path: str):
         import sentencepiece
 
-        library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.unigram = unigram
+        with open(path, "rb") as f:
+            file = f.read()
+        library = sentencepiece.SentencePieceProcessor(model_proto=file)
+        self.unigram = model_type(file) == "unigram"
         self.text, self.byte, self.score, self.id = {}, {}, {}, {}
         for k in range(library.get_piece_size()):
             piece = library.id_to_piece(k)
@@ -63,6 +114,19 @@ class Pieces:
         self.whole: dict[str, bool] = {}
         self.packed = {piece: struct.pack("<i", k) for piece, k in self.id.items()}
         self.stable: dict[tuple[str, str], bool] = {}
+        self.worst = min((self.score[k] for k in self.id.values()), default=0.0) - UNKNOWN_COST
+        # bytes of each id: of its piece, marks being spaces; of a byte piece the byte itself
+        written = [b""] * library.get_piece_size()
+        for k, piece in self.text.items():
+            written[k] = piece.replace(MARK, " ").encode()
+        for k, b in self.byte_of.items():
+            written[k] = bytes([b])
+        if 0 <= self.unknown < len(written):
+            written[self.unknown] = " ⁇ ".encode()
+        self.size = np.array([len(w) for w in written], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.written = np.frombuffer(b"".join(written), np.uint8)
+        self.opens = np.array([self.text.get(k, "").startswith(MARK) for k in range(len(written))], bool)
 
     def keeps_border(self, left: str, right: str) -> bool:
         """Whether the merge rule (the pair of neighbours with the best score becomes one, the leftmost of equals) makes left and right of their characters, and never joins the two."""
@@ -80,14 +144,15 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             border -= at < border
 
-    def last_piece(self, word: str, end: int, states: list) -> tuple[int, float]:
-        """Forward state of word[:end]: the length of the last piece, and the score, given those of shorter prefixes."""
+    def last_piece(self, word: str, end: int, last: list[int], score: list[float]) -> int:
+        """Forward state of word[:end], given those of shorter prefixes: the length of the last piece; the score is appended, for unigram models."""
         if self.unigram:
-            best = (1, states[end - 1][1] - 1e3)  # a character outside the vocabulary
+            best, value = 1, score[end - 1] + self.worst  # a character outside the vocabulary
             for n in range(1, min(self.longest, end) + 1):
                 k = self.id.get(word[end - n : end])
-                if k is not None and (score := states[end - n][1] + self.score[k]) > best[1]:
-                    best = (n, score)
+                if k is not None and (n == 1 or score[end - n] + self.score[k] >= value):
+                    best, value = n, score[end - n] + self.score[k]
+            score.append(value)
             return best
         node, fits = self.ending, []
         for n in range(1, end + 1):
@@ -106,9 +171,9 @@ class Pieces:
                     good = whole[piece] = self.keeps_border("", piece)
                 if not good:
                     continue
-            before = states[end - n][0]
+            before = last[end - n]
             if not before:
-                return n, 0.0
+                return n
             left = word[end - n - before : end - n]
             good = stable.get((left, piece))
             if good is None:
@@ -116,26 +181,27 @@ class Pieces:
                     stable.clear()
                 good = stable[left, piece] = self.keeps_border(left, piece)
             if good:
-                return n, 0.0
+                return n
         raise AssertionError("merging gives each prefix a last piece")
 
-    def learn(self, words: set[str]) -> None:
-        """Depth-first over the trie of the new words."""
-        before, states, packed = "", [(0, 0.0)], self.packed
-        for word in sorted(self.words.missing(words)):
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of the words, depth-first over their trie."""
+        found: dict[str, bytes] = {}
+        before, last, score, packed = "", [0], [0.0], self.packed
+        for word in sorted(words):
             shared = len(os.path.commonprefix([before, word]))
-            del states[shared + 1 :]
+            del last[shared + 1 :], score[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                states.append(self.last_piece(word, end, states))
+                last.append(self.last_piece(word, end, last, score))
             out, end = [], len(word)
             while end:
-                n = states[end][0]
-                piece = word[end - n : end]
+                piece = word[end - last[end] : end]
                 out.append(packed.get(piece) or struct.pack(f"<{len(k := self.ids(piece))}i", *k))
-                end -= n
+                end -= last[end]
             out.reverse()
-            self.words.young[word] = b"".join(out)
+            found[word] = b"".join(out)
             before = word
+        return found
 
     def ids(self, piece: str) -> list[int]:
         """Id of a piece; of a character outside the vocabulary its bytes, or the unknown id."""
@@ -145,22 +211,52 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [marked_words(t) for t in texts]
-        self.learn(set().union(*cut))
-        return [b"".join(map(self.words.young.__getitem__, c)) for c in cut]
-
-    def decode(self, ids: list[int]) -> str:
+        words = list(set().union(*cut))
+        ids = dict(zip(words, self.words.known(words), strict=True))
+        new = self.learn([w for w, x in ids.items() if x is None])
+        for w, x in new.items():
+            self.words.put(w, x)
+        ids |= new
+        out = [b"".join(map(ids.__getitem__, c)) for c in cut]
+        return [self.fused(x) for x in out] if self.unigram and not self.byte else out
+
+    def fused(self, ids: bytes) -> bytes:
+        """Unigram models give a run of unknown characters one id."""
+        k = np.frombuffer(ids, np.int32)
+        unknown = k == self.unknown
+        return k[~(unknown & np.r_[False, unknown[:-1]])].tobytes() if unknown.any() else ids
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of ids[ends[0]:ends[1]], ids[ends[1]:ends[2]] and so on. Ids that the vocabulary hasn't got give nothing."""
+        ids = ids[ends[0] : ends[-1]].astype(np.int64)
+        ends = ends - ends[0]
+        known = (ids >= 0) & (ids < len(self.size))
+        ids = np.where(known, ids, 0)
+        size = np.where(known, self.size[ids], 0)
+        at = np.r_[0, np.cumsum(size)][ends].tolist()
+        written = gather(self.written, self.start[ids], size).tobytes()
+        out, silent = [], np.r_[0, np.cumsum(size == 0)][ends].tolist()
+        for i, j, a, b, s, t in zip(ends.tolist(), ends[1:].tolist(), at, at[1:], silent, silent[1:]):
+            kept = ids[i:j][known[i:j]]
+            try:
+                text = written[a:b].decode() if s == t else self.mended(kept.tolist())
+            except UnicodeDecodeError:  # byte pieces that are no text: each run by itself
+                text = self.mended(kept.tolist())
+            shown = kept[self.size[kept] > 0]
+            out.append(text[1:] if len(shown) and self.opens[shown[0]] else text)
+        return out
+
+    def mended(self, ids: list[int]) -> str:
         out, pending = [], bytearray()
-        for k in ids:
+        for k in [*ids, -1]:
             if k in self.byte_of:
                 pending.append(self.byte_of[k])
                 continue
-            if pending:
-                out.append(pending.decode(errors="replace"))
-                pending.clear()
-            out.append(self.text.get(k, " ⁇ " if k == self.unknown else ""))
-        if pending:
-            out.append(pending.decode(errors="replace"))
-        return "".join(out).removeprefix(MARK).replace(MARK, " ")
+            out.append(pending.decode(errors="replace_each_byte"))
+            pending.clear()
+            if k >= 0:
+                out.append(self.written[self.start[k] : self.start[k] + self.size[k]].tobytes().decode())
+        return "".join(out)
 
 
 def marked_words(text: str) -> list[str]:
@@ -204,12 +300,19 @@ def _encode(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return encode
 
 
-def _decode(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _decode(path: str | None, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            texts = [None if i is None else m.decode(i) for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            ids = batch.column("ids")
+            texts = m.decode(pc.fill_null(ids.values, -1).to_numpy(zero_copy_only=False), ids.offsets.to_numpy())
+            null = ids.is_null().to_pylist()
+            column = pa.array([None if n else t for t, n in zip(texts, null, strict=True)], pa.string())
+            if digest:
+                column = pa.array([None if n else hashlib.sha256(t.encode()).hexdigest() for t, n in zip(texts, null, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, column], names=["doc_id", "ids", "decoded_sha256"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], names=["doc_id", "text"])
 
     return decode
 
@@ -221,9 +324,15 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) of encoded(doc_id, ids). Null ids: null; unknown ids: nothing."""
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode(path), "doc_id long, text string")
+    """(doc_id, text) of encoded(doc_id, ids). Null ids: null; ids outside the vocabulary, null ones among them, and control ids: nothing. Repeated rows come back once each; other columns are left out; an empty table gives an empty one."""
+    bounded_batches(encoded.sparkSession)
+    return _coded(encoded).mapInArrow(_decode(path, False), "doc_id long, text string")
+
+
+def _coded(encoded: DataFrame) -> DataFrame:
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
 
 
 def op8_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    """(doc_id, ids, decoded_sha256): every document encoded, and its ids decoded again; the digest is that of the decoded text in UTF-8."""
+    return _coded(encode(table(spark, sf_dir, "documents"))).mapInArrow(_decode(None, True), "doc_id long, ids array<int>, decoded_sha256 string")

@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -129,9 +130,47 @@ def test_tokenizer_on_white_space():
     tk.encode_special_tokens = True
     e = packing.tokenizer(None)
     r = random.Random(3)
-    texts = ["".join(r.choice(["a", "Bc", "'s", "12", "!?", " ", " ", "  ", "\n", "\t", " ", "é", "日", "<|endoftext|>"]) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    texts = ["".join(r.choice(["a", "Bc", "'s", "12", "!?", " ", " ", "  ", "\n", "\t", "\x1c", "\u2009", "é", "日", "<|endoftext|>"]) for _ in range(r.randint(0, 12))) for _ in range(5000)]
     want = [struct.pack(f"<{len(x)}I", *x) for x in (tk.encode(t, add_special_tokens=False).ids for t in texts)]
-    assert e.encode(texts) == want
+    assert e.encode(pa.array([*texts, None])) == [*want, b""]
+    assert e.encode(pa.array([], pa.string())) == []
+    assert e.encode(pa.array(["x", *texts])[1:]) == want  # a slice, whose offsets start elsewhere
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "日" * 700_000, "a" + " b" * 700_000])
+def test_tokenizer_on_very_long_runs(text):
+    e = packing.tokenizer(None)
+    assert e.encode(pa.array([text, "x y"])) == e.whole([text, "x y"])
+    assert e.words.used <= e.words.room
+
+
+def test_open_windows_are_bounded():
+    r = random.Random(4)
+    p, seen = packing.SumOfSquares(64), []
+    for doc in range(3000):  # remainders over half a window never meet another
+        n = r.randint(40, 63)
+        done = [p.add((doc, 0, n, b"....".replace(b".", bytes([doc % 251])) * n, n))]
+        if p.standing > 50:
+            done += p.drain()
+        seen += [x for x in done if x]
+        assert p.standing == sum(map(len, p.open)) == p.count.sum() <= 51
+    seen += p.close()
+    held = {}
+    for pieces_ in seen:
+        for doc, start, n, ids, total in pieces_:
+            assert len(ids) == 4 * n and set(ids) == {doc % 251}
+            held.setdefault(doc, []).append((start, n, total))
+    for at in held.values():
+        at.sort()
+        assert [s for s, _, _ in at] == [0, *np.cumsum([n for _, n, _ in at])[:-1]] and sum(n for _, n, _ in at) == at[0][2]
+    assert len(held) == 3000 and sum(sum(p[2] for p in x) != 64 for x in seen) <= 7
+
+
+def test_packing_of_repeated_rows_and_an_empty_table(spark):
+    docs = spark.createDataFrame([(1, "a b", "x")] * 3 + [(None, None, "y")], "doc_id long, text string, ids string")
+    rows = packing.pack(docs).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in rows if r.start == 0) == [(0, 1)] + [(1, 3)] * 3
+    assert packing.pack(docs.limit(0)).count() == 0
 
 
 def test_pieces_are_the_librarys_and_decode_again(odd_docs, odd_texts):
@@ -144,6 +183,71 @@ def test_pieces_are_the_librarys_and_decode_again(odd_docs, odd_texts):
     assert [np.frombuffer(b, np.int32).tolist() for b in pieces.model().encode(texts)] == [library.encode(t) for t in texts]
 
 
+def unigram_model(path, pieces_):
+    """A model file: identity normalization, unknown id 0, the given pieces with their log probabilities."""
+
+    def field(k, value):
+        if isinstance(value, int):
+            return bytes([k << 3, value])
+        if isinstance(value, float):
+            return bytes([k << 3 | 5]) + struct.pack("<f", value)
+        assert len(value) < 128
+        return bytes([k << 3 | 2, len(value)]) + value
+
+    body = field(1, field(1, b"<unk>") + field(2, 0.0) + field(3, 2))
+    body += b"".join(field(1, field(1, p.encode()) + field(2, s)) for p, s in pieces_)
+    body += field(2, field(3, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    path.write_bytes(body)
+    return str(path)
+
+
+def test_unigram_models_are_the_librarys(tmp_path, spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice(["a", "b", "ab", "c", "z", "zz", " ", "  ", "abc"]) for _ in range(r.randint(0, 12))) for _ in range(600)]
+    for n in range(4):
+        made = sorted({"".join(r.choice("▁abc") if not k else r.choice("abc") for k in range(r.randint(1, 4))) for _ in range(25)} | {"▁", "a", "b"})
+        path = unigram_model(tmp_path / f"{n}.model", [(p, -r.random() * 9 - 0.5) for p in made])
+        library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+        assert own.unigram
+        same = 0
+        for b, t in zip(own.encode(texts), texts):
+            got, want = np.frombuffer(b, np.int32).tolist(), library.encode(t)
+            same += got == want
+            assert sorted(got) == sorted(want)  # the order of pieces may differ where sums are equal
+        assert same >= 0.98 * len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts[:20])), "doc_id long, text string")
+    assert {x.doc_id: sorted(x.ids) for x in pieces.encode(docs, path).collect()} == {k: sorted(library.encode(t)) for k, t in enumerate(texts[:20])}
+    assert not pieces.model().unigram
+
+
+def test_decoding_of_odd_ids(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    r, m = random.Random(8), pieces.model()
+    lists = [[r.choice([0, 1, 2, 3, 100, 140, 200, 230, 29871, r.randrange(32000)]) for _ in range(r.randint(0, 9))] for _ in range(500)]
+    ends = np.r_[0, np.cumsum([len(x) for x in lists])]
+    assert m.decode(np.array([k for x in lists for k in x]), ends) == [library.decode(x) for x in lists]
+    rows = [(1, [450, None, 99999, -5]), (1, [450, None, 99999, -5]), (None, None), (2, [])]
+    got = pieces.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>").selectExpr("*", "1 as text")).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in got if x.text is not None) == [(1, library.decode([450]))] * 2 + [(2, "")]
+    assert [x.text for x in got if x.doc_id is None] == [None]
+
+
+def test_pieces_query(spark):
+    docs = {x.doc_id: x.text or "" for x in table(spark, SF, "documents").collect()}
+    got = pieces.op8_shared_prefix_viterbi(spark, SF).collect()
+    assert {x.doc_id: x.decoded_sha256 for x in got} == {i: hashlib.sha256(t.replace("▁", " ").encode()).hexdigest() for i, t in docs.items()}
+    assert pieces.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_remembered_are_bounded_by_bytes():
+    m = pieces.model()
+    r = random.Random(2)
+    line = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(2000))
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    assert [np.frombuffer(b, np.int32).tolist() for b in m.encode([line])] == [library.encode(line)]
+    assert "▁" + line not in m.words.young and m.words.used <= m.words.room
+
+
 def lcs(a, b):
     t = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
