@@ -7,9 +7,11 @@ reverse query count on its forward strand.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,155 +79,159 @@ def shared_bins(hits: DataFrame, p: MapParams, top: int) -> DataFrame:
     return pairs.orderBy(F.desc("letters"), F.desc("seeds"), "qidx", "tidx", "strand").limit(top)
 
 
-class Banded:
-    """Best paths through the cells of one run, row by row of target bins.
+def candidate_cells(run: np.ndarray, row: np.ndarray, col: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells that a path can be alive in, and where the seeded ones are among them: (run, row, col, seeded).
 
-    A cell with shared seeds scores its letters and count, one without pgap. A step along
-    one axis costs pvar and moves the path's drift by one, or gains it back where it
-    reduces the drift. A path lives while its score is positive, and its gap (cells in a
-    row without seeds) and drift stay within bounds; paths are known by their first cell.
+    A path ends after more than `reach` cells in a row without seeds, so it never gets farther
+    than that from a seeded cell, along either axis; nor need it go beyond its run's last seed.
     """
-
-    def __init__(self, p: MapParams):
-        self.p = p
-
-    def paths(self, grid: dict[int, dict[int, tuple[int, int]]], columns: int) -> list[tuple]:
-        """The best path from each first cell as (beg, end); grid: of each row the cells' (kcnt, kmat) by column."""
-        p = self.p
-        nothing = (None, 0, 0, 0, 0)  # first cell, letters, drift, gap, score
-        best: dict[tuple, tuple] = {}
-        self.moves: dict[tuple[int, int], int] = {}
-        above: dict[int, tuple] = {}
-        for y in range(min(grid), max(grid) + 1):
-            row = grid.get(y, {})
-            todo = sorted({*above, *row})
-            here: dict[int, tuple] = {}
-            left, at, x = nothing, 0, -2
-            while True:
-                if x + 1 < columns and self.goes_on:
-                    x += 1
-                else:
-                    while at < len(todo) and todo[at] <= x:
-                        at += 1
-                    if at == len(todo):
-                        break
-                    if todo[at] != x + 1:
-                        left = nothing
-                    x = todo[at]
-                cell = row.get(x)
-                gain, letters = (cell[0] + cell[1], cell[1]) if cell else (p.pgap, 0)
-                f, m, v, g, s = left
-                side = (f, m + letters, v + 1, g, s + gain + (-p.pvar if v < 0 else p.pvar))
-                f, m, v, g, s = above.get(x - 1, nothing)
-                chosen, move = side, 1
-                if s + gain >= side[4]:
-                    chosen, move = (f, m + letters, 0, g, s + gain), 0
-                f, m, v, g, s = up = above.get(x, nothing)
-                down = s + gain + (-p.pvar if v > 0 else p.pvar)
-                if down > chosen[4]:
-                    chosen, move = (f, m + letters, v - 1, g, down), 2
-                f, m, v, g, s = chosen
-                g = 0 if cell else g + 1
-                f = f or (x, y)
-                self.moves[x, y] = move
-                if s > 0 and g <= p.max_bgap and abs(v) <= p.max_bvar:
-                    left = here[x] = (f, m, v, g, s)
-                    if cell and m >= p.min_mat and (f not in best or best[f][1] < s):
-                        best[f] = ((x, y), s)
-                    self.goes_on = True
-                else:
-                    left = nothing
-                    self.goes_on = up[4] > 0
-            self.goes_on = False
-            above = here
-        return [(beg, end) for beg, (end, _) in best.items()]
-
-    goes_on = False
-
-    def overlap(self, grid: dict, beg: tuple[int, int], end: tuple[int, int]) -> tuple | None:
-        """(qb, qe, tb, te, mat, aln, cnt, gap, cigar) of a path, ends exclusive, if it is good enough."""
-        p = self.p
-        x, y = end
-        aln = min(x - beg[0], y - beg[1]) + 1
-        if aln < p.min_aln:
-            return None
-        ops: list[str] = []
-        held, mat, cnt, gap = 0, 0, 0, 0
-        while x >= beg[0] and y >= beg[1]:
-            move = self.moves.get((x, y), 0)
-            cell = grid.get(y, {}).get(x)
-            if cell:
-                cnt, mat = cnt + cell[0], mat + cell[1]
-                if not held:  # a step along one axis waits: with one along the other it makes a match
-                    if move == 0:
-                        ops.append("M")
-                    held = move
-                elif move == 0:
-                    ops += ["MID"[held], "M"]
-                    held = 0
-                elif move == held:
-                    ops.append("MID"[held])
-                else:
-                    ops.append("M")
-                    held = 0
-            else:
-                gap += 1
-                if held:
-                    ops.append("MID"[held])
-                held = 0
-                ops.append("mid"[move])
-            x, y = x - (move != 2), y - (move != 1)
-        if held:
-            ops.append("MID"[held])
-        span = abs((end[0] - beg[0]) - (end[1] - beg[1]))
-        if mat < p.min_mat or mat < int(aln * p.bin_size * p.min_sim) or gap > int(aln * p.max_gap) or span > int(max(p.aln_var * aln, 1.0)):
-            return None
-        cigar, n = "", 0
-        for k, op in enumerate(reversed(ops)):
-            n += 1
-            if k == len(ops) - 1 or ops[-2 - k] != op:
-                cigar += (str(n) if n > 1 else "") + op
-                n = 0
-        return beg[0], end[0] + 1, beg[1], end[1] + 1, mat, aln, cnt, gap, cigar or "*"
+    runs = int(run.max()) + 1
+    last_row, last_col = np.full(runs, -1), np.full(runs, -1)
+    np.maximum.at(last_row, run, row)
+    np.maximum.at(last_col, run, col)
+    wide, high = int(last_col.max()) + 2, int(last_row.max()) + 2
+    seeds = (run * high + row) * wide + col
+    near = []
+    for down in range(reach + 1):
+        for right in range(reach + 1):
+            inside = (row + down <= last_row[run]) & (col + right <= last_col[run])
+            near.append((seeds + down * wide + right)[inside])
+    every = np.unique(np.concatenate(near))
+    return every // (high * wide), every // wide % high, every % wide, np.searchsorted(every, seeds)
+
+
+def bin_paths(run: np.ndarray, row: np.ndarray, col: np.ndarray, kcnt: np.ndarray, kmat: np.ndarray, p: MapParams) -> list[tuple]:
+    """Best path of each first cell, of many runs at once: (run, qb, qe, tb, te, mat, aln, cnt, gap, cigar), ends exclusive.
+
+    A seeded cell (given: run numbered from 0, target bin, query bin, seeds, letters) gains its
+    seeds and letters, any other pgap. With S the score so far and d the drift,
+
+        diagonal    S(row-1, col-1) + gain          d = 0
+        along query S(row, col-1) + gain + pvar     d + 1   (- pvar instead where d < 0)
+        along target S(row-1, col) + gain + pvar    d - 1   (- pvar instead where d > 0)
+
+    and the largest counts, of equals the first named. A path goes on while its score is
+    positive, its drift within max_bvar and its cells in a row without seeds within max_bgap;
+    where none goes on, one may begin, with score, drift and gap 0. It is known by its first
+    cell, and of all paths of one first cell the best end in a seeded cell, with min_mat
+    letters at least, is taken. Cells of one antidiagonal, of all runs, are one step.
+    """
+    if not len(run):
+        return []
+    of, y, x, seeded = candidate_cells(run, row, col, p.max_bgap)
+    n = len(of)
+    count, letters = np.zeros((2, n + 1), np.int64)
+    count[seeded], letters[seeded] = kcnt, kmat
+    has = np.zeros(n + 1, bool)
+    has[seeded] = True
+    gain = np.where(has, count + letters, p.pgap)
+    wide, high = int(x.max()) + 2, int(y.max()) + 2
+    code = (of * high + y) * wide + x
+    # a cell's neighbours; n stands for none
+    before = np.full((3, n), n)
+    for k, (up, left) in enumerate(((1, 1), (0, 1), (1, 0))):
+        wanted = code - up * wide - left
+        at = np.minimum(np.searchsorted(code, wanted), n - 1)
+        found = (code[at] == wanted) & (y >= up) & (x >= left)
+        before[k, found] = at[found]
+    score, drift, gap, mat = np.zeros((4, n + 1), np.int64)
+    first = np.full(n + 1, n)
+    came = np.full(n, n)  # the cell before, on the best path
+    move = np.zeros(n, np.int8)
+    step = x + y
+    order = np.argsort(step, kind="stable")
+    for cells_ in np.split(order, np.flatnonzero(np.diff(step[order])) + 1):
+        prior = before[:, cells_]
+        bend = np.zeros_like(prior)
+        bend[1] = np.where(drift[prior[1]] < 0, -p.pvar, p.pvar)
+        bend[2] = np.where(drift[prior[2]] > 0, -p.pvar, p.pvar)
+        way = np.argmax(score[prior] + bend, axis=0)  # the first of equals
+        here = np.arange(len(cells_))
+        chosen = prior[way, here]
+        total = score[chosen] + bend[way, here] + gain[cells_]
+        turn = np.where(way == 0, 0, drift[chosen] + np.where(way == 1, 1, -1))
+        idle = np.where(has[cells_], 0, gap[chosen] + 1)
+        alive = (total > 0) & (idle <= p.max_bgap) & (np.abs(turn) <= p.max_bvar)
+        kept, chosen = cells_[alive], chosen[alive]
+        score[kept], drift[kept], gap[kept] = total[alive], turn[alive], idle[alive]
+        mat[kept] = mat[chosen] + letters[kept]
+        first[kept] = np.where(chosen == n, kept, first[chosen])
+        first[kept[first[kept] == n]] = kept[first[kept] == n]
+        came[kept], move[kept] = np.where(first[kept] == kept, n, chosen), way[alive]
+    ends = np.flatnonzero(has[:n] & (score[:n] > 0) & (mat[:n] >= p.min_mat))
+    ends = ends[np.lexsort((ends, -score[ends], first[ends]))]
+    ends = ends[np.r_[True, first[ends[1:]] != first[ends[:-1]]]] if len(ends) else ends
+    # back along all paths together, a letter a cell: of the step, capital where it has seeds
+    written = [[] for _ in ends]
+    met = np.zeros((2, len(ends)), np.int64)
+    at = ends.copy()
+    while len(going := np.flatnonzero(at < n)):
+        cells_ = at[going]
+        met[0, going] += count[cells_]
+        met[1, going] += ~has[cells_]
+        for k, letter in zip(going.tolist(), np.where(has[cells_], move[cells_], move[cells_] + 3).tolist()):
+            written[k].append("MIDmid"[letter])
+        at[going] = came[cells_]
+    out = []
+    for k, end in enumerate(ends.tolist()):
+        beg = int(first[end])
+        aln = int(min(x[end] - x[beg], y[end] - y[beg])) + 1
+        out.append((int(of[end]), int(x[beg]), int(x[end]) + 1, int(y[beg]), int(y[end]) + 1, int(mat[end]), aln, int(met[0, k]), int(met[1, k]), path_cigar("".join(written[k]))))
+    return out
+
+
+def path_cigar(backwards: str) -> str:
+    """Cigar of a path's letters from its end: neighbouring steps along both axes are one match, and equal letters are counted."""
+    forwards = re.sub("ID|DI", "M", backwards)[::-1]
+    return re.sub(r"(.)\1+", lambda m: f"{len(m[0])}{m[1]}", forwards)
+
+
+#: Cells of runs that are aligned together.
+TOGETHER = 200_000
+_COLUMNS = pa.schema([("qidx", pa.int64()), ("qdir", pa.int32()), ("qlen", pa.int32()), ("qb", pa.int32()), ("qe", pa.int32()), ("tidx", pa.int64()), ("tlen", pa.int32()), ("tb", pa.int32()), ("te", pa.int32()), ("mat", pa.int32()), ("aln", pa.int32()), ("cnt", pa.int32()), ("gap", pa.int32()), ("cigar", pa.string())])
 
 
 def align(run_cells: DataFrame, bincnts: DataFrame, p: MapParams) -> DataFrame:
-    """Overlaps from the cells of runs, which are aligned each by itself. bincnts(ridx, bincnt).
+    """Overlaps of runs, by the best paths through their cells(qidx, tidx, strand, run, qbin, tbin, kcnt, kmat); bincnts(ridx, bincnt).
 
-    Cells are grouped by run in sorted partitions and stream through, so a task holds one
-    run at a time however many rows it reads.
+    Cells come sorted by run, and stream through in Arrow batches; a task holds the runs of a
+    few batches at a time, and never parts one. Only acceptable overlaps are returned.
     """
     sized = run_cells.join(bincnts.select(F.col("ridx").alias("qidx"), F.col("bincnt").alias("qlen")), "qidx").join(bincnts.select(F.col("ridx").alias("tidx"), F.col("bincnt").alias("tlen")), "tidx")
     key = ["qidx", "tidx", "strand", "run"]
-    ordered = sized.select(*key, "qlen", "tlen", "tbin", "qbin", "kcnt", "kmat").repartition(*key).sortWithinPartitions(*key, "tbin", "qbin")
-
-    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        banded, rows, current, grid, lens = Banded(p), [], None, {}, (0, 0)
-
-        def end_run() -> None:
-            if current is None:
-                return
-            q, t, strand, _ = current
-            for beg, end in banded.paths(grid, lens[0]):
-                hit = banded.overlap(grid, beg, end)
-                if hit:
-                    qb, qe, *rest = hit
-                    if strand:
-                        qb, qe = lens[0] - qe, lens[0] - qb
-                    rows.append((q, strand, lens[0], qb, qe, t, lens[1], *rest))
-
-        for frame in frames:
-            for q, t, strand, run, qlen, tlen, tbin, qbin, kcnt, kmat in frame.itertuples(index=False):
-                if (q, t, strand, run) != current:
-                    end_run()
-                    current, grid, lens = (q, t, strand, run), {}, (qlen, tlen)
-                grid.setdefault(tbin, {})[qbin] = (kcnt, kmat)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OVERLAP.split(", ")])
-            rows = []
-        end_run()
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OVERLAP.split(", ")])
-
-    return ordered.mapInPandas(runs, OVERLAP)
+    ordered = sized.select(*key, F.col("qlen").cast("int").alias("qlen"), F.col("tlen").cast("int").alias("tlen"), "tbin", "qbin", "kcnt", "kmat").repartition(*key).sortWithinPartitions(*key, "tbin", "qbin")
+
+    def overlaps(rows: pa.Table) -> pa.RecordBatch:
+        cols = {c: rows.column(c).to_numpy() for c in rows.column_names}
+        new = np.r_[True, np.any([np.diff(cols[c]) != 0 for c in key], axis=0)]
+        run, head = np.cumsum(new) - 1, np.flatnonzero(new)
+        found = bin_paths(run, cols["tbin"].astype(np.int64), cols["qbin"].astype(np.int64), cols["kcnt"], cols["kmat"], p)
+        at = head[np.array([f[0] for f in found], np.int64)]
+        strand, qlen = cols["strand"][at], cols["qlen"][at]
+        qb, qe, tb, te, mat, aln, cnt, gap = (np.array([f[k] for f in found], np.int64) for k in range(1, 9))
+        back = strand == 1
+        values = (cols["qidx"][at], strand, qlen, np.where(back, qlen - qe, qb), np.where(back, qlen - qb, qe), cols["tidx"][at], cols["tlen"][at], tb, te, mat, aln, cnt, gap, [f[9] for f in found])
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _COLUMNS, strict=True)], schema=_COLUMNS)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size < TOGETHER:
+                continue
+            rows = pa.Table.from_batches(held)
+            other = np.any([rows.column(c).to_numpy() != rows.column(c)[-1].as_py() for c in key], axis=0)
+            whole = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # the last run may go on
+            if whole:
+                yield overlaps(rows.slice(0, whole))
+            held = rows.slice(whole).combine_chunks().to_batches()
+            size = sum(x.num_rows for x in held)
+        if size:
+            yield overlaps(pa.Table.from_batches(held))
+
+    return acceptable(ordered.mapInArrow(runs, OVERLAP), p)
 
 
 def acceptable(overlaps: DataFrame, p: MapParams) -> DataFrame:

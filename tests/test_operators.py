@@ -1,7 +1,9 @@
 """Operators without a SQL form: small cases with known results, and properties."""
 
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.config import GraphParams, MapParams
@@ -58,16 +60,65 @@ def test_overlaps_of_shifted_reads(spark):
     assert (r.qdir, r.qb, r.qe, r.tb, r.te) == (1, 10, 40, 10, 40)
 
 
-def test_banded_path_bridges_a_gap_and_drifts():
-    cells = {y: {y: (3, 30)} for y in range(10) if y not in (4, 5)}
-    b = ov.Banded(MapParams(bin_size=64, min_aln=2, min_mat=30))
-    (path,) = b.paths(cells, 12)
-    assert path == ((0, 0), (9, 9))
-    assert b.overlap(cells, *path)[-1] == "4M2m4M"
-    b = ov.Banded(MapParams(bin_size=64, min_aln=2, min_mat=30))
-    shifted = {y: {y + (y > 4): (3, 30)} for y in range(10)}
-    (path,) = b.paths(shifted, 12)
-    assert path == ((0, 0), (10, 9))
+def paths_of(cells, p):
+    """bin_paths of one run given as {(row, col): (kcnt, kmat)}."""
+    at = np.array(sorted(cells))
+    return ov.bin_paths(np.zeros(len(at), int), at[:, 0], at[:, 1], np.array([cells[r, c][0] for r, c in at.tolist()]), np.array([cells[r, c][1] for r, c in at.tolist()]), p)
+
+
+def test_bin_path_bridges_a_gap_and_drifts():
+    p = MapParams(bin_size=64, min_aln=2, min_mat=30)
+    (path,) = paths_of({(y, y): (3, 30) for y in range(10) if y not in (4, 5)}, p)
+    assert path == (0, 0, 10, 0, 10, 240, 10, 24, 2, "4M2m4M")
+    (path,) = paths_of({(y, y + (y > 4)): (3, 30) for y in range(10)}, p)
+    assert path[1:5] == (0, 11, 0, 10)
+
+
+def test_cigars_of_bin_paths():
+    # written from the end: opposite neighbours are one match, each step in one pair only
+    assert [ov.path_cigar(x) for x in ("MMM", "IDM", "IIDM", "IDIM", "DImIMM", "iIDdM")] == ["3M", "2M", "2MI", "MIM", "2MImM", "MdMi"]
+
+
+def every_cell(cells, p):
+    """The recurrence cell by cell over the whole grid: best (end, score) of each first cell."""
+    state, best = {}, {}
+    for y in range(max(r for r, _ in cells) + 1):
+        for x in range(max(c for _, c in cells) + 1):
+            count, letters = cells.get((y, x), (0, 0))
+            gain = count + letters if (y, x) in cells else p.pgap
+            options = []
+            for k, before in enumerate(((y - 1, x - 1), (y, x - 1), (y - 1, x))):
+                first, mat, drift, gap, score = state.get(before, (None, 0, 0, 0, 0))
+                back = (k == 1 and drift < 0) or (k == 2 and drift > 0)
+                bend = 0 if not k else -p.pvar if back else p.pvar
+                options.append((score + gain + bend, -k, first, mat + letters, 0 if not k else drift + (1 if k == 1 else -1), 0 if (y, x) in cells else gap + 1))
+            score, _, first, mat, drift, gap = max(options, key=lambda o: o[:2])
+            if score > 0 and gap <= p.max_bgap and abs(drift) <= p.max_bvar:
+                first = first or (y, x)
+                state[y, x] = (first, mat, drift, gap, score)
+                if (y, x) in cells and mat >= p.min_mat and (first not in best or score > best[first][1]):
+                    best[first] = ((y, x), score, mat)
+    return best
+
+
+def test_bin_paths_by_brute_force():
+    r = random.Random(11)
+    for n in range(250):
+        p = MapParams(bin_size=64, min_aln=2, min_mat=r.choice([1, 30, 60]), max_bgap=r.randint(0, 4), max_bvar=r.randint(0, 4), pvar=r.choice([-21, -5]), pgap=r.choice([-7, -2]))
+        runs = []
+        for _ in range(r.randint(1, 4)):
+            size = r.randint(1, 14)
+            cells = {(r.randrange(size), r.randrange(size)): (r.randint(1, 4), r.randint(5, 40)) for _ in range(r.randint(1, 2 * size))}
+            cells |= {(k, k): (r.randint(1, 4), r.randint(5, 40)) for k in range(size) if r.random() < n / 300}
+            runs.append(cells)
+        rows_ = [(k, y, x, *cells[y, x]) for k, cells in enumerate(runs) for y, x in sorted(cells)]
+        got = ov.bin_paths(*(np.array(c) for c in zip(*rows_, strict=True)), p)
+        want = [(k, first, *found) for k, cells in enumerate(runs) for first, found in sorted(every_cell(cells, p).items())]
+        assert [(g[0], (g[3], g[1]), (g[4] - 1, g[2] - 1), g[5]) for g in got] == [(k, first, end, mat) for k, first, end, _, mat in want]
+        for g in got:  # the cigar spells the path's extent, and its letters the cells with seeds
+            ops = "".join(c * int(m or 1) for m, c in re.findall(r"(\d*)([MIDmid])", g[9]))
+            assert sum(o in "MmIi" for o in ops) == g[2] - g[1] and sum(o in "MmDd" for o in ops) == g[4] - g[3]
+            assert sum(o.islower() for o in ops) == g[8] and g[6] == min(g[2] - g[1], g[4] - g[3])
 
 
 def test_depth_runs_and_clips(spark):
