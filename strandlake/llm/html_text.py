@@ -1,14 +1,19 @@
 """HTML extraction by nearest-URL page differencing.
 
 1. A page becomes text lines, one for each block, with what their place in the markup says:
-   in the article, around it, or in a part that is never main text (menus, footers, forms,
-   comments and so on, by element, role, class or id).
+   in the article, in the main part, around these, or in a part that is never main text
+   (menus, footers, forms, comments and so on, by element, role, class or id), as those differ
+   from page to page and no comparison shows them.
 2. Within each host pages are sorted by their URL's path, and each is paired with the
-   neighbour whose path shares the longest prefix with its own.
+   neighbour whose path shares the longest prefix with its own; if that shares nearly all
+   letters (a copy of the page), with the other one, unless it does so as well.
 3. The pair's lines are aligned by a longest common subsequence. Shared lines are template,
-   and are deleted, unless the page has them inside its article (a quotation, or a copy of
-   the article), or the pages have no other lines at all (a copy of the page).
-4. What is left of the article is the text, or of the lines around, if there's no article.
+   and are deleted: all of them outside the article, and inside it those of blocks that are
+   no plain prose (any block but a paragraph, heading, list item, quotation or cell, or such
+   a one that has a class or id): share bars, notices, lines of authors. Plain paragraphs that
+   two articles share are text of both.
+4. What is left of the article is the text; if there's no article, what is left of the main
+   part; and if there's none, of the lines around.
 
 Neighbours are sought among all pages of one host. Pages are dealt out by ranges of
 (host, path, page_id), so a host with a third of all pages spreads over many tasks, and the
@@ -22,6 +27,7 @@ import bisect
 import html
 import os
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,8 +42,10 @@ RANGE_BYTES, RANGES = 32 << 20, 16
 #: Pages drawn for each range, and at most, to choose where ranges end.
 DRAWN, MOST_DRAWN = 40, 1_000_000
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
-#: Kinds of lines.
-ARTICLE, AROUND, NEVER = 0, 1, 2
+#: Kinds of lines: prose of the article, other blocks in it, in the main part, around these, never main text.
+ARTICLE, MARKED, MAIN, AROUND, NEVER = range(5)
+#: Pages that share this part of the letters that can be main text are copies, and tell nothing about templates.
+COPIES = 0.8
 _WORDS = {
     "raw": "script style noscript template iframe svg math canvas object embed textarea title select datalist audio video",
     "void": "area base br col embed hr img input link meta param source track wbr",
@@ -49,58 +57,124 @@ _WORDS = {
     "role": "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar",
 }
 RAW, VOID, NEVER_TAGS, INLINE, SPACED, CLASSES, HEADS, ROLES = (frozenset(_WORDS[k].split()) for k in ("raw", "void", "never", "inline", "space", "class", "head", "role"))
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
 NAME = re.compile(r"[a-z0-9]+")
+#: Blocks that hold prose; without class or id, a shared line of theirs inside the article is a quotation, no template.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption article".split())
+TAG_NAME, SPACE, ATTRIBUTE_NAME, BARE_VALUE = (re.compile(x) for x in (r"[^\s/>]+", r"[\s/]*", r"[^\s/>=]+|=", r"[^\s>]*"))
+SPECIAL = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
 
 
-def _never(tag: str, attributes: str, in_article: bool) -> bool:
+class Scanner:
+    """Tags of a page one after the other, as the HTML standard reads them; every character is looked at a bounded number of times.
+
+    A quoted value ends at its quote; where no such quote follows, it ends at white space or
+    `>`. A quote elsewhere is part of a name. Markup that no `>` ends runs to the page's end.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+
+    def tag(self) -> tuple[str, bool, str, dict[str, str], bool] | None:
+        """(text before the tag, whether it closes, its name or "", special attributes, whether it ends in />); None at the end."""
+        page, n, begin, look = self.page, len(self.page), self.at, self.at
+        while True:
+            start = page.find("<", look)
+            if start < 0 or start + 1 >= n:
+                return None
+            closing = page.startswith("/", start + 1)
+            head = start + 1 + closing
+            first = page[head : head + 1]
+            if first.isascii() and first.isalpha():
+                break
+            if first in ("!", "?") or (closing and first):  # comments, declarations and what is read as such
+                end = self.past("-->", head + 3) if page.startswith("!--", head) else self.past(">", head)
+                self.at = end
+                return page[begin:start], False, "", {}, False
+            look = start + 1  # a character of the text
+        m = TAG_NAME.match(page, head)
+        name, at = m[0].lower(), m.end()
+        found: dict[str, str] = {}
+        while True:
+            at = SPACE.match(page, at).end()
+            if at >= n or page[at] == ">":
+                break
+            m = ATTRIBUTE_NAME.match(page, at)
+            key, at, value = m[0].lower(), m.end(), ""
+            equals = SPACE.match(page, at).end() if page[at : at + 1].isspace() else at
+            if page[equals : equals + 1] == "=" and key != "=":
+                at = equals + 1
+                while at < n and page[at].isspace():
+                    at += 1
+                quote = page[at : at + 1]
+                if quote in ("\"", "'") and self.last[quote] > at:
+                    end = page.find(quote, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    m = BARE_VALUE.match(page, at)
+                    value, at = m[0].strip("\"'"), m.end()
+            if key in SPECIAL:
+                found.setdefault(key, value.lower())
+        self.at = min(at + 1, n)
+        return page[begin:start], closing, name, found, page[at - 1 : at] == "/"
+
+    def past(self, what: str, at: int) -> int:
+        """The place behind the next `what`, or the page's end."""
+        end = self.page.find(what, at) if self.last[what[-1]] >= at else -1
+        return len(self.page) if end < 0 else end + len(what)
+
+    def skip(self, name: str) -> None:
+        """To behind the closing tag of an element whose content is no markup."""
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.page, self.at)
+        self.at = self.past(">", m.end()) if m else len(self.page)
+
+
+def _never(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     """Whether an element is never main text."""
     if tag in NEVER_TAGS or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
-            found = set(NAME.findall(value))
-            if found & CLASSES or (not in_article and found & HEADS):
-                return True
-        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+    names = set(NAME.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
+    if names & CLASSES or (not in_article and names & HEADS):
+        return True
+    return attributes.get("role") in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """Blocks of a page in order, white space made single, as (text, kind). Broken markup closes what it can."""
+    """Blocks of a page in order, white space made single, as (text, kind). Broken markup closes what it can. Linear in the page."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []  # open elements and the kind inside
+    stack: list[tuple[str, int, bool]] = []  # open elements, the kind inside, and whether their lines are plain prose
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    kind = AROUND
+    kind, plain, barred = AROUND, False, 0
 
     def end_block() -> None:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((joined, kind))
+                out.append((joined, MARKED if kind == ARTICLE and not plain else kind))
             text.clear()
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        text.append(page[at : m.start()] if m else page[at:])
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+    def close(size: int) -> None:
+        nonlocal kind, plain, barred
+        for t, _, _ in stack[size:]:
+            opened[t] -= 1
+            barred -= t in NEVER_TAGS
+        del stack[size:]
+        _, kind, plain = stack[-1] if stack else ("", AROUND, False)
+
+    scan = Scanner(page)
+    while (found := scan.tag()) is not None:
+        before, closing, tag, attributes, empty = found
+        text.append(before)
+        if not tag:
             continue
-        closing, tag = m[1], m[2].lower()
         if tag in SPACED:
             text.append(" ")
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-                at = page.find(">", close.start()) + 1 or n if close else n
+            if not closing and not empty:
+                scan.skip(tag)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -109,27 +183,34 @@ def lines(page: str) -> list[tuple[str, int]]:
         if tag not in INLINE and tag not in SPACED:
             end_block()
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                inner = min(s for _, s in stack[k:])
-                if stack[k][1] != (stack[k - 1][1] if k else AROUND) or inner != kind:
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                outer = stack[k - 1][1] if k else AROUND
+                if any(inside != outer for _, inside, _ in stack[k:]):
                     end_block()
-                del stack[k:]
-                kind = stack[-1][1] if stack else AROUND
+                close(k)
             continue
-        if tag == "p" or (tag == "li" and stack and stack[-1][0] == "li"):
-            while stack and stack[-1][0] in ("p", "li") and stack[-1][0] == tag:
-                stack.pop()
-            kind = stack[-1][1] if stack else AROUND
+        if tag in ("p", "li"):
+            k = len(stack)
+            while k and stack[k - 1][0] == tag:
+                k -= 1
+            close(k)
         inside = kind
-        if _never(tag, m[3], kind == ARTICLE):
+        if _never(tag, attributes, kind in (ARTICLE, MAIN)):
             inside = NEVER
-        elif tag in ("article", "main") and not (kind == NEVER and any(t in NEVER_TAGS for t, _ in stack)):
-            inside = ARTICLE
+        elif tag in ("article", "main") and not (kind == NEVER and barred) and kind != ARTICLE:
+            inside = ARTICLE if tag == "article" else MAIN
         if inside != kind:
             end_block()
+        if tag not in INLINE:
+            plain = tag in PROSE and not attributes.keys() & {"class", "id"}
         kind = inside
-        stack.append((tag, kind))
+        stack.append((tag, kind, plain))
+        opened[tag] += 1
+        barred += tag in NEVER_TAGS
+    text.append(page[scan.at :])
     end_block()
     return out
 
@@ -217,18 +298,26 @@ class Page:
     guest: bool = False
 
 
-def main_text(page: Page, other: Page | None) -> tuple[str, int]:
-    """The page's main text, and how many of its lines the other shares."""
-    gone: set[int] = set()
-    if other is not None:
-        mine, theirs = shared(page.text, other.text)
-        if len(mine) < len(page.text) or len(theirs) < len(other.text):  # else a copy of the page
-            gone = {i for i in mine if page.kind[i] != ARTICLE}
-        common = len(mine)
-    else:
-        common = 0
-    wanted = ARTICLE if ARTICLE in page.kind else AROUND
-    return "\n".join(t for i, (t, k) in enumerate(zip(page.text, page.kind, strict=True)) if k == wanted and i not in gone), common
+def main_text(page: Page, others: list[Page]) -> tuple[str, int]:
+    """The page's main text, and how many of its lines the page it is compared with shares.
+
+    Compared with is the first of the others that is no copy; if all are, the first that
+    isn't the same line for line.
+    """
+    found = [(*shared(page.text, other.text), other) for other in others]
+    pick = next((f for f in found if not (copies(page, f[0]) and copies(f[2], f[1]))), None)
+    pick = pick or next((f for f in found if len(f[0]) < len(page.text) or len(f[1]) < len(f[2].text)), None)
+    gone = {i for i in pick[0] if page.kind[i] != ARTICLE} if pick else set()
+    best = min((k for k in page.kind if k != NEVER), default=AROUND)
+    wanted = (ARTICLE, MARKED) if best in (ARTICLE, MARKED) else (best,)
+    text = "\n".join(t for i, (t, k) in enumerate(zip(page.text, page.kind, strict=True)) if k in wanted and i not in gone)
+    return text, len((pick or found[0])[0]) if found else 0
+
+
+def copies(page: Page, common: set[int]) -> bool:
+    """Whether the shared lines are nearly all of what can be the page's text."""
+    size = [len(t) * (k != NEVER) for t, k in zip(page.text, page.kind, strict=True)]
+    return sum(size[i] for i in common) >= COPIES * sum(size)
 
 
 def place(url: str | None) -> tuple[str, str]:
@@ -311,9 +400,10 @@ def _parse(bounds: list[Place], beside: dict[Place, list[int]]) -> Callable[[Ite
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64())])
 
 
-def _nearest(before: Page | None, page: Page, after: Page | None) -> Page | None:
+def _nearest(before: Page | None, page: Page, after: Page | None) -> list[Page]:
+    """The neighbours on the page's host, the nearer by path first."""
     near = [p for p in (before, after) if p is not None and (p.part, p.key) == (page.part, page.key)]
-    return max(near, key=lambda p: len(os.path.commonprefix([p.path, page.path])), default=None)  # of equals the one before
+    return sorted(near, key=lambda p: -len(os.path.commonprefix([p.path, page.path])))  # of equals the one before
 
 
 def _compare() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

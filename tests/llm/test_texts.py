@@ -6,6 +6,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -286,6 +287,63 @@ def test_boilerplate_of_pages_without_an_article(spark):
     assert html_text.extract(copies.limit(0)).count() == 0
 
 
+TEMPLATE = "<html><body><div>Site name</div><main><div>Sections of the site</div>{}<div>All rights reserved</div></main></body></html>"
+STORY = "<article><h1>{0}</h1><div class=line>By the staff of the site</div><p>Prose of {0}.</p><p>A saying that both quote.</p><div>Follow us for more</div></article>"
+
+
+def extracted(spark, *rows_):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(list(rows_), "page_id long, url string, html string")).collect()}
+
+
+def test_differencing_decides_the_text(spark, monkeypatch):
+    one, two = TEMPLATE.format(STORY.format("One")), TEMPLATE.format(STORY.format("Two, which is longer"))
+    got = extracted(spark, (1, "http://h/a/1", one), (2, "http://h/a/2", two))
+    assert got == {1: "One\nProse of One.\nA saying that both quote.", 2: "Two, which is longer\nProse of Two, which is longer.\nA saying that both quote."}
+    plain = [(k, f"http://h/b/{k}", TEMPLATE.format(f"<div>Text number {k}</div>")) for k in range(3)]
+    assert extracted(spark, *plain) == {k: f"Text number {k}" for k in range(3)}
+    # without a page to compare with, or if nothing were shared, template stays
+    assert extracted(spark, (1, "http://h/a/1", one))[1] == "One\nBy the staff of the site\nProse of One.\nA saying that both quote.\nFollow us for more"
+    a, b = (html_text.Page(k, "", "h", "/", *map(list, zip(*html_text.lines(h), strict=True))) for k, h in enumerate((one, two)))
+    assert "Follow us" not in html_text.main_text(a, [b])[0]
+    monkeypatch.setattr(html_text, "shared", lambda a, b: (set(), set()))
+    assert "Follow us" in html_text.main_text(a, [b])[0]
+
+
+def test_copies_are_compared_with_the_other_neighbour(spark):
+    body = "<div>" + "A long text that stands on two pages. " * 9 + "</div>"
+    rows = [(1, "http://h/a/x1", TEMPLATE.format(body)), (2, "http://h/a/x2", TEMPLATE.format(body + "<div>One more line</div>")), (3, "http://h/b", TEMPLATE.format("<div>Another</div>")), (0, "http://h/a/a", TEMPLATE.format("<div>First</div>"))]
+    long = " ".join(["A long text that stands on two pages."] * 9)
+    assert extracted(spark, *rows) == {0: "First", 1: long, 2: long + "\nOne more line", 3: "Another"}
+
+
+def test_repeated_pages_and_other_columns(spark):
+    rows = [(1, "http://h/1", "<p>One</p><p>Same</p>", "x")] * 2 + [(2, "http://h/2", "<p>Two</p><p>Same</p>", "y"), (None, "http://h/3", "<p>Three</p><p>Same</p>", "z")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == [(0, "Three"), (1, "One"), (1, "One\nSame"), (2, "Two")]
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<p>x <a title="5" class=z y">quote" here</a> tail</p>', "x quote\" here tail"),
+    ('<p>a <b title="no end>bold</b> c</p>', "a bold c"),
+    ("<p>1 < 2 <3 and </ p> & 4</p><p>next", "1 < 2 <3 and & 4\nnext"),
+    ("<p>one<!-- never ends <p>two", "one"),
+    ("<p>one<!d <p>two", "onetwo"),
+    ("<P CLASS = 'Comment'>no<P>yes<script>x</SCRIPT >", "yes"),
+    ("<div/>a<br/>b<a b=c/>d</a>", "a bd"),
+    ("<p a='>'>x</p a='y'>z", "x\nz"),
+    ("a<", "a<"), ("<a ", ""), ("<a b", ""), ("<a b=", ""), ("<a b='", ""), ("</", "</"), ("</a", ""), ("<!--", ""),
+])
+def test_markup(page, want):
+    assert "\n".join(t for t, k in html_text.lines(page) if k != html_text.NEVER) == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<b>" * 100_000 + "</i>" * 100_000, "<!--" * 200_000, "<a b='" * 200_000, "<a b=\"'" * 200_000, "<nav>" * 50_000 + "<article>" * 50_000, "<" * 500_000, "</script" * 200_000, "<script>" * 200_000, "<p><li>" * 100_000, "<i><p></i>" * 50_000, "<a =" * 200_000, "& " * 300_000])
+def test_markup_is_read_in_linear_time(page):
+    began = time.process_time()
+    html_text.lines(page)
+    assert time.process_time() - began < 5
+
+
 def test_neighbours_of_a_large_host(spark, monkeypatch):
     page = "<div>Site name</div><div>{}</div><div>All rights</div>"
     urls = [f"https://h/en/{k}/" for k in range(1100)] + [f"https://h/x/{k}/index.html" for k in range(100)] + [f"https://h{k % 7}/{k}" for k in range(50)] + ["https://h/one?p=%d" % k for k in range(50)]
