@@ -76,21 +76,23 @@ class Memory:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def put(self, word: str, value: bytes) -> None:
-        if len(word) > LONGEST:
-            return
-        self.young[word] = value
-        self.used += OVERHEAD + 4 * len(word) + len(value)
+    def put(self, words: list[str], values: list[bytes]) -> None:
+        """Remembers the values; all of one call stay in one generation."""
+        kept = {w: v for w, v in zip(words, values, strict=True) if len(w) <= LONGEST}
+        self.young |= kept
+        self.used += OVERHEAD * len(kept) + 4 * sum(map(len, kept)) + sum(map(len, kept.values()))
         if self.used > self.room:
             self.young, self.old, self.used = {}, self.young, 0
 
     def known(self, words: list[str]) -> list[bytes | None]:
         """The value of each word, None where it isn't remembered."""
         found = list(map(self.young.get, words))
-        for k, v in enumerate(found):
-            if v is None and (v := self.old.get(words[k])) is not None:
+        if self.old:
+            again = [k for k, v in enumerate(found) if v is None and words[k] in self.old]
+            values = [self.old[words[k]] for k in again]
+            for k, v in zip(again, values, strict=True):
                 found[k] = v
-                self.put(words[k], v)
+            self.put([words[k] for k in again], values)
         return found
 
 

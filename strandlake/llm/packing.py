@@ -30,7 +30,7 @@ from strandlake.llm.common import Memory, bounded_batches, chunks, gather, table
 WINDOW, END = 1024, 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of a generation of words, of which a worker remembers two, words that the library takes at a time, and bytes of text that are tokenized at a time.
-REMEMBERED, AT_ONCE, CHUNK = 48 << 20, 2000, 2 << 20
+REMEMBERED, AT_ONCE, CHUNK = 64 << 20, 5000, 4 << 20
 #: Windows that may stand partially filled in a task.
 OPEN = 4096
 
@@ -68,12 +68,12 @@ class ByteBpe:
         out: list[bytes] = [b""] * len(words)
         for a in range(0, len(joined), AT_ONCE):
             some = joined[a : a + AT_ONCE]
-            ids = np.frombuffer(self.whole(["".join([" " + words[k] for k in some])])[0], np.uint32)
-            ends = np.flatnonzero(self.starts_word[ids]).tolist()
+            ids = self.whole([" " + " ".join([words[k] for k in some])])[0]
+            ends = (4 * np.flatnonzero(self.starts_word[np.frombuffer(ids, np.uint32)])).tolist()
             if len(ends) != len(some):
                 raise ValueError("a token starts with a space, and stands within a word")
             for k, i, j in zip(some, ends, [*ends[1:], len(ids)], strict=True):
-                out[k] = ids[i:j].tobytes()
+                out[k] = ids[i:j]
         rest = [k for k, w in enumerate(words) if w and w.strip() != w]
         for k, ids in zip(rest, self.whole([" " + words[k] for k in rest]), strict=True):
             out[k] = ids
@@ -102,9 +102,11 @@ class ByteBpe:
         # the table: words after a space, words at the start of a text, whole texts
         ids = self.words.known(words)
         new = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(new, self.spaced([words[k] for k in new]), strict=True):
+        asked = [words[k] for k in new]
+        learned = self.spaced(asked)
+        for k, x in zip(new, learned, strict=True):
             ids[k] = x
-            self.words.put(words[k], x)
+        self.words.put(asked, learned)
         opening, where = np.unique(at[starts[:-1]], return_inverse=True)
         at = at.astype(np.int64)
         at[starts[:-1]] = len(ids) + where
@@ -114,7 +116,7 @@ class ByteBpe:
         skipped = np.zeros(len(at), bool)
         for k in odd.tolist():
             skipped[starts[k] + 1 : starts[k + 1]] = True
-        size = np.array([len(x) // 4 for x in ids], np.int64)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         lengths = np.where(skipped, 0, size[at])
         all_ids = gather(np.frombuffer(b"".join(ids), np.uint32), (np.cumsum(size) - size)[at], lengths)
         ends = np.r_[0, np.cumsum(lengths)][starts].tolist()

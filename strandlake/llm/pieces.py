@@ -214,8 +214,7 @@ class Pieces:
         words = list(set().union(*cut))
         ids = dict(zip(words, self.words.known(words), strict=True))
         new = self.learn([w for w, x in ids.items() if x is None])
-        for w, x in new.items():
-            self.words.put(w, x)
+        self.words.put(list(new), list(new.values()))
         ids |= new
         out = [b"".join(map(ids.__getitem__, c)) for c in cut]
         return [self.fused(x) for x in out] if self.unigram and not self.byte else out
