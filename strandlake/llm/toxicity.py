@@ -12,15 +12,19 @@
 
 Labelled rows of crc32(doc_id as text) mod 4 = 2 are held out and never read. Of the others
 remainders 0 and 1 give the counts, 3 the calibration. All of them are used, without a cap.
+The prior's weight and what every token pays (the drift) are chosen in each fit: for each
+choice the law and the logistic are fitted on one half of the calibration rows and judged by
+the likelihood of the other half's labels, and the other way round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +35,10 @@ from strandlake.llm.repeats import spans_hash
 CELLS, SLICES = 1 << 20, 64
 #: Bytes of the prefixes whose counts centre the priors of longer ones; the whole token comes last.
 PREFIXES = (4, 5, 6, 8)
-#: Weight of a prior, and what every token pays, so that clean text scores below zero.
-PRIOR, DRIFT = 6.0, 2.0
+#: Choices of a prior's weight, and of what every token pays, so that clean text scores below zero.
+PRIORS, DRIFTS = (3.0, 6.0, 12.0), (1.0, 1.5, 2.0, 2.5)
+#: Messages of counts that one task adds up.
+FAN = 1024
 #: Classes of token scores and of evidence that go to the driver.
 BINS, SCORE_STEP, EVIDENCE_STEP = 512, 0.05, 0.5
 #: Broadcast labels up to this size; else join by a shuffle.
@@ -47,11 +53,13 @@ _LOWER[65:91] += 32
 
 @dataclass(frozen=True)
 class Model:
-    """toxic, all: tokens counted in each cell; the extreme-value law; the logistic fit of evidence."""
+    """toxic, all: tokens counted in each cell; prior and drift; the extreme-value law; the logistic fit of evidence."""
 
     toxic: np.ndarray
     all: np.ndarray
     base: float
+    prior: float = PRIORS[0]
+    drift: float = 0.0
     decay: float = 1.0
     scale: float = 0.0
     intercept: float = 0.0
@@ -89,9 +97,9 @@ def scores(m: Model, c: np.ndarray) -> np.ndarray:
     """Log-odds of each token, above those of any token, less the drift."""
     p = np.full(c.shape[1], m.base)
     for row in c:
-        p = np.where(row >= 0, (m.toxic[row] + PRIOR * p) / (m.all[row] + PRIOR), p)
+        p = np.where(row >= 0, (m.toxic[row] + m.prior * p) / (m.all[row] + m.prior), p)
     p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p)) - np.log(m.base / (1 - m.base)) - DRIFT
+    return np.log(p / (1 - p)) - np.log(m.base / (1 - m.base)) - m.drift
 
 
 def maximal_segments(s: np.ndarray) -> list[tuple[int, int, float]]:
@@ -113,14 +121,16 @@ def maximal_segments(s: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for low, high, a, b, _ in stack]
 
 
-def _each(m: Model, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row's place and the scores of its tokens."""
+def _each(ms: list[Model], batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each row's place and the scores of its tokens by each model. The models share their counts."""
     i = 0
     for part in chunks(batch, "text"):
         buf, start, end, first = tokens(part.column("text"))
-        s = scores(m, cells(buf, start, end)) if len(start) else np.zeros(0)
+        c = cells(buf, start, end) if len(start) else np.zeros((0, 0), np.int64)
+        plain = {m.prior: scores(replace(m, drift=0.0), c) for m in ms}
+        each = [plain[m.prior] - m.drift for m in ms]
         for a, b in zip(first[:-1], first[1:], strict=True):
-            yield i, s[a:b]
+            yield i, [s[a:b] for s in each]
             i += 1
 
 
@@ -131,72 +141,86 @@ def evidence(m: Model, s: np.ndarray) -> tuple[float, list[tuple[int, int, float
     return sum(max(x, 0.0) for _, _, x in found), [f for f in found if f[2] >= SIGNIFICANT]
 
 
+def _message(toxic: np.ndarray, every: np.ndarray) -> bytes:
+    """Counts of a slice's cells that occur: their places, tokens in toxic texts, in all."""
+    i = np.flatnonzero(every)
+    return i.astype(np.uint16).tobytes() + toxic[i].tobytes() + every[i].tobytes()
+
+
+def _add(message: bytes, toxic: np.ndarray, every: np.ndarray) -> None:
+    n = len(message) // 18
+    i = np.frombuffer(message, np.uint16, n)
+    toxic[i] += np.frombuffer(message, np.int64, n, 2 * n)
+    every[i] += np.frombuffer(message, np.int64, n, 10 * n)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's tokens, by slices of the table: cells that occur, tokens in toxic texts, in all."""
-    toxic, every = np.zeros(CELLS, np.float32), np.zeros(CELLS, np.float32)
+    """Counts of a task's tokens, by slices of the table. fan: the task's number, by FAN."""
+    toxic, every = np.zeros((2, CELLS), np.int64)
     for b in (part for batch in batches for part in chunks(batch, "text")):
         buf, start, end, first = tokens(b.column("text"))
         if len(start):
-            weight = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False).astype(np.float32), np.diff(first))
+            weight = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False), np.diff(first))
             for row in cells(buf, start, end):
                 has = row >= 0
-                np.add.at(toxic, row[has], weight[has])
-                np.add.at(every, row[has], np.float32(1))
+                toxic += np.bincount(row[has & (weight > 0)], minlength=CELLS)
+                every += np.bincount(row[has], minlength=CELLS)
     width = CELLS // SLICES
-    rows = []
-    for k in range(SLICES):
-        i = np.flatnonzero(every[k * width : (k + 1) * width]).astype(np.uint16)
-        rows.append((k, i.tobytes() + toxic[k * width + i.astype(int)].tobytes() + every[k * width + i.astype(int)].tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["slice", "data"])
+    data = [_message(toxic[k : k + width], every[k : k + width]) for k in range(0, CELLS, width)]
+    fan = TaskContext.get().partitionId() // FAN
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([fan] * SLICES, pa.int32()), pa.array(data, pa.binary())], names=["slice", "fan", "data"])
 
 
 def _sum(t: pa.Table) -> pa.Table:
-    width = CELLS // SLICES
-    out = np.zeros((2, width), np.float64)
+    toxic, every = np.zeros((2, CELLS // SLICES), np.int64)
     for d in t["data"].to_pylist():
-        n = len(d) // 10
-        i = np.frombuffer(d, np.uint16, n)
-        out[0, i] += np.frombuffer(d, np.float32, n, 2 * n)
-        out[1, i] += np.frombuffer(d, np.float32, n, 6 * n)
-    return pa.table({"slice": t["slice"][:1], "data": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+        _add(d, toxic, every)
+    return pa.table({"slice": t["slice"][:1], "data": pa.array([_message(toxic, every)], pa.binary())})
 
 
-def _histogram(m: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of clean documents: how often each token score comes; the sum of the best segments' scores less the length's log; documents."""
+def _histogram(ms: list[Model]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of clean documents: how often each token score comes, by each model."""
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BINS, np.int64)
+        seen = np.zeros((len(ms), BINS), np.int64)
         for b in batches:
-            for _, s in _each(m, b):
-                seen += np.bincount(np.clip((s / SCORE_STEP).round().astype(int) + BINS // 2, 0, BINS - 1), minlength=BINS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bin", "n"])
+            for _, each in _each(ms, b):
+                for k, s in enumerate(each):
+                    seen[k] += np.bincount(np.clip((s / SCORE_STEP).round().astype(int) + BINS // 2, 0, BINS - 1), minlength=BINS)
+        k, at = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(seen[k, at])], names=["model", "bin", "n"])
 
     return histogram
 
 
-def _maxima(m: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _maxima(ms: list[Model]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of clean documents with tokens: the sum of the best segments' scaled scores less the length's log, by each model and half; documents."""
+
     def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = 0.0, 0
+        total, n = np.zeros((len(ms), 2)), np.zeros((len(ms), 2), np.int64)
         for b in batches:
-            for _, s in _each(m, b):
-                if len(s):
-                    total += m.decay * max((x for _, _, x in maximal_segments(s)), default=0.0) - np.log(len(s))
-                    n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n])], names=["total", "n"])
+            half = b.column("half").to_pylist()
+            for i, each in _each(ms, b):
+                for k, (m, s) in enumerate(zip(ms, each, strict=True)):
+                    if len(s):
+                        total[k, half[i]] += m.decay * max((x for _, _, x in maximal_segments(s)), default=0.0) - np.log(len(s))
+                        n[k, half[i]] += 1
+        k, h = np.indices(n.shape).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(total.ravel()), pa.array(n.ravel())], names=["model", "half", "total", "n"])
 
     return maxima
 
 
-def _evidence(m: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _evidence(ms: list[Model]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, BINS), np.int64)
+        seen = np.zeros((len(ms), 2, 2, BINS), np.int64)
         for b in batches:
-            toxic = b.column("toxic").to_pylist()
-            for i, s in _each(m, b):
-                seen[toxic[i], min(int(evidence(m, s)[0] / EVIDENCE_STEP), BINS - 1)] += 1
-        label, at = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(at), pa.array(seen[label, at])], names=["label", "bin", "n"])
+            half, toxic = b.column("half").to_pylist(), b.column("toxic").to_pylist()
+            for i, each in _each(ms, b):
+                for k, (m, s) in enumerate(zip(ms, each, strict=True)):
+                    seen[k, half[i], toxic[i], min(int(evidence(m, s)[0] / EVIDENCE_STEP), BINS - 1)] += 1
+        at = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(seen[at])], names=["model", "half", "label", "bin", "n"])
 
     return classes
 
@@ -228,44 +252,73 @@ def logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float
     return float(w[0]), float(w[1])
 
 
+def loss(fitted: tuple[float, float], x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """Negative log-likelihood of labels counted by evidence."""
+    z = np.clip(fitted[0] + fitted[1] * x, -30, 30)
+    return float((toxic * np.log1p(np.exp(-z)) + clean * np.log1p(np.exp(z))).sum())
+
+
+def counted_cells(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in toxic texts and in all, by cell, of rows(text, toxic). Tasks' messages are added FAN at a time, then the sums of these."""
+    sums = rows.mapInArrow(tidy(_count), "slice int, fan int, data binary").groupBy("slice", "fan").applyInArrow(_sum, "slice int, data binary").groupBy("slice").applyInArrow(_sum, "slice int, data binary")
+    toxic, every = np.zeros((2, CELLS), np.int64)
+    width = CELLS // SLICES
+    for k, d in sums.collect():  # the whole table, of fixed size
+        _add(d, toxic[k * width : (k + 1) * width], every[k * width : (k + 1) * width])
+    return toxic, every
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of docs(doc_id, text) and labels(doc_id, toxic 0 or 1); None if no usable label of either class is left."""
-    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    remainder = F.pmod(crc, F.lit(4))
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where((remainder != 2) & F.col("toxic").isin(0, 1))
     if int(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES:
         known = F.broadcast(known)
-    rows = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select(remainder.alias("part"), F.col("text").cast("binary").alias("text"), "toxic")
-    counted = rows.where("part < 2").select("text", "toxic").mapInArrow(tidy(_count), "slice int, data binary").groupBy("slice").applyInArrow(_sum, "slice int, data binary")
-    toxic, every = np.zeros(CELLS, np.float32), np.zeros(CELLS, np.float32)
-    width = CELLS // SLICES
-    for k, d in counted.collect():  # the whole table, of fixed size
-        toxic[k * width : (k + 1) * width], every[k * width : (k + 1) * width] = np.frombuffer(d, np.float32).reshape(2, -1)
-    if not toxic.any() or not (every - toxic).any():
+    half = F.pmod(F.shiftright(crc, 2), F.lit(2)).cast("int")
+    rows = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select(remainder.alias("part"), half.alias("half"), F.col("text").cast("binary").alias("text"), "toxic")
+    toxic, every = counted_cells(rows.where("part < 2").select("text", "toxic"))
+    if not toxic.any() or (every == toxic).all():
         return None
-    m = Model(toxic, every, float(toxic.sum(dtype=float) / every.sum(dtype=float)))
-    held = rows.where("part = 3").select("text", "toxic")
+    start = Model(toxic.astype(np.float32), every.astype(np.float32), float(toxic.sum() / every.sum()))
+    held = rows.where("part = 3").select("text", "toxic", "half")
     clean = held.where("toxic = 0")
-    seen = clean.mapInArrow(tidy(_histogram(m)), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    value = np.array([(b - BINS // 2) * SCORE_STEP for b, _ in seen])
-    m = Model(m.toxic, m.all, m.base, decay_of(value, np.array([n for _, n in seen], float)) if seen else 1.0)
-    best = clean.mapInArrow(tidy(_maxima(m)), "total double, n long").agg(F.sum("total"), F.sum("n")).first()
-    m = Model(m.toxic, m.all, m.base, m.decay, float(best[0] / best[1] - np.euler_gamma) if best[1] else 0.0)
-    found = held.mapInArrow(tidy(_evidence(m)), "label long, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
-    table_ = np.zeros((2, BINS))
-    for label, b, n in found:
-        table_[label, b] = n
-    a, b = logistic(np.arange(BINS) * EVIDENCE_STEP, table_[1], table_[0])
-    return Model(m.toxic, m.all, m.base, m.decay, m.scale, a, b)
+    # the law of each choice: its decay from all clean rows, its scale from those of either half
+    seen = np.zeros((len(PRIORS), BINS))
+    for k, b, n in clean.mapInArrow(tidy(_histogram([replace(start, prior=p) for p in PRIORS])), "model long, bin long, n long").groupBy("model", "bin").agg(F.sum("n")).collect():
+        seen[k, b] = n
+    value = (np.arange(BINS) - BINS // 2) * SCORE_STEP
+    choices = [replace(start, prior=p, drift=d, decay=decay_of(value - d, seen[k])) for k, p in enumerate(PRIORS) for d in DRIFTS]
+    best = np.zeros((2, len(choices), 2))
+    for k, h, total, n in clean.mapInArrow(tidy(_maxima(choices)), "model long, half long, total double, n long").groupBy("model", "half").agg(F.sum("total"), F.sum("n")).collect():
+        best[:, k, h] = total, n
+    choices = [replace(m, scale=float(t / n - np.euler_gamma) if n else 0.0) for m, t, n in zip(choices, *best.sum(axis=2), strict=True)]
+    found = np.zeros((len(choices), 2, 2, BINS))
+    for k, h, label, b, n in held.mapInArrow(tidy(_evidence(choices)), "model long, half long, label long, bin long, n long").groupBy("model", "half", "label", "bin").agg(F.sum("n")).collect():
+        found[k, h, label, b] = n
+    x = np.arange(BINS) * EVIDENCE_STEP
+    worst = [sum(loss(logistic(x, f[1 - h, 1], f[1 - h, 0]), x, f[h, 1], f[h, 0]) for h in (0, 1)) for f in found]
+    pick = int(np.argmin(worst))
+    a, b = logistic(x, found[pick, :, 1].sum(axis=0), found[pick, :, 0].sum(axis=0))
+    return replace(choices[pick], intercept=a, slope=b)
+
+
+def probability(m: Model | None, s: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+    """A document's score and significant segments, of its tokens' scores."""
+    if m is None:
+        return 0.0, []
+    e, found = evidence(m, s)
+    return float(1 / (1 + np.exp(-np.clip(m.intercept + m.slope * e, -30, 30)))), found
 
 
 def _score(m: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, s in _each(m, b) if m else ((i, None) for i in range(b.num_rows)):
-                e, found = evidence(m, s) if m else (0.0, [])
-                rows.append((1 / (1 + np.exp(-np.clip(m.intercept + m.slope * e, -30, 30))) if m else 0.0, len(found), [{"start": x, "end": y, "excess": z} for x, y, z in found]))
+            for _, (s,) in _each([m], b) if m else ((i, (np.zeros(0),)) for i in range(b.num_rows)):
+                p, found = probability(m, s)
+                rows.append((p, len(found), [{"start": x, "end": y, "excess": z} for x, y, z in found]))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("excess", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], kind)], names=["doc_id", "score", "n_passages", "passages"])
 
@@ -288,7 +341,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def _clean(m: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stays = [1 / (1 + np.exp(-np.clip(m.intercept + m.slope * evidence(m, s)[0], -30, 30))) < THRESHOLD for _, s in _each(m, b)]
+            stays = [probability(m, s)[0] < THRESHOLD for _, (s,) in _each([m], b)]
             yield b.filter(pa.array(stays, pa.bool_()))
 
     return clean

@@ -78,6 +78,75 @@ def test_labels_of_held_out_rows_change_nothing(spark, labelled):
     assert (a.toxic == b.toxic).all() and (a.decay, a.scale, a.intercept, a.slope) == (b.decay, b.scale, b.intercept, b.slope)
 
 
+def test_scores_by_brute_force(spark, labelled):
+    docs, labels = labelled
+    m = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in toxicity.score(docs, m).collect()}
+    known = {r.doc_id: r.toxic for r in labels.where("doc_id is not null and toxic is not null").collect()}
+
+    def cell(k, text):  # where the operator's hash puts a prefix or a token
+        b = np.frombuffer(text, np.uint8)
+        return int(toxicity.cells(b, np.array([0]), np.array([len(b)]))[-1, 0]) if k == len(toxicity.PREFIXES) else int(toxicity.cells(np.r_[b, b[:1]], np.array([0]), np.array([len(b) + 1]))[k, 0])
+
+    def levels(token):
+        t = token.encode()
+        return [cell(k, t[:n]) for k, n in enumerate(toxicity.PREFIXES) if len(t) > n] + [cell(len(toxicity.PREFIXES), t)]
+
+    def words(text):
+        return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda c: c[0].lower(), text))
+
+    toxic, every = {}, {}
+    for i, t in texts.items():
+        if i in known and zlib.crc32(str(i).encode()) % 4 in (0, 1):
+            for c in (c for w in words(t) for c in levels(w)):
+                every[c] = every.get(c, 0) + 1
+                toxic[c] = toxic.get(c, 0) + known[i]
+    assert {c: n for c, n in enumerate(m.all) if n} == every and all(m.toxic[c] == n for c, n in toxic.items())
+    base = sum(toxic.values()) / sum(every.values())
+    for i, t in list(texts.items())[::7] + [(5000, texts[5000]), (5001, texts[5001]), (5002, texts[5002])]:
+        s = []
+        for w in words(t):
+            p = base
+            for c in levels(w):
+                p = (toxic.get(c, 0) + m.prior * p) / (every.get(c, 0) + m.prior)
+            p = min(max(p, 1e-6), 1 - 1e-6)
+            s.append(np.log(p / (1 - p)) - np.log(base / (1 - base)) - m.drift)
+        found = [m.decay * sum(s[a:b]) - np.log(max(len(s), 1)) - m.scale for a, b in all_maximal(s)]
+        want = 1 / (1 + np.exp(-(m.intercept + m.slope * sum(max(x, 0) for x in found))))
+        assert got[i].score == pytest.approx(want, abs=1e-5) and got[i].predicted == (want >= toxicity.THRESHOLD)
+        assert got[i].n_passages == sum(x >= toxicity.SIGNIFICANT for x in found)
+
+
+def test_choices_are_made_without_held_out_rows(spark, labelled):
+    docs, labels = labelled
+    m = toxicity.fit(docs, labels)
+    assert (m.prior, m.drift) in {(p, d) for p in toxicity.PRIORS for d in toxicity.DRIFTS}
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    other = toxicity.fit(docs.where(~held), labels.where(~held))
+    assert (m.prior, m.drift, m.decay, m.intercept, m.slope) == pytest.approx((other.prior, other.drift, other.decay, other.intercept, other.slope))
+
+
+def test_counts_add_up_over_many_tasks(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    rows = docs.join(labels.where("toxic is not null"), "doc_id").select(F.col("text").cast("binary").alias("text"), "toxic")
+    one = toxicity.counted_cells(rows.coalesce(1))
+    monkeypatch.setattr(toxicity, "FAN", 2)
+    many = toxicity.counted_cells(rows.repartition(9))
+    assert all((a == b).all() for a, b in zip(one, many, strict=True)) and one[1].sum() > 0
+
+
+def test_repeated_rows_clashing_columns_and_no_rows(spark, labelled):
+    docs, labels = labelled
+    m = toxicity.fit(docs, labels)
+    odd = docs.where("doc_id in (0, 1)").union(docs.where("doc_id in (0, 1)")).selectExpr("*", "1 as toxic", "2 as score", "3 as half")
+    assert len({(r.doc_id, r.score) for r in toxicity.score(odd, m).collect()}) == 2 and toxicity.score(odd, m).count() == 4
+    assert toxicity.score(odd.limit(0), m).count() == 0
+    kept = toxicity.without_toxic(docs.selectExpr("*", "1 as toxic", "2 as half"), labels)
+    assert kept.columns == ["doc_id", "text", "toxic", "half"] and {r.doc_id for r in kept.where("doc_id >= 5000").collect()} >= {5000, 5001}
+    assert toxicity.fit(docs.limit(0), labels) is None
+
+
 def test_no_labels(spark, labelled):
     docs, labels = labelled
     assert toxicity.fit(docs, labels.limit(0)) is None
