@@ -73,7 +73,7 @@ def test_components_of_a_long_chain(spark):
     assert {r.node: r.root for r in components(edges).collect()} == {k: 100 for k in range(100, 161)} | {3: 3, 5: 3}
 
 
-def test_range_join_by_brute_force(spark):
+def test_range_join_by_brute_force(spark, monkeypatch):
     r = np.random.default_rng(5)
     centres = r.normal(size=(20, 16))
     vectors = [c + r.normal(size=16) * s for c in centres for s in (0.02, 0.05, 0.08, 0.1, 0.12)] + list(r.normal(size=(40, 16)))
@@ -87,10 +87,13 @@ def test_range_join_by_brute_force(spark):
     np.fill_diagonal(near, False)
     ids = [x[0] for x in rows]
     want = smallest(ids, [(ids[a], ids[b]) for a, b in np.argwhere(near)])
-    saved = embedding_join.PER_PIVOT, embedding_join.HOME, embedding_join.MET
+    saved = embedding_join.PER_PIVOT, embedding_join.SIDE_BYTES
     try:
-        for per, home, met in (saved, (20, 8, 16)):
-            embedding_join.PER_PIVOT, embedding_join.HOME, embedding_join.MET = per, home, met
+        for per, side in (saved, (20, 0), (1000, 0)):
+            monkeypatch.setattr(embedding_join, "PER_PIVOT", per)
+            monkeypatch.setattr(embedding_join, "SIDE_BYTES", side)
+            monkeypatch.setattr(embedding_join, "AT_ONCE", 1 << 21 if side else 50)
+            monkeypatch.setattr(embedding_join, "LEAST", 256 if side else 8)
             got = {x.vec_id: x for x in embedding_join.range_join(d).collect()}
             assert len(got) == len(rows) + len(odd)
             for k, i in enumerate(ids):
@@ -98,5 +101,28 @@ def test_range_join_by_brute_force(spark):
             for i, _, _ in odd:
                 assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     finally:
-        embedding_join.PER_PIVOT, embedding_join.HOME, embedding_join.MET = saved
+        monkeypatch.undo()
     assert embedding_join.range_join(d.limit(0)).count() == 0
+
+
+def test_range_join_of_extreme_magnitudes_and_odd_rows(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [3e-200, 3e-200]), (4, [5.0, 5.0]), (5, [5e-324, 0.0]), (6, [1.7e308, 0.0]), (7, [1.0, 1.0, 0.0]), (8, [-2.0, -2.0]), (None, [1.0, 1.0]), (4, [5.0, 5.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' as rep", "2 as weight")
+    got = embedding_join.range_join(d).collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in got if x.vec_id) == [(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (4, 4, 1), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 0, 8)]
+    assert [x.component_id for x in got if x.vec_id is None] == [None] or len(got) == len(rows)
+
+
+def test_bounds_lose_no_pair():
+    r = np.random.default_rng(1)
+    for dim in (3, 16, 40):
+        m = r.normal(size=(300, dim)) * r.random(dim) ** 3
+        m[150:] = m[:150] + r.normal(size=(150, dim)) * 0.05 * np.linalg.norm(m[:150], axis=1, keepdims=True) / dim**0.5
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        turned = embedding_join.directions(m[:20])
+        assert np.allclose(turned @ turned.T, np.eye(dim))
+        want = {(i, k) for i, k in np.argwhere(m @ m.T >= 0.95) if i < k}
+        got = [(i, k) for x, y in embedding_join.close_pairs(m, m, turned, 0.95, True) for i, k in zip(x.tolist(), y.tolist())]
+        assert len(got) == len(want) and set(got) == want
+        halves = {(i, k) for x, y in embedding_join.close_pairs(m[:150], m[150:], turned, 0.95, False) for i, k in zip(x.tolist(), y.tolist())}
+        assert halves == {(i, k - 150) for i, k in want if i < 150 <= k}
