@@ -36,7 +36,7 @@ CELLS, SLICES = 1 << 20, 64
 #: Bytes of the prefixes whose counts centre the priors of longer ones; the whole token comes last.
 PREFIXES = (4, 5, 6, 8)
 #: Choices of a prior's weight, and of what every token pays, so that clean text scores below zero.
-PRIORS, DRIFTS = (3.0, 6.0, 12.0), (1.0, 1.5, 2.0, 2.5)
+PRIORS, DRIFTS = (4.0, 12.0, 36.0), (1.5, 2.0, 2.5, 3.0)
 #: Messages of counts that one task adds up.
 FAN = 1024
 #: Classes of token scores and of evidence that go to the driver.
