@@ -16,9 +16,13 @@ input, so the exchange works in four steps, each linear in the input:
    which of the run's windows start in a smaller document, and answers with a bit mask.
 4. Buckets apply the masks, and cut out covered units.
 
-A content that a third of all documents hold travels once for each bucket. Buckets, parts
-and messages are bounded blobs; no step gathers a key's rows from all documents. The
-buckets' text is shuffled once; Spark reuses that exchange for all three passes.
+A content that a third of all documents hold travels once for each bucket. A minimiser with
+very many runs is hot: parts add up how many runs each has, and answer so with a second bit;
+runs of a hot one are split into their single windows, each keyed by the hash of its whole
+content, so that different windows spread over all parts and only equal ones stay together.
+Buckets, parts and messages are bounded blobs; no step gathers a key's rows from all
+documents. The buckets' text is shuffled once; Spark reuses that exchange for all three
+passes. The number of tasks follows from the size of the text, so a task's data is bounded.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ from strandlake.llm.common import pieces, text_bytes, tidy
 
 #: Text of a bucket, and of all buckets for which one part answers.
 BUCKET_BYTES, PART_BYTES = 3 << 20, 24 << 20
+#: Text of the buckets, and of the parts, of a task.
+TASK_BYTES = 48 << 20
+#: Runs of one minimiser from which on they are split.
+HOT = 16_384
 #: Window starts that are hashed at a time; longer documents go in several slices.
 SLICE = 1 << 17
 #: Stands for a null id, and sorts last as nulls do.
@@ -186,18 +194,19 @@ def runs_of(c: Corpus, u: Units) -> Runs:
     return Runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def fingerprints(r: Runs, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (part, fingerprint) keys in order, whether each occurs in two documents, and each run's key."""
+def fingerprints(r: Runs, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (part, fingerprint) keys in order, whether each occurs in two documents, the logarithm of its runs, rounded up, and each run's key."""
     key = (r.value % np.uint64(parts)) << np.uint64(32) | r.value >> np.uint64(32)
     order = np.argsort(key, kind="stable")
     key, doc = key[order], r.doc[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    several = doc[at] != doc[np.append(at[1:], len(key)) - 1] if len(at) else np.zeros(0, bool)  # runs came in document order
+    last = np.append(at[1:], len(key)) - 1 if len(at) else at
+    several = doc[at] != doc[last]  # runs came in document order
     which = np.empty(len(key), np.int64)
     which[order] = np.cumsum(new) - 1
-    return key[at], several, which
+    return key[at], several, np.ceil(np.log2(last - at + 1)).astype(np.uint8), which
 
 
 def _by_part(key: np.ndarray, parts: int) -> np.ndarray:
@@ -220,53 +229,87 @@ def _ask(u: Units, parts: int) -> Callable[[pa.Table], pa.Table]:
     """Step 2, buckets: which minimisers occur here, and which of them in two documents."""
 
     def ask(table: pa.Table) -> pa.Table:
-        key, several, _ = fingerprints(runs_of(Corpus(table, u), u), parts)
+        key, several, many, _ = fingerprints(runs_of(Corpus(table, u), u), parts)
         low, cut, bucket = key.astype(np.uint32), _by_part(key, parts), _bucket(table)
-        return _messages([(bucket, p, 0, b - a, low[a:b].tobytes() + np.packbits(several[a:b]).tobytes()) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a])
+        many = many << 1 | several
+        return _messages([(bucket, p, 0, b - a, low[a:b].tobytes() + many[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a])
 
     return ask
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Step 2, parts: which fingerprints occur in two documents of any buckets."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
-    key = np.concatenate([np.frombuffer(r["data"], np.uint32, r["n"]) for r in rows])
-    several = np.concatenate([np.unpackbits(np.frombuffer(r["data"], np.uint8, offset=4 * r["n"]), count=r["n"]) for r in rows]).astype(bool)
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    group = np.cumsum(new) - 1
-    repeats = np.bincount(group) > 1
-    repeats[group[several[order]]] = True
-    out = np.empty(len(s), bool)
-    out[order] = repeats[group]
-    at = np.cumsum([0] + [r["n"] for r in rows])
-    return _messages([(r["bucket"], r["part"], 1, r["n"], np.packbits(out[a : a + r["n"]]).tobytes()) for r, a in zip(rows, at, strict=False)])
-
-
-def _repeating(r: Runs, replies: list[dict], parts: int) -> np.ndarray:
-    """Indices of the runs whose minimiser occurs in two documents."""
-    key, _, which = fingerprints(r, parts)
-    bits = np.zeros(len(key), bool)
+def _answer(hot: int) -> Callable[[pa.Table], pa.Table]:
+    """Step 2, parts: which fingerprints occur in two documents of any buckets, and which of them have very many runs."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+        key = np.concatenate([np.frombuffer(r["data"], np.uint32, r["n"]) for r in rows])
+        many = np.concatenate([np.frombuffer(r["data"], np.uint8, r["n"], 4 * r["n"]) for r in rows])
+        order = np.argsort(key, kind="stable")
+        s = key[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        group = np.cumsum(new) - 1
+        repeats = np.bincount(group) > 1
+        repeats[group[(many[order] & 1).astype(bool)]] = True
+        runs = np.bincount(group, np.exp2(many[order] >> 1))
+        out = np.empty((2, len(s)), bool)
+        out[:, order] = repeats[group], (runs >= hot)[group]
+        at = np.cumsum([0] + [r["n"] for r in rows])
+        return _messages([(r["bucket"], r["part"], 1, r["n"], np.packbits(out[:, a : a + r["n"]]).tobytes()) for r, a in zip(rows, at, strict=False)])
+
+    return answer
+
+
+def _repeating(c: Corpus, r: Runs, u: Units, replies: list[dict], parts: int) -> Runs:
+    """The runs whose minimiser occurs in two documents, those of hot ones split into windows."""
+    key, _, _, which = fingerprints(r, parts)
+    bits = np.zeros((2, len(key)), bool)
     cut = _by_part(key, parts)
     for x in replies:
         if x["kind"] == 1:
-            bits[cut[x["part"]] : cut[x["part"] + 1]] = np.unpackbits(np.frombuffer(x["data"], np.uint8), count=x["n"])
-    return np.flatnonzero(bits[which]) if len(key) else np.zeros(0, np.int64)
-
-
-def _contents(c: Corpus, r: Runs, chosen: np.ndarray, u: Units, parts: int) -> tuple[list, np.ndarray, list[bool]]:
-    """Distinct contents of the chosen runs as (part, bytes, first run); each run's content; whether it is in that content's first document."""
+            bits[:, cut[x["part"]] : cut[x["part"] + 1]] = np.unpackbits(np.frombuffer(x["data"], np.uint8), count=2 * x["n"]).reshape(2, -1)
+    repeats, hot = bits[:, which]
+    kept = np.flatnonzero(repeats & ~hot)
+    calm = Runs(r.start[kept], r.count[kept], r.value[kept], r.doc[kept])
+    split = np.flatnonzero(repeats & hot)
+    if not len(split):
+        return calm
+    count = r.count[split]
+    start = np.repeat(r.start[split] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    doc = np.repeat(r.doc[split], count)
+    value = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), SLICE):  # starts are in order, and a hash may span their whole range
+        some = start[a : a + SLICE]
+        first, last = (some, some + u.window) if c.start is None else (c.start[some], c.end[some + u.window - 1])
+        for i, j in _near(first, 8 * SLICE):
+            low = first[i]
+            value[a + i : a + j] = spans_hash(c.buf[low : last[j - 1]], first[i:j] - low, last[i:j] - low)
+    both = [np.concatenate(x) for x in ((calm.start, start), (calm.count, np.ones(len(start), np.int32)), (calm.value, value), (calm.doc, doc))]
+    order = np.argsort(both[0])  # in order of documents, as before
+    return Runs(*(x[order] for x in both))
+
+
+def _near(places: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """Slices of ascending places, each within `reach`."""
+    out, i = [], 0
+    while i < len(places):
+        j = int(np.searchsorted(places, places[i] + reach, side="right"))
+        out.append((i, j))
+        i = j
+    return out
+
+
+def _contents(c: Corpus, r: Runs, u: Units, parts: int) -> tuple[list, np.ndarray, list[bool]]:
+    """Distinct contents of the runs as (part, bytes, first run); each run's content; whether it is in that content's first document."""
     seen: dict[bytes, int] = {}
     firsts: list[tuple[int, bytes, int]] = []
-    which = np.empty(len(chosen), np.int64)
+    which = np.empty(len(r.start), np.int64)
     own: list[bool] = []
-    start, stop = r.start[chosen], r.start[chosen] + r.count[chosen] + (u.window - 1)
-    if c.start is not None and len(chosen):
+    start, stop = r.start, r.start + r.count + (u.window - 1)
+    if c.start is not None and len(start):
         start, stop = c.start[start], c.end[stop - 1]
     ids = c.ids.tolist()
-    data, part, doc = c.buf.tobytes(), (r.value[chosen] % np.uint64(parts)).tolist(), r.doc[chosen].tolist()
+    data, part, doc = c.buf.tobytes(), (r.value % np.uint64(parts)).tolist(), r.doc.tolist()
     for i, (a, b, p, d) in enumerate(zip(start.tolist(), stop.tolist(), part, doc, strict=True)):
         s = data[a:b]
         k = seen.setdefault(s, len(firsts))
@@ -284,12 +327,10 @@ def _send(u: Units, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not table.num_rows or not replies.num_rows:
             return _messages([])
         c = Corpus(table, u)
-        r = runs_of(c, u)
-        chosen = _repeating(r, replies.to_pylist(), parts)
-        firsts, _, _ = _contents(c, r, chosen, u, parts)
+        r = _repeating(c, runs_of(c, u), u, replies.to_pylist(), parts)
         to: dict[int, list[tuple[bytes, int]]] = {}
-        for p, s, i in firsts:
-            to.setdefault(p, []).append((s, int(chosen[i])))
+        for p, s, i in _contents(c, r, u, parts)[0]:
+            to.setdefault(p, []).append((s, i))
         rows = []
         for p, x in to.items():
             i = np.array([k for _, k in x])
@@ -350,9 +391,9 @@ def _find(u: Units, procedure: BlockProcedure) -> Callable[[pa.Table], pa.Table]
 def removed(c: Corpus, r: Runs, u: Units, replies: list[dict], parts: int) -> np.ndarray:
     """Step 4: of each unit of the bucket, whether a repeated window covers it."""
     cover = np.zeros(c.n + 1, np.int32)
-    chosen = _repeating(r, replies, parts)
-    if len(chosen):
-        firsts, which, own = _contents(c, r, chosen, u, parts)
+    r = _repeating(c, r, u, replies, parts)
+    if len(r.start):
+        firsts, which, own = _contents(c, r, u, parts)
         place: dict[int, list[int]] = {}
         for k, (p, _, _) in enumerate(firsts):
             place.setdefault(p, []).append(k)
@@ -361,11 +402,10 @@ def removed(c: Corpus, r: Runs, u: Units, replies: list[dict], parts: int) -> np
             if x["kind"] == 3:
                 mask[place[x["part"]]] = np.frombuffer(x["data"], np.uint32)
         bits = np.where(own, mask[which], np.uint32(0xFFFFFFFF)).astype(np.uint32)
-        count = r.count[chosen]
         some = np.flatnonzero(bits)
-        for k in range(int(count.max())):
-            hit = some[(count[some] > k) & (bits[some] >> np.uint32(k) & np.uint32(1)).astype(bool)]
-            at = r.start[chosen[hit]] + k
+        for k in range(int(r.count.max())):
+            hit = some[(r.count[some] > k) & (bits[some] >> np.uint32(k) & np.uint32(1)).astype(bool)]
+            at = r.start[hit] + k
             cover[at] += 1  # runs are disjoint: no place comes twice
             cover[at + u.window] -= 1
     return np.cumsum(cover[:-1]) > 0
@@ -417,7 +457,7 @@ def _result(keep: str) -> pa.Schema:
     return pa.schema(fields + [("kept", pa.binary() if keep == "bytes" else pa.string())] * bool(keep))
 
 
-def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: str = "", carry: list[str] | None = None, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: str = "", carry: list[str] | None = None, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, n_units, n_removed, spans, kept_sha256[, kept]) of docs(doc_id long, text string or binary).
 
     spans are the maximal removed runs in units of the document; kept is what remains, as
@@ -429,12 +469,13 @@ def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: str
     total = text_bytes(docs)
     buckets, parts = pieces(total, bucket_bytes), pieces(total, part_bytes)
     bucket = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(buckets)).cast("int")
-    dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([F.struct(*carry).alias("carried")] if carry else []))
-    asked = dealt.groupBy("bucket").applyInArrow(tidy(_ask(u, parts)), MESSAGE)
-    answered = asked.groupBy("part").applyInArrow(tidy(_answer), MESSAGE)
-    sent = dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(tidy(_send(u, parts)), MESSAGE)
+    by_bucket, by_part = min(buckets, pieces(total, TASK_BYTES)), min(parts, pieces(total, TASK_BYTES))
+    dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([F.struct(*carry).alias("carried")] if carry else [])).repartition(by_bucket, "bucket")
+    asked = dealt.groupBy("bucket").applyInArrow(tidy(_ask(u, parts)), MESSAGE).repartition(by_part, "part")
+    answered = asked.groupBy("part").applyInArrow(tidy(_answer(hot)), MESSAGE).repartition(by_bucket, "bucket")
+    sent = dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(tidy(_send(u, parts)), MESSAGE).repartition(by_part, "part")
     found = sent.groupBy("part").applyInArrow(tidy(_find(u, procedure)), MESSAGE)
     schema = _parse_datatype_string("doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string" + (f", kept {'binary' if keep == 'bytes' else 'string'}" if keep else ""))
     if carry:
         schema = schema.add("carried", docs.select(F.struct(*carry).alias("c")).schema["c"].dataType)
-    return dealt.groupBy("bucket").cogroup(answered.union(found).groupBy("bucket")).applyInArrow(tidy(_finish(u, parts, keep, bool(carry))), schema)
+    return dealt.groupBy("bucket").cogroup(answered.union(found).repartition(by_bucket, "bucket").groupBy("bucket")).applyInArrow(tidy(_finish(u, parts, keep, bool(carry))), schema)

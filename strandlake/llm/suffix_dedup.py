@@ -29,7 +29,7 @@ COLLECTION = 16_384
 def collection_index(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of all docs in order, as owner and length, and the common prefix of each with the one before.
 
-    Docs are 1 to 255 bytes and hold no byte 0. Equal suffixes stand in order of their docs.
+    Docs hold no byte 0. Equal suffixes stand in order of their docs.
     """
     m = len(docs)
     size = np.array([len(d) for d in docs], np.int64)
@@ -38,9 +38,10 @@ def collection_index(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     flat = np.frombuffer(b"".join(docs), np.uint8)
     of = np.repeat(np.arange(m), size)
     symbol[np.repeat(np.cumsum(size), size) - 1 - np.arange(len(flat)), of] = flat
+    number = np.uint8 if longest < 255 else np.uint32
     # the files: of empty suffixes first
-    bwt, lcp = symbol[0].copy(), np.zeros(m, np.uint8)
-    owner, length = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
+    bwt, lcp = symbol[0].copy(), np.zeros(m, number)
+    owner, length = np.arange(m, dtype=np.int32), np.zeros(m, number)
     place, active = np.arange(m), np.arange(m)
     for j in range(1, longest + 1):
         n = len(bwt)
@@ -56,15 +57,15 @@ def collection_index(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
         before, after = order[q - 1], order[np.minimum(q + 1, n - 1)]
         has_before = (q > ended) & (bwt[before] == c)
         has_after = (q + 1 < n) & (bwt[after] == c)
-        padded = np.append(lcp, np.uint8(0))
+        padded = np.append(lcp, number(0))
 
         def least(low: np.ndarray, high: np.ndarray, padded: np.ndarray = padded) -> np.ndarray:
             """Smallest common prefix of the places low + 1 to high."""
             if not len(low):
-                return np.zeros(0, np.uint8)
+                return np.zeros(0, number)
             return np.minimum.reduceat(padded, np.column_stack([low + 1, high + 1]).ravel())[::2]
 
-        ahead = np.zeros(len(q), np.uint8)
+        ahead = np.zeros(len(q), number)
         ahead[has_before] = 1 + least(before[has_before], p[has_before])
         behind = 1 + least(p[has_after], after[has_after])
         # rewrite the files with the new suffixes in their places
@@ -74,7 +75,7 @@ def collection_index(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
         bwt = np.insert(bwt, at, symbol[j][active])
         lcp = np.insert(lcp, at, ahead)
         lcp[follows] = behind
-        owner, length = np.insert(owner, at, active), np.insert(length, at, np.uint8(j))
+        owner, length = np.insert(owner, at, active), np.insert(length, at, number(j))
         place[active] = to
         active = active[size[active] > j]  # the others' places move too, but aren't read again
     return owner, length, lcp

@@ -52,6 +52,33 @@ def test_bytes(odd_docs, odd_texts, window):
     check(suffix_dedup.dedup(odd_docs, window).collect(), units, window, bytes)
 
 
+@pytest.mark.parametrize("hot", [1, 4])
+def test_hot_minimisers_are_split(odd_docs, odd_texts, hot):
+    units = {i: (t or "").encode() for i, t in odd_texts.items()}
+    check(suffix_dedup.dedup(odd_docs, 50, hot=hot).collect(), units, 50, bytes)
+    words = {i: tuple(re.findall(rb"[^\x20\x09-\x0D]+", u)) for i, u in units.items()}
+    check(relative_lz.dedup(odd_docs, 13, hot=hot).collect(), words, 13, b" ".join)
+
+
+def test_a_phrase_in_many_contexts(spark):
+    r = random.Random(7)
+    phrase = "one phrase of twenty!"
+    texts = ["".join(r.choice("abcdef ") for _ in range(40)) + phrase + "".join(r.choice("abcdef ") for _ in range(40)) for _ in range(400)]
+    texts += [t[10:70] for t in texts[:60]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (8, 1 << 20):
+        check(suffix_dedup.dedup(d, 50, hot=hot).collect(), {k: t.encode() for k, t in enumerate(texts)}, 50, bytes)
+
+
+@pytest.mark.parametrize("window", [230, 400])
+def test_long_windows(spark, window):
+    r = random.Random(3)
+    base = bytes(r.choice(b"xyz ") for _ in range(900)).decode()
+    texts = [base, base[100:600], "q" + base[300:] + base[:250], base[:window], base[1 : window - 1]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(suffix_dedup.dedup(d, window).collect(), {k: t.encode() for k, t in enumerate(texts)}, window, bytes)
+
+
 def test_whole_tables(spark):
     docs = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
     gone = covered({i: t.encode() for i, t in docs.items()}, 50)
@@ -68,6 +95,8 @@ def test_repeated_ids_nulls_and_empty_table(spark):
     assert sorted((r.doc_id or 9, r.n_removed) for r in suffix_dedup.dedup(d).collect()) == [(1, 0), (1, 0), (2, 60), (9, 60)]
     assert suffix_dedup.dedup(d.limit(0)).count() == 0
     assert relative_lz.dedup(d.limit(0)).count() == 0
+    words = spark.createDataFrame([(i, "a b c d e f g h i j k l m n", "x") for i in (1, 1, 2, None)], "doc_id long, text string, bucket string")
+    assert sorted((r.doc_id or 9, r.n_removed) for r in relative_lz.dedup(words).collect()) == [(1, 0), (1, 0), (2, 14), (9, 14)]
 
 
 def test_texts_without_repeats_keep_all_columns(odd_docs, odd_texts):
