@@ -8,7 +8,8 @@ the DC prediction and bounds what a damaged byte can spoil. Frames are baseline
 frames of 32 x 32 grey samples; the stream's private header (strd) says how many bytes of
 the last frame count. Reading walks the RIFF chunks, takes frames by the index (idx1),
 undoes the entropy code and the transform, and cuts the frames into clips where the
-histogram of samples changes by more than its recent changes let expect.
+histogram of samples changes by more than its recent changes let expect. Motion-JPEG files
+of other makers are read too, by the general decoder of jpeg.py, for their clips.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import table
+from strandlake.llm.jpeg import COSINES, ZIGZAG, luminance
 
 SIDE, BLOCKS = 32, 16
 FRAME_BYTES = BLOCKS * 64
@@ -35,18 +37,6 @@ AT_ONCE = 2048
 LEVELS, FLOOR, SPREAD, RECENT = 32, 0.1, 3.0, 8
 
 
-def _zigzag() -> np.ndarray:
-    """Place in the block, row by row, of each coefficient in zigzag order."""
-    cells = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1]))
-    return np.array([8 * r + c for r, c in cells])
-
-
-ZIGZAG = _zigzag()
-_K = np.arange(8)
-#: Rows: frequencies, columns: samples of the one-dimensional transform.
-COSINES = (np.where(_K == 0, np.sqrt(1 / 8), 0.5)[:, None] * np.cos((2 * _K[None] + 1) * _K[:, None] * np.pi / 16)).astype(np.float32)
-
-
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -220,8 +210,9 @@ def histograms(frames: np.ndarray) -> np.ndarray:
 
 
 def shots(h: np.ndarray) -> list[tuple[int, int]]:
-    """Clips as (first frame, end): cuts are where the histogram changes more than its recent changes let expect."""
-    change = np.abs(np.diff(h, axis=0)).sum(axis=1) / (2 * SIDE * SIDE)
+    """Clips as (first frame, end), of frames' histograms: cuts are where a histogram changes more than its recent changes let expect."""
+    share = h / np.maximum(h.sum(axis=1, keepdims=True), 1)
+    change = np.abs(np.diff(share, axis=0)).sum(axis=1) / 2
     cuts, since = [0], 0
     for t, d in enumerate(change.tolist()):
         if d > FLOOR:
@@ -232,17 +223,69 @@ def shots(h: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(h)], strict=True)) if len(h) else []
 
 
+def timed(counts: np.ndarray, fps: float) -> list[dict]:
+    """Clips of frames' histograms."""
+    centre = (np.arange(LEVELS) + 0.5) * (256 // LEVELS)
+    return [{"clip": k, "start_ms": int(a * 1000 // fps), "end_ms": int(b * 1000 // fps), "frames": b - a, "brightness": float(counts[a:b].sum(axis=0) @ centre / counts[a:b].sum())} for k, (a, b) in enumerate(shots(counts))]
+
+
 def features(data: bytes) -> tuple[bytes, list[dict]]:
-    """The payload that a file holds, and its clips."""
+    """The payload that a file of write_avi() holds, and its clips."""
     payload, h = [], []
     for part in read_avi(data):
         payload.append(part.tobytes())
         h.append(histograms(samples(part)))
     whole = b"".join(payload)[: payload_size(data)]
-    counts = np.concatenate(h) if h else np.zeros((0, LEVELS), np.int64)
-    centre = (np.arange(LEVELS) + 0.5) * (256 // LEVELS)
-    clips = [{"clip": k, "start_ms": a * 1000 // FPS, "end_ms": b * 1000 // FPS, "frames": b - a, "brightness": float(counts[a:b].sum(axis=0) @ centre / ((b - a) * SIDE * SIDE))} for k, (a, b) in enumerate(shots(counts))]
-    return whole, clips
+    return whole, timed(np.concatenate(h) if h else np.zeros((0, LEVELS), np.int64), FPS)
+
+
+def film(data: bytes) -> tuple[float, Iterator[bytes]]:
+    """Frames a second and the JPEG frames of any motion-JPEG file's first video stream, in the order of its index, or of its chunks if it has none."""
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+        raise ValueError("no AVI file")
+    end = min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])
+    chunks = list(_walk(data, 12, end))
+    headers = [data[a:b] for name, a, b in chunks if name == b"strh"]
+    stream = next((k for k, h in enumerate(headers) if h[:4] == b"vids"), None)
+    movi = next((a for name, a, _ in chunks if name == b"movi"), None)
+    if stream is None or movi is None:
+        raise ValueError("no video stream")
+    scale, rate = struct.unpack_from("<II", headers[stream], 20)
+    if not scale or not rate:
+        raise ValueError("a stream without a rate")
+    names = (b"%02ddc" % stream, b"%02ddb" % stream)
+
+    def frames() -> Iterator[bytes]:
+        index = next(((a, b) for name, a, b in chunks if name == b"idx1"), None)
+        if index:
+            rows = [r for r in struct.iter_unpack("<4sIII", data[index[0] : index[1] - (index[1] - index[0]) % 16]) if r[0] in names]
+            base = movi if rows and data[movi + rows[0][2] : movi + rows[0][2] + 4] in names else 0  # offsets count from movi, or from the file's start
+            places = [(base + at + 8, n) for _, _, at, n in rows]
+        else:
+            stop = next(b for name, a, b in chunks if name == b"movi")
+            places = [(a, b - a) for name, a, b in _walk(data, movi + 4, stop) if name in names]
+        for at, n in places:
+            if at + n > end:
+                raise ValueError("a frame reaches over the file")
+            if n:  # an empty frame repeats the one before
+                yield data[at : at + n]
+
+    return rate / scale, frames()
+
+
+def clips_of(data: bytes | None) -> list[dict]:
+    """Clips of a motion-JPEG file; none of what can't be read as one to its end."""
+    if not data:
+        return []
+    try:
+        fps, frames = film(data)
+        try:
+            return features(data)[1]  # the profile of write_avi(), many frames at a time
+        except (ValueError, KeyError, IndexError, struct.error):
+            counts = [np.bincount(luminance(f).ravel() // (256 // LEVELS), minlength=LEVELS) for f in frames]
+            return timed(np.array(counts), fps) if counts else []
+    except (ValueError, KeyError, IndexError, struct.error):
+        return []
 
 
 def padded(text: bytes) -> bytes:
@@ -268,12 +311,17 @@ CLIPS = "array<struct<clip: long, start_ms: long, end_ms: long, frames: long, br
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("clip", pa.int64()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("frames", pa.int64()), ("brightness", pa.float64())]))
     for b in batches:
-        found = [features(m)[1] if m else [] for m in b.column("media").to_pylist()]
+        found = [clips_of(m) for m in b.column("media").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, kind)], names=["doc_id", "clips"])
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows (doc_id, clip, start_ms, end_ms, frames, brightness) of media(doc_id, media). Null and empty media have no clip."""
+    """Timed clip rows (doc_id, clip, start_ms, end_ms, frames, brightness) of media(doc_id, media).
+
+    Media are motion-JPEG AVI files of any maker. Null and empty media, and files that can't
+    be read to their end, have no clip. Repeated rows come back once each; other columns are
+    left out; an empty table gives an empty one.
+    """
     found = media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(_clips, f"doc_id long, clips {CLIPS}")
     return found.select("doc_id", F.inline("clips"))
 
@@ -296,7 +344,14 @@ def _digest() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     return digest
 
 
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def op3_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files are written and read in one task each, so the media needn't travel between the two."""
+    """One row a document, as the contract says; files are written and read in one task each, so the media needn't travel between the two.
+
+    Null and empty texts: a payload of 64 bytes 0. Repeated rows come back once each, with
+    equal values; other columns are left out; an empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return docs.mapInArrow(_digest(), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.mapInArrow(_digest(), DIGEST)

@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandlake.llm import html_text, media, packing, pieces, queries, sharding, toxicity
+from strandlake.llm import html_text, jpeg, media, packing, pieces, queries, sharding, toxicity
 from strandlake.llm.common import table
 from tests.llm.conftest import SF
 
@@ -464,6 +464,173 @@ def test_media_query(spark, odd_docs, odd_texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
 
 
+def codes(lengths, symbols):
+    """Huffman codes by symbol, as strings of bits."""
+    out, code, at = {}, 0, 0
+    for bits, n in enumerate(lengths, 1):
+        code <<= 1
+        for s in symbols[at : at + n]:
+            out[s] = f"{code:0{bits}b}"
+            code += 1
+        at += n
+    return out
+
+
+def jpeg_frame(r, width, height, sampling, tables=True, restart=0, apart=False):
+    """A frame of random coefficients, and its first component's samples by the transform's definition."""
+    own = [(0, 0, 0, 0, 12, *[0] * 11), bytes(range(12))], [(0, 0, 0, 0, 0, 0, 0, 162, *[0] * 8), bytes([0, 0xF0, *(a << 4 | b for a in range(16) for b in range(1, 11))])]
+
+    def known(kind, number):
+        if tables:
+            return codes(*own[kind])
+        found = {}
+        for k, (bits, s) in enumerate(jpeg.standard(kind, number)):
+            if bits:
+                found.setdefault(s, f"{k:016b}"[:bits])
+        return found
+
+    def seg(marker, body):
+        return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+
+    def number(v):
+        size = abs(v).bit_length()
+        return size, (f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else "")
+
+    top_x, top_y = max(x for x, _ in sampling), max(y for _, y in sampling)
+    quant = [[r.randint(1, 9) for _ in range(64)] for _ in range(2)]
+    out = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + b"".join(seg(0xDB, bytes([16 * k + k]) + (struct.pack(">64H", *q) if k else bytes(q))) for k, q in enumerate(quant))
+    out += seg(0xC0, struct.pack(">BHHB", 8, height, width, len(sampling)) + b"".join(bytes([c + 1, x << 4 | y, min(c, 1)]) for c, (x, y) in enumerate(sampling)))
+    if tables:
+        out += b"".join(seg(0xC4, bytes([kind << 4 | n]) + bytes(own[kind][0]) + own[kind][1]) for kind in (0, 1) for n in (0, 1))
+    out += seg(0xDD, struct.pack(">H", restart)) if restart else b""
+    units_x, units_y = -(-width // (8 * top_x)), -(-height // (8 * top_y))
+    grids = [[[[0] * 64 for _ in range(units_x * x)] for _ in range(units_y * y)] for x, y in sampling]
+    for g in grids:
+        for row in g:
+            for block in row:
+                block[0] = r.randint(-60, 60)
+                for _ in range(r.randint(0, 6)):
+                    block[r.randint(1, 63)] = r.randint(-9, 9)
+
+    def scan(components):
+        nonlocal out
+        out += seg(0xDA, bytes([len(components)]) + b"".join(bytes([c + 1, 17 * min(c, 1)]) for c in components) + bytes([0, 63, 0]))
+        if len(components) == 1:
+            c = components[0]
+            rows_, columns = -(-(-(-height * sampling[c][1] // top_y)) // 8), -(-(-(-width * sampling[c][0] // top_x)) // 8)
+            order = [[(c, a, b)] for a in range(rows_) for b in range(columns)]
+        else:
+            order = [[(c, a * sampling[c][1] + y, b * sampling[c][0] + x) for c in components for y in range(sampling[c][1]) for x in range(sampling[c][0])] for a in range(units_y) for b in range(units_x)]
+        for s, at in enumerate(range(0, len(order), restart or len(order))):
+            bits, last = "", {}
+            for c, a, b in (u for unit in order[at : at + (restart or len(order))] for u in unit):
+                dc, ac, block = known(0, min(c, 1)), known(1, min(c, 1)), grids[c][a][b]
+                size, v = number(block[0] - last.get(c, 0))
+                last[c] = block[0]
+                bits += dc[size] + v
+                run = 0
+                for k in range(1, 64):
+                    if not any(block[k:]):
+                        bits += ac[0]
+                        break
+                    if not block[k]:
+                        run += 1
+                        continue
+                    bits += ac[0xF0] * (run // 16)
+                    size, v = number(block[k])
+                    bits += ac[run % 16 << 4 | size] + v
+                    run = 0
+            bits += "1" * (-len(bits) % 8)
+            out += (bytes([0xFF, 0xD0 + (s - 1) % 8]) if s else b"") + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+
+    for components in [[c] for c in range(len(sampling))] if apart else [list(range(len(sampling)))]:
+        scan(components)
+    out += b"\xff\xd9"
+    high, wide = -(-height * sampling[0][1] // top_y), -(-width * sampling[0][0] // top_x)
+    k = np.arange(8)
+    basis = np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None] * np.cos((2 * k[None] + 1) * k[:, None] * np.pi / 16)
+    want = np.zeros((8 * len(grids[0]), 8 * len(grids[0][0])))
+    for a, row in enumerate(grids[0]):
+        for b, block in enumerate(row):
+            c = np.zeros(64)
+            c[jpeg.ZIGZAG] = np.array(block) * quant[0]
+            want[8 * a : 8 * a + 8, 8 * b : 8 * b + 8] = basis.T @ c.reshape(8, 8) @ basis + 128
+    return out, np.clip(np.rint(want), 0, 255)[:high, :wide]
+
+
+JPEGS = [((16, 8), [(1, 1)], {}), ((33, 21), [(2, 2), (1, 1), (1, 1)], {}), ((40, 17), [(2, 1), (1, 1), (1, 1)], {"restart": 2}), ((19, 30), [(1, 1)] * 3, {"tables": False}), ((35, 18), [(2, 2), (1, 1), (1, 1)], {"apart": True, "restart": 3})]
+
+
+@pytest.mark.parametrize("size, sampling, more", JPEGS)
+def test_jpeg_frames_of_any_profile(size, sampling, more):
+    frame, want = jpeg_frame(random.Random(str(size)), *size, sampling, **more)
+    got = jpeg.luminance(frame)
+    assert got.shape == want.shape and np.abs(got - want).max() <= 1
+    for cut in range(0, len(frame) - 2, 37):
+        with pytest.raises(ValueError):
+            jpeg.luminance(frame[:cut])
+
+
+def other_avi(frames, index=True, absolute=False, fps=10):
+    """A file of another maker: a sound stream first, junk, sound between the frames, frames of any size."""
+    def chunk(name, body):
+        return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+
+    sound = chunk(b"LIST", b"strl" + chunk(b"strh", b"auds" + bytes(44)))
+    video = chunk(b"LIST", b"strl" + chunk(b"strh", b"vidsMJPG" + bytes(12) + struct.pack("<II", 1, fps) + bytes(28)))
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", bytes(56)) + sound + video) + chunk(b"JUNK", b"abc")
+    movi, rows = b"movi", []
+    for f in frames:
+        for name, body in ((b"00wb", b"snd"), (b"01dc", f)):
+            rows.append((name, 16, len(movi) + (12 + len(head) + 8 if absolute else 0), len(body)))
+            movi += chunk(name, body)
+    return chunk(b"RIFF", b"AVI " + head + chunk(b"LIST", movi) + (chunk(b"idx1", b"".join(struct.pack("<4sIII", *x) for x in rows)) if index else b""))
+
+
+def test_clips_of_other_files(spark):
+    r = random.Random(9)
+    dark, light = ([jpeg_frame(random.Random(s), 24, 16, [(2, 1), (1, 1), (1, 1)])[0]] * 5 for s in (1, 2))
+    files = [other_avi(dark + light), other_avi(dark + light, absolute=True), other_avi(dark + light, index=False)]
+    for f in files:
+        assert [(c["start_ms"], c["end_ms"], c["frames"]) for c in media.clips_of(f)] == [(0, 500, 5), (500, 1000, 5)]
+    bad = [None, b"", b"RIFF", b"text", files[0][:300], other_avi([b"no frame"]), other_avi([dark[0][:90]]), other_avi([])]
+    bad += [files[0][:k] + bytes([r.randrange(256)]) + files[0][k + 1 :] for k in range(0, 400, 3)]  # may still be readable, mustn't raise
+    for f in bad:
+        media.clips_of(f)
+    assert not any(map(media.clips_of, bad[:8]))
+    rows = spark.createDataFrame([(1, bytearray(files[0]), 3)] * 2 + [(2, bytearray(b"bad"), 3), (None, None, 3)], "doc_id long, media binary, clip int")
+    assert sorted((x.doc_id, x.clip, x.frames) for x in media.clips(rows).collect()) == [(1, 0, 5), (1, 0, 5), (1, 1, 5), (1, 1, 5)]
+
+
+def test_media_digest_by_its_definition(spark):
+    texts = ["", None, "a", "a", "word " * 30_000, "\x00" * 64, "é" * 700]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(2, "a", "y")], "doc_id long, text string, media string")
+    got = docs.selectExpr("doc_id", "cast(text as binary) as text").mapInArrow(media._digest(), media.DIGEST).collect()
+    assert len(got) == 8
+    for x in got:
+        text = (texts[x.doc_id] or "").encode()
+        file = media.write_avi(media.padded(text))
+        whole = media.padded(text)
+        counts = []
+        for a in range(0, len(whole), media.FRAME_BYTES):
+            c = np.zeros((media.BLOCKS, 64))
+            part = np.frombuffer(whole[a : a + media.FRAME_BYTES].ljust(media.FRAME_BYTES, b"\0"), np.uint8).reshape(-1, 64)
+            c[:, jpeg.ZIGZAG] = part + 256.0
+            k = np.arange(8)
+            basis = np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None] * np.cos((2 * k[None] + 1) * k[:, None] * np.pi / 16)
+            s = np.clip(np.rint(basis.T @ c.reshape(-1, 8, 8) @ basis + 128), 0, 255)
+            counts.append(np.bincount((s // 8).astype(int).ravel(), minlength=32))
+        cuts = media.shots(np.array(counts))
+        longest = max(b - a for a, b in cuts)
+        assert (x.media_bytes, x.media_sha256, x.payload_sha256, x.n_bytes) == (len(file), hashlib.sha256(file).hexdigest(), hashlib.sha256(whole).hexdigest(), len(text))
+        assert x.feature.startswith(f"frames={len(counts)};shots={len(cuts)};longest={longest};brightness=")
+        a, b = cuts[0]
+        mean = (np.sum(counts[a:b], axis=0) @ (8 * np.arange(32) + 4)) / np.sum(counts[a:b])
+        assert float(x.feature.rsplit("=", 1)[1]) == pytest.approx(mean, abs=0.2)
+    assert len({(x.media_sha256, x.feature) for x in got if texts[x.doc_id] == "a"}) == 1
+    assert docs.limit(0).selectExpr("doc_id", "cast(text as binary) as text").mapInArrow(media._digest(), media.DIGEST).count() == 0
+
+
 def test_lookup_table_by_turns():
     shards, slots = tuple("abcde"), 101
     owner = sharding.lookup_table(shards, slots)
