@@ -35,6 +35,8 @@ COSINE = 0.95
 PER_PIVOT, PIVOTS = 8192, 1024
 #: Bytes of either side of a unit, in double precision, the fewest vectors of one, and pairs that are bounded at a time.
 SIDE_BYTES, LEAST, AT_ONCE = 16 << 20, 256, 1 << 21
+#: Sides at least that all vectors make, so that small inputs spread as well.
+SIDES = 6
 #: Coordinates that bound a cosine, and what single precision may have lost of the bound.
 LEADING, SLACK = 16, 1e-5
 
@@ -219,7 +221,7 @@ def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     some = distinct.orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(PIVOTS, -(-n // PER_PIVOT)))).select("embedding").toArrow()["embedding"]
     if n:
         pivots = _matrix(some)[0]
-        most = max(LEAST, SIDE_BYTES // (8 * pivots.shape[1]))
+        most = max(LEAST, min(SIDE_BYTES // (8 * pivots.shape[1]), n // SIDES))
         count = distinct.mapInArrow(_counts(pivots, reach), "cell long, home long, guests long").groupBy("cell").agg(F.sum("home"), F.sum("guests")).collect()
         homes, guests = np.zeros((2, len(pivots)), np.int64)
         for cell, home, met in count:
