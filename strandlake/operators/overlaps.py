@@ -311,8 +311,10 @@ def map_reads(reads: DataFrame, p: MapParams) -> DataFrame:
     from strandlake.operators.kmers import index
     from strandlake.operators.reads import trimmed_to_bins
 
+    from strandlake.operators.graph import checkpointed
+
     cut = trimmed_to_bins(reads, p.bin_size)
-    posted = index(reads, p)
+    posted = checkpointed(index(reads, p))
     lengths = cut.select("ridx", (F.col("bincnt") * p.bin_size).alias("len"))
     hits = seed_hits(posted, posted, lengths, p)
     found = align(cells(islands(hits, p), p), cut.select("ridx", "bincnt"), p)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from strandlake.config import GraphParams
 from strandlake.functions.sequence import cigar_runs
 
+#: Bins of a slot, in which regions of a read are compared.
+SLOT = 64
+
 
 def sides(overlaps: DataFrame) -> DataFrame:
     """Each overlap from both of its reads: (rid, beg, end, len, odir, obeg, oend, olen, mat)."""
@@ -54,8 +57,11 @@ def chimera_cuts(overlaps: DataFrame, margin: int = 4) -> DataFrame:
     right = F.when(F.col("odir") == 0, F.col("olen") - F.col("oend")).otherwise(F.col("obeg"))
     spur = F.array_compact(F.array(F.when((F.col("beg") > margin) & (left > margin), F.col("beg")), F.when((F.col("end") + margin < F.col("len")) & (right > margin), F.col("end"))))
     at = s.select("rid", F.explode(spur).alias("pos")).groupBy("rid", "pos").agg(F.count("*").alias("spurs"))
-    through = at.join(s.select("rid", "beg", "end"), "rid").where("beg < pos and end > pos").groupBy("rid", "pos").agg(F.count("*").alias("depth"))
-    return at.join(through, ["rid", "pos"], "left").select("rid", "pos", "spurs", F.coalesce("depth", F.lit(0)).alias("depth")).where("spurs > 2 * depth")
+    # overlaps through a place: those that began before it, less those that ended up to it
+    steps = s.select("rid", F.inline(F.array(F.struct((F.col("beg") + 1).alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))).groupBy("rid", "pos").agg(F.sum("d").alias("d"))
+    both = steps.select("rid", "pos", "d", F.lit(0).alias("spurs")).unionByName(at.select("rid", "pos", F.lit(0).alias("d"), "spurs")).groupBy("rid", "pos").agg(F.sum("d").alias("d"), F.sum("spurs").alias("spurs"))
+    depth = F.sum("d").over(Window.partitionBy("rid").orderBy("pos"))
+    return both.withColumn("depth", depth).where("spurs > 0 and spurs > 2 * depth").select("rid", "pos", "spurs", "depth")
 
 
 def tiles(overlaps: DataFrame, p: GraphParams) -> DataFrame:
@@ -73,20 +79,21 @@ def tiles(overlaps: DataFrame, p: GraphParams) -> DataFrame:
     def step(runs: F.Column) -> F.Column:
         return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["op"], r["n"])))
 
-    ops = o.withColumn("ops", step(cigar_runs(F.col("cigar")))).withColumn("oid", F.monotonically_increasing_id())
-    each = ops.select("oid", "qidx", "qdir", "qlen", "tidx", "qs", "tb", "mask", F.posexplode("ops").alias("k", "op"))
-    w = Window.partitionBy("oid").orderBy("k")
+    oid = ["qidx", "tidx", "qdir", "qlen", "qs", "tb", "mask", "cigar"]
+    ops = o.groupBy(oid).agg(F.count("*").alias("times")).withColumn("ops", step(cigar_runs(F.col("cigar"))))
+    each = ops.select(*oid, "times", F.posexplode("ops").alias("k", "op"))
+    w = Window.partitionBy(oid).orderBy("k")
     x = F.sum(F.lower("op").isin("m", "i").cast("int")).over(w) - 1
     y = F.sum(F.lower("op").isin("m", "d").cast("int")).over(w) - 1
     path = each.select("*", (F.greatest(x, F.lit(0)) + F.col("qs")).alias("x"), (F.greatest(y, F.lit(0)) + F.col("tb")).alias("y"), F.col("op").isin("M", "I", "D").cast("int").alias("hit"))
     # the query's tiles on the target
     on_t = path.withColumn("pos", F.when(F.col("qdir") == 0, F.col("x")).otherwise(F.col("qlen") - 1 - F.col("x")))
-    on_t = on_t.groupBy("oid", "qidx", "tidx", "qdir", "qlen", "mask", F.floor(F.col("pos") / n).cast("int").alias("tile")).agg(F.sum("hit").alias("mat"), F.min("y").alias("beg"), (F.max("y") + 1).alias("end"), F.count_distinct("x").alias("w"))
-    on_t = on_t.where((F.col("w") == n) & (F.col("mat") >= p.min_node_mats)).select(F.col("qidx").alias("anchor"), "tile", F.col("tidx").alias("rid"), F.col("qdir").alias("dir"), "beg", "end", "mask")
-    on_q = path.groupBy("oid", "qidx", "tidx", "qdir", "qlen", "mask", F.floor(F.col("y") / n).cast("int").alias("tile")).agg(F.sum("hit").alias("mat"), F.min("x").alias("b"), (F.max("x") + 1).alias("e"), F.count_distinct("y").alias("w"))
+    on_t = on_t.groupBy(*oid, "times", F.floor(F.col("pos") / n).cast("int").alias("tile")).agg(F.sum("hit").alias("mat"), F.min("y").alias("beg"), (F.max("y") + 1).alias("end"), F.count_distinct("x").alias("w"))
+    on_t = on_t.where((F.col("w") == n) & (F.col("mat") >= p.min_node_mats)).select(F.col("qidx").alias("anchor"), "tile", F.col("tidx").alias("rid"), F.col("qdir").alias("dir"), "beg", "end", "mask", "times")
+    on_q = path.groupBy(*oid, "times", F.floor(F.col("y") / n).cast("int").alias("tile")).agg(F.sum("hit").alias("mat"), F.min("x").alias("b"), (F.max("x") + 1).alias("e"), F.count_distinct("y").alias("w"))
     back = F.col("qdir") == 1
-    on_q = on_q.where((F.col("w") == n) & (F.col("mat") >= p.min_node_mats)).select(F.col("tidx").alias("anchor"), "tile", F.col("qidx").alias("rid"), F.col("qdir").alias("dir"), F.when(back, F.col("qlen") - F.col("e")).otherwise(F.col("b")).alias("beg"), F.when(back, F.col("qlen") - F.col("b")).otherwise(F.col("e")).alias("end"), "mask")
-    both = on_t.unionByName(on_q)
+    on_q = on_q.where((F.col("w") == n) & (F.col("mat") >= p.min_node_mats)).select(F.col("tidx").alias("anchor"), "tile", F.col("qidx").alias("rid"), F.col("qdir").alias("dir"), F.when(back, F.col("qlen") - F.col("e")).otherwise(F.col("b")).alias("beg"), F.when(back, F.col("qlen") - F.col("b")).otherwise(F.col("e")).alias("end"), "mask", "times")
+    both = on_t.unionByName(on_q).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     closed = F.col("mask") | ~(F.col("end") - F.col("beg")).between(n - 1, n + 1)
     return both.select("anchor", "tile", "rid", "dir", F.col("beg").cast("int").alias("beg"), F.col("end").cast("int").alias("end"), closed.alias("closed"))
 
@@ -128,9 +135,12 @@ def select_nodes(regions: DataFrame, p: GraphParams) -> DataFrame:
     twice = F.count("*").over(Window.partitionBy("node", "rid")) > 1
     r = checkpointed(r.withColumn("closed", F.col("closed") | twice))
     live = r.where("not closed")
-    a, b = live.select(F.col("node").alias("n1"), "rid", F.col("beg").alias("b1"), F.col("end").alias("e1")), live.select(F.col("node").alias("n2"), "rid", F.col("beg").alias("b2"), F.col("end").alias("e2"))
+    # regions that overlap share a slot of their read: each is in all slots that it touches, and a pair meets where its overlap begins
+    slots = live.withColumn("slot", F.explode(F.sequence(F.floor(F.col("beg") / SLOT), F.floor((F.greatest("beg", F.col("end") - 1)) / SLOT))))
+    a, b = slots.select(F.col("node").alias("n1"), "rid", "slot", F.col("beg").alias("b1"), F.col("end").alias("e1")), slots.select(F.col("node").alias("n2"), "rid", "slot", F.col("beg").alias("b2"), F.col("end").alias("e2"))
     ovl = F.least("e1", "e2") - F.greatest("b1", "b2")
-    conflicts = checkpointed(a.join(b, "rid").where((F.col("n1") < F.col("n2")) & (ovl > p.reg_ovl)).select("n1", "n2", "rid").distinct())
+    here = F.floor(F.greatest("b1", "b2") / SLOT) == F.col("slot")
+    conflicts = checkpointed(a.join(b, ["rid", "slot"]).where((F.col("n1") < F.col("n2")) & here & (ovl > p.reg_ovl)).select("n1", "n2", "rid").distinct())
     open_count = live.groupBy("node").agg(F.count("*").alias("open"))
     # fate of a region: 1 safe, -1 lost; state of its node: 1 accepted, -1 rejected
     regs = checkpointed(live.select("node", "rid", "nreg").join(open_count, "node").select("node", "rid", "nreg", "open", F.lit(0).alias("fate"), F.lit(0).alias("state")))

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as a sequence."""
-    d = table(spark, sf_dir, "documents")
+    d = rd.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(F.col("doc_id").alias("ridx"), F.concat(F.lit("w"), F.floor(F.col("doc_id") / 5).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("_"), (F.col("doc_id") + 1).cast("string")).alias("tag"), text_as_bases(F.coalesce("text", F.lit(""))).alias("seq"))
 
 
@@ -70,7 +70,7 @@ def _lengths(r: DataFrame) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = _index(spark, sf_dir)
+    posted = g.checkpointed(_index(spark, sf_dir))
     return ov.seed_hits(posted, posted, _lengths(reads(spark, sf_dir)), SMALL)
 
 
@@ -130,7 +130,7 @@ def linear_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def column_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The majority letter of each place, over the documents of a source."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("block"), text_as_bases(F.coalesce("text", F.lit(""))).alias("row"))
+    d = rd.spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("block"), text_as_bases(F.coalesce("text", F.lit(""))).alias("row"))
     return con.column_votes(d, 2, 0.3)
 
 

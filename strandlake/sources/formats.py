@@ -26,11 +26,23 @@ def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
     return raw.select(*_tagged(head), seq.alias("seq"))
 
 
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, line, value): the lines of text files, numbered from 0 in each; files are split as Spark splits them.
+
+    Rows of a block of a file come in order, so their row numbers in the task, less the
+    block's first, and the lines of the blocks before give the place in the file.
+    """
+    raw = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    blocks = raw.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    return raw.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("row") - F.col("first")).alias("line"), "value")
+
+
 def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
-    """(tag, dsc, seq, qlt) from records of four lines. A file is read by one task: a quality line may start with @, so only the count of lines tells records apart."""
-    lines = spark.read.text(list(paths), wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("l"))
-    four = lines.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1), lambda k: F.slice("l", k * 4 + 1, F.lit(4)))).alias("r")).where("r[0] like '@%'")
-    return four.select(*_tagged(F.substr(F.col("r")[0], F.lit(2))), F.col("r")[1].alias("seq"), F.col("r")[3].alias("qlt"))
+    """(tag, dsc, seq, qlt) from records of four lines. A quality line may start with @, so lines are told apart by their numbers in the file."""
+    lines = numbered_lines(spark, *paths).select("file", F.floor(F.col("line") / 4).alias("record"), (F.col("line") % 4).alias("k"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    four = lines.groupBy("file", "record").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"l{k}") for k in (0, 1, 3)]).where("l0 like '@%' and l3 is not null")
+    return four.select(*_tagged(F.substr("l0", F.lit(2))), F.col("l1").alias("seq"), F.col("l3").alias("qlt"))
 
 
 def read_overlaps(spark: SparkSession, *paths: str) -> DataFrame:
