@@ -132,6 +132,15 @@ def pieces(total: int, target: int, least: int = 64) -> int:
     return max(least, -(-total // target))
 
 
+#: Pieces to aim at where their size may be chosen within bounds.
+TASKS = 4096
+
+
+def tasks(total: int, least: int, most: int) -> int:
+    """How many pieces hold `total` bytes, of `least` bytes each, or of more, up to `most`, where they would be more than TASKS."""
+    return max(16, -(-total // min(max(least, -(-total // TASKS)), most)))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the cluster's checkpoint folder, so that lost executors cost no recomputation of its lineage."""
     spark = df.sparkSession

@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from strandlake.llm.common import pieces, text_bytes, tidy
+from strandlake.llm.common import pieces, tasks, text_bytes, tidy
 
-#: Text of a bucket, and of all buckets for which one part answers.
-BUCKET_BYTES, PART_BYTES = 3 << 20, 24 << 20
-#: Text of the buckets, and of the parts, of a task.
-TASK_BYTES = 48 << 20
+#: Text of a bucket, and of all buckets for which one part answers, at least; large inputs have parts of up to GROWS times as much, as every bucket may write to every part.
+BUCKET_BYTES, PART_BYTES, GROWS = 3 << 20, 12 << 20, 8
+#: Text of the buckets of a task, at least and at most.
+TASK_BYTES = (12 << 20, 192 << 20)
 #: Runs of one minimiser from which on they are split.
 HOT = 16_384
 #: Window starts that are hashed at a time; longer documents go in several slices.
@@ -467,9 +467,9 @@ def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: str
     one document and come back as separate rows. A null id counts as the largest. Null text: empty.
     """
     total = text_bytes(docs)
-    buckets, parts = pieces(total, bucket_bytes), pieces(total, part_bytes)
+    buckets, parts = pieces(total, bucket_bytes), tasks(total, part_bytes, GROWS * part_bytes)
     bucket = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(buckets)).cast("int")
-    by_bucket, by_part = min(buckets, pieces(total, TASK_BYTES)), min(parts, pieces(total, TASK_BYTES))
+    by_bucket, by_part = min(buckets, tasks(total, *TASK_BYTES)), min(parts, tasks(total, *TASK_BYTES))
     dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([F.struct(*carry).alias("carried")] if carry else [])).repartition(by_bucket, "bucket")
     asked = dealt.groupBy("bucket").applyInArrow(tidy(_ask(u, parts)), MESSAGE).repartition(by_part, "part")
     answered = asked.groupBy("part").applyInArrow(tidy(_answer(hot)), MESSAGE).repartition(by_bucket, "bucket")
