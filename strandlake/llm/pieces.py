@@ -38,7 +38,7 @@ from strandlake.llm.common import Memory, bounded_batches, chunks, gather, table
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of a generation of words, of which a worker remembers two, pairs of pieces it has judged, and bytes of text it encodes at a time.
-REMEMBERED, PAIRS, CHUNK = 64 << 20, 400_000, 1 << 20
+REMEMBERED, PAIRS, CHUNK = 64 << 20, 400_000, 4 << 20
 #: Fixed values of the model format: places of the trainer's part and of its model type, the type's names, what an unknown character costs below the worst piece.
 TRAINER, MODEL_TYPE, TYPES, UNKNOWN_COST = 2, 3, {1: "unigram", 2: "bpe"}, 10.0
 
@@ -212,13 +212,52 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [marked_words(t) for t in texts]
         words = list(set().union(*cut))
-        ids = dict(zip(words, self.words.known(words), strict=True))
-        new = self.learn([w for w, x in ids.items() if x is None])
-        self.words.put(list(new), list(new.values()))
-        ids |= new
+        ids = dict(zip(words, self.ids_of(words), strict=True))
         out = [b"".join(map(ids.__getitem__, c)) for c in cut]
         return [self.fused(x) for x in out] if self.unigram and not self.byte else out
 
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of marked words, remembered or learned."""
+        found = self.words.known(words)
+        new = [k for k, x in enumerate(found) if x is None]
+        learned = self.learn([words[k] for k in new])
+        for k in new:
+            found[k] = learned[words[k]]
+        self.words.put(list(learned), list(learned.values()))
+        return found
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin and end; null: none.
+
+        Words are told apart and made one by Arrow; texts whose words may have other than one
+        mark before them go the way of encode().
+        """
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        starts = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        words = coded.dictionary.to_pylist()
+        at = coded.indices.to_numpy().astype(np.int64)
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        odd = np.fromiter((not w or MARK in w for w in words), bool, len(words))
+        rest = np.flatnonzero(np.add.reduceat(odd[at].astype(np.int64), starts[:-1]) > 0)
+        if self.unigram and not self.byte:
+            rest = np.arange(len(texts))  # unknown characters may meet over a text
+        ids = [b""] * len(words)
+        plain = np.flatnonzero(~odd).tolist()
+        for k, x in zip(plain, self.ids_of([MARK + words[k] for k in plain]), strict=True):
+            ids[k] = x
+        at[starts[rest]] = len(ids) + np.arange(len(rest))
+        ids += self.encode(texts.take(pa.array(rest)).to_pylist())
+        skipped = np.zeros(len(at), bool)
+        for k in rest.tolist():
+            skipped[starts[k] + 1 : starts[k + 1]] = True
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lengths = np.where(skipped, 0, size[at])
+        values = gather(np.frombuffer(b"".join(ids), np.int32), (np.cumsum(size) - size)[at], lengths)
+        return values, np.r_[0, np.cumsum(lengths)][starts]
+
     def fused(self, ids: bytes) -> bytes:
         """Unigram models give a run of unknown characters one id."""
         k = np.frombuffer(ids, np.int32)
@@ -291,10 +330,8 @@ def _encode(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         m = model(path)
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
-                got = m.encode([t or "" for t in part.column("text").to_pylist()])
-                values = pa.array(np.frombuffer(b"".join(got), np.int32))
-                ends = np.r_[0, np.cumsum([len(g) // 4 for g in got])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
+                values, ends = m.encode_column(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))], names=["doc_id", "ids"])
 
     return encode
 

@@ -467,9 +467,9 @@ def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: str
     one document and come back as separate rows. A null id counts as the largest. Null text: empty.
     """
     total = text_bytes(docs)
-    buckets, parts = pieces(total, bucket_bytes), tasks(total, part_bytes, GROWS * part_bytes)
+    buckets, parts = pieces(total, bucket_bytes), max(64, tasks(total, part_bytes, GROWS * part_bytes))
     bucket = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(buckets)).cast("int")
-    by_bucket, by_part = min(buckets, tasks(total, *TASK_BYTES)), min(parts, tasks(total, *TASK_BYTES))
+    by_bucket = by_part = max(64, tasks(total, *TASK_BYTES))
     dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([F.struct(*carry).alias("carried")] if carry else [])).repartition(by_bucket, "bucket")
     asked = dealt.groupBy("bucket").applyInArrow(tidy(_ask(u, parts)), MESSAGE).repartition(by_part, "part")
     answered = asked.groupBy("part").applyInArrow(tidy(_answer(hot)), MESSAGE).repartition(by_bucket, "bucket")

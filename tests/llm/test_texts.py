@@ -251,6 +251,9 @@ def test_pieces_are_the_librarys_and_decode_again(odd_docs, odd_texts):
     r = random.Random(1)
     texts = ["".join(r.choice(["a", "e", "the", "ing", " ", "  ", "\n", "é", "🎉", "<s>", "▁", "ss", "aaa"]) for _ in range(r.randint(0, 15))) for _ in range(800)]
     assert [np.frombuffer(b, np.int32).tolist() for b in pieces.model().encode(texts)] == [library.encode(t) for t in texts]
+    for part in (pa.array(texts), pa.array(["x", *texts])[1:], pa.array([], pa.string())):
+        values, ends = pieces.model().encode_column(part)
+        assert [values[i:j].tolist() for i, j in zip(ends, ends[1:])] == [library.encode(t) for t in part.to_pylist()]
 
 
 def unigram_model(path, pieces_):
