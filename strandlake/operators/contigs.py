@@ -110,6 +110,8 @@ def clean_links(found: DataFrame, frags: DataFrame, p: GraphParams, fuzz: int =
     """The clean-up of links: double links, transitive ones, boomerangs of short fragments, weak branches, tips, bubbles, repeats. Lengths are in bins."""
     from strandlake.operators.graph import KEY, bubble_nodes, tip_nodes, transitive, without_nodes
 
+    if found.isEmpty():
+        return found
     weak = found.select(*KEY, "weak")
 
     def with_weak(edges: DataFrame) -> DataFrame:
@@ -175,10 +177,39 @@ def densified(ctgs: DataFrame, regions: DataFrame, least: int = 12) -> DataFrame
 
 def contigs(edges: DataFrame, nodes: DataFrame, p: GraphParams) -> DataFrame:
     """(ctg, step, node, dir, pos) of paths with enough nodes and length; ctg is the path's first state."""
-    placed = checkpointed(offsets(unitigs(edges, nodes), edges, p.reg_len))
-    size = placed.groupBy("utg").agg(F.count("*").alias("n"), (F.max("pos") + p.reg_len).alias("length"))
-    kept = size.where((F.col("n") >= p.ctg_min_nodes) & (F.col("length") >= p.ctg_min_length)).select("utg")
-    return placed.join(kept, "utg", "left_semi").withColumnRenamed("utg", "ctg")
+    return long_enough(checkpointed(offsets(unitigs(edges, nodes), edges, p.reg_len)).withColumnRenamed("utg", "ctg"), p)
+
+
+def long_enough(placed: DataFrame, p: GraphParams) -> DataFrame:
+    """Those of placed paths(ctg, step, node, dir, pos) that have enough nodes and length."""
+    size = placed.groupBy("ctg").agg(F.count("*").alias("n"), (F.max("pos") + p.reg_len).alias("length"))
+    kept = size.where((F.col("n") >= p.ctg_min_nodes) & (F.col("length") >= p.ctg_min_length)).select("ctg")
+    return placed.join(kept, "ctg", "left_semi")
+
+
+def scaffolded(utgs: DataFrame, edges: DataFrame, cleaned: DataFrame, p: GraphParams) -> DataFrame:
+    """(ctg, step, node, dir, pos): fragments along the unbranched paths of cleaned links, as paths of nodes.
+
+    A fragment that is passed against its own direction gives its nodes in reverse order,
+    turned round. A link's off is the gap between its fragments, or minus what they share.
+    """
+    placed = checkpointed(offsets(utgs, edges, p.reg_len))
+    sizes = placed.groupBy("utg").agg((F.max("pos") + p.reg_len).alias("length"), F.count("*").alias("n"))
+    paths = unitigs(cleaned, sizes.select(F.col("utg").alias("node"))).select(F.col("utg").alias("ctg"), F.col("step").alias("k"), F.col("node").alias("utg"), F.col("dir").alias("udir"))
+    h = half_edges(cleaned, 3).select(F.col("src").alias("utg"), F.col("sdir").alias("udir"), F.col("dst").alias("u2"), F.col("ddir").alias("d2"), F.col("off").alias("gap")).groupBy("utg", "udir", "u2", "d2").agg(F.min("gap").alias("gap"))
+    w = Window.partitionBy("ctg").orderBy("k")
+    ahead = paths.withColumn("u2", F.lead("utg").over(w)).withColumn("d2", F.lead("udir").over(w)).join(h, ["utg", "udir", "u2", "d2"], "left").join(sizes, "utg")
+    step = F.greatest(F.col("length") + F.coalesce("gap", F.lit(0)), F.lit(1))
+    at = ahead.withColumn("start", F.sum(step).over(w) - step).withColumn("before", F.sum("n").over(w) - F.col("n"))
+    nodes = at.select("ctg", "utg", "udir", "length", "n", "start", "before").join(placed.select("utg", "step", "node", "dir", F.col("pos").alias("inner")), "utg")
+    along = F.col("udir") == 0
+    return nodes.select(
+        "ctg",
+        (F.col("before") + F.when(along, F.col("step")).otherwise(F.col("n") - 1 - F.col("step"))).cast("int").alias("step"),
+        "node",
+        F.col("dir").bitwiseXOR(F.col("udir")).alias("dir"),
+        (F.col("start") + F.when(along, F.col("inner")).otherwise(F.col("length") - F.col("inner") - p.reg_len)).cast("int").alias("pos"),
+    )
 
 
 def layout(ctgs: DataFrame, regions: DataFrame, reads: DataFrame, bin_size: int) -> DataFrame:
@@ -203,19 +234,38 @@ def layout(ctgs: DataFrame, regions: DataFrame, reads: DataFrame, bin_size: int)
 
 
 def assemble(reads: DataFrame, map_params, p: GraphParams) -> dict[str, DataFrame]:
-    """The whole way from reads to contigs: overlaps, regions, nodes, edges, contigs."""
+    """The whole way from reads to contigs.
+
+    Overlaps; without contained reads and cut at chimeras; regions, nodes, those of repeats
+    masked; edges, with mercy rescues, cleaned; unitigs as fragments; links between them by
+    the reads that see both, cleaned; contigs along the links, and their long edges filled
+    with the nodes of their reads.
+    """
     from strandlake.operators import overlaps as o
     from strandlake.operators import regions as r
-    from strandlake.operators.graph import clean
+    from strandlake.operators.graph import clean, repeat_nodes, rescue_mercy
     from strandlake.operators.reads import trimmed_to_bins
 
     cut = checkpointed(trimmed_to_bins(reads, map_params.bin_size))
     found = checkpointed(o.map_reads(reads, map_params))
-    clip = r.clips(found, p.max_overhang if p.max_overhang > 0 else 4)
-    cand = checkpointed(r.candidates(r.tiles(found, p), cut, p))
-    chosen = checkpointed(r.within_clips(r.select_nodes(cand, p), clip))
+    inner = checkpointed(o.contained_reads(found))
+    margin = p.max_overhang if p.max_overhang > 0 else 4
+    clip = r.clips(found, margin)
+    # a read that lies in another one adds nothing to the graph but depth: it is no anchor of nodes
+    anchors = cut.join(inner.select(F.col("rid").alias("ridx")), "ridx", "left_anti").select(cut.columns)
+    tiled = r.tiles(found, p).join(inner.select(F.col("rid").alias("anchor")), "anchor", "left_anti")
+    cand = checkpointed(r.candidates(tiled.select("anchor", "tile", "rid", "dir", "beg", "end", "closed"), anchors, p))
+    chosen = r.without_chimeras(r.within_clips(r.select_nodes(cand, p), clip), r.chimera_cuts(found, margin))
+    chosen = checkpointed(chosen)
     nodes = checkpointed(r.mask_by_depth(chosen, p))
+    masked = checkpointed(repeat_nodes(chosen.join(nodes.where("not closed").select("node"), "node", "left_semi"), p.min_node_cov))
+    nodes = checkpointed(nodes.join(masked.withColumn("repeat", F.lit(True)), "node", "left").select("node", "nreg", (F.col("closed") | F.coalesce("repeat", F.lit(False))).alias("closed")))
     raw = checkpointed(build_edges(chosen, nodes, p))
-    edges = clean(raw, nodes, p)
-    live = degrees(edges).select("node")
-    return {"overlaps": found, "regions": chosen, "nodes": nodes, "raw_edges": raw, "edges": edges, "contigs": contigs(edges, live, p), "reads": cut}
+    edges = clean(checkpointed(rescue_mercy(raw, chosen.join(nodes.where("not closed").select("node"), "node", "left_semi"))), nodes, p)
+    live = nodes.where("not closed").select("node").join(degrees(edges).select("node"), "node", "left_semi")
+    utgs = checkpointed(unitigs(edges, live))
+    frags = checkpointed(fragments(utgs, edges, p.reg_len))
+    linked = checkpointed(links(chosen, utgs, edges, p))
+    cleaned = checkpointed(clean_links(linked, frags, p))
+    ctgs = checkpointed(long_enough(checkpointed(scaffolded(utgs, edges, cleaned.drop("weak"), p)), p))
+    return {"overlaps": found, "contained": inner, "regions": chosen, "nodes": nodes, "raw_edges": raw, "edges": edges, "unitigs": utgs, "fragments": frags, "links": cleaned, "contigs": ctgs, "dense": densified(ctgs, chosen), "reads": cut}

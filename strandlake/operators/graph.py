@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -305,14 +306,66 @@ def neighbourhood(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def repeat_nodes(regions: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node) of nodes one of whose sides has several live edges (over `most`, or some of whose targets have no common neighbour on)."""
-    h = half_edges(edges).where("cov > 1")
-    side = h.groupBy("src", "sdir").agg(F.count("*").alias("n"))
-    wide = side.where("n >= 2")
-    h2 = h.select(F.col("src").alias("dst"), F.col("sdir").alias("ddir"), F.col("dst").alias("x"))
-    on = h.join(wide, ["src", "sdir"]).join(h2, ["dst", "ddir"]).groupBy("src", "sdir", "n", "x").agg(F.count_distinct("dst").alias("k"))
-    met = h.select("src", "sdir", F.col("dst").alias("x")).join(wide, ["src", "sdir"]).join(h.select(F.col("src").alias("p"), F.col("dst").alias("x")), "x").where("p != src").select("src", "sdir", "x").distinct()
-    good = on.where("k >= n - 1").select("src", "sdir").distinct().join(met.select("src", "sdir").distinct(), ["src", "sdir"])
-    bad = wide.where(f"n > {most}").select("src", "sdir").unionByName(wide.select("src", "sdir").join(good, ["src", "sdir"], "left_anti"))
-    return bad.select(F.col("src").alias("node")).distinct()
+def initial_ends(edges: DataFrame) -> DataFrame:
+    """(node) of nodes that have live edges on one side only: where the graph ends before it is cleaned."""
+    return degrees(edges).where("fwd = 0 or bwd = 0").select("node")
+
+
+def reopened(edges: DataFrame, keys: DataFrame, most: int = LESS) -> DataFrame:
+    """edges, those of keys(KEY) open again if they aren't closed beyond `most`."""
+    hit = keys.select(*KEY).distinct().withColumn("hit", F.lit(True))
+    joined = edges.join(hit, KEY, "left")
+    return joined.select(*KEY, "cov", "off", F.when(F.col("hit") & (F.col("closed") <= most), OPEN).otherwise(F.col("closed")).alias("closed"))
+
+
+def repeat_nodes(regions: DataFrame, min_node_cov: int, most: int = 64) -> DataFrame:
+    """(node) of nodes that stand in several places: what the reads through one do beyond it never comes together again.
+
+    Judged in the node's own graph: reads through it, each as a walk over its open regions,
+    turned so that they pass the node forward; nodes that fewer than min_node_cov of these
+    reads hold take no part, nor do steps of a single read. A side with two or more steps is
+    good if some node can be reached from all of them; with more than `most`, or if none
+    can, the node is a repeat. A group holds the reads of one node, whose number is bounded
+    by the depth mask.
+    """
+    live = regions.where("not closed").select("node", "rid", "dir", "beg")
+    here = live.select(F.col("node").alias("at"), "rid", F.col("dir").alias("turn"), F.col("beg").alias("place"))
+    walks = here.join(live, "rid").select("at", "rid", "turn", "place", "node", "dir", "beg")
+
+    def judge(t: pa.Table) -> pa.Table:
+        at = t["at"][0].as_py()
+        seen: dict[int, int] = {}
+        reads: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for rid, turn, place, node, dir_, beg in zip(*(t[c].to_pylist() for c in ("rid", "turn", "place", "node", "dir", "beg")), strict=True):
+            reads.setdefault((rid, place), []).append((beg if not turn else -beg, node * 2 + (dir_ ^ turn)))
+        for walk in reads.values():
+            for node in {s // 2 for _, s in walk}:
+                seen[node] = seen.get(node, 0) + 1
+        steps: dict[tuple[int, int], int] = {}
+        for walk in reads.values():
+            states = [s for _, s in sorted(walk) if seen[s // 2] >= min_node_cov]
+            for s, u in zip(states, states[1:]):
+                steps[s, u] = steps.get((s, u), 0) + 1
+                steps[u ^ 1, s ^ 1] = steps.get((u ^ 1, s ^ 1), 0) + 1
+        after: dict[int, list[int]] = {}
+        for (s, u), n in steps.items():
+            if n > 1:
+                after.setdefault(s, []).append(u)
+        bad = False
+        for side in (2 * at, 2 * at + 1):
+            first = after.get(side, [])
+            if len(first) < 2:
+                continue
+            common: set[int] | None = None if len(first) <= most else set()
+            for s in first if common is None else ():
+                reached, todo = {s}, [s]
+                while todo:
+                    for u in after.get(todo.pop(), ()):
+                        if u not in reached and u >> 1 != at:
+                            reached.add(u)
+                            todo.append(u)
+                common = reached if common is None else common & reached
+            bad |= not common
+        return pa.table({"node": pa.array([at] if bad else [], pa.int64())})
+
+    return walks.groupBy("at").applyInArrow(judge, "node long")

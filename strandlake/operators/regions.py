@@ -174,6 +174,13 @@ def within_clips(regions: DataFrame, clip: DataFrame) -> DataFrame:
     return r.select(*[(F.col("closed") | out).alias("closed") if c == "closed" else c for c in regions.columns])
 
 
+def without_chimeras(regions: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Regions, closed where they lie across a place cuts(rid, pos) of their read."""
+    at = regions.where("not closed").select("node", "rid", "beg", "end").join(cuts.select("rid", "pos"), "rid").where("beg < pos and end > pos").select("node", "rid", "beg", "end").distinct()
+    r = regions.join(at.withColumn("cut", F.lit(True)), ["node", "rid", "beg", "end"], "left")
+    return r.select(*[(F.col("closed") | F.coalesce("cut", F.lit(False))).alias("closed") if c == "closed" else c for c in regions.columns])
+
+
 def greedy_best_hits(hits: DataFrame, min_length: int = 0, min_fraction: float = 0.0) -> DataFrame:
     """Of each query its hits by falling span that don't overlap one taken before: hits(qidx, qlen, qb, qe, ...)."""
     columns = hits.columns

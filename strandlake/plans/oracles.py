@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from strandlake.config import SMALL_GRAPH
+
 _SEQ = """reads AS (SELECT doc_id AS ridx, 'w' || (doc_id // 5) || '/' || doc_id || '_' || (doc_id + 1) AS tag,
   translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents)"""
 _BINS = _SEQ + """, bins AS (SELECT ridx, CAST(off AS INT) AS off, substr(seq, off * 64 + 1, 64) AS seq FROM (SELECT ridx, seq, unnest(range(length(seq) // 64)) AS off FROM reads))"""
@@ -54,8 +56,11 @@ _REGIONS = """regs AS (SELECT l_partkey % 100 AS node, l_orderkey AS rid, CAST(l
  placed AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY beg, "end", node, dir) AS k FROM regs)"""
 
 
-def _pairs(span: int) -> str:
-    return _REGIONS + f""", pairs AS (SELECT CASE WHEN a.node < b.node THEN a.node ELSE b.node END AS node1, CASE WHEN a.node < b.node THEN a.dir ELSE 1 - b.dir END AS dir1,
+_LAYERED = _REGIONS.replace("l_partkey % 100 AS node", "l_partkey % 40 * 8 + l_linenumber AS node").replace("CAST(l_suppkey % 2 AS INT) AS dir", "0 AS dir")
+
+
+def _pairs(span: int, regions: str = _REGIONS) -> str:
+    return regions + f""", pairs AS (SELECT CASE WHEN a.node < b.node THEN a.node ELSE b.node END AS node1, CASE WHEN a.node < b.node THEN a.dir ELSE 1 - b.dir END AS dir1,
   CASE WHEN a.node < b.node THEN b.node ELSE a.node END AS node2, CASE WHEN a.node < b.node THEN b.dir ELSE 1 - a.dir END AS dir2, b.beg - a."end" AS off, CAST(b.k = a.k + 1 AS INT) AS adjacent
   FROM placed a JOIN placed b ON a.rid = b.rid AND a.k < b.k AND b.beg <= a."end" + {span} AND a.node <> b.node)"""
 
@@ -76,15 +81,95 @@ def _nx(lengths: str, xs: str) -> str:
  nx AS (SELECT x, min(k) AS lx, max(len) AS nx FROM (SELECT unnest({xs}) AS x) JOIN down ON upto * 100 >= total * x GROUP BY x)"""
 
 
-_LINKS = _pairs(8) + f""", found AS (SELECT node1, dir1, node2, dir2, CAST(count(*) AS INT) AS cov, {_MEDIAN} AS off, count(*) < 3 AS weak FROM pairs GROUP BY ALL),
+def _links(pairs: str) -> str:
+    return pairs + f""", found AS (SELECT node1, dir1, node2, dir2, CAST(count(*) AS INT) AS cov, {_MEDIAN} AS off, count(*) < 3 AS weak FROM pairs GROUP BY ALL),
  halves AS (SELECT node1 AS src, dir1 AS sdir, node2 AS dst, dir2 AS ddir, cov FROM found UNION ALL SELECT node2, 1 - dir2, node1, 1 - dir1, cov FROM found)"""
 
+
+_LINKS = _links(_pairs(8))
+_LADDER = """k AS (SELECT p_partkey * 4 AS n FROM part), edges AS (
+  SELECT n AS node1, 0 AS dir1, n + 4 AS node2, 0 AS dir2, 9 AS cov, 0 AS off, 0 AS closed FROM k WHERE n % 28 <> 0 UNION ALL SELECT n, 0, n + 1, 0, 5, 0, 0 FROM k WHERE n % 20 = 0
+  UNION ALL SELECT n, 0, n + 2, 0, 7, 0, 0 FROM k WHERE n % 44 = 0 UNION ALL SELECT n + 2, 0, n + 8, 0, 6, 0, 0 FROM k WHERE n % 44 = 0)"""
+_HALVES = """, halves AS (SELECT node1 AS src, dir1 AS sdir, node2 AS dst, dir2 AS ddir, cov, off FROM edges WHERE closed = 0 UNION ALL SELECT node2, 1 - dir2, node1, 1 - dir1, cov, off FROM edges WHERE closed = 0),
+ degrees AS (SELECT src AS node, count(*) FILTER (sdir = 0) AS fwd, count(*) FILTER (sdir = 1) AS bwd FROM halves GROUP BY src)"""
+
+
+def _unitigs(edges: str) -> str:
+    """Paths without branches of a graph without rings: each state's way to the end, and of both directions that with the smaller first state."""
+    return edges + _HALVES + """, single AS (SELECT src, sdir FROM halves GROUP BY ALL HAVING count(*) = 1),
+ steps AS (SELECT src * 2 + sdir AS state, dst * 2 + ddir AS next FROM halves WHERE (src, sdir) IN (SELECT (src, sdir) FROM single) AND (dst, 1 - ddir) IN (SELECT (src, sdir) FROM single)),
+ states AS (SELECT node * 2 AS state FROM degrees UNION ALL SELECT node * 2 + 1 FROM degrees),
+ walk AS (SELECT state AS head, state, 0 AS step FROM states WHERE state NOT IN (SELECT next FROM steps) UNION ALL SELECT head, next, step + 1 FROM walk JOIN steps USING (state)),
+ utg AS (SELECT head AS utg, step, state // 2 AS node, CAST(state % 2 AS INT) AS dir FROM walk WHERE head IN (SELECT head FROM walk GROUP BY head HAVING head <= xor(arg_max(state, step), 1))),
+ size AS (SELECT utg, max(step) + 1 AS n, arg_min(node, step) AS n0, 1 - arg_min(dir, step) AS d0, arg_max(node, step) AS n1, arg_max(dir, step) AS d1 FROM utg GROUP BY utg),
+ outs AS (SELECT src, sdir, count(*) AS n FROM halves GROUP BY ALL),
+ ends_ AS (SELECT e.*, coalesce(o.n, 0) AS out FROM (SELECT utg, n, 0 AS e, n0 AS node, d0 AS dir FROM size UNION ALL SELECT utg, n, 1, n1, d1 FROM size) e LEFT JOIN outs o ON o.src = node AND o.sdir = dir),
+ sized AS (SELECT a.*, b.out AS out2 FROM ends_ a JOIN ends_ b ON a.utg = b.utg AND a.e <> b.e)"""
+
+
+_ALIGNED = _OVL + """, al AS (SELECT *, qb % 9 + 4 AS a, tb % 3 + 1 AS b, qb % 4 + 1 AS c, tb % 2 + 1 AS d, aln - 3 AS e FROM ovl),
+ aligned AS (SELECT qidx, qdir, 160 AS qlen, qb, qb + a + b + c + e AS qe, tidx, 160 AS tlen, tb, tb + a + c + d + e AS te, mat, aln, cnt, gap, a || 'M' || b || 'I' || c || 'm' || d || 'D' || e || 'M' AS cigar, repeat('M', a) || repeat('I', b) || repeat('m', c) || repeat('D', d) || repeat('M', e) AS ops, a, b, c, d, e FROM al)"""
+_SAM = """sam AS (SELECT CAST(event_id AS VARCHAR) AS qname, event_type AS rname, CAST(event_id % 500 + 1 AS INT) AS pos, CAST(event_id % 61 AS INT) AS mapq, event_id % 4 * 2 AS s, event_id % 9 + 5 AS a, event_id % 7 + 1 AS b FROM events),
+ good AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rname, pos ORDER BY mapq DESC, qname) AS k FROM sam WHERE mapq >= 10) WHERE k = 1)"""
+_NODES = 'regs AS (SELECT l_partkey % 100 AS node, l_orderkey AS rid, CAST(l_suppkey % 2 AS INT) AS dir, CAST((l_linenumber - 1) * 6 AS INT) AS beg, CAST((l_linenumber - 1) * 6 + 4 AS INT) AS "end", l_orderkey % 7 = 0 AS closed FROM lineitem)'
+
 ORACLE_SQL: dict[str, str] = {
     "weak_branches": _q(_LINKS + ", forks AS (SELECT src, sdir FROM halves GROUP BY ALL HAVING count(*) > 1)", "SELECT node1, dir1, node2, dir2 FROM found WHERE weak AND ((node1, dir1) IN (SELECT (src, sdir) FROM forks) OR (node2, 1 - dir2) IN (SELECT (src, sdir) FROM forks))"),
     "binary_links": _q(_LINKS + """, ranked AS (SELECT *, count(*) OVER p AS n, max(cov) OVER p AS best FROM halves WINDOW p AS (PARTITION BY src, dst)),
  lost AS (SELECT src, sdir, dst, ddir FROM (SELECT *, count(*) FILTER (cov = best) OVER (PARTITION BY src, dst) AS top FROM ranked) WHERE n > 1 AND (cov < best OR top > 1))""", "SELECT node1, dir1, node2, dir2, cov, off, CASE WHEN (node1, dir1, node2, dir2) IN (SELECT (src, sdir, dst, ddir) FROM lost) OR (node2, 1 - dir2, node1, 1 - dir1) IN (SELECT (src, sdir, dst, ddir) FROM lost) THEN 3 ELSE 0 END AS closed FROM found"),
-    "boomerangs": _q(_LINKS + """, d AS (SELECT src AS node, count(*) FILTER (sdir = 0) AS fwd, count(*) FILTER (sdir = 1) AS bwd FROM halves GROUP BY src),
- short AS (SELECT p_partkey % 100 AS node FROM part GROUP BY 1 HAVING max(p_size) <= 40), b AS (SELECT node FROM d JOIN short USING (node) WHERE (fwd = 0 AND bwd > 1) OR (bwd = 0 AND fwd > 1))""", "SELECT node1, dir1, node2, dir2 FROM found WHERE node1 IN (SELECT node FROM b) OR node2 IN (SELECT node FROM b)"),
+    "boomerangs": _q(_links(_pairs(8, _LAYERED)) + """, d AS (SELECT src AS node, count(*) FILTER (sdir = 0) AS fwd, count(*) FILTER (sdir = 1) AS bwd FROM halves GROUP BY src),
+ short AS (SELECT p_partkey % 320 AS node FROM part GROUP BY 1 HAVING max(p_size) <= 50), b AS (SELECT node FROM d JOIN short USING (node) WHERE (fwd = 0 AND bwd > 1) OR (bwd = 0 AND fwd > 1))""", "SELECT node1, dir1, node2, dir2 FROM found WHERE node1 IN (SELECT node FROM b) OR node2 IN (SELECT node FROM b)"),
+    "chain": _q(_OVL + """, o AS (SELECT *, CASE WHEN qdir = 0 THEN qb ELSE qlen - qe END AS qs, CASE WHEN qdir = 0 THEN qe ELSE qlen - qb END AS qt FROM ovl),
+ f AS (SELECT *, coalesce(lag(te) OVER w, 0) <= tb AND coalesce(lag(qt) OVER w, 0) <= qs AS fits, row_number() OVER w AS k FROM o WINDOW w AS (PARTITION BY qidx, tidx, qdir ORDER BY tb, te, qs)),
+ whole AS (SELECT qidx, tidx, qdir, bool_and(fits) AND count(*) > 1 AND abs((max(qt) - min(qs)) - (max(te) - min(tb))) <= floor(greatest(least(max(qt) - min(qs), max(te) - min(tb)) * 0.25, 1)) AS joins FROM f GROUP BY ALL),
+ g AS (SELECT f.*, CASE WHEN joins THEN 0 ELSE k END AS part FROM f JOIN whole USING (qidx, tidx, qdir))""", """SELECT qidx, qdir, any_value(qlen) AS qlen, min(qb) AS qb, max(qe) AS qe, tidx, any_value(tlen) AS tlen, min(tb) AS tb, max(te) AS te, CAST(sum(mat) AS INT) AS mat,
+ CAST(CASE WHEN count(*) > 1 THEN least(max(qe) - min(qb), max(te) - min(tb)) ELSE sum(aln) END AS BIGINT) AS aln, CAST(sum(cnt) AS INT) AS cnt, CAST(sum(gap) AS INT) AS gap, '*' AS cigar FROM g GROUP BY qidx, tidx, qdir, part"""),
+    "ladder_unitigs": _q("RECURSIVE " + _unitigs(_LADDER), "SELECT utg, step, node, dir FROM utg"),
+    "tip_nodes": _q("RECURSIVE " + _unitigs(_LADDER) + """, tips AS (SELECT utg, n, src AS tip, dst AS j, ddir AS jdir, cov AS tcov, off AS toff FROM sized JOIN halves ON src = node AND sdir = dir WHERE out = 1 AND out2 = 0 AND n <= 10),
+ reach AS (SELECT node AS r, dir AS rdir, n + CAST(out2 > 0 AS INT) AS rn FROM sized),
+ met AS (SELECT t.*, h.src AS r, h.cov AS rcov, h.off AS roff, rn FROM tips t JOIN halves h ON h.dst = j AND h.ddir = jdir AND h.src <> tip JOIN reach ON r = h.src AND rdir = h.sdir),
+ lost AS (SELECT utg FROM met WHERE rn > n OR (rn = n AND (rcov > tcov OR (n = 1 AND rcov = tcov AND (roff > toff OR (roff = toff AND r < tip))))))""", "SELECT DISTINCT node FROM utg WHERE utg IN (SELECT utg FROM lost)"),
+    "bubble_nodes": _q("RECURSIVE " + _unitigs(_LADDER.replace("UNION ALL SELECT n, 0, n + 1, 0, 5, 0, 0 FROM k WHERE n % 20 = 0\n", "")) + """, beyond AS (SELECT utg, n, e, dst, ddir, cov FROM ends_ JOIN halves ON src = node AND sdir = dir WHERE out = 1 AND n <= 40),
+ both_ AS (SELECT a.utg, a.n, least((a.dst, a.ddir), (b.dst, b.ddir)) AS f, greatest((a.dst, a.ddir), (b.dst, b.ddir)) AS t, a.cov + b.cov AS cov FROM beyond a JOIN beyond b ON a.utg = b.utg AND a.e = 0 AND b.e = 1 WHERE a.dst <> b.dst),
+ lost AS (SELECT utg FROM (SELECT utg, row_number() OVER (PARTITION BY f, t ORDER BY cov DESC, n DESC, utg) AS k FROM both_) WHERE k > 1)""", "SELECT DISTINCT node FROM utg WHERE utg IN (SELECT utg FROM lost)"),
+    "neighbourhood": _q("RECURSIVE " + _LADDER + _HALVES + ", near AS (SELECT p_partkey * 4 AS node, 0 AS hop FROM part WHERE p_partkey % 50 = 0 UNION SELECT dst, hop + 1 FROM near JOIN halves ON src = node WHERE hop < 4)", "SELECT node, min(hop) AS hop FROM near GROUP BY node"),
+    "rescue_mercy": _q(_pairs(8, _LAYERED) + f""", edges AS (SELECT node1, dir1, node2, dir2, CAST(count(*) AS INT) AS cov, {_MEDIAN} AS off, CASE WHEN max(adjacent) = 1 AND count(*) >= 9 THEN 0 ELSE 2 END AS closed FROM pairs GROUP BY ALL)""" + _HALVES + """,
+ seen AS (SELECT rid, p.node, lead(p.node) OVER w AS nxt, CASE WHEN dir = 0 THEN coalesce(fwd, 0) ELSE coalesce(bwd, 0) END AS ahead, dir, lead(dir) OVER w AS ndir, lead(CASE WHEN dir = 0 THEN coalesce(bwd, 0) ELSE coalesce(fwd, 0) END) OVER w AS behind FROM placed p LEFT JOIN degrees USING (node) WINDOW w AS (PARTITION BY rid ORDER BY beg, "end", node, dir)),
+ hit AS (SELECT DISTINCT least(node, nxt) AS node1, CASE WHEN node < nxt THEN dir ELSE 1 - ndir END AS dir1, greatest(node, nxt) AS node2, CASE WHEN node < nxt THEN ndir ELSE 1 - dir END AS dir2 FROM seen WHERE nxt IS NOT NULL AND nxt <> node AND ahead = 0 AND behind = 0)""", "SELECT node1, dir1, node2, dir2, cov, off, CASE WHEN closed <= 2 AND (node1, dir1, node2, dir2) IN (SELECT (node1, dir1, node2, dir2) FROM hit) THEN 0 ELSE closed END AS closed FROM edges"),
+    "rescue_high_cov": _q(_LADDER.replace("edges AS", "every AS") + """, chosen AS (SELECT * FROM every WHERE node2 % 4 = 0), edges AS (SELECT * FROM chosen UNION ALL SELECT node1, dir1, node1 + 8, dir2, 12, off, 1 FROM chosen WHERE node1 % 12 = 0)""" + _HALVES + """,
+ side AS (SELECT src, sdir, count(*) AS n, any_value(dst) AS d1, any_value(ddir) AS e1, any_value(cov) AS c1 FROM halves GROUP BY ALL),
+ hop AS (SELECT a.src, a.sdir, a.d1, a.e1, a.c1, b.d1 AS dst, b.e1 AS ddir FROM side a JOIN side b ON b.src = a.d1 AND b.sdir = a.e1 WHERE a.n = 1 AND a.c1 < 20 AND b.n = 1),
+ shut AS (SELECT node1 AS src, dir1 AS sdir, node2 AS dst, dir2 AS ddir, cov FROM edges WHERE closed BETWEEN 1 AND 2 UNION ALL SELECT node2, 1 - dir2, node1, 1 - dir1, cov FROM edges WHERE closed BETWEEN 1 AND 2),
+ swap AS (SELECT hop.* FROM hop JOIN shut USING (src, sdir, dst, ddir) WHERE cov > c1),
+ opened AS (SELECT least(src, dst) AS a, CASE WHEN src < dst THEN sdir ELSE 1 - ddir END AS b, greatest(src, dst) AS c, CASE WHEN src < dst THEN ddir ELSE 1 - sdir END AS d FROM swap),
+ cut AS (SELECT least(src, d1) AS a, CASE WHEN src < d1 THEN sdir ELSE 1 - e1 END AS b, greatest(src, d1) AS c, CASE WHEN src < d1 THEN e1 ELSE 1 - sdir END AS d FROM swap)""", "SELECT node1, dir1, node2, dir2, cov, off, CASE WHEN (node1, dir1, node2, dir2) IN (SELECT (a, b, c, d) FROM opened) THEN 0 WHEN (node1, dir1, node2, dir2) IN (SELECT (a, b, c, d) FROM cut) THEN 2 ELSE closed END AS closed FROM edges"),
+    "isolated_nodes": _q(_LADDER + _HALVES, "SELECT p_partkey * 4 + 1 AS node FROM part WHERE p_size <= 40 AND p_partkey * 4 + 1 NOT IN (SELECT node FROM degrees)"),
+    "initial_ends": _q(_LADDER + _HALVES, "SELECT node FROM degrees WHERE fwd = 0 OR bwd = 0"),
+    "rarest_seeds": _q(_POSTED, "SELECT kmer, ridx, bin, dir, off FROM (SELECT p.*, row_number() OVER (PARTITION BY ridx, bin ORDER BY tot, kmer, off) AS k FROM posted p JOIN solid USING (kmer)) WHERE k <= 3"),
+    "chimera_cuts": _q(_SIDES + """, spur AS (SELECT rid, beg AS pos FROM ends_ WHERE beg > 30 AND l > 30 UNION ALL SELECT rid, "end" FROM ends_ WHERE "end" + 30 < len AND r > 30), at_ AS (SELECT rid, pos, count(*) AS spurs FROM spur GROUP BY ALL),
+ deep AS (SELECT a.rid, pos, spurs, count(s.rid) AS depth FROM at_ a LEFT JOIN ends_ s ON s.rid = a.rid AND s.beg < pos AND s."end" > pos GROUP BY a.rid, pos, spurs)""", "SELECT rid, pos, spurs, depth FROM deep WHERE spurs > 2 * depth"),
+    "tile_regions": _q(_ALIGNED + """, o AS (SELECT *, row_number() OVER () AS oid, CASE WHEN qdir = 0 THEN qb ELSE qlen - qe END AS qs, CASE WHEN qdir = 0 THEN qlen - qe ELSE qb END AS qr FROM aligned),
+ m AS (SELECT *, (qs > 1 AND tb > 1) OR (qr > 1 AND tlen - te > 1) AS mask FROM o),
+ st AS (SELECT *, substr(ops, k, 1) AS op FROM (SELECT *, unnest(range(1, length(ops) + 1)) AS k FROM m)),
+ path AS (SELECT oid, qidx, tidx, qdir, qlen, mask, qs + greatest(sum(CASE WHEN lower(op) IN ('m', 'i') THEN 1 ELSE 0 END) OVER w - 1, 0) AS x, tb + greatest(sum(CASE WHEN lower(op) IN ('m', 'd') THEN 1 ELSE 0 END) OVER w - 1, 0) AS y, CASE WHEN op IN ('M', 'I', 'D') THEN 1 ELSE 0 END AS hit FROM st WINDOW w AS (PARTITION BY oid ORDER BY k)),
+ ont AS (SELECT oid, qidx AS anchor, (CASE WHEN qdir = 0 THEN x ELSE qlen - 1 - x END) // NNN AS tile, tidx AS rid, qdir AS dir, min(y) AS beg, max(y) + 1 AS "end", mask, sum(hit) AS mat, count(DISTINCT x) AS w FROM path GROUP BY ALL),
+ onq AS (SELECT oid, tidx AS anchor, y // NNN AS tile, qidx AS rid, qdir AS dir, CASE WHEN qdir = 1 THEN any_value(qlen) - max(x) - 1 ELSE min(x) END AS beg, CASE WHEN qdir = 1 THEN any_value(qlen) - min(x) ELSE max(x) + 1 END AS "end", mask, sum(hit) AS mat, count(DISTINCT y) AS w FROM path GROUP BY oid, tidx, y // NNN, qidx, qdir, mask)""", 'SELECT anchor, CAST(tile AS INT) AS tile, rid, dir, CAST(beg AS INT) AS beg, CAST("end" AS INT) AS "end", CAST(mask OR NOT ("end" - beg BETWEEN NNN - 1 AND NNN + 1) AS INT) AS closed FROM (SELECT * FROM ont UNION ALL SELECT * FROM onq) WHERE w = NNN AND mat >= MMM'),
+    "node_ranks": "WITH n AS (SELECT l_partkey % 500 AS anchor, CAST(l_linenumber AS INT) AS tile, count(*) AS nreg FROM lineitem GROUP BY ALL) SELECT anchor, tile, nreg, row_number() OVER (ORDER BY (SELECT max(nreg) FROM n) + 1 - nreg, anchor, tile) - 1 AS rank FROM n",
+    "cigar_spans": _q(_ALIGNED, "SELECT qidx, tidx, qdir, qb, tb, CAST(a + b + c + e AS INT) AS query, CAST(a + c + d + e AS INT) AS target, CAST(a + c + e AS INT) AS aligned FROM aligned"),
+    "kmer_codes": _q(_SEQ, "SELECT ridx, substr(seq, 1, 20) AS kmer, CAST(len(list_filter(range(1, least(length(seq), 40) + 1), lambda i: substr(seq, i, 1) <> substr(reverse(substr(seq, 1, 40)), i, 1))) AS INT) AS differ, CAST(length(seq) - length(replace(seq, 'A', '')) AS INT) AS n_a, regexp_replace(substr(seq, 1, 60), 'A+', 'A', 'g') AS squeezed FROM reads WHERE length(seq) >= 20"),
+    "fasta_round_trip": _q(_SEQ, "SELECT tag, seq FROM reads WHERE seq <> ''"),
+    "fastq_round_trip": _q(_SEQ, "SELECT tag, '' AS dsc, seq, repeat('@', length(seq)) AS qlt FROM reads WHERE seq <> ''"),
+    "overlaps_round_trip": _q(_ALIGNED, "SELECT qidx, qdir, qlen, qb, qe, tidx, tlen, tb, te, mat, aln, cnt, gap, cigar FROM aligned"),
+    "nodes_round_trip": _q(_NODES, """SELECT node, CAST(node % 5 = 0 AS INT) AS node_closed, 'o_' || rid AS tag, dir, beg, "end", CAST(closed AS INT) AS closed FROM regs"""),
+    "read_table": _q(_NODES + """, t AS (SELECT rid, beg, node, 'N' || node || CASE WHEN closed THEN '*' ELSE '' END || CASE WHEN dir = 1 THEN ':R_' ELSE ':F_' END || beg || '_' || ("end" - beg) AS t FROM regs)""", "SELECT 'o_' || rid || chr(9) || 3200 || chr(9) || count(*) || chr(9) || string_agg(t, chr(9) ORDER BY beg, node, t) AS value FROM t GROUP BY rid"),
+    "dot_round_trip": _q(_EDGES, "SELECT node1 AS src, dir1 AS sdir, node2 AS dst, dir2 AS ddir, cov, off FROM edges UNION ALL SELECT node2, 1 - dir2, node1, 1 - dir1, cov, off FROM edges"),
+    "fragment_table": _q("RECURSIVE " + _unitigs(_LADDER), "SELECT 'F' || utg || chr(9) || count(*) || chr(9) || (max(step) * 4 + 4) * 64 || chr(9) || string_agg('N' || node || CASE WHEN dir = 1 THEN ':-:' ELSE ':+:' END || step * 4 * 64, chr(9) ORDER BY step) AS value FROM utg GROUP BY utg"),
+    "gfa_table": _q(_LADDER + _HALVES, "SELECT 'H' || chr(9) || 'VN:Z:1.0' AS value UNION ALL SELECT 'S' || chr(9) || 'N' || node || chr(9) || '*' || chr(9) || 'LN:i:4' FROM degrees UNION ALL SELECT 'L' || chr(9) || 'N' || node1 || chr(9) || '+' || chr(9) || 'N' || node2 || chr(9) || '+' || chr(9) || '0M' || chr(9) || 'RC:i:' || cov FROM edges"),
+    "sam_trusted": _q(_SAM, "SELECT rname, pos, qname, mapq FROM good"),
+    "sam_windows": _q(_SAM + """, runs AS (SELECT *, repeat('ACGTTGCA', 5) AS seq, unnest([{'q': s, 't': 0, 'n': a}, {'q': s + a, 't': a, 'n': -2}, {'q': s + a + 2, 't': a, 'n': 3}, {'q': s + a + 5, 't': a + 7, 'n': b}]) AS r FROM good),
+ letters AS (SELECT rname, qname, pos - 1 AS start, a + 7 + b AS reach, r.q + i AS q, pos - 1 + r.t + CASE WHEN r.n > 0 THEN i ELSE 0 END AS t, substr(seq, r.q + i + 1, 1) AS letter FROM (SELECT *, unnest(range(abs(r.n))) AS i FROM runs)),
+ placed AS (SELECT *, unnest(range(greatest(0, CAST(floor((t - 30) / 20.0) AS BIGINT) + 1), t // 20 + 1)) AS win FROM letters),
+ joined AS (SELECT rname, win, qname, greatest(start, win * 20) AS beg, least(start + reach, win * 20 + 30) - greatest(start, win * 20) AS len, reach, string_agg(letter, '' ORDER BY q) AS seq FROM placed GROUP BY rname, win, qname, start, reach)""", 'SELECT rname, CAST(win AS INT) AS "window", qname, CAST(beg AS INT) AS beg, CAST(len AS INT) AS len, seq FROM joined WHERE len * 2 >= least(reach, 30)'),
     "node_depths": "SELECT l_partkey % 100 AS node, count(*) AS nreg, CAST(count(*) < 2 OR count(*) > 200 AS INT) AS closed FROM lineitem GROUP BY 1",
     "median_depth": "WITH d AS (SELECT count(*) AS nreg FROM lineitem GROUP BY l_partkey % 100) SELECT min(nreg) AS median FROM (SELECT nreg, count(*) OVER (ORDER BY nreg) AS upto, count(*) OVER () AS total FROM d) WHERE upto * 2 >= total",
     "best_order": "SELECT o_custkey, o_orderkey, price FROM (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice) DESC, o_orderkey) AS k FROM orders) WHERE k = 1",
@@ -115,7 +200,7 @@ ORACLE_SQL: dict[str, str] = {
     "most_hits": _q(_OVL, "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY qidx ORDER BY mat DESC, tidx, qdir, qb, tb) AS k FROM ovl) WHERE k <= 10"),
     "acceptable_overlaps": _q(_OVL, "SELECT * FROM ovl WHERE mat >= 30 AND mat >= floor(aln * 64 * 0.05) AND gap <= floor(aln * 0.6) AND aln >= 2 AND abs((qe - qb) - (te - tb)) <= floor(greatest(aln * 0.25, 1))"),
     "dovetail_overlaps": _q(_OVL, "SELECT * EXCLUDE (l, r) FROM (SELECT *, CASE WHEN qdir = 0 THEN qb ELSE qlen - qe END AS l, CASE WHEN qdir = 0 THEN qlen - qe ELSE qb END AS r FROM ovl) WHERE NOT ((l > 4 AND tb > 4) OR (r > 4 AND tlen - te > 4))"),
-    "contained_reads": _q(_OVL, "SELECT DISTINCT rid FROM (SELECT qidx AS rid FROM ovl WHERE qb <= 24 AND qe + 24 >= qlen AND (qlen < tlen OR (qlen = tlen AND qidx > tidx)) UNION ALL SELECT tidx FROM ovl WHERE tb <= 24 AND te + 24 >= tlen AND NOT (qlen < tlen OR (qlen = tlen AND qidx > tidx)))"),
+    "contained_reads": _q(_OVL, "SELECT DISTINCT rid FROM (SELECT qidx AS rid FROM ovl WHERE qb <= 30 AND qe + 30 >= qlen AND (qlen < tlen OR (qlen = tlen AND qidx > tidx)) UNION ALL SELECT tidx FROM ovl WHERE tb <= 30 AND te + 30 >= tlen AND NOT (qlen < tlen OR (qlen = tlen AND qidx > tidx)))"),
     "flipped_overlaps": _q(_OVL, "SELECT tidx AS qidx, qdir, tlen AS qlen, tb AS qb, te AS qe, qidx AS tidx, qlen AS tlen, qb AS tb, qe AS te, mat, aln, cnt, gap, cigar FROM ovl"),
     "read_clips": _q(_SIDES + ', good AS (SELECT rid, beg, "end" FROM ends_ WHERE NOT (beg > 4 AND l > 4 AND "end" + 4 < len AND r > 4)), ' + _depth("good") + """, best AS (SELECT rid, beg, "end", row_number() OVER (PARTITION BY rid ORDER BY "end" - beg DESC, beg) AS k FROM stretches),
  whole AS (SELECT rid, bool_or(beg <= 4 AND "end" + 4 >= len) AS w, any_value(len) AS len FROM ends_ GROUP BY rid)""", 'SELECT rid, CAST(CASE WHEN w THEN 0 ELSE coalesce(beg, 0) END AS INT) AS clp_beg, CAST(CASE WHEN w THEN len ELSE coalesce("end", 0) END AS INT) AS clp_end FROM whole LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (rid)'),
@@ -143,3 +228,6 @@ ORACLE_SQL: dict[str, str] = {
  item2 AS (SELECT DISTINCT item_id, code AS kmer FROM (SELECT item_id, """ + _code("least(fwd, rev)") + """ AS code FROM (SELECT item_id, fwd, reverse(translate(fwd, 'ACGT', 'TGCA')) AS rev FROM item1) WHERE fwd <> rev) WHERE xor(xor(code, code >> 4), code >> 7) % 16384 < 4096),
  doc AS (SELECT DISTINCT ridx AS doc_id, kmer FROM seeds)""", "SELECT item_id, doc_id, n_shared, n_item FROM (SELECT item_id, doc_id, count(*) AS n_shared FROM doc JOIN item2 USING (kmer) GROUP BY ALL) JOIN (SELECT item_id, count(*) AS n_item FROM item2 GROUP BY item_id) USING (item_id) WHERE n_shared * 2 >= n_item"),
 }
+
+ORACLE_SQL["clips_round_trip"] = f"WITH c AS ({ORACLE_SQL['read_clips']}) SELECT 'r_' || rid AS tag, 10240 AS len, CAST(clp_beg * 64 AS INT) AS clp_beg, CAST(clp_end * 64 AS INT) AS clp_end FROM c WHERE rid < 700"
+ORACLE_SQL["tile_regions"] = ORACLE_SQL["tile_regions"].replace("NNN", str(SMALL_GRAPH.reg_len)).replace("MMM", str(SMALL_GRAPH.min_node_mats))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.config import SMALL, SMALL_GRAPH
-from strandlake.functions.sequence import reverse_complement, text_as_bases
+from strandlake.functions.sequence import cigar_spans, count_letter, kmer_code, kmer_text, mismatches, reverse_complement, squeeze, text_as_bases
 from strandlake.operators import consensus as con
 from strandlake.operators import contigs as ctg
 from strandlake.operators import graph as g
@@ -153,6 +154,163 @@ def sam_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.mapped(sam).select("rid", "flag")
 
 
+def layered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as regions whose nodes know their place on the order, so that the graph has ends."""
+    li = table(spark, sf_dir, "lineitem")
+    beg = ((F.col("l_linenumber") - 1) * 6).cast("int")
+    return li.select((F.col("l_partkey") % 40 * 8 + F.col("l_linenumber")).alias("node"), F.col("l_orderkey").alias("rid"), F.lit(0).alias("dir"), beg.alias("beg"), (beg + 4).alias("end"), F.lit(False).alias("closed"))
+
+
+def layered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctg.link_table(g.region_pairs(layered_rows(spark, sf_dir), 8), 3)
+
+
+def ladder_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a chain with tips and bubbles: a sparse graph that grows with the table."""
+    k = table(spark, sf_dir, "part").select((F.col("p_partkey") * 4).alias("n"))
+    chain = k.where("n % 28 != 0").select(F.col("n").alias("node1"), (F.col("n") + 4).alias("node2"), F.lit(9).alias("cov"))
+    tips = k.where("n % 20 = 0").select("n", (F.col("n") + 1).alias("node2"), F.lit(5).alias("cov"))
+    side = k.where("n % 44 = 0").select("n", (F.col("n") + 2).alias("node2"), F.lit(7).alias("cov"))
+    back = k.where("n % 44 = 0").select(F.col("n") + 2, (F.col("n") + 8).alias("node2"), F.lit(6).alias("cov"))
+    every = chain.union(tips).union(side).union(back)
+    return every.select("node1", F.lit(0).alias("dir1"), "node2", F.lit(0).alias("dir2"), F.col("cov").cast("int").alias("cov"), F.lit(0).alias("off"), F.lit(0).alias("closed"))
+
+
+def fragment_nodes(edges: DataFrame) -> DataFrame:
+    return g.degrees(edges).select("node")
+
+
+def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as overlaps with cigars: a run of matches, inserted bins, a gap, deleted bins, matches."""
+    o = overlap_rows(spark, sf_dir)
+    a, b, c, d = F.col("qb") % 9 + 4, F.col("tb") % 3 + 1, F.col("qb") % 4 + 1, F.col("tb") % 2 + 1
+    e = F.col("aln") - 3
+    text = F.concat(*[x for n, op in ((a, "M"), (b, "I"), (c, "m"), (d, "D"), (e, "M")) for x in (n.cast("string"), F.lit(op))])
+    return o.select("qidx", "qdir", F.lit(160).alias("qlen"), "qb", (F.col("qb") + a + b + c + e).alias("qe"), "tidx", F.lit(160).alias("tlen"), "tb", (F.col("tb") + a + c + d + e).alias("te"), "mat", "aln", "cnt", "gap", text.alias("cigar"))
+
+
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as regions of node candidates, with the number of each one's."""
+    n = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 500).alias("anchor"), F.col("l_linenumber").cast("int").alias("tile")).agg(F.count("*").alias("nreg"))
+    return n
+
+
+def tip_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = g.checkpointed(ladder_edges(spark, sf_dir))
+    return g.tip_nodes(e, fragment_nodes(e), 10)
+
+
+def bubble_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = g.checkpointed(ladder_edges(spark, sf_dir).where("node2 % 4 != 1"))
+    return g.bubble_nodes(e, fragment_nodes(e), 40)
+
+
+def ladder_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = g.checkpointed(ladder_edges(spark, sf_dir))
+    return g.unitigs(e, fragment_nodes(e))
+
+
+def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = g.checkpointed(ladder_edges(spark, sf_dir))
+    return g.neighbourhood(e, table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select((F.col("p_partkey") * 4).alias("node")), 4)
+
+
+def rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layered edges of little coverage, some opened again where reads bridge ends."""
+    r = layered_rows(spark, sf_dir)
+    nodes = r.select("node", F.lit(False).alias("closed")).distinct()
+    return g.rescue_mercy(g.build_edges(r, nodes, replace(SMALL_GRAPH, max_edge_span=8, min_edge_cov=9)), r)
+
+
+def swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ladder, with closed edges of more coverage two steps on."""
+    e = ladder_edges(spark, sf_dir).where("node2 % 4 = 0")
+    shut = e.where("node1 % 12 = 0").select("node1", "dir1", (F.col("node1") + 8).alias("node2"), "dir2", F.lit(12).alias("cov"), "off", F.lit(1).alias("closed"))
+    return g.rescue_high_cov(e.union(shut))
+
+
+def rarest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = _seeds(spark, sf_dir)
+    counts = g.checkpointed(km.solid(km.kmer_counts(seeds), SMALL))
+    posted = g.checkpointed(km.open_bins(km.postings(seeds, counts, SMALL), SMALL))
+    return ov.rarest_seeds(posted, counts, 3)
+
+
+def through_text(lines: DataFrame, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """Lines written as text to the shared folder, and what a reader makes of the files."""
+    spark = lines.sparkSession
+    g.checkpointed(spark.range(1))  # sets the folder, if it isn't
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/text-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return read(spark, path)
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).where("seq != ''").select("ridx", "tag", "seq")
+
+
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_text(formats.fasta_lines(sequences(spark, sf_dir), 80), formats.read_fasta).select("tag", "seq")
+
+
+def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_text(formats.fastq_lines(sequences(spark, sf_dir), "@"), formats.read_fastq)
+
+
+def tagged_numbers(spark: SparkSession) -> DataFrame:
+    return spark.range(700).select(F.col("id").alias("ridx"), F.concat(F.lit("r_"), F.col("id").cast("string")).alias("tag"), F.lit(160).alias("bincnt"))
+
+
+def overlaps_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = tagged_numbers(spark)
+    rows = through_text(formats.overlap_lines(aligned_rows(spark, sf_dir), tags, 64), formats.read_overlaps)
+    return formats.overlaps_by_name(rows, tags, 64)
+
+
+def node_regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r = region_rows(spark, sf_dir).select("node", "rid", "dir", "beg", "end", (F.col("rid") % 7 == 0).alias("closed"))
+    nodes = r.select("node", (F.col("node") % 5 == 0).alias("closed")).distinct()
+    tags = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ridx"), F.concat(F.lit("o_"), F.col("o_orderkey").cast("string")).alias("tag"), F.lit(50).alias("bincnt"))
+    return r, nodes, tags
+
+
+def nodes_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = through_text(formats.node_lines(*node_regions(spark, sf_dir)), formats.read_nodes)
+    return read.select("node", F.col("node_closed").cast("int").alias("node_closed"), "tag", "dir", "beg", "end", F.col("closed").cast("int").alias("closed"))
+
+
+def read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, _, tags = node_regions(spark, sf_dir)
+    return formats.read_lines(r, tags, 64)
+
+
+def clips_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = tagged_numbers(spark)
+    return through_text(formats.clip_lines(rg.clips(overlap_rows(spark, sf_dir)), tags, 64), formats.read_clips)
+
+
+def dot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graph_edges(spark, sf_dir)
+    return through_text(formats.dot_lines(g.degrees(e, 3).select("node"), e), formats.read_dot)
+
+
+def fragment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = g.checkpointed(ladder_edges(spark, sf_dir))
+    u = g.checkpointed(g.unitigs(e, fragment_nodes(e)))
+    return formats.fragment_lines(ctg.offsets(u, e, 4), 4, 64)
+
+
+def sam_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as aligned reads, many with equal places and texts."""
+    e = table(spark, sf_dir, "events")
+    cigar = F.concat((F.col("event_id") % 4 * 2).cast("string"), F.lit("S"), (F.col("event_id") % 9 + 5).cast("string"), F.lit("M2I3M4D"), (F.col("event_id") % 7 + 1).cast("string"), F.lit("M"))
+    return e.select(F.col("event_id").cast("string").alias("qname"), F.lit(0).alias("flag"), F.col("event_type").alias("rname"), (F.col("event_id") % 500 + 1).cast("int").alias("pos"), (F.col("event_id") % 61).cast("int").alias("mapq"), cigar.alias("cigar"), F.repeat(F.lit("ACGTTGCA"), F.lit(5)).alias("seq"))
+
+
+def sam_windows_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return con.sam_windows(formats.trusted(sam_rows(spark, sf_dir), 10), 30, 20).select("rname", "window", "qname", "beg", "len", "seq")
+
+
 def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of part classes on an order as links."""
     return ctg.link_table(g.region_pairs(region_rows(spark, sf_dir), 8), 3)
@@ -239,7 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "most_hits": lambda s, d: ov.most_hits(overlap_rows(s, d), 10),
     "acceptable_overlaps": lambda s, d: ov.acceptable(overlap_rows(s, d), SMALL),
     "dovetail_overlaps": lambda s, d: overlap_rows(s, d).where(ov.dovetail(4)),
-    "contained_reads": lambda s, d: ov.contained_reads(overlap_rows(s, d), 24),
+    "contained_reads": lambda s, d: ov.contained_reads(overlap_rows(s, d), 30),
     "flipped_overlaps": lambda s, d: ov.flipped(overlap_rows(s, d)),
     "read_clips": lambda s, d: rg.clips(overlap_rows(s, d)),
     "depth_sweep": depth_sweep,
@@ -258,12 +416,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sam_filter": sam_windows,
     "weak_branches": weak_links,
     "binary_links": lambda s, d: ctg.cut_binary_links(link_rows(s, d)),
-    "boomerangs": lambda s, d: ctg.boomerangs(link_rows(s, d), fragment_rows(s, d), 40),
+    "boomerangs": lambda s, d: ctg.boomerangs(layered_links(s, d), table(s, d, "part").groupBy((F.col("p_partkey") % 320).alias("utg")).agg(F.max("p_size").cast("int").alias("length")), 50),
     "node_depths": lambda s, d: rg.mask_by_depth(region_rows(s, d), SMALL_GRAPH).withColumn("closed", F.col("closed").cast("int")),
     "median_depth": median_depth,
     "best_order": best_order,
     "unitigs": unitigs,
     "tip_and_bubble_nodes": tip_and_bubble_nodes,
+    "tip_nodes": tip_nodes,
+    "bubble_nodes": bubble_nodes,
+    "ladder_unitigs": ladder_unitigs,
+    "neighbourhood": neighbourhood,
+    "rescue_mercy": rescued,
+    "rescue_high_cov": swapped,
+    "isolated_nodes": lambda s, d: g.isolated_nodes(table(s, d, "part").select((F.col("p_partkey") * 4 + 1).alias("node"), (F.col("p_size") > 40).alias("closed")), ladder_edges(s, d)),
+    "initial_ends": lambda s, d: g.initial_ends(ladder_edges(s, d)),
+    "rarest_seeds": rarest,
+    "chimera_cuts": lambda s, d: rg.chimera_cuts(overlap_rows(s, d), 30),
+    "tile_regions": lambda s, d: rg.tiles(aligned_rows(s, d), SMALL_GRAPH).withColumn("closed", F.col("closed").cast("int")),
+    "node_ranks": lambda s, d: rg.ranked(candidate_rows(s, d)),
+    "cigar_spans": lambda s, d: aligned_rows(s, d).select("qidx", "tidx", "qdir", "qb", "tb", cigar_spans(F.col("cigar")).alias("s")).select("qidx", "tidx", "qdir", "qb", "tb", "s.query", "s.target", "s.aligned"),
+    "kmer_codes": lambda s, d: sequences(s, d).where("length(seq) >= 20").select("ridx", kmer_text(kmer_code(F.left("seq", F.lit(20))), 20).alias("kmer"), mismatches(F.left("seq", F.lit(40)), F.reverse(F.left("seq", F.lit(40)))).alias("differ"), count_letter(F.col("seq"), "A").alias("n_a"), squeeze(F.left("seq", F.lit(60)), "A").alias("squeezed")),
+    "fasta_round_trip": fasta_round_trip,
+    "fastq_round_trip": fastq_round_trip,
+    "overlaps_round_trip": overlaps_round_trip,
+    "nodes_round_trip": nodes_round_trip,
+    "clips_round_trip": clips_round_trip,
+    "dot_round_trip": dot_round_trip,
+    "read_table": read_table,
+    "fragment_table": fragment_table,
+    "gfa_table": lambda s, d: formats.gfa_lines(fragment_nodes(ladder_edges(s, d)), ladder_edges(s, d), 4),
+    "sam_trusted": lambda s, d: formats.trusted(sam_rows(s, d), 10).select("rname", "pos", "qname", "mapq"),
+    "sam_windows": sam_windows_cut,
     "overlap_dp": overlap_dp,
     "chain": lambda s, d: ov.chained(overlap_rows(s, d), SMALL),
     "tiles": tiles,

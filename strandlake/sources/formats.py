@@ -101,6 +101,13 @@ def read_lines(regions: DataFrame, reads: DataFrame, bin_size: int) -> DataFrame
     return rows.select(F.concat_ws("\t", "tag", F.col("len").cast("string"), F.size("r").cast("string"), F.array_join(F.transform("r", lambda x: x["t"]), "\t")).alias("value"))
 
 
+def fragment_lines(placed: DataFrame, reg_len: int, bin_size: int) -> DataFrame:
+    """A line for each fragment: its name, nodes, letters, and the nodes with their directions and places; placed(utg, step, node, dir, pos)."""
+    token = F.concat(F.lit("N"), F.col("node").cast("string"), F.when(F.col("dir") == 1, ":-:").otherwise(":+:"), (F.col("pos") * bin_size).cast("string"))
+    rows = placed.groupBy("utg").agg(F.array_sort(F.collect_list(F.struct("step", token.alias("t")))).alias("r"), F.max("pos").alias("last"))
+    return rows.select(F.concat_ws("\t", F.concat(F.lit("F"), F.col("utg").cast("string")), F.size("r").cast("string"), ((F.col("last") + reg_len) * bin_size).cast("string"), F.array_join(F.transform("r", lambda x: x["t"]), "\t")).alias("value"))
+
+
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A directed graph: node lines, then an edge line for each direction, labelled with strands, coverage and offset."""
     from strandlake.operators.graph import half_edges
@@ -166,6 +173,23 @@ def mapped(sam: DataFrame, secondary: bool = False) -> DataFrame:
     return sam.where((F.col("flag").bitwiseAND(off) == 0) & (F.col("cigar") != "*") & (F.col("rname") != "*"))
 
 
+def trusted(sam: DataFrame, min_mapq: int) -> DataFrame:
+    """Records of sam(rname, pos, seq, qname, mapq, ...) with a mapping quality of min_mapq at least, one of those with equal places and sequences: the best mapped, of equals the first by name."""
+    good = sam.where(F.col("mapq") >= min_mapq)
+    rest = [c for c in sam.columns if c not in ("rname", "pos", "seq")]
+    best = F.max_by(F.struct(*rest), F.struct(F.col("mapq"))) if "qname" not in rest else F.min_by(F.struct(*rest), F.struct(-F.col("mapq"), "qname"))
+    return good.groupBy("rname", "pos", "seq").agg(best.alias("r")).select(*[F.col(c) if c in ("rname", "pos", "seq") else F.col("r")[c].alias(c) for c in sam.columns])
+
+
+def sam_layout_lines(windows: DataFrame, size: int, step: int) -> DataFrame:
+    """Windows over aligned reads (rname, window, qname, beg, len, seq) as layout text: a contig for each reference, an edge for each window."""
+    top = windows.groupBy("rname").agg(F.max("window").alias("last")).select("rname", F.lit(-1).alias("window"), F.lit(0).alias("k"), F.lit(0).alias("beg"), F.lit("").alias("qname"), F.concat(F.lit(">"), "rname", F.lit(" len="), (F.col("last") * step + size).cast("string")).alias("value"))
+    name = lambda n: F.concat(F.lit("N"), n.cast("string"))
+    e = windows.select("rname", "window").distinct().select("rname", "window", F.lit(1).alias("k"), F.lit(0).alias("beg"), F.lit("").alias("qname"), F.concat_ws("\t", F.lit("E"), (F.col("window") * step).cast("string"), name(F.col("window")), F.lit("+"), name(F.col("window") + 1), F.lit("+")).alias("value"))
+    s = windows.select("rname", "window", F.lit(2).alias("k"), "beg", "qname", F.concat_ws("\t", F.lit("S"), "qname", F.lit("+"), F.col("beg").cast("string"), F.length("seq").cast("string"), "seq").alias("value"))
+    return top.unionByName(e).unionByName(s).orderBy("rname", "window", "k", "beg", "qname").select("value")
+
+
 def fasta_lines(seqs: DataFrame, width: int = 100) -> DataFrame:
     """Records of seqs(tag, seq) as FASTA text, `width` letters a line."""
     return seqs.select(F.concat(F.lit(">"), "tag", F.lit("\n"), F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")).alias("value"))
