@@ -38,7 +38,7 @@ _CELLS = _HITS + """, cells AS (SELECT qidx, tidx, strand, qbin, tbin, CAST(coun
 _ISLANDS = _HITS + """, marked AS (SELECT *, CASE WHEN tbin - lag(tbin) OVER w > 5 OR lag(tbin) OVER w IS NULL THEN 1 ELSE 0 END AS new,
   CASE WHEN lag(tbin) OVER w = tbin AND poff <= lag(poff) OVER w + 15 THEN poff - lag(poff) OVER w ELSE 15 END AS step FROM hits WINDOW w AS (PARTITION BY qidx, tidx, strand ORDER BY tbin, poff)),
  numbered AS (SELECT *, sum(new) OVER (PARTITION BY qidx, tidx, strand ORDER BY tbin, poff) AS run FROM marked)"""
-_OVL = """ovl0 AS (SELECT l_orderkey % 300 AS qidx, CAST(l_linenumber % 2 AS INT) AS qdir, CAST(l_suppkey % 32 AS INT) AS qb, l_partkey % 300 + 300 AS tidx, CAST(l_partkey % 40 AS INT) AS tb, max(CAST(floor(l_extendedprice) AS INT)) AS mat FROM lineitem GROUP BY ALL),
+_OVL = """fold AS (SELECT greatest(1, count(*) // 5) AS r FROM orders), ovl0 AS (SELECT l_orderkey % r AS qidx, CAST(l_linenumber % 2 AS INT) AS qdir, CAST(l_suppkey % 32 AS INT) AS qb, l_partkey % r + r AS tidx, CAST(l_partkey % 40 AS INT) AS tb, max(CAST(floor(l_extendedprice) AS INT)) AS mat FROM lineitem, fold GROUP BY ALL),
  ovl AS (SELECT qidx, qdir, 96 AS qlen, qb, qb + aln AS qe, tidx, 96 AS tlen, tb, tb + aln AS te, mat, aln, 1 AS cnt, 0 AS gap, '*' AS cigar FROM (SELECT *, 8 + (qb * 7 + tb * 3) % 40 AS aln FROM ovl0))"""
 _SIDES = _OVL + """, sides AS (SELECT qidx AS rid, qb AS beg, qe AS "end", qlen AS len, qdir AS odir, tb AS obeg, te AS oend, tlen AS olen FROM ovl UNION ALL SELECT tidx, tb, te, tlen, qdir, qb, qe, qlen FROM ovl),
  ends_ AS (SELECT *, CASE WHEN odir = 0 THEN obeg ELSE olen - oend END AS l, CASE WHEN odir = 0 THEN olen - oend ELSE obeg END AS r FROM sides)"""
@@ -229,5 +229,5 @@ ORACLE_SQL: dict[str, str] = {
  doc AS (SELECT DISTINCT ridx AS doc_id, kmer FROM seeds)""", "SELECT item_id, doc_id, n_shared, n_item FROM (SELECT item_id, doc_id, count(*) AS n_shared FROM doc JOIN item2 USING (kmer) GROUP BY ALL) JOIN (SELECT item_id, count(*) AS n_item FROM item2 GROUP BY item_id) USING (item_id) WHERE n_shared * 2 >= n_item"),
 }
 
-ORACLE_SQL["clips_round_trip"] = f"WITH c AS ({ORACLE_SQL['read_clips']}) SELECT 'r_' || rid AS tag, 10240 AS len, CAST(clp_beg * 64 AS INT) AS clp_beg, CAST(clp_end * 64 AS INT) AS clp_end FROM c WHERE rid < 700"
+ORACLE_SQL["clips_round_trip"] = f"WITH c AS ({ORACLE_SQL['read_clips']}) SELECT 'r_' || rid AS tag, 10240 AS len, CAST(clp_beg * 64 AS INT) AS clp_beg, CAST(clp_end * 64 AS INT) AS clp_end FROM c"
 ORACLE_SQL["tile_regions"] = ORACLE_SQL["tile_regions"].replace("NNN", str(SMALL_GRAPH.reg_len)).replace("MMM", str(SMALL_GRAPH.min_node_mats))

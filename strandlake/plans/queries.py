@@ -36,10 +36,15 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("ridx"), F.concat(F.lit("w"), F.floor(F.col("doc_id") / 5).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("_"), (F.col("doc_id") + 1).cast("string")).alias("tag"), text_as_bases(F.coalesce("text", F.lit(""))).alias("seq"))
 
 
+def folded(spark: SparkSession, sf_dir: str) -> int:
+    """Reads of either side that line items are folded onto."""
+    return max(1, table(spark, sf_dir, "orders").count() // 5)
+
+
 def overlap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as overlaps between orders and parts, one for each place."""
-    li = table(spark, sf_dir, "lineitem")
-    keyed = li.select((F.col("l_orderkey") % 300).alias("qidx"), (F.col("l_linenumber") % 2).cast("int").alias("qdir"), (F.col("l_suppkey") % 32).cast("int").alias("qb"), (F.col("l_partkey") % 300 + 300).alias("tidx"), (F.col("l_partkey") % 40).cast("int").alias("tb"), F.floor("l_extendedprice").cast("int").alias("mat"))
+    """Line items as overlaps between orders and parts, one for each place; reads grow in number with the tables."""
+    li, n = table(spark, sf_dir, "lineitem"), folded(spark, sf_dir)
+    keyed = li.select((F.col("l_orderkey") % n).alias("qidx"), (F.col("l_linenumber") % 2).cast("int").alias("qdir"), (F.col("l_suppkey") % 32).cast("int").alias("qb"), (F.col("l_partkey") % n + n).alias("tidx"), (F.col("l_partkey") % 40).cast("int").alias("tb"), F.floor("l_extendedprice").cast("int").alias("mat"))
     one = keyed.groupBy("qidx", "qdir", "qb", "tidx", "tb").agg(F.max("mat").alias("mat"))
     aln = (F.lit(8) + (F.col("qb") * 7 + F.col("tb") * 3) % 40).cast("int")
     return one.select("qidx", "qdir", F.lit(96).alias("qlen"), "qb", (F.col("qb") + aln).alias("qe"), "tidx", F.lit(96).alias("tlen"), "tb", (F.col("tb") + aln).alias("te"), "mat", aln.alias("aln"), F.lit(1).alias("cnt"), F.lit(0).alias("gap"), F.lit("*").alias("cigar"))
@@ -257,12 +262,12 @@ def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_text(formats.fastq_lines(sequences(spark, sf_dir), "@"), formats.read_fastq)
 
 
-def tagged_numbers(spark: SparkSession) -> DataFrame:
-    return spark.range(700).select(F.col("id").alias("ridx"), F.concat(F.lit("r_"), F.col("id").cast("string")).alias("tag"), F.lit(160).alias("bincnt"))
+def tagged_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(2 * folded(spark, sf_dir)).select(F.col("id").alias("ridx"), F.concat(F.lit("r_"), F.col("id").cast("string")).alias("tag"), F.lit(160).alias("bincnt"))
 
 
 def overlaps_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = tagged_numbers(spark)
+    tags = tagged_numbers(spark, sf_dir)
     rows = through_text(formats.overlap_lines(aligned_rows(spark, sf_dir), tags, 64), formats.read_overlaps)
     return formats.overlaps_by_name(rows, tags, 64)
 
@@ -285,7 +290,7 @@ def read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clips_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = tagged_numbers(spark)
+    tags = tagged_numbers(spark, sf_dir)
     return through_text(formats.clip_lines(rg.clips(overlap_rows(spark, sf_dir)), tags, 64), formats.read_clips)
 
 
