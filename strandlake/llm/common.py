@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
@@ -141,6 +141,43 @@ def tasks(total: int, least: int, most: int) -> int:
     return max(16, -(-total // min(max(least, -(-total // TASKS)), most)))
 
 
+#: Beyond so many keys hashing spreads them well enough.
+MOST_SPREAD = 1 << 16
+
+
+def spark_hash(keys: np.ndarray) -> np.ndarray:
+    """Spark's hash of an int column (Murmur3, 32 bits, seed 42), by which it deals rows to partitions."""
+    u = np.uint32
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return x << u(n) | x >> u(32 - n)
+
+    k = turned(keys.astype(np.int32).view(np.uint32) * u(0xCC9E2D51), 15) * u(0x1B873593)
+    h = turned(u(42) ^ k, 13) * u(5) + u(0xE6546B64) ^ u(4)
+    h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+    h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+    return (h ^ h >> u(16)).view(np.int32)
+
+
+def even_keys(n: int, partitions: int) -> np.ndarray:
+    """A key for each of 0 .. n - 1, equal to it modulo n, so that Spark deals the keys to partitions in turn: hashing itself would give some partitions several of few keys."""
+    keys = np.arange(n, dtype=np.int64)
+    if n > MOST_SPREAD:
+        return keys
+    left, k = np.arange(n), 0
+    while len(left) and (k + 1) * n < 1 << 31:
+        tried = left + k * n
+        fits = spark_hash(tried).astype(np.int64) % partitions == left % partitions
+        keys[left[fits]] = tried[fits]
+        left, k = left[~fits], k + 1
+    return keys
+
+
+def as_column(keys: np.ndarray) -> Column:
+    """Keys as a constant array column."""
+    return F.split(F.lit(",".join(map(str, keys.tolist()))), ",").cast("array<int>")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the cluster's checkpoint folder, so that lost executors cost no recomputation of its lineage."""
     spark = df.sparkSession

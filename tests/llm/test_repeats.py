@@ -6,8 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from strandlake.llm import relative_lz, suffix_dedup
+from strandlake.llm import common, relative_lz, suffix_dedup
 from strandlake.llm.common import table
 from tests.llm.conftest import SF
 
@@ -124,3 +125,14 @@ def test_greedy_factors():
     assert ref.factors(b"a b c d e f".split(), 1) == []
     assert ref.factors(b"x b c d e y c d e".split(), 2) == [(1, 4, 0, 1), (6, 3, 0, 2)]
     assert ref.factors(b"x b c".split(), 3) == [(0, 3, 1, 0)]
+
+
+def test_keys_are_dealt_evenly(spark):
+    for n, partitions in ((64, 16), (100, 85), (7, 3)):
+        keys = common.even_keys(n, partitions)
+        assert (keys % n == np.arange(n)).all()
+        d = spark.createDataFrame([(int(k),) for k in keys], "k int")
+        assert {r.k: r.h for r in d.select("k", F.hash("k").alias("h")).collect()} == dict(zip(keys.tolist(), common.spark_hash(keys).tolist(), strict=True))
+        at = {r.k: r.p for r in d.repartition(partitions, "k").select("k", F.spark_partition_id().alias("p")).collect()}
+        assert [at[k] for k in keys.tolist()] == [i % partitions for i in range(n)]
+        assert spark.range(1).select(common.as_column(keys).alias("a")).first().a == keys.tolist()
