@@ -109,8 +109,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
-    """Bytes of a text column: Catalyst's estimate from file sizes, or a counting pass where there is none."""
-    stats = df.select(column)._jdf.queryExecution().optimizedPlan().stats()
+    """Bytes of a table's text column, about: from the files' sizes, as texts are most of them, or a counting pass where there are none."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
     size = int(str(stats.sizeInBytes()))
     if size < UNKNOWN_BYTES:
         return size * 2  # files are compressed about twofold

@@ -40,9 +40,9 @@ from pyspark.sql.types import _parse_datatype_string
 from strandlake.llm.common import MOST_SPREAD, as_column, even_keys, pieces, tasks, text_bytes, tidy
 
 #: Text of a bucket, and of all buckets for which one part answers, at least; large inputs have parts of up to GROWS times as much, as every bucket may write to every part.
-BUCKET_BYTES, PART_BYTES, GROWS = 3 << 20, 12 << 20, 8
+BUCKET_BYTES, PART_BYTES, GROWS = 8 << 20, 12 << 20, 8
 #: Text of the buckets of a task, at least and at most.
-TASK_BYTES = (12 << 20, 192 << 20)
+TASK_BYTES = (16 << 20, 192 << 20)
 #: Runs of one minimiser from which on they are split.
 HOT = 16_384
 #: Window starts that are hashed at a time; longer documents go in several slices.

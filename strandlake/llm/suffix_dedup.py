@@ -23,7 +23,7 @@ from strandlake.llm.repeats import Block, Units, cut_repeats
 
 WINDOW, GRAM = 50, 20
 #: Documents that are built together, at most, unless more share one minimiser.
-COLLECTION = 16_384
+COLLECTION = 2048
 
 
 def collection_index(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
