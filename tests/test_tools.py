@@ -165,3 +165,52 @@ def test_command_line(spark, tmp_path):
     assert shown["out/layout"][0] == ">ref len=3164"
     name, *seq = shown["out/consensus"][0].split("\n")
     assert name == ">ref" and "".join(seq) == s
+
+
+def noisy(s, r, rate=0.05):
+    return "".join("" if (x := r.random()) < rate / 3 else r.choice("ACGT") + c if x < 2 * rate / 3 else r.choice("ACGT") if x < rate else c for c in s)
+
+
+def identity(a, b):
+    score, *_ , cigar = al.align(a, b, al.GLOBAL, al.Scores(1, 0, 0, 0))
+    return score / max(len(a), len(b))
+
+
+def test_self_correction(spark):
+    r = random.Random(8)
+    s = "".join(r.choice("ACGT") for _ in range(1536))
+    reads, spans = [], [(0, 1024), (128, 1152), (256, 1280), (384, 1408), (512, 1536), (64, 1088), (448, 1472)]
+    for k, (a, b) in enumerate(spans):
+        t = noisy(s[a:b], r)
+        reads.append((k, f"r{k}", t if k % 2 == 0 else t[::-1].translate(str.maketrans("ACGT", "TGCA"))))
+    lone = "".join(r.choice("ACGT") for _ in range(900))
+    reads.append((99, "lone", lone))
+    rows = []
+    for i, (a, b) in enumerate(spans):
+        for j, (c, d) in enumerate(spans[i + 1 :], i + 1):
+            lo, hi = max(a, c), min(b, d)
+            place = [((lo - x) // 64, (hi - x) // 64) if not k % 2 else ((y - hi) // 64, (y - lo) // 64) for k, x, y in ((i, a, b), (j, c, d))]
+            rows.append((i, (i + j) % 2, 16, *place[0], j, 16, *place[1], 500, (hi - lo) // 64, 50, 0, "*"))
+    from strandlake.config import MapParams
+    from strandlake.operators import correction
+    from strandlake.operators.overlaps import OVERLAP
+
+    given, overlaps = spark.createDataFrame(reads, "ridx long, tag string, seq string"), spark.createDataFrame(rows, OVERLAP)
+    got = {x.ridx: x.seq for x in correction.corrected(given, overlaps, MapParams(bin_size=64), 4, 0.7, 512, 384).collect()}
+    assert got[99] == lone and len(got) == len(reads)
+    flip = str.maketrans("ACGT", "TGCA")
+    for k, (a, b) in enumerate(spans):
+        want = s[a:b] if k % 2 == 0 else s[a:b][::-1].translate(flip)
+        assert identity(got[k], want) > identity(reads[k][2], want)
+
+
+def test_votes_by_runs():
+    from strandlake.operators import consensus as con
+
+    assert con.run_vote(["ACCCGT", "ACC-GT", "ACC-GT"]) == "ACCGT"
+    assert con.run_vote(["ACCCGT", "ACCCGT", "ACC-GT"]) == "ACCCGT"
+    assert con.run_vote([]) == "" and con.run_vote(["AC"]) == "AC"
+    r = random.Random(4)
+    s = "".join(r.choice("ACGT") * r.choice([1, 1, 2, 4]) for _ in range(120))
+    reads = [noisy(s, r) for _ in range(14)]
+    assert identity(con.consensus(reads, mode="runs")[0], s) > 0.97
