@@ -231,3 +231,22 @@ ORACLE_SQL: dict[str, str] = {
 
 ORACLE_SQL["clips_round_trip"] = f"WITH c AS ({ORACLE_SQL['read_clips']}) SELECT 'r_' || rid AS tag, 10240 AS len, CAST(clp_beg * 64 AS INT) AS clp_beg, CAST(clp_end * 64 AS INT) AS clp_end FROM c"
 ORACLE_SQL["tile_regions"] = ORACLE_SQL["tile_regions"].replace("NNN", str(SMALL_GRAPH.reg_len)).replace("MMM", str(SMALL_GRAPH.min_node_mats))
+
+_CUT = ORACLE_SQL["sam_windows"]
+ORACLE_SQL |= {
+    "sam_layout": f"""WITH w AS ({_CUT}) SELECT '>' || rname || ' len=' || (max("window") * 20 + 30) AS value FROM w GROUP BY rname
+ UNION ALL SELECT DISTINCT 'E' || chr(9) || "window" * 20 || chr(9) || 'N' || "window" || chr(9) || '+' || chr(9) || 'N' || ("window" + 1) || chr(9) || '+' FROM (SELECT DISTINCT rname, "window" FROM w) GROUP BY rname, "window"
+ UNION ALL SELECT 'S' || chr(9) || qname || chr(9) || '+' || chr(9) || beg || chr(9) || length(seq) || chr(9) || seq FROM w""".replace("SELECT DISTINCT 'E'", "SELECT 'E'"),
+    "layout_round_trip": f"""WITH w AS ({_CUT}) SELECT rname AS ctg, CAST(dense_rank() OVER (PARTITION BY rname ORDER BY "window") - 1 AS INT) AS bidx, CAST("window" * 20 AS INT) AS off, CAST("window" AS BIGINT) AS node1, '+' AS dir1, CAST("window" + 1 AS BIGINT) AS node2, '+' AS dir2,
+ qname AS tag, '+' AS rddir, beg AS rdoff, CAST(length(seq) AS INT) AS len, seq FROM w""",
+    "index_round_trip": ORACLE_SQL["seed_postings"],
+    "named_slices": _q(_SEQ + ", r AS (SELECT tag, seq FROM reads WHERE length(seq) >= 60)", """SELECT tag AS name, seq FROM r UNION ALL SELECT tag || '[+:5,25]', substr(seq, 6, 20) FROM r UNION ALL SELECT tag || '[-:10,40]', reverse(translate(substr(seq, 11, 30), 'ACGT', 'TGCA')) FROM r
+ UNION ALL SELECT tag || '_R_3_17', reverse(translate(substr(seq, 4, 17), 'ACGT', 'TGCA')) FROM r UNION ALL SELECT tag || '_F_0_9', substr(seq, 1, 9) FROM r"""),
+    "regions_in_clips": _q(_REGIONS, 'SELECT node, rid, dir, beg, "end", CAST(rid % 2 = 0 AND (beg < rid % 13 OR "end" > rid % 13 + 20) AS INT) AS closed FROM regs'),
+    "path_offsets": _q("RECURSIVE " + _unitigs(_LADDER.replace("edges AS", "plain AS") + ", edges AS (SELECT * REPLACE (CAST(node1 % 5 AS INT) AS off) FROM plain)") + """, ahead AS (SELECT *, lead(node) OVER w AS n2, lead(dir) OVER w AS d2 FROM utg WINDOW w AS (PARTITION BY utg ORDER BY step)),
+ sized2 AS (SELECT a.*, 4 + coalesce(h.off, 0) AS len FROM ahead a LEFT JOIN halves h ON h.src = node AND h.sdir = dir AND h.dst = n2 AND h.ddir = d2)""", "SELECT utg, step, node, dir, CAST(sum(len) OVER (PARTITION BY utg ORDER BY step) - len AS INT) AS pos FROM sized2"),
+    "fragments": _q("RECURSIVE " + _unitigs(_LADDER), "SELECT utg, CAST(count(*) AS INT) AS n, CAST(max(step) * 4 + 4 AS INT) AS length FROM utg GROUP BY utg"),
+    "reopened_edges": _q(_EDGES, "SELECT node1, dir1, node2, dir2, cov, off, CASE WHEN node1 % 3 = 0 AND closed <= 2 THEN 0 ELSE closed END AS closed FROM edges"),
+    "forward_pairs": _q(_HITS, "SELECT qidx, tidx, count(*) AS n, min(poff) AS first FROM hits WHERE strand = 0 GROUP BY ALL"),
+    "callback_records": "SELECT range AS k, 'part ' || range // 50 AS name FROM range(400)",
+}

@@ -19,7 +19,7 @@ from strandlake.operators import overlaps as ov
 from strandlake.operators import reads as rd
 from strandlake.operators import regions as rg
 from strandlake.operators import stats
-from strandlake.sources import formats
+from strandlake.sources import callbacks, formats
 
 HPC = replace(SMALL, ksize=0, psize=15)
 #: Caps of the queries, in letters.
@@ -316,6 +316,65 @@ def sam_windows_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return con.sam_windows(formats.trusted(sam_rows(spark, sf_dir), 10), 30, 20).select("rname", "window", "qname", "beg", "len", "seq")
 
 
+def sam_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.sam_layout_lines(con.sam_windows(formats.trusted(sam_rows(spark, sf_dir), 10), 30, 20), 30, 20)
+
+
+def layout_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = through_text(sam_layout(spark, sf_dir).coalesce(1), formats.read_layout)
+    return read.select("ctg", "bidx", "off", "node1", "dir1", "node2", "dir2", "tag", "rddir", "rdoff", "len", "seq")
+
+
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index written as a bucketed table, and loaded with the same parameters."""
+    name = f"seed_index_{uuid.uuid4().hex}"
+    formats.save_index(_index(spark, sf_dir), name, 8, psize=SMALL.psize, ksize=SMALL.ksize)
+    return formats.load_index(spark, name, psize=SMALL.psize, ksize=SMALL.ksize)
+
+
+def named_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reads(spark, sf_dir).where("length(seq) >= 60")
+    kinds = [F.concat("tag", F.lit(x)) for x in ("", "[+:5,25]", "[-:10,40]", "_R_3_17", "_F_0_9")]
+    return formats.sequences_by_name(r.select(F.explode(F.array(*kinds)).alias("name")), r.select("tag", "seq"))
+
+
+def regions_in_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = region_rows(spark, sf_dir)
+    clip = r.where("rid % 2 = 0").select("rid").distinct().select("rid", (F.col("rid") % 13).cast("int").alias("clp_beg"), (F.col("rid") % 13 + 20).cast("int").alias("clp_end"))
+    return rg.within_clips(r, clip).withColumn("closed", F.col("closed").cast("int"))
+
+
+def path_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = g.checkpointed(ladder_edges(spark, sf_dir).withColumn("off", (F.col("node1") % 5).cast("int")))
+    return ctg.offsets(g.checkpointed(g.unitigs(e, fragment_nodes(e))), e, 4)
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = g.checkpointed(ladder_edges(spark, sf_dir))
+    return ctg.fragments(g.checkpointed(g.unitigs(e, fragment_nodes(e))), e, 4)
+
+
+def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graph_edges(spark, sf_dir)
+    return g.reopened(e, e.where("node1 % 3 = 0").select(*g.KEY))
+
+
+def forward_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = g.checkpointed(_index(spark, sf_dir))
+    hits = ov.seed_hits(posted, posted, _lengths(reads(spark, sf_dir)), SMALL, strands=1)
+    return hits.groupBy("qidx", "tidx").agg(F.count("*").alias("n"), F.min("poff").alias("first"))
+
+
+def callback_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a function gives, part by part."""
+
+    def read(part):  # type: ignore[no-untyped-def]
+        for k in range(50):
+            yield part * 50 + k, f"part {part}"
+
+    return callbacks.records(spark, read, list(range(8)), "k long, name string")
+
+
 def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of part classes on an order as links."""
     return ctg.link_table(g.region_pairs(region_rows(spark, sf_dir), 8), 3)
@@ -452,6 +511,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gfa_table": lambda s, d: formats.gfa_lines(fragment_nodes(ladder_edges(s, d)), ladder_edges(s, d), 4),
     "sam_trusted": lambda s, d: formats.trusted(sam_rows(s, d), 10).select("rname", "pos", "qname", "mapq"),
     "sam_windows": sam_windows_cut,
+    "sam_layout": sam_layout,
+    "layout_round_trip": layout_round_trip,
+    "index_round_trip": index_round_trip,
+    "named_slices": named_slices,
+    "regions_in_clips": regions_in_clips,
+    "path_offsets": path_offsets,
+    "fragments": fragments,
+    "reopened_edges": reopened,
+    "forward_pairs": forward_pairs,
+    "callback_records": callback_records,
     "overlap_dp": overlap_dp,
     "chain": lambda s, d: ov.chained(overlap_rows(s, d), SMALL),
     "tiles": tiles,
