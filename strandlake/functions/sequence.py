@@ -56,6 +56,16 @@ def sampled(code: Column, one_of: int, classes: int = 4096) -> Column:
     return F.pmod(smear(code), F.lit(classes * one_of)) < classes
 
 
+def hash64(*columns: Column, seed: int = 0) -> Column:
+    """A 64-bit hash of the columns; its values are Spark's own (XXH64), not those of other programs."""
+    return F.xxhash64(F.lit(seed), *columns)
+
+
+def hash32(*columns: Column, seed: int = 0) -> Column:
+    """A 32-bit hash of the columns; its values are Spark's own (Murmur3)."""
+    return F.hash(F.lit(seed), *columns)
+
+
 def mismatches(a: Column, b: Column) -> Column:
     """Places up to the shorter's length in which two strings differ."""
     n = F.least(F.length(a), F.length(b))

@@ -214,3 +214,38 @@ def test_votes_by_runs():
     s = "".join(r.choice("ACGT") * r.choice([1, 1, 2, 4]) for _ in range(120))
     reads = [noisy(s, r) for _ in range(14)]
     assert identity(con.consensus(reads, mode="runs")[0], s) > 0.97
+
+
+def agreement(msa):
+    """Pairs of rows that have the same letter in a column."""
+    return sum(a == b != "-" for i, x in enumerate(msa) for y in msa[:i] for a, b in zip(x, y, strict=True))
+
+
+def test_realignment_agrees_more_and_keeps_the_reads():
+    from strandlake.operators import consensus as con
+
+    assert con.realigned(["AC-GT", "A-CGT", "AC-GT"]) == ["ACGT"] * 3
+    r = random.Random(12)
+    for _ in range(6):
+        s = "".join(r.choice("ACGT") for _ in range(80))
+        reads = [noisy(s, r, 0.2) for _ in range(7)]
+        g_ = con.Graph(reads[0])
+        for x in reads[1:]:
+            g_.add(x)
+        before = g_.msa()
+        after = con.realigned(before, 3)
+        assert [x.replace("-", "") for x in after] == [x.replace("-", "") for x in before]
+        assert agreement(after) >= 0.97 * agreement(before)  # gaps agree too, and may outweigh letters
+        assert identity(con.vote(after), s) >= identity(con.vote(before), s) - 0.03
+
+
+def test_consensus_by_halves():
+    from strandlake.operators import consensus as con
+
+    r = random.Random(21)
+    s = "".join(r.choice("ACGT") for _ in range(1000))
+    reads = [noisy(s, r, 0.08) for _ in range(9)]
+    places = con.split_places(reads, 100)
+    assert sum(p is not None for p in places) >= 8 and all(abs(p - 500) < 150 for p in places if p is not None)
+    assert identity(con.split_consensus(reads, 100), s) > 0.985
+    assert con.split_consensus([s] * 3, 100) == s and con.split_consensus(["ACGT"], 100) == "ACGT" and con.split_consensus([], 100) == ""
