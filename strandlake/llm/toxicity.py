@@ -227,15 +227,19 @@ def _evidence(ms: list[Model]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def decay_of(value: np.ndarray, weight: np.ndarray) -> float:
     """The positive root of E[exp(root * score)] = 1; without positive scores, or a negative mean, 1."""
-    p = weight / max(weight.sum(), 1)
-    if not (value[p > 0] > 0).any() or (p * value).sum() >= 0:
+    value, p = value[weight > 0], weight[weight > 0] / max(weight.sum(), 1)
+    if not (value > 0).any() or (p * value).sum() >= 0:
         return 1.0
+
+    def mean(root: float) -> float:
+        return float((p * np.exp(np.minimum(root * value, 700.0))).sum())
+
     low, high = 1e-6, 1.0
-    while (p * np.exp(high * value)).sum() < 1 and high < 64:
+    while mean(high) < 1 and high < 64:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (low, mid) if (p * np.exp(mid * value)).sum() >= 1 else (mid, high)
+        low, high = (low, mid) if mean(mid) >= 1 else (mid, high)
     return low
 
 

@@ -127,6 +127,17 @@ def test_choices_are_made_without_held_out_rows(spark, labelled):
     assert (m.prior, m.drift, m.decay, m.intercept, m.slope) == pytest.approx((other.prior, other.drift, other.decay, other.intercept, other.slope))
 
 
+def test_decay_of_scores():
+    value = (np.arange(toxicity.BINS) - toxicity.BINS // 2) * toxicity.SCORE_STEP
+    for places, weights in (((100, 260), (90, 10)), ((250, 257), (999, 1)), ((0, 511), (10**9, 1)), ((200, 300, 400), (50, 3, 1))):
+        w = np.zeros(toxicity.BINS)
+        w[list(places)] = weights
+        root = toxicity.decay_of(value, w)
+        got = sum(n * np.exp(root * value[k]) for k, n in zip(places, weights)) / sum(weights)
+        assert root > 0 and (abs(got - 1) < 1e-6 or root > 60)
+    assert toxicity.decay_of(value, np.zeros(toxicity.BINS)) == 1.0
+
+
 def test_counts_add_up_over_many_tasks(spark, labelled, monkeypatch):
     docs, labels = labelled
     rows = docs.join(labels.where("toxic is not null"), "doc_id").select(F.col("text").cast("binary").alias("text"), "toxic")
