@@ -63,11 +63,13 @@ def slot_of(key: F.Column, slots: int) -> F.Column:
 def place(docs: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """(key, slot, shard) for each row of docs, equal keys in one shard.
 
-    A null key gets slot 0. Repeated rows come back once each; other columns are left out;
-    an empty table gives an empty one. Texts aren't read, whatever their length.
+    A null key gets slot 0. Repeated rows come back once each; other columns are left out,
+    whatever their names; a key named slot or shard comes back as key_slot or key_shard. An
+    empty table gives an empty one. Texts aren't read, whatever their length.
     """
-    placed = docs.select(key, F.coalesce(slot_of(F.col(key), slots), F.lit(0)).alias("slot"))
-    return placed.join(F.broadcast(table_rows(docs.sparkSession, shards, slots)), "slot").select(key, "slot", "shard")
+    named = f"key_{key}" if key.lower() in ("slot", "shard") else key
+    placed = docs.select(F.col(key).alias(named), F.coalesce(slot_of(F.col(key), slots), F.lit(0)).alias("slot"))
+    return placed.join(F.broadcast(table_rows(docs.sparkSession, shards, slots)), "slot").select(named, "slot", "shard")
 
 
 def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

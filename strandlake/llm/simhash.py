@@ -31,6 +31,8 @@ SHINGLE, DISTANCE, SEED = 3, 2, 42
 RING = ((0, 21), (21, 21), (42, 22))
 #: Fingerprints under one key up to which all are compared directly.
 DIRECT = 512
+#: Fingerprints that may be so frequent that their classes are broadcast: of n documents those of more than n / HOT.
+HOT = 10_000
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 14
 
@@ -173,12 +175,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     parts = pieces(text_bytes(docs) // 8, 4 << 20)
     each = checkpointed(fingerprints(docs))
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     keyed = distinct.where("rep is not null").select("fp", "rep", F.explode(F.array(*_keys())).alias("key"))
     links = keyed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(tidy(_links), "u long, v long")
     roots = components(links)
-    classes = distinct.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return each.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = distinct.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id"))
+    # a fingerprint of very many documents would gather them in one task: those few (HOT at most) meet their documents where they are
+    often = F.col("n") > each.count() // HOT
+    hot, cold = F.broadcast(classes.where(often).drop("n")), classes.where(~often).drop("n")
+    joined = each.join(hot, "fp").unionByName(each.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

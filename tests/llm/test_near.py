@@ -64,6 +64,19 @@ def test_links_of_dense_groups():
         assert smallest(ids.tolist(), [(x["u"], x["v"]) for x in found]) == smallest(ids.tolist(), near.tolist())
 
 
+def test_frequent_fingerprints_repeated_rows_and_null_ids(spark, monkeypatch):
+    rows = [(k, "one two three four", 1) for k in range(50)] + [(7, "one two three four", 2), (None, "one two three four", 3), (None, "alone here", 4), (60, None, 5), (61, "", 6), (70, "quite another text of words", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    for hot in (simhash.HOT, 2, 0.5):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = simhash.near_duplicates(d).collect()
+        assert len(got) == len(rows)
+        assert {x.component_id for x in got if x.doc_id is not None and x.doc_id < 50} == {0}
+        assert {x.component_id for x in got if x.doc_id in (60, 61)} == {60} and [x.component_id for x in got if x.doc_id == 70] == [70]
+        assert sorted(x.component_id is None for x in got if x.doc_id is None) == [False, True]
+    assert sorted((x.doc_id is None, x.doc_id) for x in simhash.one_of_each(d).collect()) == [(False, 0), (False, 60), (False, 70), (True, None), (True, None)]
+
+
 def test_no_documents(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -671,8 +671,12 @@ def test_placement_is_native_and_that_of_sql(spark):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = con.sql(queries.ORACLE_SQL["op5_lookup_sharding"]).fetchall()
     assert sorted(map(tuple, got.select("doc_id", "slot", "shard").collect())) == sorted(want)
-    nulls = spark.createDataFrame([(None,), (1,), (1,)], "doc_id long")
-    assert sharding.place(nulls).count() == 3
+    nulls = spark.createDataFrame([(None, "a", "b"), (1, "a", "b"), (1, "a", "b")], "doc_id long, slot string, shard string")
+    assert sorted((r.doc_id or 0, r.slot, r.shard) for r in sharding.place(nulls).collect())[0][:2] == (0, 0) and sharding.place(nulls).count() == 3
+    assert sharding.place(nulls.limit(0)).count() == 0
+    for key in ("slot", "shard"):
+        out = sharding.place(nulls, key)
+        assert out.columns == [f"key_{key}", "slot", "shard"] and len(set(out.collect())) == 1
 
 
 def test_tokenizer_path_is_a_parameter(odd_docs, tmp_path):
