@@ -250,3 +250,11 @@ ORACLE_SQL |= {
     "forward_pairs": _q(_HITS, "SELECT qidx, tidx, count(*) AS n, min(poff) AS first FROM hits WHERE strand = 0 GROUP BY ALL"),
     "callback_records": "SELECT range AS k, 'part ' || range // 50 AS name FROM range(400)",
 }
+
+#: The line items' graph without its transitive edges, whose paths start at the nodes of the whole graph.
+_CUT_EDGES = ORACLE_SQL["two_hop_transitive"].removeprefix("WITH ").replace("halves", "halves0").replace("edges AS", "edges0 AS").replace("FROM edges", "FROM edges0")
+_CTES, _GONE = _CUT_EDGES.split(" SELECT node1, dir1, node2, dir2 FROM (", 1)
+ORACLE_SQL["unitigs"] = _q(
+    "RECURSIVE " + _unitigs(_CTES + ", gone AS (SELECT node1, dir1, node2, dir2 FROM (" + _GONE + "), edges AS (SELECT * REPLACE (CASE WHEN (node1, dir1, node2, dir2) IN (SELECT (node1, dir1, node2, dir2) FROM gone) THEN 3 ELSE closed END AS closed) FROM edges0)").replace("SELECT node * 2 AS state FROM degrees UNION ALL SELECT node * 2 + 1 FROM degrees", "SELECT DISTINCT src * 2 AS state FROM halves0 UNION SELECT src * 2 + 1 FROM halves0"),
+    "SELECT utg, step, node, dir FROM utg",
+)

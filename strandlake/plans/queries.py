@@ -426,12 +426,6 @@ def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.unitigs(g.checkpointed(g.cut_transitive(e, 4)), g.degrees(e).select("node"))
 
 
-def tip_and_bubble_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = g.checkpointed(g.cut_transitive(g.checkpointed(graph_edges(spark, sf_dir)), 4))
-    n = g.degrees(e).select("node")
-    return g.tip_nodes(e, n, 10).withColumn("kind", F.lit("tip")).unionByName(g.bubble_nodes(e, n, 40).withColumn("kind", F.lit("bubble")))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shared_seed_pairs": shared_seed_pairs,
     "seq_projection": lambda s, d: reads(s, d).select("ridx", F.length("seq").alias("len"), "seq"),
@@ -485,7 +479,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "median_depth": median_depth,
     "best_order": best_order,
     "unitigs": unitigs,
-    "tip_and_bubble_nodes": tip_and_bubble_nodes,
     "tip_nodes": tip_nodes,
     "bubble_nodes": bubble_nodes,
     "ladder_unitigs": ladder_unitigs,
