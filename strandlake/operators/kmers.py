@@ -145,14 +145,17 @@ def bin_degrees(posted: DataFrame) -> DataFrame:
 
 def open_bins(posted: DataFrame, p: MapParams) -> DataFrame:
     """Postings without those of bins of low complexity."""
-    low = bin_degrees(posted).where(F.col("degree") < p.min_bin_degree)
-    return posted.join(low.select("ridx", "bin"), ["ridx", "bin"], "left_anti").select(posted.columns)
+    degree = F.count("*").over(Window.partitionBy("ridx", "bin"))  # a bin has few seeds
+    return posted.withColumn("_degree", degree).where(F.col("_degree") >= p.min_bin_degree).drop("_degree")
 
 
 def index(reads: DataFrame, p: MapParams) -> DataFrame:
-    """The whole index of reads: postings of solid seeds in open bins."""
+    """The whole index of reads: postings of solid seeds in open bins. Counts are written once, as the cut and the filter both need them; so seeds are made twice."""
+    from strandlake.operators.graph import checkpointed
+
     seeds = kmers(reads, p)
-    return open_bins(postings(seeds, solid(kmer_counts(seeds), p), p), p)
+    counts = checkpointed(kmer_counts(seeds))
+    return open_bins(postings(seeds, solid(counts, p), p), p)
 
 
 def seeds_in_index(seeds: DataFrame, counts: DataFrame) -> DataFrame:
