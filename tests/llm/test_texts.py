@@ -225,6 +225,53 @@ def test_tokenizer_on_very_long_runs(text):
     assert e.words.used <= e.words.room
 
 
+def test_plain_words_pass_the_pre_tokenizer_by():
+    e, r = packing.ByteBpe(public_tokenizers.path(packing.TOKENIZER)), random.Random(5)
+    texts = ["".join(r.choice("abcdeéñ.,1\n") for _ in range(9)).strip() for _ in range(5000)]
+    want, library = e.whole(["a " + " ".join(texts)]), e.library
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    e.library = Counting()
+    assert e.encode(pa.array(["a " + " ".join(texts)])) == want
+    assert sum(map(len, asked)) < sum("\n\n" in t for t in texts) * 10 + 100
+
+
+def test_cuts_within_plain_words_are_the_librarys():
+    e, r = packing.ByteBpe(public_tokenizers.path(packing.TOKENIZER)), random.Random(6)
+    signs, letters = [chr(c) for c in range(33, 127)], [chr(c) for c in range(0xA0, 0x260)]
+    words = [a + b for a in signs for b in [*signs, "\n.", "\nA"]] + [x for c in letters for x in (c, f"a{c}", f"{c}1", f"!{c}", f"{c}\n{c}")]
+    words += ["".join(r.choice([*signs, *letters, "\n", "aß", "日", "'ll"]) for _ in range(r.randint(1, 8))) for _ in range(20000)]
+    texts = [f"x {w} y" for w in words]
+    assert e.encode(pa.array(texts)) == e.whole(texts)
+    assert e.encode(pa.array(texts)) == e.whole(texts)  # as remembered
+
+
+def test_words_forgotten_and_found_again(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 20000)
+    e, r = packing.ByteBpe(public_tokenizers.path(packing.TOKENIZER)), random.Random(7)
+    for _ in range(60):
+        texts = [" ".join(str(int(r.paretovariate(0.4)) % 10**6) + "é" for _ in range(30)) for _ in range(3)]
+        assert e.encode(pa.array(texts)) == e.whole(texts)
+        assert e.words.used <= e.words.room and e.words.young.keys() | e.words.old.keys()
+    assert e.words.old
+
+
+def test_white_space_of_all_kinds_at_a_space():
+    e = packing.tokenizer(None)
+    space = [c for c in map(chr, range(0x11000)) if c.isspace()]
+    words = [*space, *(f"a{c}" for c in space), *(f"{c}a" for c in space), "", "é", "à", "日", "“", "‐", "a", "¿"]
+    texts = [f"{a} {b}" for a in words for b in words]
+    assert e.encode(pa.array(texts)) == e.whole(texts)
+    coded = pa.array(["-", *words])[1:]
+    before, after, empty = packing.margins(coded, [w.encode() for w in words])
+    assert before.tolist() == [not w or w[-1].isspace() for w in words] and after.tolist() == [not w or w[0].isspace() for w in words] and empty.tolist() == [not w for w in words]
+
+
 def test_open_windows_are_bounded():
     r = random.Random(4)
     p, seen = packing.SumOfSquares(64), []
