@@ -183,10 +183,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or local_folder(sc.master))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    return spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark.sparkContext.master)
+
+
 def local_folder(master: str) -> str:
     """A new folder of this machine, which serves where all executors run on it only."""
     if not master.startswith("local"):
