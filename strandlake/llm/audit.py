@@ -56,9 +56,11 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def interactions(counted: DataFrame, names: str = NAMES) -> DataFrame:
     """The audit of cells(part, mask, n, good, toxic), bit k of the mask for failing the filter names[k]: a row for each part, order of the filters and step."""
-    # 600 rows for five filters, whatever the data
-    steps = [F.struct(F.lit("".join(order)).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(1 << names.index(f)).alias("bit")) for order in permutations(names) for k, f in enumerate(order)]
-    long = counted.select("*", F.inline(F.array(*steps)))
+    # 600 steps for five filters, whatever the data
+    orders = F.split(F.lit(" ".join("".join(o) for o in permutations(names))), " ")
+    long = counted.select("*", F.explode(orders).alias("filter_order")).select("*", F.explode(F.sequence(F.lit(1), F.lit(len(names)))).alias("step"))
+    filter_ = F.substr("filter_order", F.col("step"), F.lit(1))
+    long = long.withColumn("bit", F.element_at(F.create_map(*[x for k, f in enumerate(names) for x in (F.lit(f), F.lit(1 << k))]), filter_))
     before = Window.partitionBy("part", "filter_order", "mask").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     fails = F.col("mask").bitwiseAND(F.col("bit"))
     judged = long.withColumn("earlier", F.coalesce(F.bit_or(fails).over(before), F.lit(0))).withColumn("fails", fails != 0)

@@ -199,7 +199,9 @@ def read(selected: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     Payloads are checked against their digests.
     """
     places = selected.select("url", "file", "offset", "length")
-    ordered = places.repartition("file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
+    # by bytes of archive, not of index: adaptive execution would gather these few rows in few tasks
+    tasks = max(16, (places.agg(F.sum("length")).first()[0] or 0) // STRETCH)
+    ordered = places.repartition(tasks, "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(tidy(_read(folder, payload)), RECORD)
 
 
