@@ -108,6 +108,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a table's text column, about: from the files' sizes, as texts are most of them, or a counting pass where there are none."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()

@@ -39,6 +39,10 @@ SIDE_BYTES, LEAST, AT_ONCE = 16 << 20, 256, 1 << 21
 SIDES = 6
 #: Coordinates that bound a cosine, and what single precision may have lost of the bound.
 LEADING, SLACK = 16, 1e-5
+#: What rounding may have taken from a distance (the root of a difference from 1) and from a square.
+LOST, LOST_SQUARE = 1e-7, 1e-9
+#: Vectors that may be so frequent that their classes are broadcast: of n those of more than n / HOT.
+HOT = 10_000
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,16 +65,25 @@ def cells(m: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray,
     width = max(m.shape[1], pivots.shape[1])
     m, pivots = _padded(m, width), _padded(pivots, width)
     square = np.maximum(2 - 2 * (m @ pivots.T), 0)
-    between = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))
+    between = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0)) + LOST
     home = square.argmin(axis=1)
     nearest = square[np.arange(len(m)), home][:, None]
-    triangle = np.sqrt(square) - np.sqrt(nearest) <= 2 * reach
-    plane = square - nearest <= 2 * reach * between[home]
+    triangle = np.sqrt(square) - np.sqrt(nearest) <= 2 * reach + 2 * LOST
+    plane = square - nearest <= 2 * reach * between[home] + LOST_SQUARE
     member = triangle & plane
     member[np.arange(len(m)), home] = True
     return home, member
 
 
+def apart(pivots: np.ndarray) -> np.ndarray:
+    """Pivots without those of (nearly) the direction of one before, which would part no vectors."""
+    kept: list[int] = []
+    for k, near in enumerate(pivots @ pivots.T > 1 - 1e-6):
+        if not near[kept].any():
+            kept.append(k)
+    return pivots[kept]
+
+
 def copied(home: np.ndarray, member: np.ndarray) -> np.ndarray:
     """To which cells a vector goes beside its own: those before it."""
     return member & (np.arange(member.shape[1]) < home[:, None])
@@ -210,32 +223,40 @@ def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     smallest vec_id reachable by links, and kept says whether it is the row's own. Vectors
     that are null, empty or zero, or hold null or non-finite components, link with nothing,
     as do vectors of different dimensions with each other. Equal vectors link. An empty
-    table gives an empty one; other columns are left out.
+    table gives an empty one; other columns are left out, whatever their names. Repeated rows
+    count each. Rows without a vec_id link with nothing: no links, a null component, kept.
     """
-    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-7
+    reach = float(np.sqrt(2 - 2 * cosine))
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(finite & F.exists(e, lambda x: x != 0), e.cast("array<double>")).alias("embedding"))
-    distinct = checkpointed(rows.where("embedding is not null and vec_id is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+    rows = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding"))
+    distinct = checkpointed(rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     n = distinct.count()
     some = distinct.orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(PIVOTS, -(-n // PER_PIVOT)))).select("embedding").toArrow()["embedding"]
     if n:
-        pivots = _matrix(some)[0]
+        pivots = apart(_matrix(some)[0])
         most = max(LEAST, min(SIDE_BYTES // (8 * pivots.shape[1]), n // SIDES))
         count = distinct.mapInArrow(_counts(pivots, reach), "cell long, home long, guests long").groupBy("cell").agg(F.sum("home"), F.sum("guests")).collect()
-        homes, guests = np.zeros((2, len(pivots)), np.int64)
+        # a slice at least for each: rounding may put a vector on a border elsewhere when they are dealt
+        homes, guests = np.ones((2, len(pivots)), np.int64)
         for cell, home, met in count:
-            homes[cell], guests[cell] = -(-home // most), -(-met // most)
+            homes[cell], guests[cell] = max(1, -(-home // most)), max(1, -(-met // most))
         units = int((homes * (homes + 1) // 2 + homes * guests).sum())
         dealt = distinct.mapInArrow(_deal(pivots, reach, homes, guests), MESSAGE).repartition(max(1, units), "unit")
         found = checkpointed(dealt.groupBy("unit").applyInArrow(tidy(_join(directions(pivots), cosine)), "rep long, links long, to long"))
         links = found.where("to is null").groupBy("rep").agg(F.sum("links").alias("links"))
         roots = components(found.where("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v")))
-        classes = distinct.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+        classes = distinct.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("embedding", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     else:
-        classes = distinct.select("embedding", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
-    out = rows.join(classes, "embedding", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        classes = distinct.select("embedding", "weight", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
+    # a vector of very many rows would gather them in one task, as would null ones: neither is shuffled
+    often = F.col("weight") > vectors.count() // HOT
+    hot, cold = F.broadcast(classes.where(often)), classes.where(~often)
+    found = rows.where("embedding is not null")
+    linked = found.join(hot, "embedding").unionByName(found.join(hot.select("embedding"), "embedding", "left_anti").join(cold, "embedding"))
+    alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.select("vec_id", "n_links", "component_id").unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:

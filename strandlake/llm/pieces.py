@@ -41,6 +41,9 @@ MARK = "▁"
 REMEMBERED, PAIRS, CHUNK = 64 << 20, 400_000, 4 << 20
 #: Fixed values of the model format: places of the trainer's part and of its model type, the type's names, what an unknown character costs below the worst piece.
 TRAINER, MODEL_TYPE, TYPES, UNKNOWN_COST = 2, 3, {1: "unigram", 2: "bpe"}, 10.0
+#: Fixed values of the model format: places of a piece, its type and of the normalizer's part; of that the fields that are read, with their defaults and what is supported.
+PIECE, PIECE_TYPE, USER_DEFINED, NORMALIZER = 1, 3, 4, 3
+NORMALIZER_FIELDS = (("precompiled_charsmap", 2, b"", b""), ("add_dummy_prefix", 3, 1, 1), ("remove_extra_whitespaces", 4, 1, 0), ("escape_whitespaces", 5, 1, 1))
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -78,6 +81,17 @@ def model_type(file: bytes) -> str:
     return TYPES[kind]
 
 
+def check_normalizer(file: bytes) -> None:
+    """Refuses model files that change the text before it is cut (mapped characters, extra spaces removed, no mark put before it, spaces kept) or have pieces of the user's own, as ids would differ from the library's."""
+    spec = b"".join(v for k, v in _fields(file) if k == NORMALIZER and isinstance(v, bytes))
+    told = dict(_fields(spec))
+    wrong = [name for name, field, default, wanted in NORMALIZER_FIELDS if told.get(field, default) != wanted]
+    if any(dict(_fields(v)).get(PIECE_TYPE) == USER_DEFINED for k, v in _fields(file) if k == PIECE and isinstance(v, bytes)):
+        wrong.append("user-defined pieces")
+    if wrong:
+        raise ValueError(f"models with these parts of a normalizer aren't supported: {', '.join(wrong)}")
+
+
 codecs.register_error("replace_each_byte", lambda e: ("\ufffd", e.start + 1))  # as the library does
 
 
@@ -91,6 +105,7 @@ class Pieces:
             file = f.read()
         library = sentencepiece.SentencePieceProcessor(model_proto=file)
         self.unigram = model_type(file) == "unigram"
+        check_normalizer(file)
         self.text, self.byte, self.score, self.id = {}, {}, {}, {}
         for k in range(library.get_piece_size()):
             piece = library.id_to_piece(k)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from strandlake.llm.common import MOST_SPREAD, as_column, even_keys, pieces, tasks, text_bytes, tidy
+from strandlake.llm.common import MOST_SPREAD, as_column, even_keys, named, pieces, tasks, text_bytes, tidy
 
 #: Text of a bucket, and of all buckets for which one part answers, at least; large inputs have parts of up to GROWS times as much, as every bucket may write to every part.
 BUCKET_BYTES, PART_BYTES, GROWS = 8 << 20, 12 << 20, 8
@@ -480,12 +480,12 @@ def cut_repeats(docs: DataFrame, u: Units, procedure: BlockProcedure, keep: str
     def to_buckets(messages: DataFrame) -> DataFrame:
         return messages.repartition(by_bucket, "bucket").groupBy("bucket")
 
-    dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([F.struct(*carry).alias("carried")] if carry else [])).repartition(by_bucket, "bucket")
+    dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([F.struct(*map(named, carry)).alias("carried")] if carry else [])).repartition(by_bucket, "bucket")
     asked = to_parts(dealt.groupBy("bucket").applyInArrow(tidy(_ask(u, parts)), MESSAGE))
     answered = asked.groupBy("part").applyInArrow(tidy(_answer(hot)), MESSAGE).withColumn("part", F.col("part") % parts)
     sent = to_parts(dealt.groupBy("bucket").cogroup(to_buckets(answered)).applyInArrow(tidy(_send(u, parts)), MESSAGE))
     found = sent.groupBy("part").applyInArrow(tidy(_find(u, procedure)), MESSAGE).withColumn("part", F.col("part") % parts)
     schema = _parse_datatype_string("doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string" + (f", kept {'binary' if keep == 'bytes' else 'string'}" if keep else ""))
     if carry:
-        schema = schema.add("carried", docs.select(F.struct(*carry).alias("c")).schema["c"].dataType)
+        schema = schema.add("carried", docs.select(F.struct(*map(named, carry)).alias("c")).schema["c"].dataType)
     return dealt.groupBy("bucket").cogroup(to_buckets(answered.union(found))).applyInArrow(tidy(_finish(u, parts, keep, bool(carry))), schema)

@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import table
+from strandlake.llm.common import named, table
 
 #: A prime about a thousand times the number of shards: shares differ by 0.1 % at most.
 SLOTS, SHARDS = 65_537, tuple(f"shard-{k:03d}" for k in range(64))
@@ -67,9 +67,9 @@ def place(docs: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS
     whatever their names; a key named slot or shard comes back as key_slot or key_shard. An
     empty table gives an empty one. Texts aren't read, whatever their length.
     """
-    named = f"key_{key}" if key.lower() in ("slot", "shard") else key
-    placed = docs.select(F.col(key).alias(named), F.coalesce(slot_of(F.col(key), slots), F.lit(0)).alias("slot"))
-    return placed.join(F.broadcast(table_rows(docs.sparkSession, shards, slots)), "slot").select(named, "slot", "shard")
+    called = f"key_{key}" if key.lower() in ("slot", "shard") else key
+    placed = docs.select(named(key).alias(called), F.coalesce(slot_of(named(key), slots), F.lit(0)).alias("slot"))
+    return placed.join(F.broadcast(table_rows(docs.sparkSession, shards, slots)), "slot").select(named(called), "slot", "shard")
 
 
 def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

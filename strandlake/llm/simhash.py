@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, checkpointed, components, pieces, table, text_bytes, tidy
+from strandlake.llm.common import bounded_batches, checkpointed, components, named, pieces, table, text_bytes, tidy
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: First bit and number of bits of each segment of the ring.
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that have a smaller doc_id in their component. Rows of one doc_id stay or go together; null doc_ids stay."""
     gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

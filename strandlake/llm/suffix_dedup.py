@@ -116,11 +116,13 @@ def suffix_array_block(block: Block, u: Units) -> np.ndarray:
 def dedup(docs: DataFrame, window: int = WINDOW, keep: str = "bytes", carry: list[str] | None = None, **sizes: int) -> DataFrame:
     """Removes each byte covered by a window of bytes that also starts in a document with a smaller doc_id.
 
-    docs: doc_id long, text; other columns are left out. Returns doc_id, n_units (bytes),
+    docs: doc_id long, text string; other columns are left out. Returns doc_id, n_units (bytes),
     n_removed, spans (maximal removed runs), kept_sha256, and with keep the kept bytes.
     Windows are judged on the input. Null and empty texts have no window and stay empty;
     documents below the window stay whole; an empty table gives an empty one.
     """
+    if docs.schema["text"].dataType.typeName() == "binary":
+        raise TypeError("text must be a string: UTF-8 has no byte 255, which stands for byte 0 in the collection")
     gram = max(1, min(GRAM, window - 1)) if window - GRAM + 1 <= 32 else window - 31
     return cut_repeats(docs, Units(False, window, gram), suffix_array_block, keep, carry, **sizes)
 
@@ -140,4 +142,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     out = dedup(docs, keep="text", carry=others)
     count = {"n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.select(*[count.get(c, F.col("kept") if c == "text" else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[count.get(c, F.col("kept") if c == "text" else F.col("carried")[c]).alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """SimHash components and the embedding join against brute force."""
 
 import numpy as np
+import pytest
 import xxhash
 
 from strandlake.llm import embedding_join, simhash
@@ -119,11 +120,41 @@ def test_range_join_by_brute_force(spark, monkeypatch):
 
 
 def test_range_join_of_extreme_magnitudes_and_odd_rows(spark):
-    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [3e-200, 3e-200]), (4, [5.0, 5.0]), (5, [5e-324, 0.0]), (6, [1.7e308, 0.0]), (7, [1.0, 1.0, 0.0]), (8, [-2.0, -2.0]), (None, [1.0, 1.0]), (4, [5.0, 5.0])]
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [3e-200, 3e-200]), (4, [5.0, 5.0]), (5, [5e-324, 0.0]), (6, [1.7e308, 0.0]), (7, [1.0, 1.0, 0.0]), (8, [-2.0, -2.0]), (None, [1.0, 1.0]), (None, None), (4, [5.0, 5.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' as rep", "2 as weight")
     got = embedding_join.range_join(d).collect()
     assert sorted((x.vec_id, x.n_links, x.component_id) for x in got if x.vec_id) == [(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (4, 4, 1), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 0, 8)]
-    assert [x.component_id for x in got if x.vec_id is None] == [None] or len(got) == len(rows)
+    assert [(x.n_links, x.component_id, x.kept) for x in got if x.vec_id is None] == [(0, None, True)] * 2 and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_range_join_of_parallel_vectors(spark, monkeypatch, kind):
+    """Multiples of one direction, of which several are pivots, vectors near it, and one vector in very many rows."""
+    r = np.random.default_rng(2)
+    base = r.normal(size=64)
+    vectors = [base * s for s in [3.0, 0.1, *r.random(1500)]] + [base + r.normal(size=64) * np.linalg.norm(base) * s / 8 for s in r.random(600) * 0.6] + [base * 0.3] * 700 + list(r.normal(size=(100, 64)))
+    vectors = np.array(vectors).astype(np.float32 if kind == "float" else np.float64).astype(np.float64)
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], f"vec_id long, embedding array<{kind}>")
+    m = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosine = m @ m.T
+    np.fill_diagonal(cosine, -1)
+    assert not ((cosine > 0.95 - 1e-12) & (cosine < 0.95 + 1e-12)).any()
+    near = cosine >= 0.95
+    want = smallest(range(len(m)), np.argwhere(np.triu(near)).tolist())
+    monkeypatch.setattr(embedding_join, "PER_PIVOT", 40)
+    for threshold, hot in ((1 - 1e-6, 10_000), (2, 3), (2, 10_000)):  # 2: no pivot is dropped
+        monkeypatch.setattr(embedding_join, "apart", lambda p, t=threshold: p if t > 1 else p[[0, *[k for k in range(1, len(p)) if (p[:k] @ p[k]).max() <= t]]])
+        monkeypatch.setattr(embedding_join, "HOT", hot)
+        got = {x.vec_id: x for x in embedding_join.range_join(d).collect()}
+        assert len(got) == len(vectors)
+        assert [got[k].n_links for k in range(len(m))] == near.sum(axis=1).tolist()
+        assert {k: x.component_id for k, x in got.items()} == want
+
+
+def test_pivots_are_apart():
+    p = np.array([[1.0, 0], [1, 1e-9], [0, 1], [1, 0], [0.6, 0.8], [1e-5, 1]])
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    assert embedding_join.apart(p).tolist() == p[[0, 2, 4]].tolist()
 
 
 def test_bounds_lose_no_pair():

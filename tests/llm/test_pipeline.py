@@ -72,7 +72,7 @@ def test_stages_by_brute_force(spark, tmp_path):
 
 
 def test_stages_on_odd_documents(spark, odd_docs, tmp_path):
-    check_stages(spark, odd_docs.selectExpr("*", "1 as toxic", "2 as rep", "3 as bucket", "4 as node"), tmp_path)
+    check_stages(spark, odd_docs.selectExpr("*", "1 as toxic", "2 as rep", "3 as bucket", "4 as node", "5 as `a.b`", "6 as `text.x`", "7 as `a``c`"), tmp_path)
 
 
 def test_repeated_rows_and_an_empty_table(spark, odd_docs):

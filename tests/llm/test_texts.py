@@ -314,8 +314,8 @@ def test_pieces_are_the_librarys_and_decode_again(odd_docs, odd_texts):
         assert [values[i:j].tolist() for i, j in zip(ends, ends[1:])] == [library.encode(t) for t in part.to_pylist()]
 
 
-def unigram_model(path, pieces_):
-    """A model file: identity normalization, unknown id 0, the given pieces with their log probabilities."""
+def unigram_model(path, pieces_, normalizer=((1, b"identity"), (3, 1), (4, 0), (5, 1)), kind=1):
+    """A model file: unknown id 0, the given pieces with their log probabilities; normally with identity normalization."""
 
     def field(k, value):
         if isinstance(value, int):
@@ -326,12 +326,26 @@ def unigram_model(path, pieces_):
         return bytes([k << 3 | 2, len(value)]) + value
 
     body = field(1, field(1, b"<unk>") + field(2, 0.0) + field(3, 2))
-    body += b"".join(field(1, field(1, p.encode()) + field(2, s)) for p, s in pieces_)
-    body += field(2, field(3, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    body += b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, kind)) for p, s in pieces_)
+    body += field(2, field(3, 1)) + field(3, b"".join(field(*x) for x in normalizer))
     path.write_bytes(body)
     return str(path)
 
 
+def test_models_that_change_the_text_are_refused(tmp_path):
+    made = [("▁", -1.0), ("a", -2.0)]
+    for k, (spec, word) in enumerate([(((3, 1),), "extra"), (((4, 0), (3, 0)), "dummy"), (((4, 0), (5, 0)), "escape"), (((4, 0), (2, b"map")), "charsmap"), ((), "extra")]):
+        file = tmp_path / f"{k}.model"
+        unigram_model(file, made, spec)
+        with pytest.raises(ValueError, match=word):
+            pieces.check_normalizer(file.read_bytes())
+    unigram_model(tmp_path / "own.model", made, kind=4)
+    with pytest.raises(ValueError, match="user-defined"):
+        pieces.check_normalizer((tmp_path / "own.model").read_bytes())
+    with open(public_tokenizers.path(pieces.MODEL), "rb") as f:
+        pieces.check_normalizer(f.read())
+
+
 def test_unigram_models_are_the_librarys(tmp_path, spark):
     r = random.Random(6)
     texts = ["".join(r.choice(["a", "b", "ab", "c", "z", "zz", " ", "  ", "abc"]) for _ in range(r.randint(0, 12))) for _ in range(600)]
