@@ -10,9 +10,10 @@ the checkpoint folder and stop when a round changes nothing.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.config import GraphParams
@@ -21,17 +22,44 @@ OPEN, MASKED, LESS, HARD = 0, 1, 2, 3
 KEY = ["node1", "dir1", "node2", "dir2"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share, which the session names; of this machine only where all run on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoints")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables that a loop writes to the shared folder, removed when it is over.
+
+    Unlike a checkpoint's, the size of a written table is known: plans of later rounds are made
+    from it, and not from products of the sizes that the rounds before were estimated to have.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def region_pairs(regions: DataFrame, span: int) -> DataFrame:
     """Pairs of regions of one read up to `span` bins apart, in node order: KEY, off, adjacent.
 

@@ -7,6 +7,7 @@ reverse query count on its forward strand.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,20 +21,25 @@ from strandlake.config import MapParams
 OVERLAP = "qidx long, qdir int, qlen int, qb int, qe int, tidx long, tlen int, tb int, te int, mat int, aln int, cnt int, gap int, cigar string"
 
 
-def seed_hits(query: DataFrame, target: DataFrame, lengths: DataFrame, p: MapParams, self_join: bool = True, strands: int = 3) -> DataFrame:
+def with_lengths(posted: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Postings with the lengths(ridx, len) of their reads, so that hits needn't be shuffled by their query to find it."""
+    return posted.hint("merge").join(lengths.select("ridx", "len"), "ridx").select("kmer", "ridx", "dir", "off", "bin", "len")
+
+
+def seed_hits(query: DataFrame, target: DataFrame, p: MapParams, self_join: bool = True, strands: int = 3) -> DataFrame:
     """(qidx, tidx, strand, tbin, poff): seeds of the query that the target's index holds.
 
-    query and target are postings; lengths(ridx, len) are the queries'. With self_join each
-    pair of reads comes once, the query being the smaller ridx. poff is the seed's place on
-    the query's strand. strands: 1 forward, 2 reverse, 3 both.
+    query and target are postings, the query's with lengths. With self_join each pair of
+    reads comes once, the query being the smaller ridx. poff is the seed's place on the query's
+    strand. strands: 1 forward, 2 reverse, 3 both. Both sides are shuffled by seed: their sizes
+    aren't known from the texts they come from, and neither is to be broadcast.
     """
-    q = query.select("kmer", F.col("ridx").alias("qidx"), F.col("dir").alias("qd"), F.col("off").alias("qoff"))
+    q = query.select("kmer", F.col("ridx").alias("qidx"), F.col("dir").alias("qd"), F.col("off").alias("qoff"), F.col("len").alias("qlen"))
     t = target.select("kmer", F.col("ridx").alias("tidx"), F.col("dir").alias("td"), F.col("bin").alias("tbin"))
-    pairs = q.join(t, "kmer")
+    pairs = q.hint("merge").join(t, "kmer")
     if self_join:
         pairs = pairs.where("tidx > qidx")
-    strand = F.col("qd").bitwiseXOR(F.col("td"))
-    pairs = pairs.join(lengths.select(F.col("ridx").alias("qidx"), F.col("len").alias("qlen")), "qidx").withColumn("strand", strand)
+    pairs = pairs.withColumn("strand", F.col("qd").bitwiseXOR(F.col("td")))
     if strands != 3:
         pairs = pairs.where(F.col("strand") == (0 if strands == 1 else 1))
     poff = F.when(F.col("strand") == 0, F.col("qoff")).otherwise(F.col("qlen") - F.col("qoff") - p.seed)
@@ -306,34 +312,92 @@ def flipped(overlaps: DataFrame) -> DataFrame:
     return overlaps.select(F.col("tidx").alias("qidx"), "qdir", F.col("tlen").alias("qlen"), F.col("tb").alias("qb"), F.col("te").alias("qe"), F.col("qidx").alias("tidx"), F.col("qlen").alias("tlen"), F.col("qb").alias("tb"), F.col("qe").alias("te"), "mat", "aln", "cnt", "gap", cigar.alias("cigar"))
 
 
+def letters(bincnts: DataFrame, p: MapParams) -> DataFrame:
+    """(ridx, len): what whole bins of reads(ridx, bincnt) have."""
+    return bincnts.select("ridx", (F.col("bincnt") * p.bin_size).alias("len"))
+
+
+#: Hits of a part of the index at most, about: some 100 GB of shuffle files.
+PART_HITS = 2_000_000_000
+
+
+def parts_needed(posted: DataFrame, most: int = PART_HITS) -> int:
+    """In how many parts an index has at most `most` hits each when all its reads are mapped to a part: a pair of postings of one seed is a hit."""
+    n = F.col("n").cast("double")
+    hits = posted.groupBy("kmer").agg(F.count("*").alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0]
+    return max(1, math.ceil((hits or 0) / most))
+
+
+def part_of(posted: DataFrame, k: int, parts: int) -> DataFrame:
+    """Postings of the reads of one part of an index; a read is in one part whole."""
+    return posted.where(F.pmod(F.xxhash64("ridx"), F.lit(parts)) == k)
+
+
+def map_to_index(query: DataFrame, target: DataFrame, bincnts: DataFrame, p: MapParams, parts: int, self_join: bool = True) -> DataFrame:
+    """Overlaps of the postings of queries with an index, part by part of it: seed join, runs, alignment, chains, best of each pair and read.
+
+    query: with lengths; bincnts(ridx, bincnt): of queries and targets. Each part's overlaps join the best so far and
+    are written before the next part begins, so that shuffle files of one part stand at a time.
+    The result doesn't depend on the parts: seeds are counted over the whole index, a pair of
+    reads meets in one part, and what is among the best n of a read is so in its part as well.
+    """
+    from strandlake.operators.graph import checkpointed
+
+    best = None
+    for k in range(parts):
+        hits = seed_hits(query, part_of(target, k, parts) if parts > 1 else target, p, self_join)
+        found = best_per_pair(chained(align(cells(islands(hits, p), p), bincnts, p), p))
+        if parts == 1:
+            return best_n(found, p.best_n)
+        best = checkpointed(best_n(found if best is None else best.unionByName(found), p.best_n))
+        query.sparkSession.sparkContext._jvm.System.gc()  # Spark removes a shuffle's files once the driver has collected what held them
+    return best
+
+
 def map_reads(reads: DataFrame, p: MapParams) -> DataFrame:
-    """All overlaps among reads: index, seed join, runs, alignment, chains, best of each pair and read."""
+    """All overlaps among reads, by p.parts parts of their index, or as many as its hits need."""
+    from strandlake.operators.graph import checkpointed
     from strandlake.operators.kmers import index
     from strandlake.operators.reads import trimmed_to_bins
 
+    bincnts = trimmed_to_bins(reads, p.bin_size).select("ridx", "bincnt")
+    posted = checkpointed(with_lengths(index(reads, p), letters(bincnts, p)))
+    return map_to_index(posted, posted, bincnts, p, p.parts or parts_needed(posted))
+
+
+def map_queries(queries: DataFrame, references: DataFrame, p: MapParams) -> DataFrame:
+    """Overlaps of queries with an index of references, both reads(ridx, seq) with ids of their own; the frequency cut is the references' alone.
+
+    Ids of queries in the result are theirs, as are those of references.
+    """
     from strandlake.operators.graph import checkpointed
+    from strandlake.operators.kmers import index, kmers
+    from strandlake.operators.reads import trimmed_to_bins
 
-    cut = trimmed_to_bins(reads, p.bin_size)
-    posted = checkpointed(index(reads, p))
-    lengths = cut.select("ridx", (F.col("bincnt") * p.bin_size).alias("len"))
-    hits = seed_hits(posted, posted, lengths, p)
-    found = align(cells(islands(hits, p), p), cut.select("ridx", "bincnt"), p)
-    return best_n(best_per_pair(chained(found, p)), p.best_n)
+    target = checkpointed(index(references, p))
+    seeds = kmers(queries, p).join(target.select("kmer").distinct(), "kmer", "left_semi").select("kmer", "ridx", "dir", "off", F.floor(F.col("off") / p.bin_size).cast("int").alias("bin"))
+    # a name space for both: queries have even numbers, references odd ones
+    query, target = seeds.withColumn("ridx", F.col("ridx") * 2), target.withColumn("ridx", F.col("ridx") * 2 + 1)
+    bincnts = trimmed_to_bins(queries, p.bin_size).select(F.col("ridx") * 2, "bincnt").toDF("ridx", "bincnt").unionByName(trimmed_to_bins(references, p.bin_size).select(F.col("ridx") * 2 + 1, "bincnt").toDF("ridx", "bincnt"))
+    query = checkpointed(with_lengths(query, letters(bincnts, p)))
+    met = query.groupBy("kmer").agg(F.count("*").alias("m")).join(target.groupBy("kmer").agg(F.count("*").alias("n")), "kmer").agg(F.sum(F.col("m").cast("double") * F.col("n"))).first()[0]
+    found = map_to_index(query, target, bincnts, p, p.parts or max(1, math.ceil((met or 0) / PART_HITS)), self_join=False)
+    return found.withColumn("qidx", F.floor(F.col("qidx") / 2)).withColumn("tidx", F.floor(F.col("tidx") / 2))
 
 
 def map_pairs(reads: DataFrame, pairs: DataFrame, p: MapParams) -> DataFrame:
     """Overlaps of the given pairs(qidx, tidx) only: the pair list meets the seeds before anything is aligned."""
+    from strandlake.operators.graph import checkpointed
     from strandlake.operators.kmers import index
     from strandlake.operators.reads import trimmed_to_bins
 
     cut = trimmed_to_bins(reads, p.bin_size)
-    posted = index(reads, p)
-    lengths = cut.select("ridx", (F.col("bincnt") * p.bin_size).alias("len"))
+    posted = checkpointed(with_lengths(index(reads, p), letters(cut, p)))
     wanted = pairs.select("qidx", "tidx").distinct()
     # only seeds of reads that some pair has, each with the reads it is to meet
     q = posted.join(wanted.select(F.col("qidx").alias("ridx")).distinct(), "ridx", "left_semi").select(posted.columns)
     t = posted.join(wanted.select(F.col("tidx").alias("ridx")).distinct(), "ridx", "left_semi").select(posted.columns)
-    hits = seed_hits(q, t, lengths, p, self_join=False).join(wanted, ["qidx", "tidx"], "left_semi").where("qidx != tidx")
+    hits = seed_hits(q, t, p, self_join=False).join(wanted, ["qidx", "tidx"], "left_semi").where("qidx != tidx")
     return align(cells(islands(hits, p), p), cut.select("ridx", "bincnt"), p)
 
 

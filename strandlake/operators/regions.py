@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.config import GraphParams
-from strandlake.functions.sequence import cigar_runs
 
 #: Bins of a slot, in which regions of a read are compared.
 SLOT = 64
@@ -64,38 +66,73 @@ def chimera_cuts(overlaps: DataFrame, margin: int = 4) -> DataFrame:
     return both.withColumn("depth", depth).where("spurs > 0 and spurs > 2 * depth").select("rid", "pos", "spurs", "depth")
 
 
+_TILES = pa.schema([("anchor", pa.int64()), ("tile", pa.int32()), ("rid", pa.int64()), ("dir", pa.int32()), ("beg", pa.int32()), ("end", pa.int32()), ("closed", pa.bool_())])
+
+
+def cigar_steps(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, letter) of each step of cigars: a letter without a number is one step."""
+    text = pa.concat_arrays([pa.array([], pa.binary()), column.cast(pa.binary())])
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False)).astype(np.int64))
+    data = np.frombuffer(b"".join(x or b"" for x in text.to_pylist()), np.uint8)
+    at = np.flatnonzero(data > 57)  # letters, of which each ends a run
+    figures = np.flatnonzero(data <= 57)
+    run = np.searchsorted(at, figures)
+    number = np.bincount(run, (data[figures] - 48.0) * 10.0 ** (at[run] - 1 - figures), len(at)).astype(np.int64)
+    alone = np.diff(at, prepend=-1) == 1
+    count = np.where(alone, 1, number)
+    return np.repeat(np.searchsorted(ends, at, side="right"), count), np.repeat(data[at], count)
+
+
+def _projected(p: GraphParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    n = p.reg_len
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = {name: b.column(name).to_numpy(zero_copy_only=False) for name in ("qidx", "qdir", "qlen", "tidx", "tb", "qs", "mask")}
+            row, letter = cigar_steps(b.column("cigar"))
+            low = letter | 32
+            first = np.searchsorted(row, np.arange(b.num_rows))
+
+            def place(moves: np.ndarray, start: np.ndarray) -> np.ndarray:
+                """The bin of each step on a read of which some letters take one more."""
+                total = np.r_[0, np.cumsum(np.isin(low, moves))]
+                return np.maximum(total[1:] - total[first[row]] - 1, 0) + start[row]  # noqa: B023
+
+            x, y = place(np.frombuffer(b"mi", np.uint8), c["qs"]), place(np.frombuffer(b"md", np.uint8), c["tb"])
+            forward = np.where(c["qdir"][row] == 0, x, c["qlen"][row] - 1 - x)
+            back = c["qdir"][row] == 1
+            for own, other, anchor, rid in ((forward, y, "qidx", "tidx"), (y, x, "tidx", "qidx")):
+                # both places only grow, or only fall, along the steps of a row, so a tile's steps are neighbours
+                tile = own // n
+                head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (tile[1:] != tile[:-1])]) if len(row) else np.empty(0, np.int64)
+                tail = np.r_[head[1:], len(row)] - 1
+                hits = np.add.reduceat((letter < 97).astype(np.int64), head) if len(head) else head
+                whole = (np.abs(own[tail] - own[head]) + 1 == n) & (hits >= p.min_node_mats)
+                head, tail = head[whole], tail[whole]
+                of, beg, end = row[head], other[head], other[tail] + 1
+                if anchor == "tidx":  # on the query's forward strand
+                    beg, end = np.where(back[head], c["qlen"][of] - end, beg), np.where(back[head], c["qlen"][of] - beg, end)
+                closed = c["mask"][of] | (np.abs(end - beg - n) > 1)
+                values = (c[anchor][of], tile[head], c[rid][of], c["qdir"][of], beg, end, closed.astype(bool))
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _TILES, strict=True)], schema=_TILES)
+
+    return projected
+
+
 def tiles(overlaps: DataFrame, p: GraphParams) -> DataFrame:
     """(anchor, tile, rid, dir, beg, end, closed): each tile of reg_len bins of one read, projected by the cigar onto the other, both ways.
 
     A tile counts if min_node_mats bins of it match; it is closed if its projection is more
-    than a bin longer or shorter, or the overlap no dovetail.
+    than a bin longer or shorter, or the overlap no dovetail. Overlaps are projected where they
+    are, a batch at a time as arrays of steps; nothing is shuffled.
     """
     from strandlake.operators.overlaps import dovetail
 
     qs = F.when(F.col("qdir") == 0, F.col("qb")).otherwise(F.col("qlen") - F.col("qe"))
     o = overlaps.where("cigar != '*'").select("qidx", "qdir", "qlen", "tidx", "tb", qs.alias("qs"), (~dovetail(p.max_overhang)).alias("mask"), "cigar")
-    n = p.reg_len
-
-    def step(runs: F.Column) -> F.Column:
-        return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["op"], r["n"])))
-
-    oid = ["qidx", "tidx", "qdir", "qlen", "qs", "tb", "mask", "cigar"]
-    ops = o.groupBy(oid).agg(F.count("*").alias("times")).withColumn("ops", step(cigar_runs(F.col("cigar"))))
-    each = ops.select(*oid, "times", F.posexplode("ops").alias("k", "op"))
-    w = Window.partitionBy(oid).orderBy("k")
-    x = F.sum(F.lower("op").isin("m", "i").cast("int")).over(w) - 1
-    y = F.sum(F.lower("op").isin("m", "d").cast("int")).over(w) - 1
-    path = each.select("*", (F.greatest(x, F.lit(0)) + F.col("qs")).alias("x"), (F.greatest(y, F.lit(0)) + F.col("tb")).alias("y"), F.col("op").isin("M", "I", "D").cast("int").alias("hit"))
-    # the query's tiles on the target
-    on_t = path.withColumn("pos", F.when(F.col("qdir") == 0, F.col("x")).otherwise(F.col("qlen") - 1 - F.col("x")))
-    on_t = on_t.groupBy(*oid, "times", F.floor(F.col("pos") / n).cast("int").alias("tile")).agg(F.sum("hit").alias("mat"), F.min("y").alias("beg"), (F.max("y") + 1).alias("end"), F.count_distinct("x").alias("w"))
-    on_t = on_t.where((F.col("w") == n) & (F.col("mat") >= p.min_node_mats)).select(F.col("qidx").alias("anchor"), "tile", F.col("tidx").alias("rid"), F.col("qdir").alias("dir"), "beg", "end", "mask", "times")
-    on_q = path.groupBy(*oid, "times", F.floor(F.col("y") / n).cast("int").alias("tile")).agg(F.sum("hit").alias("mat"), F.min("x").alias("b"), (F.max("x") + 1).alias("e"), F.count_distinct("y").alias("w"))
-    back = F.col("qdir") == 1
-    on_q = on_q.where((F.col("w") == n) & (F.col("mat") >= p.min_node_mats)).select(F.col("tidx").alias("anchor"), "tile", F.col("qidx").alias("rid"), F.col("qdir").alias("dir"), F.when(back, F.col("qlen") - F.col("e")).otherwise(F.col("b")).alias("beg"), F.when(back, F.col("qlen") - F.col("b")).otherwise(F.col("e")).alias("end"), "mask", "times")
-    both = on_t.unionByName(on_q).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    closed = F.col("mask") | ~(F.col("end") - F.col("beg")).between(n - 1, n + 1)
-    return both.select("anchor", "tile", "rid", "dir", F.col("beg").cast("int").alias("beg"), F.col("end").cast("int").alias("end"), closed.alias("closed"))
+    return o.mapInArrow(_projected(p), "anchor long, tile int, rid long, dir int, beg int, end int, closed boolean")
 
 
 def candidates(projected: DataFrame, bincnts: DataFrame, p: GraphParams) -> DataFrame:
@@ -107,14 +144,25 @@ def candidates(projected: DataFrame, bincnts: DataFrame, p: GraphParams) -> Data
     return every.join(count, ["anchor", "tile"])
 
 
+#: Anchors of a block of nodes that are ranked together.
+BLOCK = 4096
+
+
 def ranked(regions: DataFrame) -> DataFrame:
-    """(anchor, tile, nreg, rank): nodes by the distance of their regions from the deepest node's plus one, then anchor and tile."""
+    """(anchor, tile, nreg, rank): nodes by the distance of their regions from the deepest node's plus one, then anchor and tile.
+
+    Most nodes have one of a few distances; so nodes are ranked within blocks of anchors of a
+    distance, after the counts of the blocks before.
+    """
     nodes = regions.select("anchor", "tile", "nreg").distinct()
     top = nodes.agg(F.max("nreg").alias("top"))
-    away = nodes.crossJoin(F.broadcast(top)).select("anchor", "tile", "nreg", (F.col("top") + 1 - F.col("nreg")).alias("away"))  # one row
-    start = away.groupBy("away").agg(F.count("*").alias("n")).select("away", (F.sum("n").over(Window.orderBy("away")) - F.col("n")).alias("start"))
-    rank = F.col("start") + F.row_number().over(Window.partitionBy("away").orderBy("anchor", "tile")) - 1
-    return away.join(start, "away").select("anchor", "tile", "nreg", rank.alias("rank"))
+    away = nodes.crossJoin(F.broadcast(top)).select("anchor", "tile", "nreg", (F.col("top") + 1 - F.col("nreg")).alias("away"), F.floor(F.col("anchor") / BLOCK).alias("block"))  # one row
+    blocks = away.groupBy("away", "block").agg(F.count("*").alias("n"))
+    inner = blocks.withColumn("inner", F.sum("n").over(Window.partitionBy("away").orderBy("block")) - F.col("n"))
+    start = blocks.groupBy("away").agg(F.sum("n").alias("n")).select("away", (F.sum("n").over(Window.orderBy("away")) - F.col("n")).alias("start"))
+    before = inner.join(start, "away").select("away", "block", (F.col("inner") + F.col("start")).alias("before"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("away", "block").orderBy("anchor", "tile")) - 1
+    return away.join(before, ["away", "block"]).select("anchor", "tile", "nreg", rank.alias("rank"))
 
 
 def select_nodes(regions: DataFrame, p: GraphParams) -> DataFrame:

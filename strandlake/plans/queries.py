@@ -76,8 +76,8 @@ def _lengths(r: DataFrame) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = g.checkpointed(_index(spark, sf_dir))
-    return ov.seed_hits(posted, posted, _lengths(reads(spark, sf_dir)), SMALL)
+    posted = g.checkpointed(ov.with_lengths(_index(spark, sf_dir), _lengths(reads(spark, sf_dir))))
+    return ov.seed_hits(posted, posted, SMALL)
 
 
 def shared_seed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,8 +360,8 @@ def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forward_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = g.checkpointed(_index(spark, sf_dir))
-    hits = ov.seed_hits(posted, posted, _lengths(reads(spark, sf_dir)), SMALL, strands=1)
+    posted = g.checkpointed(ov.with_lengths(_index(spark, sf_dir), _lengths(reads(spark, sf_dir))))
+    hits = ov.seed_hits(posted, posted, SMALL, strands=1)
     return hits.groupBy("qidx", "tidx").agg(F.count("*").alias("n"), F.min("poff").alias("first"))
 
 
