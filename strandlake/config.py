@@ -52,6 +52,7 @@ class GraphParams:
     max_edge_span: int = 1024
     tip_step: int = 10
     bub_step: int = 40
+    yarn_step: int = 200
     ctg_min_nodes: int = 3
     ctg_min_length: int = 20
 

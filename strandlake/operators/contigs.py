@@ -109,6 +109,7 @@ def detach_repeats(found: DataFrame, frags: DataFrame, most: int) -> DataFrame:
 def clean_links(found: DataFrame, frags: DataFrame, p: GraphParams, fuzz: int = 39, short: int = 117, repeat: int = 390) -> DataFrame:
     """The clean-up of links: double links, transitive ones, boomerangs of short fragments, weak branches, tips, bubbles, repeats. Lengths are in bins."""
     from strandlake.operators.graph import KEY, bubble_nodes, tip_nodes, transitive, without_nodes
+    from strandlake.operators.local import detach
 
     if found.isEmpty():
         return found
@@ -124,7 +125,7 @@ def clean_links(found: DataFrame, frags: DataFrame, p: GraphParams, fuzz: int =
     nodes = frags.select(F.col("utg").alias("node"))
     for find in (lambda e: tip_nodes(e, nodes, p.tip_step), lambda e: bubble_nodes(e, nodes, p.bub_step)):
         e = with_weak(without_nodes(e, checkpointed(find(e))))
-    e = checkpointed(detach_repeats(e, frags, repeat))
+    e = checkpointed(detach(e, frags, repeat, repeat))
     return with_weak(without_nodes(e.drop("weak"), checkpointed(tip_nodes(e, nodes, p.tip_step))))
 
 

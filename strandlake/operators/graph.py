@@ -308,7 +308,9 @@ def rescue_high_cov(edges: DataFrame, low: int = 20) -> DataFrame:
 
 
 def clean(edges: DataFrame, nodes: DataFrame, p: GraphParams) -> DataFrame:
-    """The clean-up of a node graph: binary edges, transitive reduction, tips, blunt tips and bubbles until nothing changes, coverage rescue, branching nodes."""
+    """The clean-up of a node graph: binary edges, transitive reduction, tips, blunt tips and bubbles until nothing changes, superbubbles, yarns, coverage rescue, branching nodes."""
+    from strandlake.operators.local import pop_superbubbles, resolve_yarns
+
     e = checkpointed(cut_transitive(checkpointed(cut_binary(edges)), p.reg_len))
     live = nodes.where("not closed").select("node")
     changed = True
@@ -318,6 +320,7 @@ def clean(edges: DataFrame, nodes: DataFrame, p: GraphParams) -> DataFrame:
             gone = checkpointed(find(e, live))
             if not gone.isEmpty():
                 e, live, changed = checkpointed(without_nodes(e, gone)), checkpointed(live.join(gone, "node", "left_anti")), True
+    e = resolve_yarns(pop_superbubbles(e, p.bub_step), p.yarn_step)
     e = checkpointed(rescue_high_cov(e))
     return checkpointed(without_nodes(e, branching_nodes(e)))
 
