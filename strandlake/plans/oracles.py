@@ -258,3 +258,63 @@ ORACLE_SQL["unitigs"] = _q(
     "RECURSIVE " + _unitigs(_CTES + ", gone AS (SELECT node1, dir1, node2, dir2 FROM (" + _GONE + "), edges AS (SELECT * REPLACE (CASE WHEN (node1, dir1, node2, dir2) IN (SELECT (node1, dir1, node2, dir2) FROM gone) THEN 3 ELSE closed END AS closed) FROM edges0)").replace("SELECT node * 2 AS state FROM degrees UNION ALL SELECT node * 2 + 1 FROM degrees", "SELECT DISTINCT src * 2 AS state FROM halves0 UNION SELECT src * 2 + 1 FROM halves0"),
     "SELECT utg, step, node, dir FROM utg",
 )
+
+
+def _blocks(steps: str) -> str:
+    """Steps (s, t, cov) of blocks of 16 nodes, one for each part, both ways."""
+    turn = "CAST((({0}) + ({0}) // 16) % 3 = 0 AS INT)"
+    state = "(({0}) * 2 + " + turn + ")"
+    return f"""k AS (SELECT p_partkey AS p, p_partkey * 16 AS n FROM part),
+  up AS (SELECT {state.format('n + a')} AS s, {state.format('n + b')} AS t, (p * 7 + a * 5 + b * 11 + p * b) % 23 + 1 AS cov FROM k, (VALUES {steps}) v(a, b, m) WHERE p % m = 0),
+  e AS (SELECT s, t, cov FROM up UNION ALL SELECT xor(t, 1), xor(s, 1), cov FROM up),
+  outs AS (SELECT s, count(*) AS n FROM e GROUP BY s), ins AS (SELECT t, count(*) AS n FROM e GROUP BY t)"""
+
+
+def _regions(starts: str) -> str:
+    """Regions (s, x, n, d): what lies between a start and each state that is up to 8 steps away, where nothing else enters or leaves; all their steps (s, x, v, t, cov)."""
+    return f"""starts AS ({starts}),
+  walk8 AS (SELECT s, s AS v, 0 AS d FROM starts UNION SELECT w.s, e.t, w.d + 1 FROM walk8 w JOIN e ON e.s = w.v WHERE w.d < 8),
+  dist AS (SELECT s, v, min(d) AS d FROM walk8 GROUP BY s, v),
+  seen AS (SELECT s, v AS x, s AS v FROM dist WHERE v <> s UNION SELECT w.s, w.x, e.t FROM seen w JOIN e ON e.s = w.v JOIN dist i ON i.s = w.s AND i.v = e.t WHERE w.v <> w.x),
+  steps AS (SELECT w.s, w.x, w.v, e.t, e.cov FROM seen w JOIN e ON e.s = w.v WHERE w.v <> w.x),
+  entered AS (SELECT s, x, t, count(*) AS n FROM steps GROUP BY s, x, t),
+  bad AS (SELECT w.s, w.x FROM seen w LEFT JOIN outs o ON o.s = w.v WHERE w.v NOT IN (w.s, w.x) AND o.n IS NULL
+    UNION SELECT w.s, w.x FROM seen w JOIN dist i ON i.s = w.s AND i.v = w.v WHERE w.v <> w.x AND i.d = 8
+    UNION SELECT c.s, c.x FROM entered c JOIN ins USING (t) WHERE c.n <> ins.n OR c.t = c.s
+    UNION SELECT a.s, a.x FROM seen a JOIN seen b ON a.s = b.s AND a.x = b.x AND b.v = xor(a.v, 1)),
+  good AS (SELECT w.s, w.x, count(*) AS n, max(i.d) FILTER (WHERE w.v = w.x) AS d FROM seen w JOIN dist i ON i.s = w.s AND i.v = w.v GROUP BY w.s, w.x HAVING bool_or(w.v = w.x)),
+  region AS (SELECT g.* FROM good g ANTI JOIN bad b ON g.s = b.s AND g.x = b.x),
+  ways AS (SELECT s, x, s AS v, 0 AS n, 0 AS cov, [s] AS way FROM region UNION ALL SELECT w.s, w.x, c.t, w.n + 1, w.cov + c.cov, list_prepend(c.t, w.way) FROM ways w JOIN steps c ON c.s = w.s AND c.x = w.x AND c.v = w.v WHERE w.n < 9)"""
+
+
+def _kept(best: str) -> str:
+    return f"""chosen AS (SELECT s, x, arg_min(way, {best}) AS way FROM ways WHERE v = x GROUP BY s, x)
+SELECT c.s AS entrance, c.x AS exit, c.v AS s, c.t AS t, CAST(coalesce(list_position(h.way, c.t) + 1 = list_position(h.way, c.v), FALSE) AS INT) AS kept
+FROM steps c JOIN first f ON f.s = c.s AND f.x = c.x JOIN chosen h ON h.s = c.s AND h.x = c.x"""
+
+
+_BUBBLES = "(0, 1, 1), (0, 2, 1), (1, 4, 1), (1, 5, 1), (4, 6, 1), (5, 6, 1), (6, 7, 1), (2, 7, 1), (7, 16, 1), (0, 3, 3), (3, 7, 3), (2, 9, 5), (12, 4, 7), (6, 1, 11)"
+_TANGLES = "(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 1), (3, 5, 1), (4, 6, 1), (5, 7, 1), (6, 8, 1), (7, 8, 1), (8, 16, 1), (6, 5, 2), (7, 4, 2), (4, 7, 3), (6, 9, 5), (10, 5, 7)"
+# a way of nine steps goes round a ring, as no region's paths are as long
+ORACLE_SQL["superbubbles"] = (
+    f"WITH RECURSIVE {_blocks(_BUBBLES)}, {_regions('SELECT s FROM outs WHERE n > 1')}, "
+    "whole AS (SELECT * FROM region r WHERE NOT EXISTS (SELECT 1 FROM ways w WHERE w.s = r.s AND w.x = r.x AND w.n = 9)), "
+    "first AS (SELECT s, x FROM whole WHERE x <> xor(s, 1) QUALIFY row_number() OVER (PARTITION BY s ORDER BY n) = 1 AND s <= xor(x, 1)), "
+    + _kept("struct_pack(a := -n, b := -cov, c := way)")
+)
+# an entrance follows a path of four nodes, or one that nothing leads to
+ORACLE_SQL["yarns"] = (
+    f"WITH RECURSIVE {_blocks(_TANGLES)}, behind AS (SELECT s, s AS v, 1 AS n FROM outs WHERE n > 1 UNION ALL SELECT b.s, e.s, b.n + 1 FROM behind b JOIN ins i ON i.t = b.v AND i.n = 1 JOIN e ON e.t = b.v JOIN outs o ON o.s = e.s AND o.n = 1 WHERE b.n < 4), "
+    + _regions("SELECT DISTINCT b.s FROM behind b LEFT JOIN ins i ON i.t = b.v WHERE b.n = 4 OR i.n IS NULL")
+    + ", open AS (SELECT r.* FROM region r WHERE r.n >= 4 AND r.d < 8 AND (NOT EXISTS (SELECT 1 FROM outs o WHERE o.s = r.x) OR EXISTS (SELECT 1 FROM e WHERE e.s = r.x AND NOT EXISTS (SELECT 1 FROM seen w WHERE w.s = r.s AND w.x = r.x AND w.v = e.t)))), "
+    "first AS (SELECT s, x FROM open QUALIFY row_number() OVER (PARTITION BY s ORDER BY d, x) = 1), "
+    + _kept("struct_pack(a := n, b := -cov, c := way)")
+)
+ORACLE_SQL["detached_repeats"] = (
+    f"WITH {_blocks('(0, 8, 1), (3, 9, 2), (2, 10, 4), (1, 9, 3)')}, "
+    "across AS (SELECT s, t, cov, s // 32 AS p, CASE WHEN s // 2 % 16 < 2 THEN 1 ELSE 3 END AS l, CASE WHEN t // 2 % 16 < 9 THEN 7 ELSE 9 END AS r FROM up), "
+    "pairs AS (SELECT p, l, r, arg_min(s, (-cov, s, t)) AS s, arg_min(t, (-cov, s, t)) AS t FROM across GROUP BY p, l, r), "
+    "alone AS (SELECT * FROM pairs QUALIFY count(*) OVER (PARTITION BY p, l) = 1 AND count(*) OVER (PARTITION BY p, r) = 1), "
+    "nodes AS (SELECT *, p * 16 + 4 AS head, p * 16 + l AS ln, p * 16 + r AS rn FROM alone) "
+    "SELECT head * 2 + CAST((head + p) % 3 = 0 AS INT) AS repeat, ln * 2 + 1 - CAST((ln + p) % 3 = 0 AS INT) AS \"left\", rn * 2 + CAST((rn + p) % 3 = 0 AS INT) AS \"right\", s, t FROM nodes"
+)

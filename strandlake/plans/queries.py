@@ -15,6 +15,7 @@ from strandlake.operators import consensus as con
 from strandlake.operators import contigs as ctg
 from strandlake.operators import graph as g
 from strandlake.operators import kmers as km
+from strandlake.operators import local
 from strandlake.operators import overlaps as ov
 from strandlake.operators import reads as rd
 from strandlake.operators import regions as rg
@@ -181,6 +182,55 @@ def ladder_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("node1", F.lit(0).alias("dir1"), "node2", F.lit(0).alias("dir2"), F.col("cov").cast("int").alias("cov"), F.lit(0).alias("off"), F.lit(0).alias("closed"))
 
 
+def block_edges(spark: SparkSession, sf_dir: str, steps: list[tuple[int, int, int]]) -> DataFrame:
+    """A block of 16 nodes for each part, joined to the next one's: steps (a, b, m) where m divides the part's key.
+
+    Some nodes lie the other way round, and coverages differ from part to part.
+    """
+    n = F.col("p_partkey") * 16
+    k = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[F.struct(*[F.lit(x) for x in s]).alias("s") for s in steps])).alias("s"))
+    k = k.select("p_partkey", n.alias("n"), F.col("s.col1").alias("a"), F.col("s.col2").alias("b"), F.col("s.col3").alias("m")).where("p_partkey % m = 0")
+
+    def state(c: str) -> F.Column:
+        node = F.col("n") + F.col(c)
+        return node * 2 + ((node + F.floor(node / 16)) % 3 == 0).cast("int")
+
+    cov = (F.col("p_partkey") * 7 + F.col("a") * 5 + F.col("b") * 11 + F.col("p_partkey") * F.col("b")) % 23 + 1
+    every = k.select(state("a").alias("s"), state("b").alias("t"), cov.cast("int").alias("cov"))
+    return local.edge_keys(every).select(*g.KEY, "cov", F.lit(0).alias("off"), F.lit(0).alias("closed"))
+
+
+#: From 0 to 7 by three ways, one of which parts and meets again at 6; some blocks have a tip, a way in, or a ring.
+BUBBLES = [(0, 1, 1), (0, 2, 1), (1, 4, 1), (1, 5, 1), (4, 6, 1), (5, 6, 1), (6, 7, 1), (2, 7, 1), (7, 16, 1), (0, 3, 3), (3, 7, 3), (2, 9, 5), (12, 4, 7), (6, 1, 11)]
+#: From 3 to 8 through four nodes, in some blocks with rings; others have a tip or a way in.
+TANGLES = [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 1), (3, 5, 1), (4, 6, 1), (5, 7, 1), (6, 8, 1), (7, 8, 1), (8, 16, 1), (6, 5, 2), (7, 4, 2), (4, 7, 3), (6, 9, 5), (10, 5, 7)]
+#: Two ways lead to the repeat 4, 5, 6, and two from it.
+REPEATS = [(0, 1, 1), (1, 4, 1), (2, 3, 1), (3, 4, 1), (4, 5, 1), (5, 6, 1), (6, 7, 1), (7, 8, 1), (6, 9, 1), (9, 10, 1)]
+#: Links across the repeat.
+ACROSS = [(0, 8, 1), (3, 9, 2), (2, 10, 4), (1, 9, 3)]
+
+
+def superbubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = local.superbubbles(g.checkpointed(block_edges(spark, sf_dir, BUBBLES)), 20)
+    return found.withColumn("kept", F.col("kept").cast("int"))
+
+
+def yarns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = local.yarns(g.checkpointed(block_edges(spark, sf_dir, TANGLES)), 16)
+    return found.withColumn("kept", F.col("kept").cast("int"))
+
+
+def repeat_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links with repeats of three fragments, and the fragments."""
+    near, across = (block_edges(spark, sf_dir, s).withColumn("weak", F.lit(False)) for s in (REPEATS, ACROSS))
+    links = g.checkpointed(near.unionByName(across.withColumn("closed", F.lit(g.HARD - 1))))
+    return links, fragment_nodes(near).select(F.col("node").alias("utg"), (F.lit(20) + F.col("node") % 7).cast("int").alias("length"))
+
+
+def detached_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return local.detached(*repeat_links(spark, sf_dir), 200, 400)
+
+
 def fragment_nodes(edges: DataFrame) -> DataFrame:
     return g.degrees(edges).select("node")
 
@@ -514,6 +564,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reopened_edges": reopened,
     "forward_pairs": forward_pairs,
     "callback_records": callback_records,
+    "superbubbles": superbubbles,
+    "yarns": yarns,
+    "detached_repeats": detached_repeats,
     "overlap_dp": overlap_dp,
     "chain": lambda s, d: ov.chained(overlap_rows(s, d), SMALL),
     "tiles": tiles,
