@@ -248,7 +248,7 @@ ORACLE_SQL |= {
     "fragments": _q("RECURSIVE " + _unitigs(_LADDER), "SELECT utg, CAST(count(*) AS INT) AS n, CAST(max(step) * 4 + 4 AS INT) AS length FROM utg GROUP BY utg"),
     "reopened_edges": _q(_EDGES, "SELECT node1, dir1, node2, dir2, cov, off, CASE WHEN node1 % 3 = 0 AND closed <= 2 THEN 0 ELSE closed END AS closed FROM edges"),
     "forward_pairs": _q(_HITS, "SELECT qidx, tidx, count(*) AS n, min(poff) AS first FROM hits WHERE strand = 0 GROUP BY ALL"),
-    "callback_records": "SELECT range AS k, 'part ' || range // 50 AS name FROM range(400)",
+    "callback_records": "SELECT p_partkey AS k, p_name AS name FROM part",
 }
 
 #: The line items' graph without its transitive edges, whose paths start at the nodes of the whole graph.
