@@ -41,8 +41,11 @@ def _windows(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return fwd, rev
 
 
-def _vectorised(p: MapParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Seeds of reads that are whole bins: bases of all reads of a batch in one array, so a bin starts at each multiple of its size."""
+def _vectorised(p: MapParams, once: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Seeds of reads that are whole bins: bases of all reads of a batch in one array, so a bin starts at each multiple of its size.
+
+    once: of equal seeds of one bin and strand only the first.
+    """
     k, size = p.seed, p.bin_size
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,6 +67,11 @@ def _vectorised(p: MapParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 first, last = at[: len(fwd)], at[k - 1 :]
                 canonical = np.minimum(fwd, rev)
                 keep = np.flatnonzero((first // size == last // size) & (fwd != rev) & (_sample(canonical, p.ksample) if p.ksample > 1 else True))
+                if once and len(keep):
+                    seed, bin_ = canonical[keep] * 2 + (rev < fwd)[keep], first[keep] // size
+                    order = np.lexsort((seed, bin_))  # stable: the first place comes first
+                    new = np.r_[True, (np.diff(seed[order]) != 0) | (np.diff(bin_[order]) != 0)]
+                    keep = keep[np.sort(order[new])]
                 read = np.searchsorted(end, first[keep], side="right") - 1
                 off = (last[keep] if p.psize else first[keep] + k - 1) - (k - 1) - end[read]
                 yield pa.RecordBatch.from_arrays([pa.array(canonical[keep]), b.column("ridx").take(pa.array(read)), pa.array(off.astype(np.int32)), pa.array((rev < fwd)[keep].astype(np.int32))], names=["kmer", "ridx", "off", "dir"])
@@ -82,8 +90,17 @@ def kmers(reads: DataFrame, p: MapParams) -> DataFrame:
     """
     if p.ksize and p.psize:
         return _two_part(reads, p)
+    return _by_arrays(reads, p, once=False)
+
+
+def first_kmers(reads: DataFrame, p: MapParams) -> DataFrame:
+    """kmers, of equal ones of one bin and strand of a read only the first: a bin is in one batch whole, so nothing is shuffled for it. Two-part seeds come all."""
+    return _two_part(reads, p) if p.ksize and p.psize else _by_arrays(reads, p, once=True)
+
+
+def _by_arrays(reads: DataFrame, p: MapParams, once: bool) -> DataFrame:
     cut = trimmed_to_bins(reads, p.bin_size).where("bincnt > 0").select("ridx", "seq")
-    return cut.mapInArrow(_vectorised(p), "kmer long, ridx long, off int, dir int")
+    return cut.mapInArrow(_vectorised(p, once), "kmer long, ridx long, off int, dir int")
 
 
 def _two_part(reads: DataFrame, p: MapParams) -> DataFrame:
@@ -149,16 +166,31 @@ def open_bins(posted: DataFrame, p: MapParams) -> DataFrame:
     return posted.withColumn("_degree", degree).where(F.col("_degree") >= p.min_bin_degree).drop("_degree")
 
 
+def open_postings(reads: DataFrame, solid_counts: DataFrame, p: MapParams) -> DataFrame:
+    """(kmer, ridx, bin, dir, off, tot): open_bins of the postings of the seeds in solid_counts, with their counts, dealt by read.
+
+    Seeds are shuffled twice, by seed for their counts and by read for the degrees of bins, both
+    times as three numbers (place: twice the place, and the strand). Counts are the built side
+    of a hash join, so that neither side is sorted by seed.
+    """
+    place = (F.col("off") * 2 + F.col("dir")).alias("place")
+    seeds = first_kmers(reads, p).select("kmer", "ridx", place)
+    kept = seeds.join(solid_counts.select("kmer", "tot").hint("shuffle_hash"), "kmer").repartition("ridx")
+    placed = kept.select("kmer", "ridx", F.floor(F.col("place") / (2 * p.bin_size)).cast("int").alias("bin"), (F.col("place") % 2).cast("int").alias("dir"), F.floor(F.col("place") / 2).cast("int").alias("off"), "tot")
+    w = Window.partitionBy("ridx", "bin").orderBy("kmer", "dir", "off")
+    again = (F.lag("kmer").over(w) == F.col("kmer")) & (F.lag("dir").over(w) == F.col("dir"))  # two-part seeds, and reads of one ridx
+    return open_bins(placed.withColumn("_again", F.coalesce(again, F.lit(False))).where("not _again").drop("_again"), p)
+
+
 def index(reads: DataFrame, p: MapParams) -> DataFrame:
     """The whole index of reads: postings of solid seeds in open bins. Counts are written once, as the cut and the filter both need them; so seeds are made twice."""
     from strandlake.operators.graph import checkpointed
 
-    seeds = kmers(reads, p)
-    counts = checkpointed(kmer_counts(seeds))
-    return open_bins(postings(seeds, solid(counts, p), p), p)
+    counts = checkpointed(kmer_counts(kmers(reads, p)))
+    return open_postings(reads, solid(counts, p), p).drop("tot")
 
 
 def seeds_in_index(seeds: DataFrame, counts: DataFrame) -> DataFrame:
     """Of each read how many of its seeds an index holds: (ridx, n_seeds, n_found)."""
-    hit = seeds.join(counts.select("kmer", F.lit(1).alias("has")), "kmer", "left")
+    hit = seeds.select("kmer", "ridx").join(counts.select("kmer", F.lit(1).alias("has")).hint("shuffle_hash"), "kmer", "left")
     return hit.groupBy("ridx").agg(F.count("*").alias("n_seeds"), F.count("has").alias("n_found"))

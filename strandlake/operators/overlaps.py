@@ -48,8 +48,13 @@ def seed_hits(query: DataFrame, target: DataFrame, p: MapParams, self_join: bool
 
 def rarest_seeds(query: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     """Of each query bin the n seeds with the smallest counts."""
+    return rarest_of(query.join(counts.select("kmer", "tot"), "kmer"), n).select(query.columns)
+
+
+def rarest_of(counted: DataFrame, n: int) -> DataFrame:
+    """rarest_seeds of postings that have their counts (tot) with them."""
     w = Window.partitionBy("ridx", "bin").orderBy("tot", "kmer", "off")
-    return query.join(counts, "kmer").withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select(query.columns)
+    return counted.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k", "tot")
 
 
 def islands(hits: DataFrame, p: MapParams) -> DataFrame:

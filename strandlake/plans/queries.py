@@ -288,10 +288,9 @@ def swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rarest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = _seeds(spark, sf_dir)
-    counts = g.checkpointed(km.solid(km.kmer_counts(seeds), SMALL))
-    posted = g.checkpointed(km.open_bins(km.postings(seeds, counts, SMALL), SMALL))
-    return ov.rarest_seeds(posted, counts, 3)
+    r = reads(spark, sf_dir)
+    counts = g.checkpointed(km.kmer_counts(km.kmers(r, SMALL)))
+    return ov.rarest_of(km.open_postings(r, km.solid(counts, SMALL), SMALL), 3)
 
 
 def through_text(lines: DataFrame, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
