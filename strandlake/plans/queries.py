@@ -292,12 +292,12 @@ def rarest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ov.rarest_of(km.open_postings(r, km.solid(counts, SMALL), SMALL), 3)
 
 
-def through_text(lines: DataFrame, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+def through_text(lines: DataFrame, read: Callable[[SparkSession, str], DataFrame], compression: str = "none") -> DataFrame:
     """Lines written as text to the shared folder, and what a reader makes of the files."""
     spark = lines.sparkSession
     g.checkpointed(spark.range(1))  # sets the folder, if it isn't
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/text-{uuid.uuid4().hex}"
-    lines.write.text(path)
+    lines.write.text(path, compression=compression)
     return read(spark, path)
 
 
@@ -319,7 +319,7 @@ def tagged_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlaps_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = tagged_numbers(spark, sf_dir)
-    rows = through_text(formats.overlap_lines(aligned_rows(spark, sf_dir), tags, 64), formats.read_overlaps)
+    rows = through_text(formats.overlap_lines(aligned_rows(spark, sf_dir), tags, 64), formats.read_overlaps, "gzip")
     return formats.overlaps_by_name(rows, tags, 64)
 
 

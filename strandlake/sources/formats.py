@@ -52,16 +52,22 @@ def read_overlaps(spark: SparkSession, *paths: str) -> DataFrame:
     return t.select(*[F.col("c")[i].cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
 
 
+def _names(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qidx, qtag) and (tidx, ttag) of reads(ridx, tag), to be the built side of hash joins: overlaps are many and wide, and aren't sorted for their names."""
+    q, t = (reads.select(F.col("ridx").alias(i), F.col("tag").alias(n)).hint("shuffle_hash") for i, n in (("qidx", "qtag"), ("tidx", "ttag")))
+    return q, t
+
+
 def overlaps_by_name(rows: DataFrame, reads: DataFrame, bin_size: int) -> DataFrame:
     """Overlaps between known reads(ridx, tag), the query being the smaller, in bins; without those that have no cigar."""
-    q, t = (reads.select(F.col("ridx").alias(i), F.col("tag").alias(n)) for i, n in (("qidx", "qtag"), ("tidx", "ttag")))
+    q, t = _names(reads)
     found = rows.where("cigar != '*'").join(q, "qtag").join(t, "ttag").where("qidx < tidx")
     bins = [F.floor(F.col(c) / bin_size).cast("int").alias(c) for c in ("qlen", "qb", "qe", "tlen", "tb", "te", "aln")]
     return found.select("qidx", F.when(F.col("qdir") == "-", 1).otherwise(0).alias("qdir"), *bins[:3], "tidx", *bins[3:6], "mat", bins[6], "cnt", "gap", "cigar")
 
 
 def overlap_lines(overlaps: DataFrame, reads: DataFrame, bin_size: int) -> DataFrame:
-    q, t = (reads.select(F.col("ridx").alias(i), F.col("tag").alias(n)) for i, n in (("qidx", "qtag"), ("tidx", "ttag")))
+    q, t = _names(reads)
     o = overlaps.join(q, "qidx").join(t, "tidx")
     letters = {c: (F.col(c) * bin_size).cast("string") for c in ("qlen", "qb", "qe", "tlen", "tb", "te", "aln")}
     strand = F.when(F.col("qdir") == 1, "-").otherwise("+")
