@@ -46,3 +46,9 @@ def test_edges_are_dealt_to_all_tasks(spark):
     assert len({r.task for r in got}) > 4
     cut = con.stitched(pieces.drop("task"), 32)._jdf.queryExecution().executedPlan().toString()
     assert cut.count("REPARTITION_BY_NUM") == 2  # edges, then contigs, whose joints are found where Spark would make one task of few bytes
+
+
+def test_rows_placed_side_by_side_are_those_one_by_one():
+    found = [one_by_one(x) for x in groups(60)]
+    for reach in (4, con.REACH):
+        assert con.all_realigned(found, reach) == [con.realigned(x, 1, reach) for x in found]
