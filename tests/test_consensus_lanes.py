@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandlake.operators import consensus as con
+from strandlake.operators import graph as g
 
 
 def noisy(r, s, rate):
@@ -23,10 +24,10 @@ def groups(n, seed=5):
 
 
 def one_by_one(reads):
-    g = con.Graph(reads[0])
+    graph = con.Graph(reads[0])
     for s in reads[1:]:
-        g.add(s)  # by align()
-    return g.msa()
+        graph.add(s)  # by align()
+    return graph.msa()
 
 
 def test_alignments_side_by_side_are_those_one_by_one(monkeypatch):
@@ -52,3 +53,9 @@ def test_rows_placed_side_by_side_are_those_one_by_one():
     found = [one_by_one(x) for x in groups(60)]
     for reach in (4, con.REACH):
         assert con.all_realigned(found, reach) == [con.realigned(x, 1, reach) for x in found]
+
+
+def test_repeat_nodes_are_judged_in_all_tasks(spark):
+    regions = spark.createDataFrame([(n, rid, 0, n * 4, n * 4 + 4, False) for rid in range(3) for n in range(5)], "node long, rid long, dir int, beg int, end int, closed boolean")
+    judged = g.repeat_nodes(regions, 2)
+    assert judged.count() == 0 and "REPARTITION_BY_NUM" in judged._jdf.queryExecution().executedPlan().toString()
